@@ -148,3 +148,36 @@ def iterate(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, Wo
     data, offsets = buffers(column)
     for a, b in groups(offsets, limit):
         yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
+_CORE = np.ones(256, dtype=bool)
+_CORE[:128] = [chr(i).isalnum() for i in range(128)]
+
+
+class Spans(Words):
+    """Words that can also hash other byte spans of their buffer."""
+
+    __slots__ = ("_total",)
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        super().__init__(data, offsets)
+        n = len(self.data)
+        power, _ = _power_tables(n)
+        self._total = np.zeros(n + 1, dtype=_U)
+        np.cumsum(_SYMBOL[self.data] * power[:n], out=self._total[1:])
+
+    def hash_spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        _, inverse = _power_tables(len(self.data))
+        return mix((self._total[ends] - self._total[starts]) * inverse[starts])
+
+    def cores(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each word without the ASCII punctuation at its ends (start = end: nothing is left)."""
+        n = len(self.data)
+        if not n:
+            return self.starts, self.ends
+        at = np.arange(n)
+        core = _CORE[self.data]
+        last = np.maximum.accumulate(np.where(core, at, -1))[self.ends - 1] + 1
+        following = np.minimum.accumulate(np.where(core, at, n)[::-1])[::-1][self.starts]
+        starts = np.minimum(following, self.ends)
+        return starts, np.maximum(last, starts)
