@@ -18,7 +18,8 @@ Distributed form:
    of the symmetric difference) rule out are dropped; the others are verified.
 4. ``rest round``: lists whose members all lie in one component are done. In the others
    the members outside the largest component are searched against all members; so a
-   large group of near copies costs its size and not its square.
+   large group of near copies costs its size and not its square. The number of lists a
+   pair meets in, the merged count of its short lists, must leave T within reach.
 5. ``verify``: for a query document and a bounded chunk of its candidates an index of
    inverted lists is built, the short lists are heap-merged, the long ones probed by
    binary search (``divide_skip``), and the exact condition decides.
@@ -212,13 +213,21 @@ def postings(docs: DataFrame, config: JoinConfig, classes: np.ndarray) -> DataFr
     return docs.select("id", "text").mapInArrow(scan, schema)
 
 
+def _bound(a: str, b: str):
+    """Most overlap of a pair whose first common shingle is this list's."""
+    return F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
+
+
+def _enough(overlap, na, nb, percent: int):
+    return 100 * overlap >= percent * (na + nb - overlap)
+
+
 def _possible(a: str, b: str, percent: int):
-    """What sizes, positions and parities of a listed pair leave possible."""
+    """What sizes and parity sketches of a pair leave possible."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    bound = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
     apart = sum((F.bit_count(F.col(f"{a}.parity")[i].bitwiseXOR(F.col(f"{b}.parity")[i])) for i in range(PARITY // 64)), F.lit(0))
     # |A xor B| = na + nb - 2 o, and o >= percent / (100 + percent) * (na + nb)
-    return (100 * bound >= percent * (na + nb - bound)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
 
 
 def verify(docs: DataFrame, pairs: DataFrame, config: JoinConfig, path: str) -> DataFrame:
@@ -304,14 +313,15 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     # Prefixes of all rows are cheaper than sending texts through a shuffle to find the representatives.
     reps = classes_of.where("rep is not null").select(F.col("rep").alias("id")).distinct()
     entries = common.store(postings(rows, config, classes).join(reps, "id", "left_semi"), f"{path}/entries")
+    heads = entries.select("id", "n", "parity", F.element_at("prefix", -1).alias("last"), (F.col("n") - F.size("prefix")).alias("after"))
     listed = entries.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     shared_tokens = listed.groupBy("token").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1")
-    lists = listed.join(shared_tokens, "token").join(entries.select("id", "n", "parity").withColumnRenamed("n", "m"), "id").where("n = m")
-    lists = common.store(lists.select("token", "members", "pivot", "id", "n", "pos", "parity"), f"{path}/lists")
+    lists = listed.join(shared_tokens, "token").join(heads.withColumnRenamed("n", "m"), "id").where("n = m")
+    lists = common.store(lists.select("token", "members", "pivot", "id", "n", "pos", "parity", "last", "after"), f"{path}/lists")
 
     pivots = lists.where("id = pivot").select("token", "id", "n", "pos", "parity").alias("a")
     members = lists.where("id <> pivot").select("token", "id", "n", "pos", "parity").alias("b")
-    star = members.join(pivots, F.col("a.token") == F.col("b.token")).where(_possible("a", "b", percent))
+    star = members.join(pivots, F.col("a.token") == F.col("b.token")).where(_possible("a", "b", percent) & _enough(_bound("a", "b"), F.col("a.n"), F.col("b.n"), percent))
     star_links = common.store(verify(rows, star.select(F.col("b.id").alias("v"), F.col("a.id").alias("u")).distinct(), config, f"{path}/star"), f"{path}/star_links")
     first = components(spark, star_links, f"{path}/cc1")
 
@@ -323,7 +333,15 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     apart = open_lists.where("component <> main").withColumn("cell", F.explode(F.sequence(F.lit(0), (cells - 1).cast("int")))).alias("a")
     whole = open_lists.withColumn("cell", F.pmod(F.xxhash64("id"), cells).cast("int")).alias("b")
     rest = apart.join(whole, (F.col("a.token") == F.col("b.token")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & _possible("a", "b", percent))
-    rest_links = verify(rows, rest.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), config, f"{path}/rest")
+    # A pair's common prefix shingles are the lists it meets in. Of the shingles beyond the
+    # earlier-ending prefix no more than its document has left can be common.
+    room = F.when(F.col("a.last") < F.col("b.last"), F.col("a.after")).when(F.col("a.last") > F.col("b.last"), F.col("b.after")).otherwise(F.least("a.after", "b.after"))
+    low = F.least(F.struct("a.id", "a.n"), F.struct("b.id", "b.n"))
+    high = F.greatest(F.struct("a.id", "a.n"), F.struct("b.id", "b.n"))
+    met = rest.select(low.alias("low"), high.alias("high"), room.alias("room"), _bound("a", "b").alias("bound"))
+    met = met.groupBy(F.col("low.id").alias("u"), F.col("high.id").alias("v"), F.col("low.n").alias("nu"), F.col("high.n").alias("nv"), "room").agg(F.count("*").alias("common"), F.max("bound").alias("bound"))
+    met = met.where(_enough(F.col("bound"), F.col("nu"), F.col("nv"), percent) & _enough(F.col("common") + F.col("room"), F.col("nu"), F.col("nv"), percent))
+    rest_links = verify(rows, met.select("u", "v").distinct(), config, f"{path}/rest")
     # Rows that repeat an id are one vertex: what their classes reach belongs together.
     owned = filled.join(classes_of, "digest").select("id", "rep")
     several = owned.where("id is not null").groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v")
