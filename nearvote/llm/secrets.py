@@ -137,14 +137,14 @@ def _stratum(length: Column, config: SecretConfig) -> Column:
 
 
 def find_secrets(docs: DataFrame, config: SecretConfig = SecretConfig(), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
-    """Per row: id, the ``keep`` columns, text (null unless asked for), base and ``spans``, array<struct<start, rank, end, p>>.
+    """Per row: id, kept (a struct of the ``keep`` columns), text (null unless asked for), base and ``spans``, array<struct<start, rank, end, p>>.
 
     Spans are in code points, end exclusive, sorted by start and then kind (``rank`` is
     the kind's place in KINDS). ``p`` is null for the fixed patterns. Null and empty texts
     have no spans; an empty table gives no rows; equal rows are reported one by one.
     """
     spark = docs.sparkSession
-    source = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("body"), docs[text_col].alias("text"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
+    source = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("body"), docs[text_col].alias("text"), F.struct(*(docs[c] for c in keep)).alias("kept") if keep else F.lit(None).cast("string").alias("kept"))
     body = F.col("body")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("rank", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType()), T.StructField("length", T.IntegerType())])
 
@@ -166,7 +166,7 @@ def find_secrets(docs: DataFrame, config: SecretConfig = SecretConfig(), id_col:
 
     rounded = F.transform(tested, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("rank"), t["end"].alias("end"), value(t["test"]).alias("p"), (t["end"] - t["start"]).alias("length")))
     path = common.shared_dir(spark)
-    found = common.store(scanned.select("id", *(f"keep_{i}" for i in range(len(keep))), "text" if with_text else F.lit(None).cast("string").alias("text"), "base", rounded.cast(T.ArrayType(span)).alias("more")), f"{path}/found")
+    found = common.store(scanned.select("id", "kept", "text" if with_text else F.lit(None).cast("string").alias("text"), "base", rounded.cast(T.ArrayType(span)).alias("more")), f"{path}/found")
 
     candidates = found.where("size(more) > 0").select(F.explode("more").alias("t")).select(_stratum(F.col("t.length"), config).alias("stratum"), F.col("t.p").alias("p"))
     grid = candidates.groupBy("stratum", "p").agg(F.count("*").alias("rows"))
@@ -183,7 +183,7 @@ def find_secrets(docs: DataFrame, config: SecretConfig = SecretConfig(), id_col:
 
     extra = F.filter("more", lambda t: F.coalesce(t["p"] <= limit(t["length"]), F.lit(False)))
     spans = F.array_sort(F.concat("base", extra))
-    return found.select("id", *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)), "text", "base", spans.alias("spans"))
+    return found.select("id", "kept", "text", "base", spans.alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -221,4 +221,4 @@ def redact(docs: DataFrame, config: SecretConfig = SecretConfig(), id_col: str =
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.col("text").alias("text"))
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substr(acc["text"], acc["at"] + 1)))
     text = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
-    return found.select(*(text.alias(c) if c == text_col else F.col("id").alias(c) if c == id_col else F.col(c) for c in names))
+    return found.select(*(text.alias(c) if c == text_col else F.col("id").alias(c) if c == id_col else F.col("kept").getField(c).alias(c) for c in names))

@@ -34,7 +34,7 @@ LZW_CLEAR, LZW_END = 256, 257
 
 @dataclass(frozen=True)
 class Page:
-    """One image: ``pixels`` has height * width * samples values of ``bits`` bits, row by row."""
+    """One image: ``pixels`` has height * width * samples values of ``bits`` bits, row by row, in the file's byte order."""
 
     index: int
     width: int
