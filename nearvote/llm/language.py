@@ -209,6 +209,9 @@ def label_languages(docs: DataFrame, model: Model, config: LanguageConfig = Lang
         model = shared.value
         names, k = model.languages, len(model.languages)
         data, offsets = text.buffers(column)
+        if not k:
+            yield from (("und", 0.0, []) for _ in range(len(column)))
+            return
         for a, b in text.groups(offsets, TOGETHER):
             parts, letters, firsts = [], [], [0]
             for c, d in text.groups(offsets[a : b + 1]):
@@ -223,7 +226,7 @@ def label_languages(docs: DataFrame, model: Model, config: LanguageConfig = Lang
                 own = labels[x:y]
                 votes = np.bincount(own[lettered[x:y]], minlength=k)
                 # Letters of scripts that no table knows are looked for one by one.
-                if not k or (not votes.sum() and not _has_letter(column[row].as_py() or "")):
+                if not votes.sum() and not _has_letter(column[row].as_py() or ""):
                     yield "und", 0.0, []
                     continue
                 if not votes.sum():
