@@ -14,10 +14,14 @@ from nearvote.llm.packing import pack
 from nearvote.llm.ppm import score_texts
 from nearvote.llm.secrets import secret_digest
 from nearvote.llm.sharding import assign_shards
+from nearvote.llm.sql import SQL
 from nearvote.llm.tiff import media_digest
 from nearvote.llm.toxicity import toxicity
 
 
+__all__ = ["QUERIES", "SQL"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,5 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
 }
-
-SQL: dict[str, str] = {}
