@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,23 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what runs inside: documents may be long, and
+    a batch is held by the JVM and by Python at once. The session's setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def store(df: DataFrame, path: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back."""
-    df.write.mode("overwrite").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -93,7 +108,8 @@ def add_up(parts: DataFrame, block: str, payload: str, dtype: str, combine: str,
 
     rows = parts.select(F.col(block).cast("int").alias("block"), F.col(payload).alias("payload"))
     first = rows.groupBy("block", F.pmod(F.xxhash64(F.rand(7)), F.lit(spread)).alias("salt")).applyInArrow(merge, schema)
-    return {r.block: np.frombuffer(r.payload, dtype) for r in first.groupBy("block").applyInArrow(merge, schema).collect()}
+    with small_batches(parts.sparkSession):
+        return {r.block: np.frombuffer(r.payload, dtype) for r in first.groupBy("block").applyInArrow(merge, schema).collect()}
 
 
 def components(spark: SparkSession, edges: DataFrame, path: str) -> DataFrame:
@@ -115,6 +131,3 @@ def components(spark: SparkSession, edges: DataFrame, path: str) -> DataFrame:
         now = store(small, f"{path}/edges{step}")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-
-
-Emit = Callable[[], pa.RecordBatch]

@@ -222,12 +222,41 @@ def _enough(overlap, na, nb, percent: int):
     return 100 * overlap >= percent * (na + nb - overlap)
 
 
-def _possible(a: str, b: str, percent: int):
-    """What sizes and parity sketches of a pair leave possible."""
+def _sized(a: str, b: str, percent: int):
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.parity")[i].bitwiseXOR(F.col(f"{b}.parity")[i])) for i in range(PARITY // 64)), F.lit(0))
+    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+
+
+def _near(pa_, pb, na, nb, percent: int):
+    """Whether two parity sketches leave the sets near enough."""
+    apart = sum((F.bit_count(pa_[i].bitwiseXOR(pb[i])) for i in range(PARITY // 64)), F.lit(0))
     # |A xor B| = na + nb - 2 o, and o >= percent / (100 + percent) * (na + nb)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
+    return (100 + percent) * apart <= (100 - percent) * (na + nb)
+
+
+def _parity_allows(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose parity sketches do not put their sets too far apart."""
+    a = entries.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("parity").alias("pu"))
+    b = entries.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("parity").alias("pv"))
+    near = _near(F.col("pu"), F.col("pv"), F.col("nu"), F.col("nv"), percent)
+    return pairs.join(a, "u").join(b, "v").where(near).select("u", "v").distinct()
+
+
+def _prefix_allows(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose prefixes share enough: beyond the earlier-ending prefix no more
+    shingles can be common than its document has left."""
+
+    def side(x: str) -> DataFrame:
+        return entries.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
+
+    def after(x: str):
+        return F.col(f"n{x}") - F.size(f"p{x}")
+
+    last_u, last_v = F.element_at("pu", -1), F.element_at("pv", -1)
+    room = F.when(last_u < last_v, after("u")).when(last_u > last_v, after("v")).otherwise(F.least(after("u"), after("v")))
+    common = F.size(F.array_intersect("pu", "pv"))
+    joined = pairs.join(side("u"), "u").join(side("v"), "v")
+    return joined.where(_enough(common + room, F.col("nu"), F.col("nv"), percent)).select("u", "v").distinct()
 
 
 def verify(docs: DataFrame, pairs: DataFrame, config: JoinConfig, path: str) -> DataFrame:
@@ -313,26 +342,27 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     # Prefixes of all rows are cheaper than sending texts through a shuffle to find the representatives.
     reps = classes_of.where("rep is not null").select(F.col("rep").alias("id")).distinct()
     entries = common.store(postings(rows, config, classes).join(reps, "id", "left_semi"), f"{path}/entries")
-    heads = entries.select("id", "n", "parity", F.element_at("prefix", -1).alias("last"), (F.col("n") - F.size("prefix")).alias("after"))
     listed = entries.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     shared_tokens = listed.groupBy("token").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1")
-    lists = listed.join(shared_tokens, "token").join(heads.withColumnRenamed("n", "m"), "id").where("n = m")
-    lists = common.store(lists.select("token", "members", "pivot", "id", "n", "pos", "parity", "last", "after"), f"{path}/lists")
-
-    pivots = lists.where("id = pivot").select("token", "id", "n", "pos", "parity").alias("a")
-    members = lists.where("id <> pivot").select("token", "id", "n", "pos", "parity").alias("b")
-    star = members.join(pivots, F.col("a.token") == F.col("b.token")).where(_possible("a", "b", percent) & _enough(_bound("a", "b"), F.col("a.n"), F.col("b.n"), percent))
-    star_links = common.store(verify(rows, star.select(F.col("b.id").alias("v"), F.col("a.id").alias("u")).distinct(), config, f"{path}/star"), f"{path}/star_links")
+    lists = common.store(listed.join(shared_tokens, "token").select("token", "members", "pivot", "id", "n", "pos"), f"{path}/lists")
+
+    pivots = lists.where("id = pivot").select("token", "id", "n", "pos").alias("a")
+    members = lists.where("id <> pivot").select("token", "id", "n", "pos").alias("b")
+    star = members.join(pivots, F.col("a.token") == F.col("b.token")).where(_sized("a", "b", percent) & _enough(_bound("a", "b"), F.col("a.n"), F.col("b.n"), percent))
+    star = _parity_allows(star.select(F.col("b.id").alias("v"), F.col("a.id").alias("u")).distinct(), entries, percent)
+    star = _prefix_allows(common.store(star, f"{path}/near"), entries, percent)
+    star_links = common.store(verify(rows, star, config, f"{path}/star"), f"{path}/star_links")
     first = components(spark, star_links, f"{path}/cc1")
 
-    named = lists.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = lists.select("token", "members", "id", "n", "pos").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = named.groupBy("token", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("size", F.negative("component").alias("minus"))).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("token", F.negative("top.minus").alias("main"))
-    open_lists = common.store(named.join(largest, "token"), f"{path}/open")
+    heads = entries.select("id", F.col("n").alias("m"), "parity", F.element_at("prefix", -1).alias("last"), (F.col("n") - F.size("prefix")).alias("after"))
+    open_lists = common.store(named.join(largest, "token").join(heads, "id").where("n = m").drop("m"), f"{path}/open")
     cells = F.ceil(F.col("members") / 4096)
     apart = open_lists.where("component <> main").withColumn("cell", F.explode(F.sequence(F.lit(0), (cells - 1).cast("int")))).alias("a")
     whole = open_lists.withColumn("cell", F.pmod(F.xxhash64("id"), cells).cast("int")).alias("b")
-    rest = apart.join(whole, (F.col("a.token") == F.col("b.token")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & _possible("a", "b", percent))
+    rest = apart.join(whole, (F.col("a.token") == F.col("b.token")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & _sized("a", "b", percent) & _near(F.col("a.parity"), F.col("b.parity"), F.col("a.n"), F.col("b.n"), percent))
     # A pair's common prefix shingles are the lists it meets in. Of the shingles beyond the
     # earlier-ending prefix no more than its document has left can be common.
     room = F.when(F.col("a.last") < F.col("b.last"), F.col("a.after")).when(F.col("a.last") > F.col("b.last"), F.col("b.after")).otherwise(F.least("a.after", "b.after"))
