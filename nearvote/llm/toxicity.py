@@ -32,7 +32,7 @@ class ToxicityConfig:
     factors: int = 8
     max_rows: int = 20_000
     min_z: float = 4.0
-    epochs: int = 12
+    epochs: int = 30
     rate: float = 0.1
     decay: float = 1e-4
     seed: int = 11
@@ -112,15 +112,23 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, config: ToxicityConfig) ->
     p, q = toxic_with / positive, (with_term - toxic_with) / (n - positive)
     pooled = with_term / n
     deviation = np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / positive + 1 / (n - positive)), 1e-12))
-    kept = np.flatnonzero(np.abs(p - q) / deviation >= config.min_z)
+    kept = np.flatnonzero((p - q) / deviation >= config.min_z)
     slots[kept] = np.arange(len(kept))
     rng = np.random.default_rng(config.seed)
     weights, factors = np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), config.factors))
     grown, grown_factors = np.full(len(kept), 1e-6), np.full(factors.shape, 1e-6)
     bias, grown_bias = float(_logit(share)), 1e-6
     short = [s[s >= 0] for s in (slots[x] for x in lists)]
+    # Rows without a kept term all have the bias as their score: one step an epoch for each label.
+    bare = [[i for i in range(n) if not short[i].size and labels[i] == y] for y in (0, 1)]
+    full = np.array([i for i in range(n) if short[i].size], np.int64)
     for _ in range(config.epochs):
-        for i in rng.permutation(n):
+        for y, rows in enumerate(bare):
+            if rows:
+                g = 1 / (1 + np.exp(-bias)) - y
+                grown_bias += g * g * len(rows)
+                bias -= config.rate * g * len(rows) / np.sqrt(grown_bias) / np.sqrt(n)
+        for i in rng.permutation(full):
             x = short[i]
             v = factors[x]
             total = v.sum(axis=0)

@@ -44,7 +44,7 @@ def test_held_out_labels_teach_nothing(spark, docs):
 
 def test_pairs_are_learnt():
     """Two terms that are toxic together only: no linear weights can tell them apart."""
-    config = tox.ToxicityConfig(min_z=0, epochs=40)
+    config = tox.ToxicityConfig(min_z=-99, epochs=40)
     rng = random.Random(0)
     cases = [(["aa"], 0), (["bb"], 0), (["aa", "bb"], 1), ([], 1)]
     picked = [rng.choice(cases) for _ in range(400)]
