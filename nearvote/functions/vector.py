@@ -24,14 +24,15 @@ def squared_distance(a: Column, b: Column, dims: int | None = None) -> Column:
     return reduce(lambda s, x: s + x, [t * t for t in terms])
 
 
-def box_bound(q: Column, low: Column, high: Column, dims: int) -> Column:
-    """Least squared distance from ``q`` to any point of the box: the squared gaps summed."""
-
-    def gap(i: int) -> Column:
-        x, lo, hi = (F.get(c, F.lit(i)) for c in (q, low, high))
-        return F.greatest(lo - x, F.lit(0)) + F.greatest(x - hi, F.lit(0))
-
-    return reduce(lambda s, x: s + x, [gap(i) * gap(i) for i in range(dims)])
+def box_bound(q: Column, low: Column, high: Column) -> Column:
+    """Least squared distance from ``q`` to any point of the box: the squared gaps summed.
+
+    Folded over the arrays: it runs once per query and cluster, where an unrolled sum
+    would cost more to compile than to run.
+    """
+    under = F.zip_with(low, q, lambda lo, x: F.greatest(lo - x, F.lit(0)))
+    over = F.zip_with(q, high, lambda x, hi: F.greatest(x - hi, F.lit(0)))
+    return F.aggregate(F.zip_with(under, over, lambda a, b: (a + b).cast("double") * (a + b)), F.lit(0.0), lambda s, x: s + x)
 
 
 def bucket(value: Column, n: int) -> Column:

@@ -44,7 +44,7 @@ def survivors(ranked: DataFrame, worst: DataFrame, nprobe: int, dims: int) -> Da
     unprobed = ranked.where(F.col("probe") > nprobe).join(worst, "qid", "left")
     reach = F.col("radius") + F.ceil(F.sqrt(F.col("worst")))
     near = F.col("worst").isNull() | (F.col("dc") <= reach * reach)
-    bounded = unprobed.where(near).withColumn("lb", box_bound(F.col("qv"), F.col("low"), F.col("high"), dims))
+    bounded = unprobed.where(near).withColumn("lb", box_bound(F.col("qv"), F.col("low"), F.col("high")))
     return bounded.where(F.col("worst").isNull() | (F.col("lb") <= F.col("worst")))
 
 
@@ -58,6 +58,7 @@ def search(queries: DataFrame, members: DataFrame, clusters: DataFrame, dims: in
     first = knn.ranked(scan(order.where(F.col("probe") <= nprobe), members, dims, exclude_self), k)
     if not repair:
         return first
+    first = first.persist()  # k rows a query, used three times below
     state = first.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("d")).alias("worst"), F.sum("fraud").alias("frauds"), F.count("*").alias("found"))
     skip = F.lit(False)
     if config.unanimity_skip:

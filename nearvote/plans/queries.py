@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from nearvote.config import ScoringConfig
 from nearvote.functions import scores
 from nearvote.functions.vector import box_bound, profile_key, quantize, text_of
-from nearvote.operators import evaluate, features, generate, index, ivf, kmeans, kmknn, knn
+from nearvote.operators import evaluate, features, generate, index, ivf, kmeans, kmknn, knn, knn_kernel
 from nearvote.plans import views
 from nearvote.plans.views import CLUSTERS, DIMS
 from nearvote.sources.readers import table
@@ -45,6 +45,13 @@ def exact_knn_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     return knn.nearest(views.queries(refs), refs, 5, DIMS).select("qid", "rk", "ref_id", "fraud", _round("d"))
 
 
+@query
+def exact_knn_kernel(spark: SparkSession, sf: str) -> DataFrame:
+    """The same neighbours by the numpy kernel."""
+    refs = views.references(spark, sf)
+    return knn_kernel.nearest(views.queries(refs), refs, 5, DIMS).select("qid", "rk", "ref_id", "fraud", _round("d"))
+
+
 @query
 def quantize_vectors(spark: SparkSession, sf: str) -> DataFrame:
     refs = views.fixed(views.references(spark, sf))
@@ -155,7 +162,7 @@ def _pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
 def bbox_lower_bound(spark: SparkSession, sf: str) -> DataFrame:
     """Every query's bound for every cluster."""
     _, _, _, order = _pairs(spark, sf)
-    bound = box_bound(F.col("qv"), F.col("low"), F.col("high"), DIMS)
+    bound = box_bound(F.col("qv"), F.col("low"), F.col("high"))
     return order.select("qid", "cluster_id", bound.cast("long").alias("lb"), F.col("dc").cast("long").alias("dc"))
 
 
@@ -376,9 +383,9 @@ def path_counters(spark: SparkSession, sf: str) -> DataFrame:
     """How the verdicts of profile, skip and rerank paths split over every 50th event."""
     v = _event_vectors(spark, sf)
     known = v.where("ref_id % 50 <> 0 and ref_id % 5 = 1")
-    centroids = kmeans.seeds(known, CLUSTERS).select("cluster_id", "centroid")
+    centroids = views.fetched(kmeans.seeds(known, CLUSTERS).select("cluster_id", "centroid"))
     assigned = kmeans.assign(known, centroids, 14)
-    clusters = index.cluster_stats(assigned, centroids, 14)
+    clusters = views.fetched(index.cluster_stats(assigned, centroids, 14))
     tested = v.where("ref_id % 50 = 0").select(F.col("ref_id").alias("qid"), F.col("vec").alias("qv"))
     config = replace(ScoringConfig(), profile=True, profile_min_count=MIN_COUNT, nprobe=4)
     done = ivf.score(tested, known, views.members(assigned), clusters, 14, config, index.profile_table(known))

@@ -201,6 +201,7 @@ _FIRST6 = (scanned("p1", f"probe <= {NPROBE}"), top("f6", "p1", 6))
 SQL: dict[str, str] = {
     "exact_knn_vote": with_(*EXACT) + verdict("ev"),
     "exact_knn_neighbors": with_(*EXACT) + "SELECT qid, rk, ref_id, fraud, round(d, 9) AS d FROM en",
+    "exact_knn_kernel": with_(*EXACT) + "SELECT qid, rk, ref_id, fraud, round(d, 9) AS d FROM en",
     "quantize_vectors": with_(EMB, FIX) + "SELECT ref_id, array_to_string(list_transform(q, lambda x: CAST(CAST(x AS INT) AS VARCHAR)), ',') AS q, fraud FROM fix",
     "int16_knn_topk": with_(*SIX) + "SELECT qid, rk, ref_id, fraud, CAST(d AS BIGINT) AS d FROM six",
     "knn_rerank_5of6": with_(*SIX, *RERANKED) + verdict("rv"),

@@ -38,9 +38,14 @@ def fixed_queries(refs: DataFrame) -> DataFrame:
 
 def one_step(refs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(centroids, assigned, clusters) of the seeds and one assignment: deterministic everywhere."""
-    centroids = kmeans.seeds(refs, CLUSTERS).select("cluster_id", "centroid")
+    centroids = fetched(kmeans.seeds(refs, CLUSTERS).select("cluster_id", "centroid"))
     assigned = kmeans.assign(refs, centroids, DIMS)
-    return centroids, assigned, cluster_stats(assigned, centroids, DIMS)
+    return centroids, assigned, fetched(cluster_stats(assigned, centroids, DIMS))
+
+
+def fetched(per_cluster: DataFrame) -> DataFrame:
+    """A table of one row per cluster, computed now instead of in every plan that uses it."""
+    return per_cluster.sparkSession.createDataFrame(per_cluster.collect(), per_cluster.schema)
 
 
 def members(assigned: DataFrame) -> DataFrame:

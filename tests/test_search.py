@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from nearvote.config import ScoringConfig
 from nearvote.functions.vector import PROFILE_LAYOUT, box_bound, bucket, profile_key, quantize, squared_distance
-from nearvote.operators import evaluate, index, ivf, kmeans, kmknn, knn
+from nearvote.operators import evaluate, index, ivf, kmeans, kmknn, knn, knn_kernel
 from nearvote.sources.index_store import open_index, write_index
 
 DIMS = 14
@@ -53,6 +53,21 @@ def test_blocks_of_queries_give_the_same(world):
     assert sorted(map(tuple, small.collect())) == whole
 
 
+def test_kernel_equals_the_expression(spark, world):
+    _, _, refs, queries = world
+    want = sorted((r["qid"], r["rk"], r["ref_id"], r["d"]) for r in knn.nearest(queries, refs, 7, DIMS).collect())
+    for size in (1 << 20, 500):  # references broadcast, queries in blocks
+        got = knn_kernel.nearest(queries, refs, 7, DIMS, ScoringConfig(block_bytes=size)).collect()
+        assert sorted((r["qid"], r["rk"], r["ref_id"], r["d"]) for r in got) == want
+    # Many equal distances, fewer references than k, the query itself left out
+    same = spark.createDataFrame([(i, [float(i % 2)] * 3, i % 2) for i in range(40)], "ref_id long, vec array<double>, fraud int")
+    own = same.select(F.col("ref_id").alias("qid"), F.col("vec").alias("qv"))
+    for k, table in ((4, same), (9, same.where("ref_id < 5"))):
+        want = sorted((r["qid"], r["rk"], r["ref_id"]) for r in knn.nearest(own, table, k, 3).collect())
+        assert sorted((r["qid"], r["rk"], r["ref_id"]) for r in knn_kernel.nearest(own, table, k, 3).collect()) == want
+    assert knn_kernel.nearest(queries.limit(0), refs, 3, DIMS).count() == 0
+
+
 @pytest.mark.parametrize(("k", "nprobe"), [(4, 1), (7, 2), (1, 1)])
 def test_repaired_search_equals_brute_force(spark, world, k, nprobe):
     vecs, _, refs, queries = world
@@ -96,7 +111,7 @@ def test_bound_never_exceeds_the_distance(spark):
         p = rng.integers(np.minimum(a, b), np.maximum(a, b) + 1)
         rows.append((rng.integers(-4096, 4096, 6).tolist(), np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), p.tolist()))
     df = spark.createDataFrame(rows, "q array<long>, lo array<long>, hi array<long>, p array<long>")
-    bad = df.where(box_bound(F.col("q"), F.col("lo"), F.col("hi"), 6) > squared_distance(F.col("q"), F.col("p"), 6))
+    bad = df.where(box_bound(F.col("q"), F.col("lo"), F.col("hi")) > squared_distance(F.col("q"), F.col("p"), 6))
     assert bad.count() == 0
     folded = squared_distance(F.col("q").cast("array<double>"), F.col("p").cast("array<double>"))
     assert df.where(folded != squared_distance(F.col("q"), F.col("p"), 6)).count() == 0
