@@ -19,11 +19,16 @@ def squared_distance(a: Column, b: Column, dims: int | None = None) -> Column:
     """Squared Euclidean distance. With known ``dims`` the sum is unrolled, so that it is
     compiled; else it is folded over the arrays."""
     if dims is None:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x.cast("double"))
     terms = [(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(dims)]
     return reduce(lambda s, x: s + x, [t * t for t in terms])
 
 
+def partial_distance(a: Column, b: Column, start: int, count: int) -> Column:
+    """Squared distance over ``count`` dimensions from ``start``: never more than the whole."""
+    return squared_distance(F.slice(a, start + 1, count), F.slice(b, start + 1, count))
+
+
 def box_bound(q: Column, low: Column, high: Column) -> Column:
     """Least squared distance from ``q`` to any point of the box: the squared gaps summed.
 

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the payload grid.
-AMOUNTS = (10.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0, 7500.0, 9500.0)
-CATEGORIES = ("5411", "5812", "5912", "5944", "7801", "7802", "7995", "4511", "5311", "5999")
-KMS = (0.0, 5.0, 50.0, 200.0, 800.0)
+AMOUNTS = (10.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0, 10000.0, 50000.0)
 INSTALLMENTS = (1, 3, 6, 12)
-COUNTS = (0, 2, 5, 10, 18)
-MERCHANTS = ("m-001", "m-002", "m-050", "m-999")
+CATEGORIES = ("5411", "5812", "5814", "5912", "5921", "5942", "6011", "7011", "7995", "4121")
+KMS = (0.2, 1.5, 5.0, 25.0, 200.0)
+COUNTS = (0, 1, 3, 10, 50)
 FLAGS = ((True, True), (True, False), (False, True), (False, False))
-KNOWN = ("m-001", "m-002")
+KNOWN = ((), ("m-001",), ("m-001", "m-002"), ("m-001", "m-002", "m-003", "m-004", "m-005"))
+MERCHANT = "m-001"
 REQUESTED_AT, LAST_AT = "2026-04-15T13:42:11Z", "2026-04-15T11:10:00Z"
 
 
@@ -35,11 +35,12 @@ def payload_grid(spark: SparkSession, count: int = 200) -> DataFrame:
     category = _pick(CATEGORIES, F.expr(f"i div {len(KMS)}"))
     online = _pick(tuple(a for a, _ in FLAGS), i)
     card = _pick(tuple(b for _, b in FLAGS), i)
+    known = F.element_at(F.array(*(F.array(*(F.lit(m) for m in names)).cast("array<string>") for names in KNOWN)), (i % len(KNOWN) + 1).cast("int"))
     body = F.struct(
-        F.format_string("tx-%05d", i).alias("id"),
+        F.concat(F.lit("warm-tx-"), i + 1).alias("id"),
         F.struct(_money(amount).alias("amount"), _pick(INSTALLMENTS, i).alias("installments"), F.lit(REQUESTED_AT).alias("requested_at")).alias("transaction"),
-        F.struct(_money(amount / 1.5).alias("avg_amount"), _pick(COUNTS, i).alias("tx_count_24h"), F.array(*(F.lit(m) for m in KNOWN)).alias("known_merchants")).alias("customer"),
-        F.struct(_pick(MERCHANTS, i).alias("id"), category.alias("mcc"), _money(amount * 0.9).alias("avg_amount")).alias("merchant"),
+        F.struct(_money(amount / 1.5).alias("avg_amount"), _pick(COUNTS, i).alias("tx_count_24h"), known.alias("known_merchants")).alias("customer"),
+        F.struct(F.lit(MERCHANT).alias("id"), category.alias("mcc"), _money(amount * 0.9).alias("avg_amount")).alias("merchant"),
         F.struct(online.alias("is_online"), card.alias("card_present"), _money(km).alias("km_from_home")).alias("terminal"),
         F.struct(F.lit(LAST_AT).alias("timestamp"), _money(km / 2).alias("km_from_current")).alias("last_transaction"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nearvote.config import ScoringConfig
 from nearvote.functions import scores
-from nearvote.functions.vector import box_bound, profile_key, quantize, text_of
+from nearvote.functions.vector import box_bound, partial_distance, profile_key, quantize, text_of
 from nearvote.operators import evaluate, features, generate, index, ivf, kmeans, kmknn, knn, knn_kernel
 from nearvote.plans import views
 from nearvote.plans.views import CLUSTERS, DIMS
@@ -166,6 +166,29 @@ def bbox_lower_bound(spark: SparkSession, sf: str) -> DataFrame:
     return order.select("qid", "cluster_id", bound.cast("long").alias("lb"), F.col("dc").cast("long").alias("dc"))
 
 
+@query
+def partial_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """First and last eight dimensions of some pairs, as an early exit would see them."""
+    refs = views.fixed(views.references(spark, sf))
+    some = refs.where("ref_id % 100 = 0").select(F.col("ref_id").alias("qid"), F.col("vec").alias("qv"))
+    a, b = F.col("qv"), F.col("vec")
+    pairs = refs.crossJoin(F.broadcast(some)).where("qid <> ref_id")  # queries: a hundredth of the references
+    return pairs.select("qid", "ref_id", partial_distance(a, b, 0, 8).cast("long").alias("head"), partial_distance(a, b, DIMS - 8, 8).cast("long").alias("tail"))
+
+
+@query
+def accuracy_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Drawn query vectors scored by the exact kernel and by repaired inverted-file search."""
+    known = _event_vectors(spark, sf).where("ref_id % 5 = 1")
+    drawn = generate.query_vectors(spark, 500, seed=42)
+    exact = knn.vote(knn_kernel.nearest(drawn, known, 5, 14, exclude_self=False))
+    centroids = views.fetched(kmeans.seeds(known, CLUSTERS).select("cluster_id", "centroid"))
+    assigned = kmeans.assign(known, centroids, 14)
+    clusters = views.fetched(index.cluster_stats(assigned, centroids, 14))
+    found = ivf.score(drawn, known, views.members(assigned), clusters, 14, ScoringConfig(nprobe=4), exclude_self=False)
+    return evaluate.agreement(exact, found)
+
+
 @query
 def probe_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf)[3].where(F.col("probe") <= NPROBE).select("qid", "cluster_id", "probe")

@@ -192,7 +192,7 @@ def _list(values: tuple) -> str:
 
 _GRID = f"""grid AS (SELECT i, {_list(generate.AMOUNTS)}[i // 50 + 1] AS a, {_list(generate.KMS)}[i % 5 + 1] AS km, {_list(generate.CATEGORIES)}[i // 5 % 10 + 1] AS mcc FROM range(500) r(i)),
 req AS (SELECT i, round(a, 2) AS amount, {_list(generate.INSTALLMENTS)}[i % 4 + 1] AS installments, {_AT} AS requested_at, round(a / 1.5, 2) AS avg_amount, {_list(generate.COUNTS)}[i % 5 + 1] AS tx_count_24h,
-  {_list(generate.KNOWN)} AS known_merchants, {_list(generate.MERCHANTS)}[i % 4 + 1] AS merchant_id, mcc, round(a * 0.9, 2) AS merchant_avg,
+  [{', '.join(_list(names) for names in generate.KNOWN)}][i % 4 + 1] AS known_merchants, '{generate.MERCHANT}' AS merchant_id, mcc, round(a * 0.9, 2) AS merchant_avg,
   {_list(tuple(a for a, _ in generate.FLAGS))}[i % 4 + 1] AS is_online, {_list(tuple(b for _, b in generate.FLAGS))}[i % 4 + 1] AS card_present, km AS km_from_home, {_LAST} AS last_at, round(km / 2, 2) AS last_km FROM grid)"""
 
 _PASS1 = (scanned("p1", f"probe <= {NPROBE}"), top("t1", "p1", 5), voted("v1", "t1"), pairs("fp", "fix", "q"), top("t2", "fp", 5), voted("v2", "t2"))
@@ -220,6 +220,7 @@ count(*) FILTER (WHERE a.fraud_count <> b.fraud_count) AS count_mismatches, roun
     "cluster_offsets": with_(*STEP) + f"SELECT cluster_id, cnt, CAST(coalesce(sum(cnt) OVER (ORDER BY cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT CAST(c AS INT) AS cluster_id, count(ref_id) AS cnt FROM range({K}) r(c) LEFT JOIN asg ON asg.cluster_id = c GROUP BY c)",
     "cluster_slots": with_(*STEP) + "SELECT ref_id, cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY d, ref_id) - 1 AS INT) AS slot FROM asg",
     "bbox_lower_bound": with_(*STEP, *CLUSTERS, *PROBES) + f"SELECT qid, cluster_id, CAST({BOUND} AS BIGINT) AS lb, CAST(dc AS BIGINT) AS dc FROM probes JOIN boxes USING (cluster_id)",
+    "partial_distances": with_(EMB, FIX) + "SELECT a.ref_id AS qid, b.ref_id, CAST(list_sum(list_transform(range(1, 9), lambda i: (a.q[i] - b.q[i]) * (a.q[i] - b.q[i]))) AS BIGINT) AS head, CAST(list_sum(list_transform(range(57, 65), lambda i: (a.q[i] - b.q[i]) * (a.q[i] - b.q[i]))) AS BIGINT) AS tail FROM fix a JOIN fix b ON a.ref_id <> b.ref_id WHERE a.ref_id % 100 = 0",
     "probe_clusters": with_(*STEP, *CLUSTERS, *PROBES) + f"SELECT qid, cluster_id, probe FROM probes WHERE probe <= {NPROBE}",
     "unprobed_anti": with_(*STEP, *CLUSTERS, *PROBES) + f"SELECT qid, cluster_id FROM probes WHERE probe > {NPROBE}",
     "triangle_prune": with_(*STEP, *CLUSTERS, *PROBES, *_FIRST6, "worst AS (SELECT qid, CASE WHEN count(*) >= 6 THEN max(d) END AS worst FROM f6 GROUP BY qid)")

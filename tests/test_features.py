@@ -88,7 +88,10 @@ def test_payload_grid(spark):
     assert len(rows) == 500
     first, last = json.loads(rows[0]["value"]), json.loads(rows[-1]["value"])
     assert first["transaction"]["amount"] == 10.0 and first["merchant"]["mcc"] == "5411"
-    assert last["transaction"]["amount"] == 9500.0 and last["merchant"]["mcc"] == "5999"
+    assert last["transaction"]["amount"] == 50000.0 and last["merchant"]["mcc"] == "4121"
+    assert (first["id"], last["id"]) == ("warm-tx-1", "warm-tx-500")
+    assert (first["terminal"]["km_from_home"], first["last_transaction"]["km_from_current"]) == (0.2, 0.1)
+    assert first["customer"]["known_merchants"] == [] and len(last["customer"]["known_merchants"]) == 5
     assert generate.payload_grid(spark).count() == 200
 
 
