@@ -9,6 +9,7 @@ rows differs by chance at most are left out, so length alone moves no score.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -119,30 +120,26 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, config: ToxicityConfig) ->
     grown, grown_factors = np.full(len(kept), 1e-6), np.full(factors.shape, 1e-6)
     bias, grown_bias = float(_logit(share)), 1e-6
     short = [s[s >= 0] for s in (slots[x] for x in lists)]
-    # Rows without a kept term all have the bias as their score: one step an epoch for each label.
-    bare = [[i for i in range(n) if not short[i].size and labels[i] == y] for y in (0, 1)]
-    full = np.array([i for i in range(n) if short[i].size], np.int64)
     for _ in range(config.epochs):
-        for y, rows in enumerate(bare):
-            if rows:
-                g = 1 / (1 + np.exp(-bias)) - y
-                grown_bias += g * g * len(rows)
-                bias -= config.rate * g * len(rows) / np.sqrt(grown_bias) / np.sqrt(n)
-        for i in rng.permutation(full):
+        for i in rng.permutation(n):
             x = short[i]
+            if not x.size:  # most rows: only the bias is at work
+                g = 1 / (1 + math.exp(-bias)) - labels[i]
+                grown_bias += g * g
+                bias -= config.rate * g / math.sqrt(grown_bias)
+                continue
             v = factors[x]
             total = v.sum(axis=0)
             z = bias + weights[x].sum() + 0.5 * float(total @ total - (v * v).sum())
             g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i]
             grown_bias += g * g
             bias -= config.rate * g / np.sqrt(grown_bias)
-            if x.size:
-                gw = g + config.decay * weights[x]
-                grown[x] += gw * gw
-                weights[x] -= config.rate * gw / np.sqrt(grown[x])
-                gv = g * (total - v) + config.decay * v
-                grown_factors[x] += gv * gv
-                factors[x] -= config.rate * gv / np.sqrt(grown_factors[x])
+            gw = g + config.decay * weights[x]
+            grown[x] += gw * gw
+            weights[x] -= config.rate * gw / np.sqrt(grown[x])
+            gv = g * (total - v) + config.decay * v
+            grown_factors[x] += gv * gv
+            factors[x] -= config.rate * gv / np.sqrt(grown_factors[x])
     return Model(bias, slots, weights, factors)
 
 
