@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from nearvote.functions.vector import squared_distance
+from nearvote.operators import knn_kernel
 
 
 def _numbered(vectors: DataFrame) -> DataFrame:
@@ -32,14 +37,22 @@ def seeds(vectors: DataFrame, k: int) -> DataFrame:
 def assign(vectors: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
     """``vectors`` with cluster_id and d, the nearest centroid's; ties go to the lower cluster.
 
-    The k centroids become one array on every row's side of a map, so that no row is
-    multiplied and nothing is shuffled.
+    The k centroids are broadcast (k * dims numbers) and the rows stay where they are: a map
+    over Arrow batches, without a row per pair or a shuffle.
     """
-    table = centroids.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("_all"))
-    v = F.col("vec")
-    nearest = F.array_min(F.transform("_all", lambda c: F.struct(squared_distance(v, c["centroid"], dims).alias("d"), c["cluster_id"].alias("cluster_id"))))
-    joined = vectors.crossJoin(F.broadcast(table)).withColumn("_near", nearest)
-    return joined.select(*vectors.columns, F.col("_near.cluster_id").alias("cluster_id"), F.col("_near.d").alias("d"))
+    held = vectors.sparkSession.sparkContext.broadcast(knn_kernel.held(centroids, "cluster_id", "centroid", dims))
+    at = vectors.columns.index("vec")
+    schema = T.StructType([*vectors.schema, T.StructField("cluster_id", T.IntegerType()), T.StructField("d", T.DoubleType())])
+    names = schema.names
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, table = held.value
+        for batch in batches:
+            none = np.full(batch.num_rows, -1)
+            _, to, d = knn_kernel.nearest_block(none, knn_kernel.matrix(batch.column(at), dims), ids, table, 1, False)
+            yield pa.record_batch([*batch.columns, pa.array(ids[to], pa.int32()), pa.array(d)], names=names)
+
+    return vectors.mapInArrow(scan, schema)
 
 
 def recompute(assigned: DataFrame, k: int, dims: int) -> DataFrame:

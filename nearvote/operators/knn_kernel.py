@@ -55,40 +55,40 @@ def nearest_block(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, r: np.ndarray
     return np.concatenate(own), np.concatenate(found), np.concatenate(measured)
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+def matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dims)
 
 
-def _held(df: DataFrame, ids: str, vec: str, dims: int, *more: str) -> tuple[np.ndarray, ...]:
+def held(df: DataFrame, ids: str, vec: str, dims: int, *more: str) -> tuple[np.ndarray, ...]:
     table = df.select(ids, vec, *more).toArrow().combine_chunks()
     columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns]
-    return columns[0].to_numpy(zero_copy_only=False), _matrix(columns[1], dims), *(c.to_numpy(zero_copy_only=False) for c in columns[2:])
+    return columns[0].to_numpy(zero_copy_only=False), matrix(columns[1], dims), *(c.to_numpy(zero_copy_only=False) for c in columns[2:])
 
 
 def nearest(queries: DataFrame, references: DataFrame, k: int, dims: int, config: ScoringConfig = ScoringConfig(), exclude_self: bool = True) -> DataFrame:
     """(qid, ref_id, fraud, d, rk), as ``knn.nearest``."""
     spark = queries.sparkSession
     if references.count() * (dims + 2) * 8 <= config.block_bytes:
-        shared = spark.sparkContext.broadcast(_held(references, "ref_id", "vec", dims, "fraud"))
+        shared = spark.sparkContext.broadcast(held(references, "ref_id", "vec", dims, "fraud"))
 
         def by_query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rid, r, fraud = shared.value
             for batch in batches:
                 qid = batch.column(0).to_numpy(zero_copy_only=False)
-                at, to, d = nearest_block(qid, _matrix(batch.column(1), dims), rid, r, k, exclude_self)
+                at, to, d = nearest_block(qid, matrix(batch.column(1), dims), rid, r, k, exclude_self)
                 rank = np.arange(len(at)) - np.searchsorted(at, at) + 1
                 yield pa.record_batch([pa.array(qid[at]), pa.array(rid[to]), pa.array(fraud[to], pa.int32()), pa.array(d), pa.array(rank, pa.int32())], names=[*NEAREST.names, "rk"])
 
         return queries.select("qid", "qv").mapInArrow(by_query, T.StructType([*NEAREST, T.StructField("rk", T.IntegerType())]))
 
     def block(part: DataFrame) -> DataFrame:
-        held = spark.sparkContext.broadcast(_held(part, "qid", "qv", dims))
+        shared = spark.sparkContext.broadcast(held(part, "qid", "qv", dims))
 
         def by_reference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid, q = held.value
+            qid, q = shared.value
             for batch in batches:
                 rid, fraud = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-                at, to, d = nearest_block(qid, q, rid, _matrix(batch.column(1), dims), k, exclude_self)
+                at, to, d = nearest_block(qid, q, rid, matrix(batch.column(1), dims), k, exclude_self)
                 yield pa.record_batch([pa.array(qid[at]), pa.array(rid[to]), pa.array(fraud[to], pa.int32()), pa.array(d)], names=NEAREST.names)
 
         return knn.ranked(references.select("ref_id", "vec", "fraud").mapInArrow(by_reference, NEAREST), k)
