@@ -10,6 +10,9 @@ start and ends a text, so a text's code length is that of a complete message.
 
 Counts are gathered over all training texts. A node is a packed byte string with its
 count, and shorter contexts are sums of longer ones, so only the deepest level is counted.
+All nodes count. A trie of up to ``max_nodes`` is broadcast; of a larger one only the exact
+prices of its most frequent nodes are, and the other grams of the texts meet the nodes
+in a shuffle by the two bytes before the priced one, which leaves every longer context whole.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ _MULTIPLIER = _U(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class LmConfig:
     """``order``: longest context in bytes (7 at most). ``max_nodes`` bounds the deepest level
-    of the trie: the most frequent nodes stay. ``max_words`` bounds a broadcast word table;
-    beyond it word counts are joined by a shuffle."""
+    of a broadcast trie, ``max_words`` a broadcast word table; what is beyond them is joined
+    by a shuffle."""
 
     order: int = 4
     max_nodes: int = 1 << 21
@@ -60,17 +63,21 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
 
 
 class Trie:
-    """Nodes by level, with what is needed to price a byte; level k has contexts of k bytes."""
+    """Nodes by level, with what is needed to price a byte; level k has contexts of k bytes.
 
-    def __init__(self, nodes: np.ndarray, counts: np.ndarray, config: LmConfig):
+    ``low``: (keys, values) of the first levels, where ``nodes`` are only those of some contexts.
+    """
+
+    def __init__(self, nodes: np.ndarray, counts: np.ndarray, config: LmConfig, low: list[tuple[np.ndarray, np.ndarray]] | None = None):
         self.config = config
         order = config.order
         self.keys, self.values, self.contexts, self.totals, self.kinds = [], [], [], [], []
         self.excluded, self.excluded_kinds = [], []
         for k in range(order + 1):
-            mask = _U((1 << 8 * (k + 1)) - 1)
-            keys, inverse = np.unique(nodes & mask, return_inverse=True)
-            values = np.bincount(inverse, counts, len(keys)) if len(keys) else np.zeros(0)
+            if k < len(low or ()):
+                keys, values = low[k]
+            else:
+                keys, values = _summed(nodes, counts, k)
             contexts, at, kinds = np.unique(keys >> _U(8), return_index=True, return_counts=True)
             totals = np.add.reduceat(values, at) if len(at) else np.zeros(0)
             self.keys.append(keys)
@@ -85,7 +92,8 @@ class Trie:
             owner = np.searchsorted(self.contexts[k + 1], longer >> _U(8))
             self.excluded.append(np.bincount(owner, self.values[k][found], len(self.contexts[k + 1])) if len(longer) else np.zeros(0))
             self.excluded_kinds.append(self.kinds[k + 1])
-        self._fill_slots()
+        if low is None:
+            self._fill_slots()
 
     def _fill_slots(self) -> None:
         """Direct-mapped table of the deepest level; frequent nodes take their slots first."""
@@ -95,20 +103,14 @@ class Trie:
         self.prices = np.zeros(1 << self.config.slot_bits, np.float32)
         if not len(keys):
             return
-        first = np.argsort(-values, kind="stable")
-        slot = self._slot(keys[first])
-        _, winner = np.unique(slot, return_index=True)
-        chosen = first[winner]
+        chosen, slot = _winners(keys, values, self.config.slot_bits)
         context = np.searchsorted(self.contexts[order], keys[chosen] >> _U(8))
-        self.slots[slot[winner]] = keys[chosen]
-        self.prices[slot[winner]] = np.log10(values[chosen] / (self.totals[order][context] + self.kinds[order][context]))
-
-    def _slot(self, coded: np.ndarray) -> np.ndarray:
-        return ((coded * _MULTIPLIER) >> _U(64 - self.config.slot_bits)).astype(np.int64)
+        self.slots[slot] = keys[chosen]
+        self.prices[slot] = np.log10(values[chosen] / (self.totals[order][context] + self.kinds[order][context]))
 
     def price(self, coded: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each packed gram after the bytes before it."""
-        slot = self._slot(coded)
+        slot = _slot(coded, self.config.slot_bits)
         out = self.prices[slot].astype(np.float64)
         slow = np.flatnonzero(self.slots[slot] != coded)
         out[slow] = self.walk(coded[slow])
@@ -144,6 +146,46 @@ class Trie:
         return out
 
 
+class Prices:
+    """Exact prices of the most frequent nodes of a trie that is too large to be broadcast."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, prices: np.ndarray, config: LmConfig):
+        self.config = config
+        order = np.argsort(keys)
+        self.keys, self.known = keys[order], prices[order]
+        self.slots = np.full(1 << config.slot_bits, np.iinfo(np.uint64).max, _U)
+        self.prices = np.zeros(1 << config.slot_bits, np.float32)
+        chosen, slot = _winners(keys, counts, config.slot_bits)
+        self.slots[slot], self.prices[slot] = keys[chosen], prices[chosen]
+
+    def price(self, coded: np.ndarray) -> np.ndarray:
+        """As a trie's, NaN for a gram that is not among the nodes."""
+        slot = _slot(coded, self.config.slot_bits)
+        out = self.prices[slot].astype(np.float64)
+        slow = np.flatnonzero(self.slots[slot] != coded)
+        at = _find(self.keys, coded[slow])
+        out[slow] = np.where(at >= 0, self.known[at] if len(self.known) else np.nan, np.nan)
+        return out
+
+
+def _slot(coded: np.ndarray, bits: int) -> np.ndarray:
+    return ((coded * _MULTIPLIER) >> _U(64 - bits)).astype(np.int64)
+
+
+def _winners(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the keys that take a slot, their slots): of keys with one slot the most frequent."""
+    first = np.argsort(-counts, kind="stable")
+    slot = _slot(keys[first], bits)
+    _, winner = np.unique(slot, return_index=True)
+    return first[winner], slot[winner]
+
+
+def _summed(nodes: np.ndarray, counts: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a level and their counts from those of a deeper one."""
+    keys, inverse = np.unique(nodes & _U((1 << 8 * (level + 1)) - 1), return_inverse=True)
+    return keys, np.bincount(inverse, counts, len(keys)) if len(keys) else np.zeros(0)
+
+
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Place of each key in the sorted table, or -1."""
     if not len(table):
@@ -202,21 +244,34 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], table.column("n").to_numpy()[order].astype(np.int64)
 
 
+def _least(nodes: DataFrame, bound: int) -> int:
+    """The least count at which the nodes with as many or more are ``bound`` at most."""
+    least, kept = np.iinfo(np.int64).max, 0
+    # One row per distinct count, most frequent first, until the bound is reached.
+    for r in nodes.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).toLocalIterator():
+        kept += r["rows"]
+        if kept > bound:
+            break
+        least = r["n"]
+    return int(least)
+
+
 def build_trie(counts: DataFrame, config: LmConfig) -> Trie:
     """The trie of the most frequent nodes; of nodes equally frequent all stay or none."""
     nodes = counts.where("kind = 0")
-    least = 1
-    if nodes.count() > config.max_nodes:
-        # One row per distinct count, most frequent first, until the bound is reached.
-        kept = 0
-        for r in nodes.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).toLocalIterator():
-            kept += r["rows"]
-            if kept > config.max_nodes:
-                break
-            least = r["n"]
+    least = _least(nodes, config.max_nodes) if nodes.count() > config.max_nodes else 1
     return Trie(*_arrays(nodes.where(F.col("n") >= least)), config)
 
 
+def frequent_prices(nodes: DataFrame, config: LmConfig) -> Prices:
+    """Prices of at most ``max_nodes`` nodes, with the totals and kinds of all nodes."""
+    above = F.shiftrightunsigned("key", 8).alias("context")
+    contexts = nodes.groupBy(above).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    top = nodes.where(F.col("n") >= _least(nodes, config.max_nodes)).select("key", "n", above).join(contexts, "context")
+    got = top.select("key", "n", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("price")).toArrow()  # max_nodes
+    return Prices(got.column("key").to_numpy().view(_U), got.column("n").to_numpy(), got.column("price").to_numpy(), config)
+
+
 def score_texts(docs: DataFrame, config: LmConfig = LmConfig(), id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -234,6 +289,11 @@ def score_texts(docs: DataFrame, config: LmConfig = LmConfig(), id_col: str = "d
     ends = stats["ends"] or 0
     # Tokens in training, the ends included, and the distinct ones among them.
     total, distinct = stats["n"] or 0, (stats["v"] or 0) + (ends > 0)
+    nodes = counts.where("kind = 0")
+    size = nodes.count()
+    if size > config.max_nodes:
+        table = spark.sparkContext.broadcast(_arrays(words)) if stats["v"] <= config.max_words else None
+        return _finished(_spread(rows, nodes, size, words, table, total, distinct, ends, config), folds, held, total)
     trie = spark.sparkContext.broadcast(build_trie(counts, config))  # max_nodes
     if stats["v"] <= config.max_words:
         return _finished(_scored(rows, trie, spark.sparkContext.broadcast(_arrays(words)), total, distinct, ends), folds, held, total)
@@ -302,5 +362,96 @@ def _joined(rows: DataFrame, trie, words: DataFrame, total: int, distinct: int,
     )
 
 
+#: What a text adds to its score: its own row (kind 2), words (1) and grams (0) to be joined.
+ENTRIES = T.StructType([T.StructField("kind", T.IntegerType()), *SCORED.fields, T.StructField("key", T.LongType())])
+
+
+def _spread(rows: DataFrame, nodes: DataFrame, size: int, words: DataFrame, table, total: int, distinct: int, ends: int, config: LmConfig) -> DataFrame:
+    """The same for any number of nodes; ``table``: broadcast word counts, or None to join them too."""
+    spark = rows.sparkSession
+    base = float(total + distinct + 1)
+    shared = spark.sparkContext.broadcast(frequent_prices(nodes, config))  # max_nodes
+
+    def joined(kind: int, row: pa.Array, key: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+        """Entries of the distinct (owner, key) pairs; ``n_tokens`` is how often each occurs."""
+        order = np.lexsort((key, owner))
+        key, owner = key[order], owner[order]
+        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))) if len(key) else np.zeros(0, np.int64)
+        n, times = len(first), np.diff(np.append(first, len(key)))
+        zero = pa.array(np.zeros(n))
+        return pa.record_batch([pa.array(np.full(n, kind), pa.int32()), row.take(pa.array(owner[first])), pa.nulls(n, pa.int64()), pa.array(times, pa.int64()), pa.array(np.zeros(n, np.int64)), zero, zero, pa.array(key[first].view(np.int64))], names=ENTRIES.names)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prices = shared.value
+        keys, counts = table.value if table is not None else (np.zeros(0, _U), np.zeros(0, np.int64))
+        for batch in batches:
+            data, offsets = text.buffers(batch.column(2))
+            for a, b in text.groups(offsets):
+                own, cut, n = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], b - a
+                number = batch.column(0).slice(a, n)
+                coded, owner = grams(text.LOWER[own], cut, config.order)
+                price = prices.price(coded)
+                rare = np.isnan(price)
+                score = np.bincount(owner, np.where(rare, 0.0, price), n)
+                found = text.Words(own, cut)
+                tokens, known = np.ones(n, np.int64), np.full(n, int(ends > 0))
+                logs = np.full(n, np.log10((ends + 1) / base))
+                if table is None:
+                    yield joined(1, number, found.hashes, found.rows())
+                else:
+                    at = _find(keys, found.hashes)
+                    c = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
+                    tokens = tokens + found.counts()
+                    known = known + np.bincount(found.rows(), c > 0, n).astype(np.int64)
+                    logs = logs + np.bincount(found.rows(), np.log10((c + 1) / base), n)
+                yield joined(0, number, coded[rare], owner[rare])
+                yield pa.record_batch([pa.array(np.full(n, 2), pa.int32()), number, batch.column(1).slice(a, n), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(score, pa.float64()), pa.nulls(n, pa.int64())], names=ENTRIES.names)
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    entries = common.store(numbered.mapInArrow(scan, ENTRIES), f"{common.shared_dir(spark)}/entries")
+    parts = entries.where("kind = 2").select(SCORED.names)
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    if table is None:
+        listed = entries.where("kind = 1").select("row", "key", "n_tokens").join(words.select("key", F.col("n").alias("c")), "key", "left")
+        logs = F.col("n_tokens") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(base))
+        parts = parts.union(listed.select("row", none, "n_tokens", F.when(F.col("c") > 0, F.col("n_tokens")).otherwise(zero), logs, F.lit(0.0)))
+    priced = _priced(entries.where("kind = 0").select("row", "key", F.col("n_tokens").alias("n")), nodes, size, config)
+    parts = parts.union(priced.select("row", none, zero, zero, F.lit(0.0), "score"))
+    return parts.groupBy("row").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in SCORED.names[2:]))
+
+
+def _priced(grams: DataFrame, nodes: DataFrame, size: int, config: LmConfig) -> DataFrame:
+    """(row, score) of (row, key, n) grams. A task has all nodes of its contexts of two bytes
+    and, broadcast, the nodes of the levels below."""
+    spark = grams.sparkSession
+    whole = min(2, config.order)
+    lowest = nodes.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * whole) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+    keys, counts = _arrays(lowest)  # 65,536 nodes at most
+    shared = spark.sparkContext.broadcast([_summed(keys, counts, k) for k in range(whole)])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("score", T.DoubleType())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, trie = ([], []), None
+        for batch in batches:
+            row, key, n = (c.to_numpy() for c in batch.columns)
+            at = int(np.searchsorted(row, 0))  # nodes are first, as row -1
+            if at:
+                own[0].append(key[:at].view(_U))
+                own[1].append(n[:at])
+            if at == len(row):
+                continue
+            if trie is None:
+                trie = Trie(*_tally(*own), config, shared.value)
+            key, inverse = np.unique(key[at:].view(_U), return_inverse=True)
+            rows, place = np.unique(row[at:], return_inverse=True)
+            score = np.bincount(place, n[at:] * trie.walk(key)[inverse], len(rows))
+            yield pa.record_batch([pa.array(rows), pa.array(score)], names=schema.names)
+
+    both = nodes.select(F.lit(-1).cast("long").alias("row"), "key", "n").union(grams)
+    cell = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * whole) - 1))
+    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // HELD))
+    return both.repartition(number, cell).sortWithinPartitions("row").mapInArrow(scan, schema).groupBy("row").agg(F.sum("score").alias("score"))
+
+
 def _finished(scored: DataFrame, folds: int, held: int, total: int) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (common.fold("id", folds) == held).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

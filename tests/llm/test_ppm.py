@@ -88,6 +88,15 @@ def test_shuffled_word_counts_give_the_same(docs):
     assert twice.count() == len(rows) + 1
 
 
+def test_more_nodes_than_the_bound_give_the_same(docs):
+    rows = corpus(50, 3) + [(500, None), (501, ""), (503, "\U0001f600 世界 QZ"), (None, "the x1")]
+    for order, max_nodes, max_words in ((4, 50, 1 << 22), (3, 0, 0), (1, 10, 1 << 22)):
+        got = score_texts(docs(rows), LmConfig(order=order, max_nodes=max_nodes, max_words=max_words)).collect()
+        assert len(got) == len(rows)
+        train = [(i if i is not None else "", t) for i, t in rows]
+        check(train, {r["doc_id"] if r["doc_id"] is not None else "": r for r in got}, order)
+
+
 def test_probabilities_sum_to_one():
     texts = [t for _, t in corpus(30)]
     data, offsets = text.buffers(pa.array(texts))
