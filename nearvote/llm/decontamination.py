@@ -2,9 +2,9 @@
 
 An item is its weighted word shingles: each shingle's count times the logarithm of how
 few items have it. A document is compared window by window, a window having as many
-words as the item. The windows are those that line a shingle of the document up with
-the same shingle of an item; any other window shares nothing with the item and has
-similarity 0. A window's SimHash is looked up in a multi-index: fingerprints are cut
+words as the item, at every start. Running sums over the places of an item's shingles
+give what each window shares with it, whatever the order of its parts; windows that share
+too little are passed over, which loses none. The others' SimHash is looked up in a multi-index: fingerprints are cut
 into radius + 1 blocks, and two within the radius agree in at least one whole block,
 so probing the blocks misses none. Candidates within the radius are verified by the
 exact weighted Jaccard similarity.
@@ -27,6 +27,8 @@ _U = np.uint64
 BITS = 64
 #: Bits of the table that tells at a glance that a shingle is in no item.
 GLANCE = 1 << 20
+#: More than the rounding of running sums moves a similarity.
+SLACK = 1e-6
 
 
 @dataclass(frozen=True)
@@ -65,7 +67,7 @@ class Index:
 
     def __init__(self, ids: list[int], texts: list[str | None], config: DecontaminationConfig):
         self.config = config
-        self.ids, self.lengths, self.bags = [], [], []
+        self.ids, self.lengths, self.bags, self.totals = [], [], [], []
         ordered = []
         for item, value in zip(ids, texts):
             words = text.Words(*text.buffers(pa.array([value or ""])))
@@ -79,23 +81,26 @@ class Index:
         #: Weight of a shingle that no item has: that of the rarest.
         self.unknown = float(np.log1p(max(1, len(ordered))))
         self.prints = []
+        flat, times = [every[:0]], [np.zeros(0, np.int64)]
         for s in ordered:
             u, c = np.unique(s, return_counts=True)
             bag = c * self.weight(u)
+            flat.append(u)
+            times.append(c)
             self.bags.append((u, bag))
+            self.totals.append(float(bag.sum()))
             self.prints.append(simhash(u, bag))
         self.table: dict[tuple[int, int], list[int]] = {}
         for i, print_ in enumerate(self.prints):
             for key in blocks(print_, config.radius + 1):
                 self.table.setdefault(key, []).append(i)
-        # Occurrences of each shingle in the items: (item, place), grouped by shingle.
-        flat = np.concatenate(ordered) if ordered else every
-        owner = np.repeat(np.arange(len(ordered)), [len(s) for s in ordered])
-        place = np.concatenate([np.arange(len(s)) for s in ordered]) if ordered else owner
-        order = np.argsort(flat, kind="stable")
-        self.owner, self.place = owner[order], place[order]
-        self.begin = np.searchsorted(flat[order], every, "left")
-        self.end = np.searchsorted(flat[order], every, "right")
+        # The items that have each shingle and how often, grouped by shingle.
+        owner = np.repeat(np.arange(len(ordered)), [len(u) for u in flat[1:]])
+        together = np.concatenate(flat)
+        order = np.argsort(together, kind="stable")
+        self.owner, self.times = owner[order], np.concatenate(times)[order]
+        self.begin = np.searchsorted(together[order], every, "left")
+        self.end = np.searchsorted(together[order], every, "right")
         self.glance = np.zeros(GLANCE, bool)
         self.glance[(every % _U(GLANCE)).astype(np.int64)] = True
         self.sizes = sorted({min(config.k, n) for n in self.lengths})
@@ -123,30 +128,60 @@ class Index:
 
         ``found``: places in ``hashes`` and in the vocabulary of the hits.
         """
-        n = len(hashes)
-        windows: set[tuple[int, int]] = set()
-        for places, shingles in found:
-            count = self.end[shingles] - self.begin[shingles]
-            at = np.repeat(self.begin[shingles] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-            item, start = self.owner[at], np.repeat(places, count) - self.place[at]
-            for i, s in np.unique(np.stack([item, start]), axis=1).T.tolist():
-                length = min(n, self.lengths[i])
-                windows.add((max(0, min(s, n - length)), length))
-        best: dict[int, tuple[float, int, int, int]] = {}
+        places, shingles = (np.concatenate(x) for x in zip(*found))
+        count = self.end[shingles] - self.begin[shingles]
+        at = np.repeat(self.begin[shingles] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        item, times, place, shingle = self.owner[at], self.times[at], np.repeat(places, count), np.repeat(shingles, count)
+        order = np.lexsort((place, shingle, item))
+        item, times, place, shingle = item[order], times[order], place[order], shingle[order]
+        weight = self.weights[shingle]
+        items, first = np.unique(item, return_index=True)
+        reached = np.add.reduceat(weight, first)
+        heavy: dict[int, np.ndarray] = {}
         config = self.config
-        for start, length in sorted(windows):
-            u, c = np.unique(sequence(hashes[start : start + length], config.k), return_counts=True)
-            bag = c * self.weight(u)
-            print_ = simhash(u, bag)
-            for i in {i for key in blocks(print_, config.radius + 1) for i in self.table.get(key, ())}:
-                apart = (print_ ^ self.prints[i]).bit_count()
-                if apart > config.radius or min(n, self.lengths[i]) != length:
+        for i, a, b, most in zip(items.tolist(), first.tolist(), [*first[1:].tolist(), len(item)], reached.tolist()):
+            # Similarity is at most the share of the item's weight that is shared.
+            if most < (config.threshold - SLACK) * self.totals[i]:
+                continue
+            size = min(config.k, self.lengths[i])
+            if size not in heavy:
+                heavy[size] = np.concatenate(([0.0], np.cumsum(self.weight(text.chain(hashes, size)))))
+            near = self.window_similarities(i, place[a:b], shingle[a:b], times[a:b], weight[a:b], len(hashes), heavy[size])
+            starts = np.flatnonzero(near >= config.threshold - SLACK)
+            length = min(len(hashes), self.lengths[i])
+            # The most similar first, of equals the earliest.
+            for start in starts[np.lexsort((starts, -near[starts].round(9)))].tolist():
+                u, c = np.unique(sequence(hashes[start : start + length], config.k), return_counts=True)
+                bag = c * self.weight(u)
+                print_ = simhash(u, bag)
+                if not any(i in self.table.get(key, ()) for key in blocks(print_, config.radius + 1)):
                     continue
+                apart = (print_ ^ self.prints[i]).bit_count()
                 similarity = self.similarity(i, u, bag)
-                if similarity >= config.threshold and similarity > best.get(i, (0.0,))[0]:
-                    best[i] = (similarity, start, length, apart)
-        for i, (similarity, start, length, apart) in sorted(best.items()):
-            yield self.ids[i], similarity, start, length, apart
+                if apart <= config.radius and similarity >= config.threshold:
+                    yield self.ids[i], similarity, start, length, apart
+                    break
+
+    def window_similarities(self, i: int, place: np.ndarray, shingle: np.ndarray, times: np.ndarray, weight: np.ndarray, n: int, heavy: np.ndarray) -> np.ndarray:
+        """Similarity to item ``i``, but for rounding, of its windows at every start in ``n`` words.
+
+        ``place``, ``shingle``, ``times`` and ``weight``: the item's shingles in the document,
+        by shingle and place, and how often the item has them; ``heavy``: running sum of the
+        weights of all shingles of the document.
+        """
+        length = min(n, self.lengths[i])
+        runs = length - min(self.config.k, self.lengths[i]) + 1
+        starts = n - length + 1
+        # In a window that holds ``times`` earlier copies of a shingle a further one shares nothing.
+        at = np.arange(len(place)) - times
+        repeated, at = at >= 0, np.maximum(at, 0)
+        repeated &= shingle[at] == shingle
+        low = np.maximum(np.maximum(place - runs + 1, 0), np.where(repeated, place[at] + 1, 0))
+        high = np.minimum(place, starts - 1) + 1
+        some = low < high
+        steps = np.bincount(low[some], weight[some], starts + 1) - np.bincount(high[some], weight[some], starts + 1)
+        shared = np.cumsum(steps)[:starts]
+        return shared / (self.totals[i] + heavy[runs : runs + starts] - heavy[:starts] - shared)
 
     def similarity(self, i: int, shingles: np.ndarray, bag: np.ndarray) -> float:
         """Sum of the lesser weights over the sum of the greater ones."""

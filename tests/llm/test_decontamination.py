@@ -71,6 +71,24 @@ def test_equals_brute_force(spark, docs):
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_reordered_and_repeated_passages_equal_brute_force(spark, docs):
+    rng = random.Random(6)
+    rows, items = planted(rng, 0)
+    items += [(30, " ".join(["la"] * 30)), (31, " ".join(words(items[1][1]) * 2)), (32, " ".join(f"s{i}" for i in range(60)))]
+    for d in range(100, 160):
+        w = words(rng.choice(items[:20] + items[24:])[1])
+        cut = rng.randrange(1, len(w)) if d % 3 else len(w) // 2
+        before, after = ([f"n{rng.randrange(500)}" for _ in range(rng.randrange(0, 90))] for _ in range(2))
+        rows.append((d, " ".join(before + w[cut:] + w[:cut] + after)))
+    swapped = [f"s{i}" for i in [*range(30, 60), *range(30)]]
+    rows += [(200, " ".join(["x"] * 70 + swapped + ["y"] * 70)), (201, " ".join(["la"] * 300)), (203, "la la la la la la"), (202, " ".join(words(items[1][1]) * 5))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in contaminated(docs(rows), bench).collect()}
+    want = brute(rows, items)
+    assert (200, 32) in want and (201, 30) in want and set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_blocks_of_the_benchmark(spark, docs):
     rows, items = planted(random.Random(3), 30)
     exact = [(d, t) for d, t in rows if d >= 1000] + [(7, items[8][1])]
