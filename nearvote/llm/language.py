@@ -53,7 +53,8 @@ SCRIPT_OF = _script_table()
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """``switch``: penalty of a change of language between two words, in nats."""
+    """``switch``: penalty of a change of language between two words, in nats. ``min_share``:
+    least share of a language's own words that a script has to hold to be one of its."""
 
     buckets: int = 1 << 16
     switch: float = 12.0
@@ -127,7 +128,8 @@ def train(rows: DataFrame, config: LanguageConfig = LanguageConfig()) -> Model:
     grams = totals[:, : config.buckets].T + config.smoothing
     scores = np.log(grams / grams.sum(axis=0, keepdims=True)) if languages else grams
     words = totals[:, config.buckets :].T
-    allowed = words >= config.min_share * np.maximum(words.sum(axis=1, keepdims=True), 1)
+    # Of a language's words with letters: how much text other languages have doesn't matter.
+    allowed = words >= config.min_share * np.maximum(words[1:].sum(axis=0, keepdims=True), 1)
     allowed[~allowed.any(axis=1)] = True
     return Model(languages, scores.astype(np.float32), allowed)
 

@@ -73,6 +73,20 @@ def test_scripts_narrow_the_candidates(docs):
     assert r["lang_pred"] == "ru"
 
 
+def test_small_languages_stay_candidates_beside_a_large_one(docs):
+    rng = random.Random(8)
+    small = [(1000 + i, prose(rng, "fr", 10), "fr") for i in range(3)]
+    rows = [(i, prose(rng, "en", 300), "en") for i in range(150)] + small
+    model = train(docs(rows).select("text", "lang"))
+    latin = 1 + [n for n, _, _ in language.SCRIPTS].index("latin")
+    assert model.allowed[latin].all()
+    got = {r["id"]: r["lang_pred"] for r in label_languages(docs(small), model).collect()}
+    assert got == {i: "fr" for i, _, _ in small}
+    # What is learnt of a language doesn't depend on how much text others have.
+    alone = train(docs([*small, rows[0]]).select("text", "lang"))
+    assert (alone.allowed == model.allowed).all()
+
+
 def test_odd_texts(docs, odd_texts):
     rows = [(i, t, "en" if i % 2 else None) for i, t in odd_texts] + [(50, "12 34 !?"), (51, "+++"), (None, "text"), (3, "One")]
     got = {}
