@@ -179,8 +179,8 @@ def partial_distances(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def accuracy_report(spark: SparkSession, sf: str) -> DataFrame:
     """Drawn query vectors scored by the exact kernel and by repaired inverted-file search."""
-    known = _event_vectors(spark, sf).where("ref_id % 5 = 1")
-    drawn = generate.query_vectors(spark, 500, seed=42)
+    known = _event_vectors(spark, sf)
+    drawn = generate.query_vectors(spark, 10_000, seed=42)
     exact = knn.vote(knn_kernel.nearest(drawn, known, 5, 14, exclude_self=False))
     centroids = views.fetched(kmeans.seeds(known, CLUSTERS).select("cluster_id", "centroid"))
     assigned = kmeans.assign(known, centroids, 14)
@@ -405,7 +405,7 @@ def response_json(spark: SparkSession, sf: str) -> DataFrame:
 def path_counters(spark: SparkSession, sf: str) -> DataFrame:
     """How the verdicts of profile, skip and rerank paths split over every 50th event."""
     v = _event_vectors(spark, sf)
-    known = v.where("ref_id % 50 <> 0 and ref_id % 5 = 1")
+    known = v.where("ref_id % 50 <> 0")
     centroids = views.fetched(kmeans.seeds(known, CLUSTERS).select("cluster_id", "centroid"))
     assigned = kmeans.assign(known, centroids, 14)
     clusters = views.fetched(index.cluster_stats(assigned, centroids, 14))
@@ -421,7 +421,7 @@ def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     from nearvote.sources.scratch import scratch_dir
 
     path = scratch_dir(spark)
-    refs = _event_vectors(spark, sf).where("ref_id % 5 = 1")
+    refs = _event_vectors(spark, sf)
     _payloads(spark).select(F.monotonically_increasing_id().alias("qid"), "value").write.parquet(f"{path}/in")
     incoming = spark.readStream.schema("qid long, value string").parquet(f"{path}/in")
 
