@@ -316,8 +316,9 @@ def unanimity_skip_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Coverage and accuracy of the profile shortcut by threshold; a searched verdict is the majority
-    of the same user key's parity, the expected one the event's label."""
+    """Coverage and accuracy of the profile shortcut by threshold; nothing is searched: the
+    verdict where the profile misses is a stand-in by id, as in the SQL twin; the expected one
+    is the event's label."""
     v = _event_vectors(spark, sf)
     known = index.profile_table(v.where("ref_id % 50 <> 0"))
     tested = v.where("ref_id % 50 = 0").withColumn("pkey", profile_key(quantize(F.col("vec")))).join(known, "pkey", "left")
