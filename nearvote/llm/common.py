@@ -119,10 +119,14 @@ def components(spark: SparkSession, edges: DataFrame, path: str) -> DataFrame:
     round is written to the shared folder. Nodes without edges do not appear.
     """
     now = store(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{path}/edges0")
-    for step in range(1, 200):
+    step = 0
+    while True:
+        step += 1
         roots = now.select(F.col("u").alias("x")).distinct()
         if now.join(roots, now.v == roots.x, "left_semi").isEmpty() and now.groupBy("u").count().where("count > 1").isEmpty():
             break
+        if step > 200:  # the number of rounds grows with the logarithm of the nodes
+            raise RuntimeError("connected components have not settled")
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -12,16 +12,19 @@ Distributed form:
    equal sets become one class; only its least id goes on.
 2. ``postings``: with the sketch every shingle gets a rank, rare before frequent.
    A document posts only to its n - T + 1 rarest shingles: any linked pair meets in one
-   of these short lists, and the long lists are never written anywhere.
-3. ``star round``: in each list with several members each member is paired with the list's
-   least member. Pairs that sizes, list positions or the parity sketch (a lower bound
-   of the symmetric difference) rule out are dropped; the others are verified.
-4. ``rest round``: lists whose members all lie in one component are done. In the others
+   of these short lists, and the T - 1 long lists set aside are never written anywhere.
+3. ``inverted``: the postings go by token to cells of bounded size, as packed arrays. A
+   list of one member, nine of ten postings, ends there. A token that the sketch calls
+   frequent is spread over as many cells as its frequency asks for.
+4. ``star round``: in each list each member is paired with the list's least member, its
+   pivot (with several cells: the cell's, and those with the least of them).
+5. ``rest round``: lists whose members all lie in one component are done. In the others
    the members outside the largest component are searched against all members; so a
-   large group of near copies costs its size and not its square. The number of lists a
-   pair meets in, the merged count of its short lists, must leave T within reach.
-5. ``verify``: for a query document and a bounded chunk of its candidates an index of
-   inverted lists is built, the short lists are heap-merged, the long ones probed by
+   large group of near copies costs its size and not its square.
+6. ``linking``: pairs of either round that sizes, list positions, the parity sketch (a lower
+   bound of the symmetric difference) or the merged count of their short lists rule out
+   are dropped. For the others, a query document and a bounded chunk of its candidates at
+   a time, inverted lists are built, the short ones heap-merged, the long ones probed by
    binary search (``divide_skip``), and the exact condition decides.
 
 Hashes have 64 bits; a shingle's rank keeps 56 of them. Nothing is sampled or capped.
@@ -51,6 +54,10 @@ PARITY = 512
 FILTER_BITS = 1 << 25
 #: Candidates that one verification group indexes at a time.
 CHUNK = 64
+#: Postings of a cell, about.
+CELL = 1 << 19
+#: Bits of a rank below the frequency class.
+RANK_BITS = 56
 
 
 @dataclass(frozen=True)
@@ -178,7 +185,7 @@ def _digest(s: np.ndarray) -> bytes:
 def ranks(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Rank of each shingle in the global order (rare first), distinct up to 56 bits."""
     low = np.minimum(*(row[at] for row, at in zip(classes, _cells(s)))).astype(np.int64)
-    return (low << 56) | (s >> _U(8)).astype(np.int64)
+    return (low << RANK_BITS) | (s >> _U(64 - RANK_BITS)).astype(np.int64)
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -213,6 +220,62 @@ def postings(docs: DataFrame, config: JoinConfig, classes: np.ndarray) -> DataFr
     return docs.select("id", "text").mapInArrow(scan, schema)
 
 
+def inverted(entries: DataFrame, config: JoinConfig) -> DataFrame:
+    """(token, id, n, pos, head, pivot) of the inverted lists that may have several members.
+
+    ``head`` marks the least member of a list's part in a cell, ``pivot`` is its id where sizes
+    and positions let the member link with it. A task holds one cell, about ``CELL`` postings.
+    """
+    total = entries.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    cells = max(1, -(-int(total) // CELL))
+    kinds = (("token", "<i8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4"))
+    packed = T.StructType([T.StructField("cell", T.LongType()), *(T.StructField(c, T.BinaryType()) for c, _ in kinds)])
+    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("head", T.BooleanType()), T.StructField("pivot", T.LongType())])
+    percent = config.percent
+
+    def send(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*held)]
+        token, owner = columns[0].view(_U), columns[1].view(_U)
+        spread = _U(1) << (token >> _U(RANK_BITS))
+        cell = ((text.mix(token) + text.mix(owner) % spread) % _U(cells)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        own, first = np.unique(cell[order], return_index=True)
+        ends = [*first[1:].tolist(), len(order)]
+        columns = [c[order].astype(kind) for c, (_, kind) in zip(columns, kinds)]
+        return pa.record_batch([pa.array(own), *(pa.array([c[a:b].tobytes() for a, b in zip(first.tolist(), ends)], pa.binary()) for c in columns)], names=packed.names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            lengths = np.diff(batch.column(2).offsets.to_numpy())
+            pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            ids, n = (np.repeat(batch.column(i).to_numpy(), lengths) for i in (0, 1))
+            held.append((batch.column(2).flatten().to_numpy(), ids, n, pos))
+            size += len(pos)
+            if size > CELL:
+                yield send(held)
+                held, size = [], 0
+        if size:
+            yield send(held)
+
+    def group(table: pa.Table) -> pa.Table:
+        token, ids, n, pos = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in kinds)
+        order = np.lexsort((ids, token))
+        token, ids, n, pos = token[order], ids[order], n[order], pos[order]
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        size = np.diff(np.append(start, len(token)))
+        # A frequent token has members in other cells.
+        keep = np.repeat((size > 1) | (token[start] >> RANK_BITS > 0), size)
+        top = np.repeat(start, size)[keep]
+        token, own, m, at = token[keep], ids[keep], n[keep].astype(np.int64), pos[keep]
+        other, k = ids[top], n[top].astype(np.int64)
+        overlap = np.minimum(m - at, k - pos[top])
+        apart = (own == other) | (100 * np.minimum(m, k) < percent * np.maximum(m, k)) | (100 * overlap < percent * (m + k - overlap))
+        return pa.table({"token": token, "id": own, "n": pa.array(m, pa.int32()), "pos": pa.array(at, pa.int32()), "head": np.flatnonzero(keep) == top, "pivot": pa.array(other, mask=apart)})
+
+    return entries.select("id", "n", "prefix").mapInArrow(deal, packed).groupBy("cell").applyInArrow(group, schema)
+
+
 def _bound(a: str, b: str):
     """Most overlap of a pair whose first common shingle is this list's."""
     return F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
@@ -227,6 +290,11 @@ def _sized(a: str, b: str, percent: int):
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
+def _allowed(a: str, b: str, percent: int):
+    """Whether sizes and the places of their common shingle let a pair link."""
+    return _sized(a, b, percent) & _enough(_bound(a, b), F.col(f"{a}.n"), F.col(f"{b}.n"), percent)
+
+
 def _near(pa_, pb, na, nb, percent: int):
     """Whether two parity sketches leave the sets near enough."""
     apart = sum((F.bit_count(pa_[i].bitwiseXOR(pb[i])) for i in range(PARITY // 64)), F.lit(0))
@@ -259,6 +327,12 @@ def _prefix_allows(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFr
     return joined.where(_enough(common + room, F.col("nu"), F.col("nv"), percent)).select("u", "v").distinct()
 
 
+def linking(docs: DataFrame, pairs: DataFrame, entries: DataFrame, config: JoinConfig, path: str) -> DataFrame:
+    """Those of the pairs (u, v), in which a pair may repeat, that link."""
+    near = common.store(_parity_allows(pairs.distinct(), entries, config.percent), f"{path}/near")
+    return common.store(verify(docs, _prefix_allows(near, entries, config.percent), config, path), f"{path}/links")
+
+
 def verify(docs: DataFrame, pairs: DataFrame, config: JoinConfig, path: str) -> DataFrame:
     """Those of the pairs (u, v) that link, by ``divide_skip`` of u against chunks of its v."""
     spark = docs.sparkSession
@@ -338,50 +412,38 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     rows = common.documents(docs, id_col, text_col)
     profiles, classes = profile(rows, config, f"{path}/profile")
     filled = profiles.where("n > 0")
-    classes_of = filled.groupBy("digest").agg(F.min("id").alias("rep"))
+    classes_of = filled.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     # Prefixes of all rows are cheaper than sending texts through a shuffle to find the representatives.
     reps = classes_of.where("rep is not null").select(F.col("rep").alias("id")).distinct()
     entries = common.store(postings(rows, config, classes).join(reps, "id", "left_semi"), f"{path}/entries")
-    listed = entries.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared_tokens = listed.groupBy("token").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1")
-    lists = common.store(listed.join(shared_tokens, "token").select("token", "members", "pivot", "id", "n", "pos"), f"{path}/lists")
-
-    pivots = lists.where("id = pivot").select("token", "id", "n", "pos").alias("a")
-    members = lists.where("id <> pivot").select("token", "id", "n", "pos").alias("b")
-    star = members.join(pivots, F.col("a.token") == F.col("b.token")).where(_sized("a", "b", percent) & _enough(_bound("a", "b"), F.col("a.n"), F.col("b.n"), percent))
-    star = _parity_allows(star.select(F.col("b.id").alias("v"), F.col("a.id").alias("u")).distinct(), entries, percent)
-    star = _prefix_allows(common.store(star, f"{path}/near"), entries, percent)
-    star_links = common.store(verify(rows, star, config, f"{path}/star"), f"{path}/star_links")
-    first = components(spark, star_links, f"{path}/cc1")
-
-    named = lists.select("token", "members", "id", "n", "pos").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lists = common.store(inverted(entries, config), f"{path}/lists")
+
+    pairs = lists.where("pivot is not null").select(F.col("pivot").alias("u"), F.col("id").alias("v"))
+    heads = lists.where(F.col("head") & (F.col("token") >= 1 << RANK_BITS)).select("token", F.struct("id", "n", "pos").alias("b"))
+    least = heads.groupBy("token").agg(F.min("b").alias("a"))
+    parts = heads.join(least, "token").where((F.col("a.id") != F.col("b.id")) & _allowed("a", "b", percent))
+    star_links = linking(rows, pairs.union(parts.select("a.id", "b.id")), entries, config, f"{path}/star")
+    first = common.components(spark, star_links, f"{path}/cc1")
+
+    named = lists.select("token", "id", "n", "pos").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = named.groupBy("token", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("token").agg(F.max(F.struct("size", F.negative("component").alias("minus"))).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("token", F.negative("top.minus").alias("main"))
-    heads = entries.select("id", F.col("n").alias("m"), "parity", F.element_at("prefix", -1).alias("last"), (F.col("n") - F.size("prefix")).alias("after"))
-    open_lists = common.store(named.join(largest, "token").join(heads, "id").where("n = m").drop("m"), f"{path}/open")
+    largest = sizes.groupBy("token").agg(F.max(F.struct("size", F.negative("component").alias("minus"))).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("members")).where("parts > 1").select("token", "members", F.negative("top.minus").alias("main"))
+    open_lists = common.store(named.join(largest, "token"), f"{path}/open")
     cells = F.ceil(F.col("members") / 4096)
     apart = open_lists.where("component <> main").withColumn("cell", F.explode(F.sequence(F.lit(0), (cells - 1).cast("int")))).alias("a")
     whole = open_lists.withColumn("cell", F.pmod(F.xxhash64("id"), cells).cast("int")).alias("b")
-    rest = apart.join(whole, (F.col("a.token") == F.col("b.token")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & _sized("a", "b", percent) & _near(F.col("a.parity"), F.col("b.parity"), F.col("a.n"), F.col("b.n"), percent))
-    # A pair's common prefix shingles are the lists it meets in. Of the shingles beyond the
-    # earlier-ending prefix no more than its document has left can be common.
-    room = F.when(F.col("a.last") < F.col("b.last"), F.col("a.after")).when(F.col("a.last") > F.col("b.last"), F.col("b.after")).otherwise(F.least("a.after", "b.after"))
-    low = F.least(F.struct("a.id", "a.n"), F.struct("b.id", "b.n"))
-    high = F.greatest(F.struct("a.id", "a.n"), F.struct("b.id", "b.n"))
-    met = rest.select(low.alias("low"), high.alias("high"), room.alias("room"), _bound("a", "b").alias("bound"))
-    met = met.groupBy(F.col("low.id").alias("u"), F.col("high.id").alias("v"), F.col("low.n").alias("nu"), F.col("high.n").alias("nv"), "room").agg(F.count("*").alias("common"), F.max("bound").alias("bound"))
-    met = met.where(_enough(F.col("bound"), F.col("nu"), F.col("nv"), percent) & _enough(F.col("common") + F.col("room"), F.col("nu"), F.col("nv"), percent))
-    rest_links = verify(rows, met.select("u", "v").distinct(), config, f"{path}/rest")
+    rest = apart.join(whole, (F.col("a.token") == F.col("b.token")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & _allowed("a", "b", percent))
+    rest_links = linking(rows, rest.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")), entries, config, f"{path}/rest")
     # Rows that repeat an id are one vertex: what their classes reach belongs together.
-    owned = filled.join(classes_of, "digest").select("id", "rep")
-    several = owned.where("id is not null").groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v")
-    same_id = owned.join(several, "id").select("u", F.col("rep").alias("v")).where("u <> v")
-    linked = components(spark, star_links.union(rest_links).union(same_id), f"{path}/cc2")
-
-    rep_of = classes_of.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("shared"))
-    out = profiles.join(rep_of, "digest", "left")
+    several = filled.where("id is not null").groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id")
+    owned = filled.join(several, "id").select("id", "digest").join(classes_of, "digest").select("id", "rep")
+    same_id = owned.join(owned.groupBy("id").agg(F.min("rep").alias("u")), "id").select("u", F.col("rep").alias("v")).where("u <> v")
+    linked = common.components(spark, star_links.union(rest_links).union(same_id), f"{path}/cc2")
+
+    rep_of = common.store(classes_of.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("shared")), f"{path}/classes")
+    # Popular texts: a thousandth of all rows each or more, so a thousand at most.
+    popular = F.broadcast(rep_of.where(F.col("copies") * 1000 >= filled.count()).select("digest", F.col("shared").alias("known")))
+    marked = filled.join(popular, "digest", "left")
+    out = marked.where("known is null").select("id", "n", "digest").join(rep_of, "digest").select("id", "n", "shared")
+    out = out.union(marked.where("known is not null").select("id", "n", "known")).union(profiles.where("n = 0").select("id", "n", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("shared", "id").alias("component_id"))
-
-
-def components(spark: SparkSession, links: DataFrame, path: str) -> DataFrame:
-    return common.components(spark, links, path)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from nearvote.llm import common, text
+from nearvote.llm import common, ngram_join, text
 from nearvote.llm.ngram_join import JoinConfig, divide_skip, ngram_jaccard_join, parity
 from tests.llm.conftest import words
 
@@ -63,7 +63,10 @@ def test_odd_texts(docs, odd_texts):
     assert {i for i, n, _ in got if n == 0} == {0, 1, 2}
 
 
-def test_large_group_of_near_copies_is_one_component(docs):
+@pytest.mark.parametrize("cell", [1 << 19, 1 << 8])
+def test_large_group_of_near_copies_is_one_component(docs, cell, monkeypatch):
+    """Also where its lists are spread over many cells."""
+    monkeypatch.setattr(ngram_join, "CELL", cell)
     rng = random.Random(5)
     base = [f"b{rng.randrange(10**6)}" for _ in range(300)]
     rows = []
