@@ -8,8 +8,9 @@ its characters, and against that alphabet it meets three tests.
   hypothesis is natural text, whose symbols repeat more often than random ones, so under
   the null the statistic is non-central and grows with the length. The lower tail
   gives the p-value; a long token gets a small one only if it really looks uniform.
-* Runs above and below the middle of the alphabet, and lag-1 serial correlation. Both
-  must be consistent with randomness; words and counters fail them.
+* Runs above and below the middle of the alphabet, and lag-1 serial correlation. These
+  two and unevenness gate: each must be consistent with randomness at a fixed level, which
+  words and counters fail. A token that fails one enters the discovery control with p = 1.
 
 Candidates that pass are put to false-discovery control (Benjamini-Hochberg) within
 strata of length, so the many short tokens do not set the threshold of the long ones.
@@ -59,19 +60,69 @@ class SecretConfig:
     grid: int = 50
 
 
+#: Values that one fold runs over; each fold copies what it has gathered so far.
+FOLD = 128
+#: Code points of a block of text are 1 << this.
+BLOCK_BITS = 10
+#: Stands for a character of a span that is already found.
+COVER = "\x01"
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, merge) -> Column:
+    """What ``merge`` makes of the values before each one, from 0, for array<int> ``values``.
+
+    Folds of FOLD values and one fold over their results: linear for any length that texts have.
+    """
+
+    def fold(part: Column, before: Column) -> Column:
+        start = F.struct(before.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(part, start, lambda acc, v: F.struct(merge(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def joined(parts: Column) -> Column:
+        wholes = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), merge))
+        return F.flatten(F.zip_with(parts, fold(wholes, F.lit(0)), fold))
+
+    def cut(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / FOLD).cast("int")), lambda i: F.slice(all_, i * FOLD + 1, F.lit(FOLD)))
+
+    return _bound(values, lambda v: F.when(F.size(v) == 0, v).otherwise(_bound(cut(v), joined)))
+
+
 def _find(text: Column, pattern: str) -> Column:
     """array<struct<start, end, token>> of the leftmost non-overlapping matches, in code points."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,token:string>>)")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["token"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["token"].alias("token")))).alias("found"))
+    def placed(x: Column) -> Column:
+        gaps = F.transform(F.slice(x["pieces"], F.lit(1), F.size(x["found"])), lambda p: F.length(p))
+        return _bound(gaps, lambda g: F.zip_with(F.zip_with(_running(F.zip_with(g, x["found"], lambda n, t: n + F.length(t)), lambda at, v: at + v), g, lambda at, n: at + n), x["found"], lambda at, t: F.struct(at.alias("start"), (at + F.length(t)).alias("end"), t.alias("token"))))
+
+    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.when(text.rlike(pattern), _bound(both, placed)).otherwise(empty)
+
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, t: F.struct(p.alias("piece"), t.alias("token")))
-    whole = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), whole).otherwise(empty)
+def _replaced(text: Column, spans: Column, cover) -> Column:
+    """``text`` with ``cover(span, at)`` in place of every span, where ``at`` is the end of the
+    spans before it, which may lie beyond the span's start. Spans are sorted by start."""
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        # Only the blocks that hold the piece are walked through.
+        first = F.shiftright(a, BLOCK_BITS)
+        near = F.array_join(F.slice(blocks, first + 1, F.shiftright(b - 1, BLOCK_BITS) - first + 1), "")
+        return F.when(b > a, F.substr(near, a % (1 << BLOCK_BITS) + 1, b - a)).otherwise("")
+
+    def whole(x: Column) -> Column:
+        parts = F.zip_with(x["spans"], x["at"], lambda s, at: F.concat(piece(x["blocks"], at, F.greatest(at, s["start"])), cover(s, at)))
+        last = F.array_max(F.transform(x["spans"], lambda s: s["end"]))
+        return F.array_join(F.concat(parts, F.array(piece(x["blocks"], last, x["n"]))), "")
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << BLOCK_BITS}}}"), F.lit(0))
+    ends = _running(F.transform(spans, lambda s: s["end"]), lambda at, v: F.greatest(at, v))
+    return F.when(F.size(spans) > 0, _bound(F.struct(blocks.alias("blocks"), spans.alias("spans"), ends.alias("at"), F.length(text).alias("n")), whole)).otherwise(text)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -152,10 +203,12 @@ def find_secrets(docs: DataFrame, config: SecretConfig = SecretConfig(), id_col:
         return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(None).cast("double").alias("p"), (x["end"] - x["start"]).alias("length")))
 
     assigned = F.filter(_find(body, ASSIGN), lambda x: F.length(F.regexp_extract(x["token"], ASSIGN, 2)) >= 8)
-    tokens = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{config.shortest},}}+={{0,2}}"
+    tokens = rf"(?<![A-Za-z0-9+/_\x01-])[A-Za-z0-9+/_\x01-]{{{config.shortest},}}+={{0,2}}"
     base = F.array_sort(F.concat(shaped(assigned, 0), shaped(_find(body, ACCESS), 1), shaped(_find(body, HEX), 2)))
-    scanned = source.select("*", base.alias("base"), _find(body, tokens).alias("tokens"))
-    outside = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    # A token that meets a base span has covered characters.
+    covered = _replaced(F.translate(body, COVER, " "), F.col("base"), lambda s, at: F.repeat(F.lit(COVER), F.greatest(F.lit(0), s["end"] - F.greatest(at, s["start"]))))
+    scanned = source.select("*", base.alias("base")).select("*", covered.alias("covered")).select("*", _find(F.col("covered"), tokens).alias("tokens"))
+    outside = F.filter("tokens", lambda t: ~F.contains(t["token"], F.lit(COVER)))
     tested = F.transform(outside, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _battery(t["token"]).alias("test")))
 
 
@@ -204,7 +257,7 @@ def secret_digest(docs: DataFrame, config: SecretConfig = SecretConfig(), id_col
 
 
 def redact(docs: DataFrame, config: SecretConfig = SecretConfig(), id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of ``text_col`` replaced by ``mark``; spans that touch become one.
+    """``docs`` with every span of ``text_col`` replaced by ``mark``; spans that overlap become one.
 
     All rows and columns stay; a null text stays null.
     """
@@ -212,13 +265,5 @@ def redact(docs: DataFrame, config: SecretConfig = SecretConfig(), id_col: str =
     others = tuple(c for c in names if c not in (id_col, text_col))
     found = find_secrets(docs, config, id_col, text_col, keep=others, with_text=True)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substr(acc["text"], acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"), acc["text"].alias("text"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.col("text").alias("text"))
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substr(acc["text"], acc["at"] + 1)))
-    text = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
-    return found.select(*(text.alias(c) if c == text_col else F.col("id").alias(c) if c == id_col else F.col("kept").getField(c).alias(c) for c in names))
+    clean = _replaced(F.col("text"), F.col("spans"), lambda s, at: F.when(s["start"] >= at, F.lit(mark)).otherwise(""))
+    return found.select(*(clean.alias(c) if c == text_col else F.col("id").alias(c) if c == id_col else F.col("kept").getField(c).alias(c) for c in names))

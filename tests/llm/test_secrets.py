@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 
 from nearvote.llm.secrets import SecretConfig, find_secrets, redact, secret_digest
@@ -88,6 +89,27 @@ def test_redaction_keeps_everything_else(docs):
     assert [r["key"] for r in clean.select("key").distinct().collect()] == ["x"]
 
 
+def test_a_text_of_many_spans_takes_time_in_proportion(docs):
+    """A checksum list, and spans that overlap, against the plain definition."""
+    rng = random.Random(8)
+    sums = "\n".join(hashlib.md5(str(i).encode()).hexdigest() + f"  é-{i}.bin token=AKIA{'Q' * 16}{i}" for i in range(20_000))
+    mixed = " ".join(tricky(rng) for _ in range(300))
+    table = docs([(1, sums), (2, mixed)])
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["text"] for r in redact(table).collect()}
+    digests = {r["doc_id"]: r for r in secret_digest(table).collect()}
+    assert time.perf_counter() - began < 90  # folds over all spans at once took many minutes
+    for i, text in ((1, sums), (2, mixed)):
+        want = base(text)
+        assert digests[i]["base_sha256"] == hashlib.sha256(written(want).encode()).hexdigest()
+        extra = [(int(a), int(b)) for s in digests[i]["spans"].split(",") if s.startswith("random") for a, b in [s.split(":")[1:]]]
+        out, at = [], 0
+        for a, b in sorted([(a, b) for a, _, b in want] + extra):
+            out.append(text[at:a] + "[secret]" if a >= at else "")
+            at = max(at, b)
+        assert got[i] == "".join(out) + text[at:]
+
+
 def test_empty_table(docs):
     assert secret_digest(docs([])).count() == 0 and redact(docs([])).count() == 0
 
