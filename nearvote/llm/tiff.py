@@ -1,8 +1,10 @@
 """TIFF pages: directories, PackBits, LZW and deflate, strips and tiles, predictors.
 
 ``read_pages`` walks the image file directories of a TIFF in either byte order and
-yields every page as raw 8- or 16-bit samples; ``tiff_pages`` is the same over a
-DataFrame column, one row per page. ``write_pages`` makes such files, so that whole
+yields every page as raw samples of whole bytes: 8, 16 or 32 bits as they are, 1, 2 and 4
+bits as one byte each. Planes stored apart are put together. What a file claims is checked
+before memory is taken for it, and any fault is a ``TiffError``. ``tiff_pages`` is the
+same over a DataFrame column, one row per page. ``write_pages`` makes such files, so that whole
 texts can be stored as images and read back.
 """
 
@@ -24,17 +26,23 @@ from nearvote.llm import common
 
 # Fixed values of the TIFF 6.0 format: tags, field type sizes, compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
-STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 273, 277, 278, 279, 284
+FILL_ORDER, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 266, 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 324, 325
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 TYPE_CODES = {1: "B", 3: "H", 4: "I"}
 NONE, LZW, ADOBE_DEFLATE, DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 LZW_CLEAR, LZW_END = 256, 257
 
+#: Bytes of decoded pixels that a page may have; a larger one is an error.
+MAX_PAGE = 1 << 28
+#: More than any of the schemes can shrink data.
+MAX_RATIO = 4096
+
 
 @dataclass(frozen=True)
 class Page:
-    """One image: ``pixels`` has height * width * samples values of ``bits`` bits, row by row, in the file's byte order."""
+    """One image: ``pixels`` has height * width * samples values, row by row, in the file's
+    byte order; values of less than 8 ``bits`` have a byte each."""
 
     index: int
     width: int
@@ -51,9 +59,9 @@ class TiffError(ValueError):
     """The bytes are not a TIFF that this module reads."""
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, limit: int | None = None) -> bytes:
     out, at, n = bytearray(), 0, len(data)
-    while at < n:
+    while at < n and (limit is None or len(out) < limit):
         head = data[at]
         at += 1
         if head < 128:
@@ -137,8 +145,10 @@ def _join_codes(codes: np.ndarray, widths: np.ndarray) -> bytes:
     return np.packbits(bits[shift < widths[:, None]].astype(np.uint8)).tobytes()
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, limit: int | None = None) -> bytes:
+    """Decoded bytes; decoding ends with the data, the end code or ``limit`` bytes."""
     out: list[bytes] = []
+    size = 0
     table: list[bytes] = []
     singles = [bytes([i]) for i in range(256)] + [b"", b""]
     width, held, bits, previous = 9, 0, 0, b""
@@ -158,8 +168,11 @@ def lzw_decode(data: bytes) -> bytes:
         if not table:
             table = singles.copy()
         if not previous:
+            if code >= len(table):
+                raise TiffError("LZW code beyond the table")
             previous = table[code]
             out.append(previous)
+            size += 1
             continue
         if code < len(table):
             entry = table[code]
@@ -169,6 +182,9 @@ def lzw_decode(data: bytes) -> bytes:
             raise TiffError("LZW code beyond the table")
         table.append(previous + entry[:1])
         out.append(entry)
+        size += len(entry)
+        if limit is not None and size >= limit:
+            break
         previous = entry
         if len(table) >= (1 << width) - 1 and width < 12:
             width += 1
@@ -186,16 +202,25 @@ def undo_difference(block: np.ndarray) -> np.ndarray:
     return np.cumsum(block, axis=1, dtype=block.dtype)
 
 
-def _inflate(scheme: int, data: bytes) -> bytes:
+def undo_float_difference(raw: np.ndarray, samples: int, order: str) -> np.ndarray:
+    """Floating-point predictor: (rows, bytes) of differenced byte planes, highest first, as values of 4 bytes."""
+    rows = len(raw)
+    planes = np.cumsum(raw.reshape(rows, -1, samples), axis=1, dtype=np.uint8).reshape(rows, 4, -1)
+    values = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(">u4")[:, :, 0]
+    return values.astype(f"{order}u4").reshape(rows, -1, samples)
+
+
+def _inflate(scheme: int, data: bytes, size: int) -> bytes:
+    """``size`` bytes, or fewer if there are no more."""
     if scheme == NONE:
-        return data
+        return data[:size]
     if scheme == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, size)
     if scheme == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, size)
     if scheme in (ADOBE_DEFLATE, DEFLATE):
         try:
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, size)
         except zlib.error as e:
             raise TiffError(f"deflate: {e}") from e
     raise TiffError(f"compression {scheme} is not read")
@@ -241,21 +266,27 @@ def read_pages(data: bytes) -> Iterator[Page]:
             fields, following = _fields(data, at, order)
             yield _page(data, fields, len(seen) - 1, order)
             at = following
-    except (struct.error, KeyError) as e:
+    except TiffError:
+        raise
+    except (struct.error, LookupError, ArithmeticError, ValueError, MemoryError) as e:
         raise TiffError(f"truncated or incomplete: {e}") from e
 
 
+def _reversed_bits(data: bytes) -> bytes:
+    return np.packbits(np.unpackbits(np.frombuffer(data, np.uint8)), bitorder="little").tobytes()
+
+
 def _page(data: bytes, fields: dict[int, tuple[int, ...]], index: int, order: str) -> Page:
     width, height = fields[WIDTH][0], fields[HEIGHT][0]
     samples = fields.get(SAMPLES, (1,))[0]
     depths = set(fields.get(BITS, (1,)))
     scheme = fields.get(COMPRESSION, (NONE,))[0]
     predictor = fields.get(PREDICTOR, (1,))[0]
-    if depths not in ({8}, {16}) or fields.get(PLANAR, (1,))[0] != 1 or predictor not in (1, 2):
-        raise TiffError("only interleaved samples of 8 or 16 bits with predictor 1 or 2 are read")
-    bits = depths.pop()
-    kind = np.dtype("u1") if bits == 8 else np.dtype(f"{order}u2")
-    image = np.zeros((height, width, samples), kind)
+    apart = fields.get(PLANAR, (1,))[0] == 2
+    bits = depths.pop() if len(depths) == 1 else 0
+    if bits not in (1, 2, 4, 8, 16, 32) or not samples or predictor not in (1, 2, 3) or (predictor == 2 and bits < 8) or (predictor == 3 and bits != 32):
+        raise TiffError(f"{bits or 'mixed'} bits with predictor {predictor} are not read")
+    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
     tiled = TILE_OFFSETS in fields
     if tiled:
         wide, high = fields[TILE_WIDTH][0], fields[TILE_HEIGHT][0]
@@ -263,21 +294,39 @@ def _page(data: bytes, fields: dict[int, tuple[int, ...]], index: int, order: st
     else:
         wide, high = width, min(height, fields.get(ROWS_PER_STRIP, (height,))[0]) or 1
         offsets, sizes = fields[STRIP_OFFSETS], fields[STRIP_BYTES]
+    whole = width * height * samples * kind.itemsize
+    if whole > MAX_PAGE or wide * high * samples * kind.itemsize > MAX_PAGE:
+        raise TiffError(f"a page or tile of more than {MAX_PAGE} bytes")
+    planes, each = (samples, 1) if apart else (1, samples)
     across = -(-width // wide) if wide else 0
-    if not wide or not high or len(offsets) < across * -(-height // high) or len(sizes) < len(offsets):
+    count = across * -(-height // high) if high else 0
+    if not wide or not high or len(offsets) < planes * count or len(sizes) < planes * count:
         raise TiffError("strips or tiles are missing")
-    for i, (start, size) in enumerate(zip(offsets, sizes)):
-        x, y = i % across * wide, i // across * high
+    if whole > MAX_RATIO * 8 * sum(min(n, len(data)) for n in sizes):
+        raise TiffError("more pixels than the data can hold")
+    image = np.zeros((height, width, samples), kind)
+    row_bytes = -(-wide * each * bits // 8)
+    for i in range(planes * count):
+        plane, place = divmod(i, count)
+        x, y = place % across * wide, place // across * high
         rows = high if tiled else min(high, height - y)
-        if rows <= 0:
-            break
-        raw = _inflate(scheme, data[start : start + size])
-        if len(raw) < rows * wide * samples * kind.itemsize:
+        packed = data[offsets[i] : offsets[i] + sizes[i]]
+        if fields.get(FILL_ORDER, (1,))[0] == 2:
+            packed = _reversed_bits(packed)
+        raw = _inflate(scheme, packed, rows * row_bytes)
+        if len(raw) < rows * row_bytes:
             raise TiffError("a strip or tile is too short")
-        block = np.frombuffer(raw, kind, rows * wide * samples).reshape(rows, wide, samples)
-        if predictor == 2:
-            block = undo_difference(block)
-        image[y : y + rows, x : x + wide] = block[: height - y, : width - x]
+        lines = np.frombuffer(raw, np.uint8, rows * row_bytes).reshape(rows, row_bytes)
+        if bits < 8:
+            values = np.unpackbits(lines, axis=1).reshape(rows, -1, bits) @ (1 << np.arange(bits)[::-1])
+            block = values[:, : wide * each].astype(np.uint8).reshape(rows, wide, each)
+        elif predictor == 3:
+            block = undo_float_difference(lines, each, order)
+        else:
+            block = lines.view(kind).reshape(rows, wide, each)
+            if predictor == 2:
+                block = undo_difference(block)
+        image[y : y + rows, x : x + wide, plane : plane + each] = block[: height - y, : width - x]
     return Page(index, width, height, samples, bits, scheme, predictor, tiled, image.tobytes())
 
 

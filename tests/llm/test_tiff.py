@@ -64,6 +64,98 @@ def test_sixteen_bits_and_colours():
     assert (page.bits, page.samples) == (16, 2) and page.pixels == values.tobytes()
 
 
+def tiff(strips, *fields):
+    """A little-endian TIFF of one page with these strips and (tag, value or values) fields."""
+    out, offsets = bytearray(b"II" + struct.pack("<HI", 42, 0)), []
+    for strip in strips:
+        offsets.append(len(out))
+        out += strip
+    entries = sorted([*fields, (273, offsets), (279, [len(s) for s in strips])])
+    table = bytearray()
+    for tag, value in entries:
+        values = value if isinstance(value, list) else [value]
+        body = struct.pack(f"<{len(values)}I", *values)
+        if len(values) > 1:
+            place = struct.pack("<I", len(out))
+            out += body
+            body = place
+        table += struct.pack("<HHI", tag, 4, len(values)) + body
+    struct.pack_into("<I", out, 4, len(out))
+    return bytes(out + struct.pack("<H", len(entries)) + table + struct.pack("<I", 0))
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("fill", [1, 2])
+def test_small_samples(bits, fill):
+    values = np.random.default_rng(bits).integers(0, 1 << bits, (5, 13)).astype(np.uint8)
+    rows = np.unpackbits(values[:, :, None], axis=2)[:, :, 8 - bits :].reshape(5, -1)
+    packed = np.packbits(rows, axis=1).tobytes()
+    if fill == 2:
+        packed = bytes(int(f"{b:08b}"[::-1], 2) for b in packed)
+    (page,) = read_pages(tiff([packed], (256, 13), (257, 5), (258, bits), (266, fill)))
+    assert page.bits == bits and page.pixels == values.tobytes()
+
+
+def test_planes_apart():
+    values = np.random.default_rng(3).integers(0, 256, (6, 7, 3)).astype(np.uint8)
+    strips = [zlib.compress(values[y : y + 4, :, s].tobytes()) for s in range(3) for y in (0, 4)]
+    (page,) = read_pages(tiff(strips, (256, 7), (257, 6), (258, [8, 8, 8]), (259, ADOBE_DEFLATE), (277, 3), (278, 4), (284, 2)))
+    assert page.pixels == values.tobytes()
+
+
+@pytest.mark.parametrize("predictor", [1, 2, 3])
+def test_four_byte_samples(predictor):
+    values = np.random.default_rng(4).normal(size=(4, 5, 2)).astype("<f4").view("<u4")
+    body = values
+    if predictor == 2:
+        body = difference(values)
+    if predictor == 3:  # byte planes, highest first, each byte less the one of the pixel before
+        planes = values.astype(">u4").view(np.uint8).reshape(4, 10, 4).transpose(0, 2, 1).reshape(4, 20, 2)
+        body = difference(np.ascontiguousarray(planes))
+    (page,) = read_pages(tiff([body.tobytes()], (256, 5), (257, 4), (258, [32, 32]), (277, 2), (317, predictor)))
+    assert page.bits == 32 and page.pixels == values.tobytes()
+
+
+def test_any_damage_is_a_tiff_error():
+    rng = random.Random(9)
+    image = np.arange(40 * 64, dtype=np.uint8).reshape(40, 64)
+    for layout in (Layout(LZW, 2, 0, 16), Layout(PACKBITS, 1, 16, 16), Layout(ADOBE_DEFLATE, 1, 0, 64)):
+        good = write_pages([(image, layout), (image, layout)])
+        for _ in range(1500):
+            bad = bytearray(good)
+            for _ in range(rng.randrange(1, 4)):
+                bad[rng.randrange(len(bad))] = rng.choice([0, 1, 255, rng.randrange(256)])
+            try:
+                list(read_pages(bytes(bad)))
+            except TiffError:
+                pass
+
+
+def test_claims_are_checked_before_memory_is_taken():
+    for fields in (((256, 2**32 - 1), (257, 2**31)), ((256, 10**5), (257, 1000)), ((256, 0), (257, 5)), ((256, 5), (257, 5), (277, 0)), ((256, 5), (257, 5), (258, [8, 16])), ((256, 5), (257, 5), (278, 1))):
+        given = [f for f in ((258, 8), (277, 1)) if f[0] not in dict(fields)]
+        with pytest.raises(TiffError):
+            list(read_pages(tiff([b"x" * 25], *fields, *given)))
+    bomb = zlib.compress(bytes(10**8))
+    (page,) = read_pages(tiff([bomb], (256, 5), (257, 5), (258, 8), (259, ADOBE_DEFLATE)))
+    assert page.pixels == bytes(25)
+
+
+def test_feature_is_the_plain_computation(docs):
+    texts = ["", "abc" * 500, "z\u00e9" * 150_000]
+    got = {r["doc_id"]: r for r in media_digest(docs(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        parts = got[i]["feature"].split(";")
+        assert len(parts) == -(-len(payload) // (64 * 4096))
+        for n, part in enumerate(parts):
+            own = payload[n * 64 * 4096 : (n + 1) * 64 * 4096]
+            shape, _, total, bars = part.split(":")
+            assert shape == f"64x{len(own) // 64}" and int(total) == sum(own)
+            assert [int(b) for b in bars.split(",")] == [sum(v >> 4 == x for v in own) for x in range(16)]
+
+
 def test_faults_are_errors():
     good = store_text(b"hello")
     loop = bytearray(good)
