@@ -1,7 +1,7 @@
 """Language identification: script ranges, per-word scores, Viterbi with a switching penalty.
 
-Words and byte trigrams of the training texts are counted per language in hashed
-tables of fixed size, over all training rows. A word's score for a language is the
+The byte trigrams of the training texts' words, and the words of each script, are counted
+per language in hashed tables of fixed size, over all training rows. A word's score for a language is the
 log-probability of its trigrams, relative to its best language. The script of a word's
 letters narrows its candidates to the languages seen in that script. Viterbi then finds
 the labelling of the whole text that maximises the scores minus a penalty for every
@@ -54,13 +54,15 @@ SCRIPT_OF = _script_table()
 @dataclass(frozen=True)
 class LanguageConfig:
     """``switch``: penalty of a change of language between two words, in nats. ``min_share``:
-    least share of a language's own words that a script has to hold to be one of its."""
+    least share of a language's own words that a script has to hold to be one of its. A table
+    with more than ``max_languages`` distinct labels is an error, none is left out."""
 
     buckets: int = 1 << 16
     switch: float = 12.0
     floor: float = 10.0
     smoothing: float = 0.1
     min_share: float = 0.001
+    max_languages: int = 1000
 
 
 @dataclass(frozen=True)
@@ -100,26 +102,42 @@ def word_features(words: text.Words, buckets: int) -> tuple[np.ndarray, np.ndarr
     return bucket[keep].astype(np.int64), word[keep], scripts
 
 
+#: Languages whose tables a task holds before it sends them on.
+HELD = 64
+
+
 def train(rows: DataFrame, config: LanguageConfig = LanguageConfig()) -> Model:
     """Count over all rows (text, lang) with a language. What reaches the driver has the
     size buckets * languages, whatever the number of rows."""
-    languages = tuple(sorted(r["lang"] for r in rows.where("lang is not null").select("lang").distinct().collect()))
+    labels = rows.where("lang is not null").select("lang").distinct().limit(config.max_languages + 1)
+    languages = tuple(sorted(r["lang"] for r in labels.collect()))
+    if len(languages) > config.max_languages:
+        raise ValueError(f"more than {config.max_languages} languages")
     index = {x: i for i, x in enumerate(languages)}
     width = config.buckets + N_SCRIPTS
     schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("payload", T.BinaryType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), width), np.int64)
+        counts: dict[int, np.ndarray] = {}
+
+        def send() -> pa.RecordBatch:
+            own = sorted(counts)
+            return pa.record_batch([pa.array(own, pa.int32()), pa.array([counts[i].tobytes() for i in own], pa.binary())], names=["block", "payload"])
+
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for a, b, words in text.iterate(batch.column(0)):
                 bucket, word, scripts = word_features(words, config.buckets)
                 owner = np.array([index.get(x, -1) for x in langs[a:b]], np.int64)[words.rows()]
                 for i in np.unique(owner[owner >= 0]).tolist():
-                    counts[i, : config.buckets] += np.bincount(bucket[owner[word] == i], minlength=config.buckets)
-                    counts[i, config.buckets :] += np.bincount(scripts[owner == i], minlength=N_SCRIPTS)
-        own = np.flatnonzero(counts.any(axis=1))
-        yield pa.record_batch([pa.array(own, pa.int32()), pa.array([counts[i].tobytes() for i in own], pa.binary())], names=["block", "payload"])
+                    if i not in counts:
+                        if len(counts) >= HELD:
+                            yield send()
+                            counts.clear()
+                        counts[i] = np.zeros(width, np.int64)
+                    counts[i][: config.buckets] += np.bincount(bucket[owner[word] == i], minlength=config.buckets)
+                    counts[i][config.buckets :] += np.bincount(scripts[owner == i], minlength=N_SCRIPTS)
+        yield send()
 
     totals = np.zeros((len(languages), width), np.float64)
     if languages:
@@ -156,15 +174,15 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     lengths = np.diff(first)
     order = np.argsort(-lengths, kind="stable")
     starts, ordered = first[:-1][order], lengths[order]
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int16)
     if not len(scores) or scores.shape[1] < 2:
         return labels
     k = scores.shape[1]
     longest = int(ordered[0])
     active = len(ordered) - np.searchsorted(ordered[::-1], np.arange(longest), "right")
-    back = np.empty((len(scores), k), np.int8)
+    back = np.empty((len(scores), k), np.int16)
     best = np.zeros((len(ordered), k), np.float32)
-    same = np.arange(k, dtype=np.int8)
+    same = np.arange(k, dtype=np.int16)
     for t in range(longest):
         m = active[t]
         now = best[:m]
@@ -173,10 +191,10 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
             top = now.argmax(axis=1)
             bound = now[np.arange(m), top][:, None] - np.float32(switch)
             stay = now >= bound
-            back[at] = np.where(stay, same, top.astype(np.int8)[:, None])
+            back[at] = np.where(stay, same, top.astype(np.int16)[:, None])
             np.maximum(now, bound, out=now)
         now += scores[at]
-    label = best.argmax(axis=1).astype(np.int8)
+    label = best.argmax(axis=1).astype(np.int16)
     for t in range(longest - 1, -1, -1):
         m = active[t]
         at = starts[:m] + t
@@ -186,8 +204,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     return labels
 
 
-#: Bytes of text whose documents are labelled together.
-TOGETHER = 4 << 20
+#: Bytes of text whose documents are labelled together, and bytes times languages.
+TOGETHER, CELLS = 4 << 20, 64 << 20
 
 
 def _has_letter(value: str) -> bool:
@@ -214,7 +232,7 @@ def label_languages(docs: DataFrame, model: Model, config: LanguageConfig = Lang
         if not k:
             yield from (("und", 0.0, []) for _ in range(len(column)))
             return
-        for a, b in text.groups(offsets, TOGETHER):
+        for a, b in text.groups(offsets, min(TOGETHER, CELLS // k)):
             parts, letters, firsts = [], [], [0]
             for c, d in text.groups(offsets[a : b + 1]):
                 words = text.Words(data[offsets[a + c] : offsets[a + d]], offsets[a + c : a + d + 1] - offsets[a + c])

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from nearvote.llm import language
 from nearvote.llm.language import LanguageConfig, identify_languages, label_languages, train, viterbi
@@ -98,3 +99,13 @@ def test_odd_texts(docs, odd_texts):
     blank = identify_languages(docs([(1, "text", None)])).collect()
     assert [(r["lang_pred"], r["score"]) for r in blank] == [("und", 0.0)]
     assert LanguageConfig().switch > 0
+
+
+def test_many_languages(docs):
+    rng = random.Random(12)
+    parts = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(6)] for i in range(150)}
+    rows = [(n, " ".join(rng.choice(p) + rng.choice(p) for _ in range(30)), lang) for n, (lang, p) in enumerate((x for x in parts.items() for _ in range(5)))]
+    got = {r["doc_id"]: r["lang_pred"] for r in identify_languages(docs(rows)).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.98 * len(rows)
+    with pytest.raises(ValueError):
+        train(docs(rows).select("text", "lang"), LanguageConfig(max_languages=149))
