@@ -3,8 +3,13 @@
 A document's terms are its distinct words without outer punctuation and the stems (first
 bytes) of longer words, hashed to a fixed number of buckets. The model adds to the
 linear weights a factor vector per bucket, whose pairwise products score terms that
-are harmless alone and toxic together. Terms whose share among toxic and other training
-rows differs by chance at most are left out, so length alone moves no score.
+are harmless alone and toxic together.
+
+A term gets weights and factors on either of two grounds: it is surely more frequent among
+toxic training rows than among others, or it is part of a pair of terms whose rows are toxic
+surely more, or less, often than the weights of single terms alone explain. The second ground
+keeps terms without any share of their own in toxicity, such as a group's name, and terms that
+take it away. All others are left out, so length alone moves no score.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from nearvote.llm import common, text
 
@@ -26,13 +32,21 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """``max_rows``: bound of the labelled sample a model is fitted on (least hashes of their ids)."""
+    """``max_rows``: bound of the labelled sample a model is fitted on (least hashes of their ids).
+
+    ``min_z``: least deviations between a term's shares in both kinds of rows. ``pair_z``: least
+    deviations between a pair's toxic rows and those explained; pairs are formed of the
+    ``pair_terms`` most frequent terms of ``pair_rows`` rows or more, but of nine tenths at most.
+    """
 
     buckets: int = 1 << 20
     stem: int = 5
     factors: int = 8
     max_rows: int = 20_000
     min_z: float = 4.0
+    pair_z: float = 8.0
+    pair_terms: int = 2048
+    pair_rows: int = 10
     epochs: int = 30
     rate: float = 0.1
     decay: float = 1e-4
@@ -72,7 +86,12 @@ def sample(docs: DataFrame, labels: DataFrame, config: ToxicityConfig, id_col: s
     if fold is not None:
         marks = marks.where(common.fold("id", fold) != 0)
     marks = marks.orderBy(F.xxhash64("id"), "id").limit(config.max_rows)
-    return common.documents(docs, id_col, text_col).join(F.broadcast(marks), "id")  # max_rows rows at most
+    rows = common.documents(docs, id_col, text_col)
+    # Ids may repeat: as many of them, in that order, as have max_rows rows together.
+    copies = rows.join(F.broadcast(marks), "id").groupBy("id", "toxic").agg(F.count("*").alias("copies"))
+    upto = F.sum("copies").over(W.orderBy(F.xxhash64("id"), "id"))  # max_rows rows at most
+    chosen = copies.withColumn("upto", upto).where(F.col("upto") <= config.max_rows).select("id", "toxic")
+    return rows.join(F.broadcast(chosen), "id")
 
 
 def train(rows: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> Model:
@@ -102,9 +121,8 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, config: ToxicityConfig) ->
     slots = np.full(config.buckets, -1, np.int32)
     positive, n = labels.sum(), len(labels)
     share = positive / n if n else 0.0
-    empty = Model(float(_logit(share)), slots, np.zeros(0), np.zeros((0, config.factors)))
     if not 0 < positive < n:
-        return empty
+        return Model(float(_logit(share)), slots, np.zeros(0), np.zeros((0, config.factors)))
     with_term = np.zeros(config.buckets)
     toxic_with = np.zeros(config.buckets)
     for x, y in zip(lists, labels):
@@ -113,15 +131,60 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, config: ToxicityConfig) ->
     p, q = toxic_with / positive, (with_term - toxic_with) / (n - positive)
     pooled = with_term / n
     deviation = np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / positive + 1 / (n - positive)), 1e-12))
-    kept = np.flatnonzero((p - q) / deviation >= config.min_z)
+    alone = np.flatnonzero((p - q) / deviation >= config.min_z)
+    explained = linear(lists, labels, alone, config)
+    return descend(lists, labels, np.union1d(alone, paired(lists, labels, explained, with_term, config)), config)
+
+
+def linear(lists: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, config: ToxicityConfig, steps: int = 200) -> np.ndarray:
+    """Chances of the rows by weights of the ``kept`` buckets alone, all rows at a time."""
+    n, at = len(labels), np.full(config.buckets, -1, np.int32)
+    at[kept] = np.arange(len(kept))
+    short = [s[s >= 0] for s in (at[x] for x in lists)]
+    rows, slot = np.repeat(np.arange(n), [len(s) for s in short]), np.concatenate(short)
+    values, grown = np.zeros(len(kept) + 1), np.full(len(kept) + 1, 1e-6)
+    values[-1] = _logit(labels.mean())
+    for _ in range(steps):
+        z = values[-1] + np.bincount(rows, values[slot], n)
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        g = np.append(np.bincount(slot, (p - labels)[rows], len(kept)), (p - labels).sum())
+        grown += g * g
+        values -= 0.5 * g / np.sqrt(grown)
+    return p
+
+
+def paired(lists: list[np.ndarray], labels: np.ndarray, explained: np.ndarray, with_term: np.ndarray, config: ToxicityConfig) -> np.ndarray:
+    """Buckets of the pairs whose rows are toxic more or less often than ``explained``."""
+    n = len(labels)
+    some = np.flatnonzero((with_term >= config.pair_rows) & (with_term <= 0.9 * n))
+    some = np.sort(some[np.argsort(-with_term[some], kind="stable")[: config.pair_terms]])
+    m = len(some)
+    over, spread = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    at = np.full(config.buckets, -1, np.int32)
+    at[some] = np.arange(m)
+    for a in range(0, n, 2048):
+        part = np.zeros((min(2048, n - a), m), np.float32)
+        for i, x in enumerate(lists[a : a + 2048]):
+            part[i, at[x][at[x] >= 0]] = 1
+        own = explained[a : a + 2048, None]
+        over += part.T @ (part * (labels[a : a + 2048, None] - own).astype(np.float32))
+        spread += part.T @ (part * (own * (1 - own)).astype(np.float32))
+    sure = np.abs(over) >= config.pair_z * np.sqrt(spread + 1)
+    np.fill_diagonal(sure, False)
+    return some[sure.any(axis=0)]
+
+
+def descend(lists: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, config: ToxicityConfig) -> Model:
+    """The model of the ``kept`` buckets."""
+    slots = np.full(config.buckets, -1, np.int32)
     slots[kept] = np.arange(len(kept))
     rng = np.random.default_rng(config.seed)
     weights, factors = np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), config.factors))
     grown, grown_factors = np.full(len(kept), 1e-6), np.full(factors.shape, 1e-6)
-    bias, grown_bias = float(_logit(share)), 1e-6
+    bias, grown_bias = float(_logit(labels.mean())), 1e-6
     short = [s[s >= 0] for s in (slots[x] for x in lists)]
     for _ in range(config.epochs):
-        for i in rng.permutation(n):
+        for i in rng.permutation(len(labels)):
             x = short[i]
             if not x.size:  # most rows: only the bias is at work
                 g = 1 / (1 + math.exp(-bias)) - labels[i]

@@ -44,7 +44,7 @@ def test_held_out_labels_teach_nothing(spark, docs):
 
 def test_pairs_are_learnt():
     """Two terms that are toxic together only: no linear weights can tell them apart."""
-    config = tox.ToxicityConfig(min_z=-99, epochs=40)
+    config = tox.ToxicityConfig()
     rng = random.Random(0)
     cases = [(["aa"], 0), (["bb"], 0), (["aa", "bb"], 1), ([], 1)]
     picked = [rng.choice(cases) for _ in range(400)]
@@ -58,6 +58,32 @@ def test_pairs_are_learnt():
         assert (p >= 0.5) == bool(y), (w, p)
 
 
+def test_pairs_are_learnt_among_many_other_terms():
+    """A group's name and an insult, each as frequent in clean rows as in toxic ones, and a
+    harmless word beside a toxic one."""
+    config = tox.ToxicityConfig()
+    rng = random.Random(3)
+    cases = [(["group"], 0), (["awful"], 0), (["group", "awful"], 1), ([], 0), (["scum"], 1), (["scum", "movie"], 0), (["movie"], 0)]
+
+    def draw(n):
+        out = []
+        for _ in range(n):
+            w, y = rng.choice(cases)
+            text = w + ["w" + str(int(600 * rng.random() ** 2)) for _ in range(rng.randrange(5, 60))]
+            rng.shuffle(text)
+            out.append((" ".join(text), y))
+        return out
+
+    def lists(rows):
+        return [b[r == i] for n, r, b in tox.terms(pa.array([t for t, _ in rows]), config) for i in range(n)]
+
+    seen, fresh = draw(3000), draw(600)
+    model = tox.fit(lists(seen), np.array([y for _, y in seen], float), config)
+    right = sum((tox.probabilities(model, 1, np.zeros(len(x), np.int64), x)[0] >= 0.5) == bool(y) for x, (_, y) in zip(lists(fresh), fresh))
+    assert right >= 0.97 * len(fresh)
+    assert (model.slots >= 0).sum() <= 20
+
+
 def test_score_equals_the_plain_formula():
     config = tox.ToxicityConfig(buckets=64, factors=3)
     rng = np.random.default_rng(1)
@@ -94,3 +120,4 @@ def test_sample_is_bounded(spark, docs):
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     config = tox.ToxicityConfig(max_rows=50)
     assert tox.sample(docs(rows), marks, config, "doc_id", "text", "toxic", 5).count() == 50
+    assert tox.sample(docs(rows * 3), marks, config, "doc_id", "text", "toxic", 5).count() == 48
