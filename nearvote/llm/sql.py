@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearvote.llm.licenses import KNOWN, SPELLINGS
+from nearvote.llm.licenses import CLAIM, DIGESTS, KNOWN, NOTICES, RESERVED, SPELLINGS, TERMS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '{}', '{}'), '[^\x20\x09-\x0D]+')".format(_UPPER, _LOWER)
@@ -54,7 +54,9 @@ FROM sums s JOIN ends a ON a.doc_id = s.doc_id AND a.shards = 8 JOIN ends b ON b
 
 
 def _canonical(x: str) -> str:
-    form = rf"regexp_replace(lower({x}), '(^|\n)[ \t]*((copyright|\(c\)|©)[ \t]+(\(c\)[ \t]*|©[ \t]*)?[0-9][^\n]*|all rights reserved\.?[ \t]*)', '\1', 'g')"
+    form = f"regexp_replace({x}, '{TERMS}', 'copyright\\1', 'g')"
+    form = f"lower(regexp_replace({form}, '{CLAIM}', '\\1', 'g'))"
+    form = f"regexp_replace({form}, '{RESERVED}', '\\1', 'g')"
     for pattern, common in SPELLINGS:
         form = f"regexp_replace({form}, '{pattern}', '{common}', 'g')"
     return rf"trim(regexp_replace({form}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
@@ -64,10 +66,16 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-OP6 = f"""WITH known AS (SELECT sha256({_canonical('body')}) AS digest, min(license) AS license FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in KNOWN)}) v(license, body) GROUP BY 1),
+def _values(rows: tuple[tuple[str, str], ...]) -> str:
+    return "VALUES " + ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in rows)
+
+
+OP6 = f"""WITH known AS (SELECT digest, min(license) AS license FROM (SELECT sha256({_canonical('body')}) AS digest, license FROM ({_values(KNOWN)}) v(license, body)
+  UNION ALL SELECT digest, license FROM ({_values(DIGESTS)}) v(license, digest)) GROUP BY 1),
+notices AS (SELECT sha256({_canonical('body')}) AS digest, license FROM ({_values(NOTICES)}) v(license, body)),
 rows AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 lines AS (SELECT doc_id, {_canonical('line')} AS c FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM rows)),
-hits AS (SELECT doc_id, license FROM lines JOIN known ON digest = sha256(c) WHERE length(c) >= 8),
+hits AS (SELECT doc_id, license FROM lines JOIN notices ON digest = sha256(c) WHERE length(c) >= 8),
 named AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM hits GROUP BY doc_id)
 SELECT r.doc_id, r.digest, known.license, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, coalesce(names, '') AS line_licenses
 FROM (SELECT doc_id, sha256({_canonical('body')}) AS digest FROM rows) r LEFT JOIN known USING (digest) LEFT JOIN named ON named.doc_id = r.doc_id"""
