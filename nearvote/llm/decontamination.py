@@ -1,13 +1,14 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks.
 
 An item is its weighted word shingles: each shingle's count times the logarithm of how
-few items have it. A document is compared window by window, a window having as many
-words as the item, at every start. Running sums over the places of an item's shingles
-give what each window shares with it, whatever the order of its parts; windows that share
-too little are passed over, which loses none. The others' SimHash is looked up in a multi-index: fingerprints are cut
-into radius + 1 blocks, and two within the radius agree in at least one whole block,
-so probing the blocks misses none. Candidates within the radius are verified by the
-exact weighted Jaccard similarity.
+few items have it, by a count sketch over the whole benchmark. A document is compared
+window by window, a window having as many words as the item, at every start. Running sums
+over the places of an item's shingles give what each window shares with it, whatever the
+order of its parts; windows that share too little are passed over, which loses none. The
+others' SimHash is looked up in a multi-index: fingerprints are cut into radius + 1
+blocks, and two within the radius agree in at least one whole block, so probing the blocks
+misses none. Candidates within the radius are verified by the exact weighted Jaccard
+similarity. At this radius the blocks rule out few items: the running sums do the pruning.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ _U = np.uint64
 BITS = 64
 #: Bits of the table that tells at a glance that a shingle is in no item.
 GLANCE = 1 << 20
+#: Cells of a row of the sketch of shingle frequencies, its rows, and the blocks it is shipped in.
+SKETCH_CELLS, SKETCH_ROWS, SKETCH_BLOCKS = 1 << 20, 2, 32
 #: More than the rounding of running sums moves a similarity.
 SLACK = 1e-6
 
@@ -35,14 +38,15 @@ SLACK = 1e-6
 class DecontaminationConfig:
     """``radius`` in bits: similar sets of 0.8 differ in about 10 of 64, with deviation 3.
 
-    ``block_bytes`` bounds the benchmark text that is broadcast at a time; a larger
-    benchmark is searched in several blocks of items, each against all documents.
+    ``block_bytes`` bounds the benchmark text whose index is broadcast at a time (an index
+    takes about 20 bytes for each of text); a larger benchmark is searched in several blocks
+    of items, each against all documents. Weights are the same for any number of blocks.
     """
 
     k: int = 5
     threshold: float = 0.8
     radius: int = 22
-    block_bytes: int = 32 << 20
+    block_bytes: int = 4 << 20
 
 
 def simhash(shingles: np.ndarray, weights: np.ndarray) -> int:
@@ -62,11 +66,74 @@ def sequence(hashes: np.ndarray, k: int) -> np.ndarray:
     return text.chain(hashes, min(k, len(hashes))) if len(hashes) else hashes[:0]
 
 
+def _cells(shingles: np.ndarray) -> list[np.ndarray]:
+    return [((shingles >> _U(shift)) % _U(SKETCH_CELLS)).astype(np.int64) for shift in (40, 8)]
+
+
+@dataclass(frozen=True)
+class Frequencies:
+    """Number of items with words, and a count sketch of how many of them have a shingle."""
+
+    items: int
+    sketch: np.ndarray
+
+    def weight(self, shingles: np.ndarray) -> np.ndarray:
+        """A shingle that no item has weighs what the rarest do."""
+        having = np.minimum(*(row[at] for row, at in zip(self.sketch, _cells(shingles))))
+        return np.log1p(self.items / np.maximum(having, 1))
+
+
+def frequencies(items: DataFrame, config: DecontaminationConfig) -> Frequencies:
+    """Counted over all (item, body) rows; what reaches the driver has a fixed size."""
+    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("payload", T.BinaryType())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, n = np.zeros((SKETCH_ROWS, SKETCH_CELLS), np.uint32), 0
+        for batch in batches:
+            for _, _, words in text.iterate(batch.column(1)):
+                own = [s for s in text.shingle_sets(words, config.k) if s.size]
+                n += len(own)
+                for row, at in zip(cells, _cells(np.concatenate(own)) if own else ()):
+                    row += np.bincount(at, minlength=SKETCH_CELLS).astype(np.uint32)
+        parts = [*(p.tobytes() for p in cells.reshape(SKETCH_BLOCKS, -1)), np.array([n], np.uint32).tobytes()]
+        yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["block", "payload"])
+
+    sums = common.add_up(items.select("item", "body").mapInArrow(scan, schema), "block", "payload", "<u4", "add", 16)
+    sketch = np.zeros((SKETCH_BLOCKS, SKETCH_ROWS * SKETCH_CELLS // SKETCH_BLOCKS), np.uint32)
+    for block in range(SKETCH_BLOCKS):
+        if block in sums:
+            sketch[block] = sums[block]
+    return Frequencies(int(sums[SKETCH_BLOCKS][0]) if sums else 0, sketch.reshape(SKETCH_ROWS, SKETCH_CELLS))
+
+
+class MultiIndex:
+    """Fingerprints by the value of each of ``count`` blocks."""
+
+    def __init__(self, prints: list[int], count: int):
+        self.count = count
+        self.table: dict[tuple[int, int], np.ndarray] = {}
+        keyed = [blocks(p, count) for p in prints]
+        for block in range(count):
+            values = np.array([k[block][1] for k in keyed], np.int64)
+            order = np.argsort(values, kind="stable").astype(np.int32)
+            own, first = np.unique(values[order], return_index=True)
+            for value, places in zip(own.tolist(), np.split(order, first[1:])):
+                self.table[block, value] = places
+
+    def near(self, fingerprint: int, place: int) -> bool:
+        """Whether the fingerprint at ``place`` agrees with this one in a block."""
+        for key in blocks(fingerprint, self.count):
+            own = self.table.get(key)
+            if own is not None and (at := int(np.searchsorted(own, place))) < len(own) and own[at] == place:
+                return True
+        return False
+
+
 class Index:
     """Items of one block of the benchmark, ready to search documents."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], config: DecontaminationConfig):
-        self.config = config
+    def __init__(self, ids: list[int], texts: list[str | None], config: DecontaminationConfig, known: Frequencies):
+        self.config, self.weight = config, known.weight
         self.ids, self.lengths, self.bags, self.totals = [], [], [], []
         ordered = []
         for item, value in zip(ids, texts):
@@ -75,11 +142,9 @@ class Index:
                 self.ids.append(item)
                 self.lengths.append(len(words.hashes))
                 ordered.append(sequence(words.hashes, config.k))
-        every, items_with = np.unique(np.concatenate([np.unique(s) for s in ordered]) if ordered else np.zeros(0, _U), return_counts=True)
+        every = np.unique(np.concatenate(ordered)) if ordered else np.zeros(0, _U)
         self.vocabulary = every
-        self.weights = np.log1p(len(ordered) / np.maximum(items_with, 1))
-        #: Weight of a shingle that no item has: that of the rarest.
-        self.unknown = float(np.log1p(max(1, len(ordered))))
+        self.weights = self.weight(every)
         self.prints = []
         flat, times = [every[:0]], [np.zeros(0, np.int64)]
         for s in ordered:
@@ -90,10 +155,7 @@ class Index:
             self.bags.append((u, bag))
             self.totals.append(float(bag.sum()))
             self.prints.append(simhash(u, bag))
-        self.table: dict[tuple[int, int], list[int]] = {}
-        for i, print_ in enumerate(self.prints):
-            for key in blocks(print_, config.radius + 1):
-                self.table.setdefault(key, []).append(i)
+        self.index = MultiIndex(self.prints, config.radius + 1)
         # The items that have each shingle and how often, grouped by shingle.
         owner = np.repeat(np.arange(len(ordered)), [len(u) for u in flat[1:]])
         together = np.concatenate(flat)
@@ -105,12 +167,6 @@ class Index:
         self.glance[(every % _U(GLANCE)).astype(np.int64)] = True
         self.sizes = sorted({min(config.k, n) for n in self.lengths})
 
-    def weight(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.full(len(shingles), self.unknown)
-        at = np.minimum(np.searchsorted(self.vocabulary, shingles), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == shingles, self.weights[at], self.unknown)
-
     def hits(self, words: text.Words) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(shingle size, first words, vocabulary places) of the item shingles among all words."""
         found = []
@@ -154,7 +210,7 @@ class Index:
                 u, c = np.unique(sequence(hashes[start : start + length], config.k), return_counts=True)
                 bag = c * self.weight(u)
                 print_ = simhash(u, bag)
-                if not any(i in self.table.get(key, ()) for key in blocks(print_, config.radius + 1)):
+                if not self.index.near(print_, i):
                     continue
                 apart = (print_ ^ self.prints[i]).bit_count()
                 similarity = self.similarity(i, u, bag)
@@ -197,18 +253,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationC
     Of an item's windows in a document the most similar counts, the first of equals.
     Documents and items without words match nothing; an item of fewer than ``k`` words is
     one shingle; a document shorter than an item is one window. Rows that repeat an id are
-    searched one by one. Weights are those of the item's block of the benchmark.
+    searched one by one; an empty benchmark finds nothing. A null item id is reported as -1.
     """
     spark = docs.sparkSession
     items = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text_col].alias("body")).where("body is not null")
     rows = common.documents(docs, id_col, text_col).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     parts = max(1, -(-int(total) // config.block_bytes))
+    known = frequencies(items, config)
     out = None
     for part in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
         got = sorted((r["item"] if r["item"] is not None else -1, r["body"]) for r in own.collect())  # about block_bytes
-        found = _search(rows, spark.sparkContext.broadcast(Index([i for i, _ in got], [b for _, b in got], config)))
+        found = _search(rows, spark.sparkContext.broadcast(Index([i for i, _ in got], [b for _, b in got], config, known)))
         out = found if out is None else out.union(found)
     return out
 

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from nearvote.llm.decontamination import BITS, DecontaminationConfig, Index, blocks, contaminated, simhash
+from nearvote.llm.decontamination import BITS, DecontaminationConfig, Frequencies, Index, MultiIndex, blocks, contaminated, simhash
 from tests.llm.conftest import words
 
 
@@ -89,13 +89,51 @@ def test_reordered_and_repeated_passages_equal_brute_force(spark, docs):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_blocks_of_the_benchmark(spark, docs):
-    rows, items = planted(random.Random(3), 30)
-    exact = [(d, t) for d, t in rows if d >= 1000] + [(7, items[8][1])]
+def found(df):
+    return {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in df.collect()}
+
+
+def test_blocks_of_the_benchmark_change_nothing(spark, docs):
+    """Items share openings and ends, and passages lie about the threshold."""
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(300)]
+    opening, end = [[rng.choice(pool) for _ in range(8)] for _ in range(2)]
+    items = [(i, " ".join(opening + [rng.choice(pool) for _ in range(30)] + end)) for i in range(30)]
+    rows = []
+    for d in range(60):
+        part = words(items[d % 30][1])
+        for _ in range(d % 3):
+            part[rng.randrange(len(part))] = f"e{d}"
+        rows.append((d, " ".join([rng.choice(pool) for _ in range(20)] + part + [rng.choice(pool) for _ in range(20)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (found(contaminated(docs(rows), bench, DecontaminationConfig(block_bytes=n))) for n in (1 << 20, 900))
+    want = brute(rows, items)
+    assert one == many and set(one) == set(want) and len(one) > 20
+    assert any(0.8 <= x < 0.85 for x in one.values())
+
+
+def test_template_items_with_words_put_in(spark, docs):
+    """The best window stands at no place where a shingle of document and item meet."""
+    rng = random.Random(11)
+    opening, end = [f"a{i}" for i in range(5)], [f"z{i}" for i in range(5)]
+    items = [(i, " ".join(opening + [f"i{i}-{j}" for j in range(40)] + end)) for i in range(100)]
+    w = words(items[42][1])
+    rows = [(d, " ".join([f"n{d}-{j}" for j in range(30)] + w[:at] + ["new1", "new2"] + w[at:] + [f"m{d}-{j}" for j in range(30)])) for d, at in enumerate(range(3, 48, 4))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    one = {(r["doc_id"], r["item_id"]) for r in contaminated(docs(exact), bench).collect()}
-    many = {(r["doc_id"], r["item_id"]) for r in contaminated(docs(exact), bench, DecontaminationConfig(block_bytes=700)).collect()}
-    assert one == many and (1002, 3) in one and (1003, 4) in one and (7, 8) in one
+    got, want = found(contaminated(docs(rows), bench)), brute(rows, items)
+    assert want and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
+def test_multi_index_lookup():
+    rng = random.Random(12)
+    prints = [rng.getrandbits(BITS) for _ in range(200)]
+    index = MultiIndex(prints, 4)
+    for i, p in enumerate(prints):
+        near = p ^ sum(1 << b for b in rng.sample(range(BITS), 3))
+        assert index.near(p, i) and index.near(near, i)
+        assert index.near(rng.getrandbits(BITS), i) in (False, True)
+    assert not any(index.near(p ^ ((1 << BITS) - 1), i) for i, p in enumerate(prints))
+    assert not MultiIndex([], 4).near(0, 0)
 
 
 def test_multi_index_misses_no_fingerprint_within_the_radius():
@@ -125,4 +163,4 @@ def test_empty_tables_and_repeats(spark, docs):
     assert contaminated(docs([(1, "a b c d e f g")]), bench.limit(0)).count() == 0
     got = contaminated(docs([(5, "x a b c d e f g"), (5, "x a b c d e f g"), (None, "a b c d e f g")]), bench).collect()
     assert {r["doc_id"] for r in got} == {5, None} and all(r["similarity"] == 1 for r in got)
-    assert Index([], [], DecontaminationConfig()).sizes == []
+    assert Index([], [], DecontaminationConfig(), Frequencies(0, np.zeros((2, 1 << 20), np.uint32))).sizes == []
