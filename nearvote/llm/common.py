@@ -13,28 +13,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; where that is unset (tests), a local one.
+    """A fresh folder under ``spark.checkpoint.dir``, removed when the application's file systems close.
 
-    The folder is removed when the application's file systems close.
+    Where that is unset and all runs in one process (tests), a local one; a cluster without
+    the setting is an error, since its machines don't share their local folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="nearvote-")
     path = f"{root.rstrip('/')}/nearvote-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(target)
     fs.deleteOnExit(target)
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete intermediate tables that no result depends on any more."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 @contextlib.contextmanager
@@ -68,25 +82,30 @@ def fold(id_col: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def gapless(df: DataFrame, group: str, key: str, out: str, cells: int = 4096) -> DataFrame:
-    """Number the rows of each group 0, 1, ... without bringing a group together.
+#: Most rows of per-cell counts that are broadcast (about 40 bytes each).
+BROADCAST_CELLS = 1 << 18
+
+
+def gapless(df: DataFrame, group: str, key: str, out: str, groups: int, ties: tuple[str, ...] = (), cells: int = 4096) -> DataFrame:
+    """Number the rows of each of at most ``groups`` groups 0, 1, ... without bringing a group together.
 
     Rows go to ``cells`` cells by the md5 of ``key``; a row's number is the rows of its
-    group in earlier cells plus its rank (by key) in its own cell. Only the cells'
-    counts, at most ``cells`` a group, are summed in order. Rows with equal keys are
+    group in earlier cells plus its rank (by key, then ``ties``) in its own cell. Only the
+    cells' counts, at most ``cells`` a group, are summed in order; they are broadcast
+    unless there are more than ``BROADCAST_CELLS``. Rows equal in key and ties are
     ordered arbitrarily among themselves.
     """
     width = max(1, math.ceil(math.log(cells, 16)))
     cell = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, width)
     keyed = df.withColumn("_cell", cell)
-    from pyspark.sql import Window as W
-
     counts = keyed.groupBy(F.col(group).alias("_g"), F.col("_cell").alias("_c")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy("_g").orderBy("_c").rowsBetween(W.unboundedPreceding, -1))
     starts = counts.select("_g", "_c", F.coalesce(before, F.lit(0)).alias("_before"))
-    rank = F.row_number().over(W.partitionBy(group, "_cell").orderBy(F.col(key).asc_nulls_first())) - 1
+    if groups * 16**width <= BROADCAST_CELLS:
+        starts = F.broadcast(starts)
+    rank = F.row_number().over(W.partitionBy(group, "_cell").orderBy(F.col(key).asc_nulls_first(), *ties)) - 1
     ranked = keyed.withColumn("_rank", rank)
-    joined = ranked.join(starts, ranked[group].eqNullSafe(starts["_g"]) & (ranked["_cell"] == starts["_c"]), "left")
+    joined = ranked.join(starts, ranked[group].eqNullSafe(F.col("_g")) & (ranked["_cell"] == F.col("_c")))
     return joined.withColumn(out, (F.col("_before") + F.col("_rank")).cast("long")).drop("_cell", "_rank", "_before", "_g", "_c")
 
 
@@ -133,5 +152,6 @@ def components(spark: SparkSession, edges: DataFrame, path: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         now = store(small, f"{path}/edges{step}")
+        remove(spark, f"{path}/edges{step - 1}")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

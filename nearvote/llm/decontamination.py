@@ -255,44 +255,81 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationC
     one shingle; a document shorter than an item is one window. Rows that repeat an id are
     searched one by one; an empty benchmark finds nothing. A null item id is reported as -1.
     """
+    rows = common.documents(docs, id_col, text_col).where("text is not null")
+    out = None
+    for shared in _indexes(benchmark, config, item_col, item_text_col):
+        found = _search(rows, shared)
+        out = found if out is None else out.union(found)
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig = DecontaminationConfig(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a window that is similar to an item, each judged by its own text.
+
+    All columns stay, whatever their names; null and repeated ids don't matter. Rows without
+    words stay. With several blocks of items, what each leaves is written for the next one.
+    """
     spark = docs.sparkSession
+    at, schema, path = docs.columns.index(text_col), docs.schema, None
+    shared_by_block = _indexes(benchmark, config, item_col, item_text_col)
+    for number, shared in enumerate(shared_by_block, 1):
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for row, *_ in matches(shared.value, batch.column(at)):
+                    clean[row] = False
+                yield batch if clean.all() else batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, schema)
+        if number < len(shared_by_block):
+            path = path or common.shared_dir(spark)
+            docs = common.store(docs, f"{path}/left{number}")
+    return docs
+
+
+def _indexes(benchmark: DataFrame, config: DecontaminationConfig, item_col: str, item_text_col: str) -> list:
+    """The broadcast index of every block of items, of about ``block_bytes`` of text."""
+    spark = benchmark.sparkSession
     items = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text_col].alias("body")).where("body is not null")
-    rows = common.documents(docs, id_col, text_col).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     parts = max(1, -(-int(total) // config.block_bytes))
     known = frequencies(items, config)
-    out = None
+    out = []
     for part in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "body"), F.lit(parts)) == part)
         got = sorted((r["item"] if r["item"] is not None else -1, r["body"]) for r in own.collect())  # about block_bytes
-        found = _search(rows, spark.sparkContext.broadcast(Index([i for i, _ in got], [b for _, b in got], config, known)))
-        out = found if out is None else out.union(found)
+        out.append(spark.sparkContext.broadcast(Index([i for i, _ in got], [b for _, b in got], config, known)))
     return out
 
 
+def matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, float, int, int, int]]:
+    """(row, item, similarity, first word, words, bits apart) of the texts in ``column``."""
+    if not len(index.vocabulary):
+        return
+    for a, _, words in text.iterate(column):
+        by_row: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for k, places, shingles in index.hits(words):
+            row = np.searchsorted(words.first, places, "right") - 1
+            # A run of words across two documents is no shingle.
+            inside = places + k <= words.first[row + 1]
+            row, places, shingles = row[inside], places[inside], shingles[inside]
+            for r in np.unique(row).tolist():
+                own = row == r
+                by_row.setdefault(r, []).append((places[own] - words.first[r], shingles[own]))
+        for r, hits in sorted(by_row.items()):
+            for found in index.search(words.hashes[words.first[r] : words.first[r + 1]], hits):
+                yield a + r, *found
+
+
 def _search(rows: DataFrame, shared) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("bits_apart", T.IntegerType())])
     arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("bits_apart", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
-            ids, found = batch.column(0), []
-            if not len(index.vocabulary):
-                continue
-            for a, b, words in text.iterate(batch.column(1)):
-                by_row: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-                for k, places, shingles in index.hits(words):
-                    row = np.searchsorted(words.first, places, "right") - 1
-                    # A run of words across two documents is no shingle.
-                    inside = places + k <= words.first[row + 1]
-                    row, places, shingles = row[inside], places[inside], shingles[inside]
-                    for r in np.unique(row).tolist():
-                        own = row == r
-                        by_row.setdefault(r, []).append((places[own] - words.first[r], shingles[own]))
-                for r, hits in sorted(by_row.items()):
-                    hashes = words.hashes[words.first[r] : words.first[r + 1]]
-                    found += [(ids[a + r].as_py(), *x) for x in index.search(hashes, hits)]
+            ids = batch.column(0)
+            found = [(ids[row].as_py(), *x) for row, *x in matches(shared.value, batch.column(1))]
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [[]] * 6, arrow)], schema=arrow)
 
     return rows.select("id", "text").mapInArrow(scan, schema)

@@ -441,6 +441,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     linked = common.components(spark, star_links.union(rest_links).union(same_id), f"{path}/cc2")
 
     rep_of = common.store(classes_of.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("shared")), f"{path}/classes")
+    common.remove(spark, *(f"{path}/{x}" for x in ("entries", "lists", "open", "star", "rest", "cc1", "cc2")))
     # Popular texts: a thousandth of all rows each or more, so a thousand at most.
     popular = F.broadcast(rep_of.where(F.col("copies") * 1000 >= filled.count()).select("digest", F.col("shared").alias("known")))
     marked = filled.join(popular, "digest", "left")

@@ -94,7 +94,7 @@ def pack(docs: DataFrame, config: PackingConfig = PackingConfig(), length: Colum
         beyond = F.col("n_tokens") > bounds[i - 1]
         bucket, upper = F.when(beyond, F.lit(i)).otherwise(bucket), F.when(beyond, F.lit(b).cast("long")).otherwise(upper)
     placed = rows.select("doc_id", "n_tokens", bucket.cast("int").alias("bucket"), upper.alias("bucket_length"))
-    numbered = common.gapless(placed, "bucket", "doc_id", "at")
+    numbered = common.gapless(placed, "bucket", "doc_id", "at", config.buckets, ("n_tokens",))
     each = F.greatest(F.lit(1).cast("long"), F.expr(f"{config.budget}L div greatest(bucket_length, 1L)"))
     return numbered.withColumn("each", each).select(
         "doc_id",

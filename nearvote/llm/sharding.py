@@ -65,5 +65,5 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
         jump_column(shards)(key).alias("shard"),
         jump_column(shards + 1)(key).alias("grown_shard"),
     )
-    numbered = common.gapless(rows, "shard", "doc_id", "slot")
+    numbered = common.gapless(rows, "shard", "doc_id", "slot", shards, ("size", "text_crc32"))
     return numbered.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -73,6 +73,34 @@ def test_every_stage_by_brute_force(spark, folder, tmp_path):
         state = after
 
 
+def test_odd_ids_and_clashing_columns(spark, folder, tmp_path):
+    """Equal rows, null and repeated ids, and columns called as the stages' helpers might be."""
+    path, labelled, items = folder
+    names = ("toxicity", "_toxicity", "number", "_kept", "_leak", "component_id", "digest", "base", "spans", "item_id", "kept", "body")
+    rng = random.Random(4)
+    own = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4)]
+    leak = own[1][:80] + " " + items[2][1] + " " + own[1][80:]
+    rows = [(7, own[0]), (7, own[0]), (None, own[0]), (None, own[0]), (8, own[1]), (8, leak), (None, leak), (9, own[2] + " idiot"), (None, "scum " + own[2]), (None, None), (None, None), (3, ""), (3, ""), (None, own[3] + " password=abcdefgh12345678")]
+    rows += [(i, t) for i, t in labelled if i % 2 and 10 < i < 900]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t) if t else None, *[f"{n}!" for n in names]) for i, t in rows], schema)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.store(stage(spark, docs, path), f"file://{tmp_path}/{name}")
+        assert docs.columns == columns
+        got = docs.collect()
+        assert all(r[n] == f"{n}!" for r in got for n in names)
+        if name == "toxicity":
+            assert not any(own[2] in (r["text"] or "") for r in got) and sum(r["doc_id"] is None for r in got) == 6
+        if name == "ngram_jaccard_join":
+            assert sum(r["text"] == own[0] for r in got) == 1 and [r["doc_id"] for r in got if r["text"] == own[0]] == [7]
+            assert sum(not r["text"] for r in got) == 4
+        if name == "decontamination":
+            assert [r["text"] for r in got if r["doc_id"] == 8] == [own[1]] and not any(r["text"] == leak for r in got)
+    assert any(r["text"] == own[3] + " [secret]" for r in got)
+    assert corpus_pipeline.pack_batches(spark, docs, path).count() == len(got)
+
+
 def test_run_chains_the_stages(spark, folder):
     path, rows, _ = folder
     got = corpus_pipeline.run(spark, path)

@@ -54,10 +54,11 @@ def test_shards_of_odd_texts(docs, odd_texts):
     assert assign_shards(docs([])).count() == 0
 
 
-def test_gapless_numbers_every_group(spark):
+@pytest.mark.parametrize("groups", [4, 10**6])
+def test_gapless_numbers_every_group(spark, groups):
     df = spark.createDataFrame([(i % 3 if i % 7 else None, i) for i in range(500)], "g int, k long")
     got = {}
-    for r in common.gapless(df, "g", "k", "at").collect():
+    for r in common.gapless(df, "g", "k", "at", groups).collect():
         got.setdefault(r["g"], []).append(r["at"])
     assert len(got) == 4 and all(sorted(v) == list(range(len(v))) for v in got.values())
 
