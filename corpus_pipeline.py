@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each one's
 result as Parquet in the shared folder and hands it to the next. All stages but the last
-return the columns of ``documents``.
+return the columns of ``documents``. Other columns pass through unchanged, whatever they are called.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearvote.llm import common
-from nearvote.llm.decontamination import contaminated
+from nearvote.llm.decontamination import decontaminate
 from nearvote.llm.ngram_join import ngram_jaccard_join
 from nearvote.llm.packing import pack
 from nearvote.llm.secrets import redact
@@ -23,36 +23,60 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below 0.5 by the factorization machine, learnt from ``labels``."""
+    """Documents scored below 0.5 by the factorization machine, learnt from ``labels``.
+
+    Every row is judged by its text alone, so null and repeated ids and equal rows don't matter.
+    A null or empty text has the base rate of the labels. Without labels of both kinds nothing
+    is dropped unless all labels are toxic; an empty table stays empty.
+    """
     config = ToxicityConfig()
+    out = common.fresh(docs.columns, "toxicity")
     model = train(sample(docs, _table(spark, sf_dir, "labels"), config, "doc_id", "text", "toxic", None), config)
-    scored = score(docs, model, config, out="_toxicity")
-    return scored.where("_toxicity < 0.5").select(*docs.columns)
+    return score(docs, model, config, out=out).where(F.col(out) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked by a Jaccard similarity
-    of 0.8 or more of five-word shingles."""
-    groups = ngram_jaccard_join(docs, k=5, percent=80)
-    kept = groups.where("component_id is null or component_id = doc_id").select(F.col("doc_id").alias("_kept"))
-    whole = docs.join(kept.where("_kept is not null").distinct(), F.col("doc_id") == F.col("_kept"), "left_semi")
-    return whole.union(docs.where("doc_id is null")).select(*docs.columns)
+    """One row, that of the least id, of each group linked by a Jaccard similarity of 0.8 or
+    more of five-word shingles.
+
+    Rows without words all stay. Where ids are null or repeat, rows are told apart by a number
+    in the order of their ids (nulls last), so of equal rows one stays here too.
+    """
+    key = "doc_id"
+    if not docs.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
+        number = common.fresh(docs.columns, "number")
+        ordered = docs.orderBy(F.col(key).asc_nulls_last()).withColumn(number, F.monotonically_increasing_id())
+        numbered, key = common.store(ordered, f"{common.shared_dir(spark)}/numbered"), number
+    else:
+        numbered = docs
+    groups = ngram_jaccard_join(numbered, k=5, percent=80, id_col=key)
+    kept = groups.where("component_id = doc_id").select(F.col("doc_id").alias(key))
+    return numbered.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window that is 0.8 similar or more to a benchmark item."""
-    found = contaminated(docs, _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_leak"), "left_anti").select(*docs.columns)
+    """Documents without a window that is 0.8 similar or more to a benchmark item.
+
+    Every row is judged by its own text: null and repeated ids and equal rows don't matter. Rows
+    without words stay; an empty benchmark drops nothing.
+    """
+    return decontaminate(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by a mark; ``n_chars`` follows the text."""
+    """All documents, each secret replaced by a mark; ``n_chars`` follows the text.
+
+    All rows stay, equal ones too; a null text and its ``n_chars`` stay as they are.
+    """
     clean = redact(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of every document that is left."""
+    """Bucket, batch and slot of every document that is left.
+
+    A null text has no words; rows that repeat an id, or have none, get slots of their own.
+    """
     return pack(docs)
 
 
