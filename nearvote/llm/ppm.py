@@ -13,6 +13,8 @@ count, and shorter contexts are sums of longer ones, so only the deepest level i
 All nodes count. A trie of up to ``max_nodes`` is broadcast; of a larger one only the exact
 prices of its most frequent nodes are, and the other grams of the texts meet the nodes
 in a shuffle by the two bytes before the priced one, which leaves every longer context whole.
+Likewise the ``max_words`` most frequent words are broadcast and others joined by a shuffle, so
+no key that many texts have is shuffled.
 """
 
 from __future__ import annotations
@@ -291,25 +293,25 @@ def score_texts(docs: DataFrame, config: LmConfig = LmConfig(), id_col: str = "d
     total, distinct = stats["n"] or 0, (stats["v"] or 0) + (ends > 0)
     nodes = counts.where("kind = 0")
     size = nodes.count()
-    if size > config.max_nodes:
-        table = spark.sparkContext.broadcast(_arrays(words)) if stats["v"] <= config.max_words else None
-        return _finished(_spread(rows, nodes, size, words, table, total, distinct, ends, config), folds, held, total)
+    complete = stats["v"] <= config.max_words
+    frequent = words if complete else words.where(F.col("n") >= _least(words, config.max_words))
+    table = spark.sparkContext.broadcast(_arrays(frequent))  # max_words
+    if size > config.max_nodes or not complete:
+        return _finished(_spread(rows, nodes, size, words, table, complete, total, distinct, ends, config), folds, held, total)
     trie = spark.sparkContext.broadcast(build_trie(counts, config))  # max_nodes
-    if stats["v"] <= config.max_words:
-        return _finished(_scored(rows, trie, spark.sparkContext.broadcast(_arrays(words)), total, distinct, ends), folds, held, total)
-    return _finished(_joined(rows, trie, words, total, distinct, ends), folds, held, total)
+    return _finished(_scored(rows, trie, table, total, distinct, ends), folds, held, total)
 
 
 SCORED = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
 
 def _scored(rows: DataFrame, trie, table, total: int, distinct: int, ends: int) -> DataFrame:
-    """Word counts from a broadcast table; ``table`` None leaves the words' part out."""
+    """Nodes and word counts from broadcast tables."""
     base = float(total + distinct + 1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = trie.value
-        keys, counts = table.value if table is not None else (np.zeros(0, _U), np.zeros(0, np.int64))
+        keys, counts = table.value
         for batch in batches:
             data, offsets = text.buffers(batch.column(1))
             for a, b in text.groups(offsets):
@@ -327,47 +329,12 @@ def _scored(rows: DataFrame, trie, table, total: int, distinct: int, ends: int)
     return rows.select("id", "text").mapInArrow(scan, SCORED)
 
 
-def _joined(rows: DataFrame, trie, words: DataFrame, total: int, distinct: int, ends: int) -> DataFrame:
-    """The same with the word counts joined by a shuffle, for any number of words."""
-    base = float(total + distinct + 1)
-    numbered = common.store(rows.withColumn("row", F.monotonically_increasing_id()), f"{common.shared_dir(rows.sparkSession)}/rows")
-    entries = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("times", T.LongType()), T.StructField("score", T.DoubleType())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = trie.value
-        for batch in batches:
-            data, offsets = text.buffers(batch.column(2))
-            for a, b in text.groups(offsets):
-                own, cut, n = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], b - a
-                coded, owner = grams(text.LOWER[own], cut, model.config.order)
-                score = np.bincount(owner, model.price(coded), n)
-                words = text.Words(own, cut)
-                order = np.lexsort((words.hashes, words.rows()))
-                key, row = words.hashes[order], words.rows()[order]
-                first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])))) if len(key) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(key)))
-                # The end of the text is one more entry, without a key; it carries the score.
-                at = pa.array(np.concatenate([row[first], np.arange(n)]))
-                keys = pa.concat_arrays([pa.array(key[first].view(np.int64)), pa.nulls(n, pa.int64())])
-                yield pa.record_batch([batch.column(0).slice(a, n).take(at), batch.column(1).slice(a, n).take(at), keys, pa.array(np.concatenate([times, np.ones(n, np.int64)])), pa.array(np.concatenate([np.zeros(len(first)), score]))], names=entries.names)
-
-    listed = numbered.select("row", "id", "text").mapInArrow(scan, entries)
-    counted = listed.join(words.select("key", F.col("n").alias("c")), "key", "left")
-    c = F.when(F.col("key").isNull(), F.lit(ends)).otherwise(F.coalesce("c", F.lit(0)))
-    return counted.groupBy("row", "id").agg(
-        F.sum("times").alias("n_tokens"),
-        F.coalesce(F.sum(F.when(c > 0, F.col("times"))), F.lit(0)).cast("long").alias("n_known"),
-        F.sum(F.col("times") * F.log10((c + 1) / F.lit(base))).alias("base_score"),
-        F.sum("score").alias("score"),
-    )
-
-
 #: What a text adds to its score: its own row (kind 2), words (1) and grams (0) to be joined.
 ENTRIES = T.StructType([T.StructField("kind", T.IntegerType()), *SCORED.fields, T.StructField("key", T.LongType())])
 
 
-def _spread(rows: DataFrame, nodes: DataFrame, size: int, words: DataFrame, table, total: int, distinct: int, ends: int, config: LmConfig) -> DataFrame:
-    """The same for any number of nodes; ``table``: broadcast word counts, or None to join them too."""
+def _spread(rows: DataFrame, nodes: DataFrame, size: int, words: DataFrame, table, complete: bool, total: int, distinct: int, ends: int, config: LmConfig) -> DataFrame:
+    """The same for any number of nodes and words; ``complete``: ``table`` has all words, none is joined."""
     spark = rows.sparkSession
     base = float(total + distinct + 1)
     shared = spark.sparkContext.broadcast(frequent_prices(nodes, config))  # max_nodes
@@ -383,7 +350,7 @@ def _spread(rows: DataFrame, nodes: DataFrame, size: int, words: DataFrame, tabl
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prices = shared.value
-        keys, counts = table.value if table is not None else (np.zeros(0, _U), np.zeros(0, np.int64))
+        keys, counts = table.value
         for batch in batches:
             data, offsets = text.buffers(batch.column(2))
             for a, b in text.groups(offsets):
@@ -394,16 +361,15 @@ def _spread(rows: DataFrame, nodes: DataFrame, size: int, words: DataFrame, tabl
                 rare = np.isnan(price)
                 score = np.bincount(owner, np.where(rare, 0.0, price), n)
                 found = text.Words(own, cut)
-                tokens, known = np.ones(n, np.int64), np.full(n, int(ends > 0))
-                logs = np.full(n, np.log10((ends + 1) / base))
-                if table is None:
-                    yield joined(1, number, found.hashes, found.rows())
-                else:
-                    at = _find(keys, found.hashes)
-                    c = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
-                    tokens = tokens + found.counts()
-                    known = known + np.bincount(found.rows(), c > 0, n).astype(np.int64)
-                    logs = logs + np.bincount(found.rows(), np.log10((c + 1) / base), n)
+                at, row = _find(keys, found.hashes), found.rows()
+                here = np.ones(len(at), bool) if complete else at >= 0
+                if not complete:
+                    yield joined(1, number, found.hashes[~here], row[~here])
+                c = np.where(at >= 0, counts[at] if len(counts) else 0, 0)[here]
+                row = row[here]
+                tokens = np.bincount(row, minlength=n) + 1
+                known = np.bincount(row, c > 0, n).astype(np.int64) + (ends > 0)
+                logs = np.bincount(row, np.log10((c + 1) / base), n) + np.log10((ends + 1) / base)
                 yield joined(0, number, coded[rare], owner[rare])
                 yield pa.record_batch([pa.array(np.full(n, 2), pa.int32()), number, batch.column(1).slice(a, n), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(score, pa.float64()), pa.nulls(n, pa.int64())], names=ENTRIES.names)
 
@@ -411,7 +377,7 @@ def _spread(rows: DataFrame, nodes: DataFrame, size: int, words: DataFrame, tabl
     entries = common.store(numbered.mapInArrow(scan, ENTRIES), f"{common.shared_dir(spark)}/entries")
     parts = entries.where("kind = 2").select(SCORED.names)
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-    if table is None:
+    if not complete:
         listed = entries.where("kind = 1").select("row", "key", "n_tokens").join(words.select("key", F.col("n").alias("c")), "key", "left")
         logs = F.col("n_tokens") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(base))
         parts = parts.union(listed.select("row", none, "n_tokens", F.when(F.col("c") > 0, F.col("n_tokens")).otherwise(zero), logs, F.lit(0.0)))

@@ -90,7 +90,7 @@ def test_shuffled_word_counts_give_the_same(docs):
 
 def test_more_nodes_than_the_bound_give_the_same(docs):
     rows = corpus(50, 3) + [(500, None), (501, ""), (503, "\U0001f600 世界 QZ"), (None, "the x1")]
-    for order, max_nodes, max_words in ((4, 50, 1 << 22), (3, 0, 0), (1, 10, 1 << 22)):
+    for order, max_nodes, max_words in ((4, 50, 1 << 22), (3, 0, 0), (1, 10, 1 << 22), (2, 1 << 21, 20)):
         got = score_texts(docs(rows), LmConfig(order=order, max_nodes=max_nodes, max_words=max_words)).collect()
         assert len(got) == len(rows)
         train = [(i if i is not None else "", t) for i, t in rows]
