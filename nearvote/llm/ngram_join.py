@@ -16,8 +16,9 @@ Distributed form:
 3. ``inverted``: the postings go by token to cells of bounded size, as packed arrays. A
    list of one member, nine of ten postings, ends there. A token that the sketch calls
    frequent is spread over as many cells as its frequency asks for.
-4. ``star round``: in each list each member is paired with the list's least member, its
-   pivot (with several cells: the cell's, and those with the least of them).
+4. ``star round``: in each list each member is paired with the list's least member and, in a
+   longer list, with those at its quarters, its pivots (with several cells: the cell's; their
+   least members with the least of all).
 5. ``rest round``: lists whose members all lie in one component are done. In the others
    the members outside the largest component are searched against all members; so a
    large group of near copies costs its size and not its square.
@@ -56,6 +57,8 @@ FILTER_BITS = 1 << 25
 CHUNK = 64
 #: Postings of a cell, about.
 CELL = 1 << 19
+#: Pivots of a list of at least twice as many members; a shorter one has one.
+PIVOTS = 4
 #: Bits of a rank below the frequency class.
 RANK_BITS = 56
 
@@ -221,16 +224,17 @@ def postings(docs: DataFrame, config: JoinConfig, classes: np.ndarray) -> DataFr
 
 
 def inverted(entries: DataFrame, config: JoinConfig) -> DataFrame:
-    """(token, id, n, pos, head, pivot) of the inverted lists that may have several members.
+    """(token, id, n, pos, head, pivots) of the inverted lists that may have several members.
 
-    ``head`` marks the least member of a list's part in a cell, ``pivot`` is its id where sizes
-    and positions let the member link with it. A task holds one cell, about ``CELL`` postings.
+    ``head`` marks the least member of a list's part in a cell. ``pivots`` has the ids of the
+    part's pivots, null for those with which sizes and positions do not let the member link. A
+    task holds one cell, about ``CELL`` postings.
     """
     total = entries.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     cells = max(1, -(-int(total) // CELL))
     kinds = (("token", "<i8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4"))
     packed = T.StructType([T.StructField("cell", T.LongType()), *(T.StructField(c, T.BinaryType()) for c, _ in kinds)])
-    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("head", T.BooleanType()), T.StructField("pivot", T.LongType())])
+    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("head", T.BooleanType()), T.StructField("pivots", T.ArrayType(T.LongType()))])
     percent = config.percent
 
     def send(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -268,10 +272,16 @@ def inverted(entries: DataFrame, config: JoinConfig) -> DataFrame:
         keep = np.repeat((size > 1) | (token[start] >> RANK_BITS > 0), size)
         top = np.repeat(start, size)[keep]
         token, own, m, at = token[keep], ids[keep], n[keep].astype(np.int64), pos[keep]
-        other, k = ids[top], n[top].astype(np.int64)
-        overlap = np.minimum(m - at, k - pos[top])
-        apart = (own == other) | (100 * np.minimum(m, k) < percent * np.maximum(m, k)) | (100 * overlap < percent * (m + k - overlap))
-        return pa.table({"token": token, "id": own, "n": pa.array(m, pa.int32()), "pos": pa.array(at, pa.int32()), "head": np.flatnonzero(keep) == top, "pivot": pa.array(other, mask=apart)})
+        step = np.repeat(np.where(size >= 2 * PIVOTS, size, 0), size)[keep]
+        found, useless = [], []
+        for quarter in range(PIVOTS):
+            place = top + step * quarter // PIVOTS
+            other, k = ids[place], n[place].astype(np.int64)
+            overlap = np.minimum(m - at, k - pos[place])
+            found.append(other)
+            useless.append((own == other) | (100 * np.minimum(m, k) < percent * np.maximum(m, k)) | (100 * overlap < percent * (m + k - overlap)) | ((quarter > 0) & (step == 0)))
+        pivots = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * PIVOTS, pa.int32()), pa.array(np.stack(found, axis=1).ravel(), mask=np.stack(useless, axis=1).ravel()))
+        return pa.table({"token": token, "id": own, "n": pa.array(m, pa.int32()), "pos": pa.array(at, pa.int32()), "head": np.flatnonzero(keep) == top, "pivots": pivots})
 
     return entries.select("id", "n", "prefix").mapInArrow(deal, packed).groupBy("cell").applyInArrow(group, schema)
 
@@ -418,7 +428,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     entries = common.store(postings(rows, config, classes).join(reps, "id", "left_semi"), f"{path}/entries")
     lists = common.store(inverted(entries, config), f"{path}/lists")
 
-    pairs = lists.where("pivot is not null").select(F.col("pivot").alias("u"), F.col("id").alias("v"))
+    pairs = lists.select("id", F.explode("pivots").alias("pivot")).where("pivot is not null").select(F.least("pivot", "id").alias("u"), F.greatest("pivot", "id").alias("v"))
     heads = lists.where(F.col("head") & (F.col("token") >= 1 << RANK_BITS)).select("token", F.struct("id", "n", "pos").alias("b"))
     least = heads.groupBy("token").agg(F.min("b").alias("a"))
     parts = heads.join(least, "token").where((F.col("a.id") != F.col("b.id")) & _allowed("a", "b", percent))
@@ -428,11 +438,12 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     named = lists.select("token", "id", "n", "pos").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = named.groupBy("token", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("size", F.negative("component").alias("minus"))).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("members")).where("parts > 1").select("token", "members", F.negative("top.minus").alias("main"))
-    open_lists = common.store(named.join(largest, "token"), f"{path}/open")
+    sketches = entries.select("id", F.col("n").cast("int").alias("n"), "parity")
+    open_lists = common.store(named.join(largest, "token").join(sketches, ["id", "n"]), f"{path}/open")
     cells = F.ceil(F.col("members") / 4096)
     apart = open_lists.where("component <> main").withColumn("cell", F.explode(F.sequence(F.lit(0), (cells - 1).cast("int")))).alias("a")
     whole = open_lists.withColumn("cell", F.pmod(F.xxhash64("id"), cells).cast("int")).alias("b")
-    rest = apart.join(whole, (F.col("a.token") == F.col("b.token")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & _allowed("a", "b", percent))
+    rest = apart.join(whole, (F.col("a.token") == F.col("b.token")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & _allowed("a", "b", percent) & _near(F.col("a.parity"), F.col("b.parity"), F.col("a.n"), F.col("b.n"), percent))
     rest_links = linking(rows, rest.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")), entries, config, f"{path}/rest")
     # Rows that repeat an id are one vertex: what their classes reach belongs together.
     several = filled.where("id is not null").groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id")
