@@ -51,12 +51,12 @@ _U = np.uint64
 SKETCH_CELLS, SKETCH_ROWS, SKETCH_BLOCKS = 1 << 18, 2, 32
 #: Bits of the parity sketch.
 PARITY = 512
-#: Bits of the filter that says whose sets a verification needs.
+#: Most bits of the filter that says whose sets a verification needs.
 FILTER_BITS = 1 << 25
 #: Candidates that one verification group indexes at a time.
 CHUNK = 64
 #: Postings of a cell, about.
-CELL = 1 << 19
+CELL = 1 << 18
 #: Pivots of a list of at least twice as many members; a shorter one has one.
 PIVOTS = 4
 #: Bits of a rank below the frequency class.
@@ -348,12 +348,13 @@ def verify(docs: DataFrame, pairs: DataFrame, config: JoinConfig, path: str) ->
     spark = docs.sparkSession
     pairs = common.store(pairs.select("u", "v"), f"{path}/pairs")
     schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
-    if pairs.isEmpty():
+    count = pairs.count()
+    if not count:
         return spark.createDataFrame([], schema)
     fan = pairs.groupBy("u").agg(F.count("*").alias("fan"))
     chunked = pairs.join(fan, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("fan") / CHUNK)).alias("chunk"))
     rows = chunked.select("u", "chunk", F.col("v").alias("id")).union(chunked.select("u", "chunk", F.col("u").alias("id")).distinct())
-    sets = _needed_sets(docs, rows.select("id").distinct(), config)
+    sets = _needed_sets(docs, rows.select("id").distinct(), config, min(FILTER_BITS, max(1 << 16, 1 << (64 * count).bit_length())))
     percent = config.percent
 
     def check(table: pa.Table) -> pa.Table:
@@ -368,18 +369,18 @@ def verify(docs: DataFrame, pairs: DataFrame, config: JoinConfig, path: str) ->
     return rows.join(sets, "id").groupBy("u", "chunk").applyInArrow(check, schema)
 
 
-def _needed_sets(docs: DataFrame, ids: DataFrame, config: JoinConfig) -> DataFrame:
+def _needed_sets(docs: DataFrame, ids: DataFrame, config: JoinConfig, size: int) -> DataFrame:
     """(id, shingles) of the documents in ``ids`` (and a few others, which joins drop).
 
-    A bit filter of fixed size spares most documents the way through a shuffle.
+    A filter of ``size`` bits spares most documents the way through a shuffle.
     """
     spark = docs.sparkSession
     block_bits = 1 << 16
-    flagged = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
+    flagged = ids.select(F.pmod(F.xxhash64("id"), F.lit(size)).alias("bit"))
     schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("payload", T.BinaryType())])
 
     def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
             bits[batch.column(0).to_numpy(zero_copy_only=False)] = True
         rows = bits.reshape(-1, block_bits)
@@ -387,10 +388,10 @@ def _needed_sets(docs: DataFrame, ids: DataFrame, config: JoinConfig) -> DataFra
         yield pa.record_batch([pa.array(own, pa.int32()), pa.array([np.packbits(rows[i]).tobytes() for i in own], pa.binary())], names=["block", "payload"])
 
     merged = common.add_up(flagged.mapInArrow(bitmaps, schema), "block", "payload", "u1", "or", 16)
-    packed = np.zeros((FILTER_BITS // block_bits, block_bits // 8), np.uint8)
+    packed = np.zeros((size // block_bits, block_bits // 8), np.uint8)
     for block, vector in merged.items():
         packed[block] = vector
-    shared = spark.sparkContext.broadcast(packed.reshape(-1))  # FILTER_BITS / 8 bytes
+    shared = spark.sparkContext.broadcast(packed.reshape(-1))  # size / 8 bytes
     out = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,7 +406,7 @@ def _needed_sets(docs: DataFrame, ids: DataFrame, config: JoinConfig) -> DataFra
                 yield pa.record_batch([kept.column(0).slice(row, end - row), pa.array(raw, pa.binary())], names=["id", "shingles"])
                 row = end
 
-    return docs.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit")).mapInArrow(scan, out)
+    return docs.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(size)).alias("bit")).mapInArrow(scan, out)
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,6 @@ take it away. All others are left out, so length alone moves no score.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,6 +47,7 @@ class ToxicityConfig:
     pair_terms: int = 2048
     pair_rows: int = 10
     epochs: int = 30
+    batch: int = 16
     rate: float = 0.1
     decay: float = 1e-4
     seed: int = 11
@@ -117,7 +117,7 @@ def train(rows: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> Model:
 
 
 def fit(lists: list[np.ndarray], labels: np.ndarray, config: ToxicityConfig) -> Model:
-    """Screen the buckets, then AdaGrad on the logistic loss, row by row."""
+    """Screen the buckets, then AdaGrad on the logistic loss, a few rows at a time."""
     slots = np.full(config.buckets, -1, np.int32)
     positive, n = labels.sum(), len(labels)
     share = positive / n if n else 0.0
@@ -184,26 +184,34 @@ def descend(lists: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, confi
     bias, grown_bias = float(_logit(labels.mean())), 1e-6
     short = [s[s >= 0] for s in (slots[x] for x in lists)]
     for _ in range(config.epochs):
-        for i in rng.permutation(len(labels)):
-            x = short[i]
-            if not x.size:  # most rows: only the bias is at work
-                g = 1 / (1 + math.exp(-bias)) - labels[i]
-                grown_bias += g * g
-                bias -= config.rate * g / math.sqrt(grown_bias)
-                continue
-            v = factors[x]
-            total = v.sum(axis=0)
-            z = bias + weights[x].sum() + 0.5 * float(total @ total - (v * v).sum())
-            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i]
-            grown_bias += g * g
-            bias -= config.rate * g / np.sqrt(grown_bias)
-            gw = g + config.decay * weights[x]
-            grown[x] += gw * gw
-            weights[x] -= config.rate * gw / np.sqrt(grown[x])
-            gv = g * (total - v) + config.decay * v
-            grown_factors[x] += gv * gv
-            factors[x] -= config.rate * gv / np.sqrt(grown_factors[x])
-    return Model(bias, slots, weights, factors)
+        order = rng.permutation(len(labels))
+        for begin in range(0, len(order), config.batch):
+            own = order[begin : begin + config.batch]
+            sizes = np.array([len(short[i]) for i in own])
+            row, at = np.repeat(np.arange(len(own)), sizes), np.concatenate([short[i] for i in own])
+            z = np.full(len(own), bias)
+            if at.size:
+                v = factors[at]
+                some = np.flatnonzero(sizes)
+                first = (np.cumsum(sizes) - sizes)[some]
+                total = np.zeros((len(own), config.factors))
+                total[some] = np.add.reduceat(v, first)
+                z += np.bincount(row, weights[at], len(own))
+                z[some] += 0.5 * ((total[some] ** 2).sum(axis=1) - np.add.reduceat((v * v).sum(axis=1), first))
+            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[own]
+            step = g.sum()
+            grown_bias += step * step
+            bias -= config.rate * step / np.sqrt(grown_bias)
+            if at.size:
+                by_term = np.argsort(at, kind="stable")
+                used, first = np.unique(at[by_term], return_index=True)
+                gw = np.add.reduceat(g[row][by_term], first) + config.decay * weights[used]
+                grown[used] += gw * gw
+                weights[used] -= config.rate * gw / np.sqrt(grown[used])
+                gv = np.add.reduceat((g[row, None] * (total[row] - v))[by_term], first) + config.decay * factors[used]
+                grown_factors[used] += gv * gv
+                factors[used] -= config.rate * gv / np.sqrt(grown_factors[used])
+    return Model(float(bias), slots, weights, factors)
 
 
 def _logit(p: float) -> float:
