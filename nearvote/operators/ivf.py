@@ -3,19 +3,31 @@
 The first pass scans ``nprobe`` clusters for each query. Its worst distance bounds the
 second: a cluster that the triangle inequality or its bounding box puts farther away
 can hold no neighbour. With repair the result equals brute force in fixed point for any
-clustering. Cluster metadata is small and broadcast; vectors move once, by cluster.
+clustering.
+
+Members never move. Queries are broadcast in blocks of a checked size with the clusters
+they probe; a pass is a map over the members' Arrow batches that measures, cluster by
+cluster, only the queries that want it, and shuffles k rows a query and batch at most.
+Where the members are a table in cluster order, row groups that no query wants are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearvote.config import ScoringConfig
 from nearvote.functions.vector import box_bound, quantize, squared_distance
-from nearvote.operators import knn
+from nearvote.operators import knn, knn_kernel
 from nearvote.operators.index import profile_verdicts
+from nearvote.sources.scratch import stored
 
 
 def centroid_distances(queries: DataFrame, clusters: DataFrame, dims: int) -> DataFrame:
@@ -48,26 +60,122 @@ def survivors(ranked: DataFrame, worst: DataFrame, nprobe: int, dims: int) -> Da
     return bounded.where(F.col("worst").isNull() | (F.col("lb") <= F.col("worst")))
 
 
+@dataclass(frozen=True)
+class Clusters:
+    """What is known of the non-empty clusters, by place; ids ascend."""
+
+    ids: np.ndarray
+    centroids: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    radius: np.ndarray
+
+    def far(self, q: np.ndarray) -> np.ndarray:
+        """(queries, clusters) squared distances to the centroids; whole numbers, so exact."""
+        return (q * q).sum(axis=1)[:, None] - 2 * (q @ self.centroids.T) + (self.centroids * self.centroids).sum(axis=1)[None, :]
+
+    def may_hold(self, place: int, q: np.ndarray, worst: np.ndarray) -> np.ndarray:
+        """Whether the cluster may hold something not farther than ``worst`` (NaN: anything)."""
+        open_ = np.isnan(worst)
+        reach = self.radius[place] + np.ceil(np.sqrt(np.maximum(np.where(open_, 0.0, worst), 0.0)))
+        step = q - self.centroids[place]
+        near = np.flatnonzero(open_ | ((step * step).sum(axis=1) <= reach * reach))
+        out = np.maximum(np.maximum(self.low[place] - q[near], q[near] - self.high[place]), 0)
+        left = np.zeros(len(q), bool)
+        left[near] = open_[near] | ((out * out).sum(axis=1) <= worst[near])
+        return left
+
+
+def fetch_clusters(clusters: DataFrame, dims: int) -> Clusters:
+    """The clusters on the driver: a few numbers for each dimension and cluster."""
+    table = clusters.select("cluster_id", "centroid", "low", "high", "radius").toArrow().sort_by("cluster_id").combine_chunks()
+    ids, *boxes, radius = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns)
+    return Clusters(ids.to_numpy(zero_copy_only=False), *(knn_kernel.matrix(c, dims) for c in boxes), radius.to_numpy(zero_copy_only=False).astype(np.float64))
+
+
+def probed(queries: DataFrame, known: Clusters, dims: int, nprobe: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, vectors, places of the probed clusters) of a block of fixed (qid, qv)."""
+    shared = queries.sparkSession.sparkContext.broadcast(known)
+    n = min(nprobe, len(known.ids))
+    schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("qv", T.ArrayType(T.DoubleType())), T.StructField("probes", T.ArrayType(T.IntegerType()))])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = knn_kernel.matrix(batch.column(1), dims)
+            # Equal distances: the lower id first.
+            first = np.argsort(shared.value.far(q), axis=1, kind="stable")[:, :n].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel())) for m in (q, first)]
+            yield pa.record_batch([batch.column(0), *lists], names=schema.names)
+
+    table = queries.select("qid", "qv").mapInArrow(choose, schema).toArrow().combine_chunks()
+    ids, q, places = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns)
+    return ids.to_numpy(zero_copy_only=False), knn_kernel.matrix(q, dims), places.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def scan_clusters(members: DataFrame, known: Clusters, block: tuple[np.ndarray, np.ndarray, np.ndarray], worst: np.ndarray | None, dims: int, k: int, exclude_self: bool) -> DataFrame:
+    """(qid, ref_id, fraud, d): of each member batch the k nearest of the probed clusters, or,
+    given ``worst`` distances, of the unprobed clusters that may hold something nearer.
+
+    A ``worst`` below 0 leaves its query out."""
+    shared = members.sparkSession.sparkContext.broadcast((known, block, worst))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, (qid, q, places), worst = shared.value
+        wanting: dict[int, np.ndarray] = {}
+        for batch in batches:
+            rid, fraud, cluster = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            r = knn_kernel.matrix(batch.column(3), dims)
+            for c in np.unique(cluster).tolist():
+                place = int(np.searchsorted(known.ids, c))
+                if c not in wanting:
+                    probing = (places == place).any(axis=1)
+                    wanting[c] = np.flatnonzero(probing if worst is None else ~probing & known.may_hold(place, q, worst))
+                own, rows = wanting[c], np.flatnonzero(cluster == c)
+                if not own.size:
+                    continue
+                at, to, d = knn_kernel.nearest_block(qid[own], q[own], rid[rows], r[rows], k, exclude_self)
+                yield pa.record_batch([pa.array(qid[own][at]), pa.array(rid[rows][to]), pa.array(fraud[rows][to], pa.int32()), pa.array(d)], names=knn_kernel.NEAREST.names)
+
+    return members.select("ref_id", "fraud", "cluster_id", "q").mapInArrow(scan, knn_kernel.NEAREST)
+
+
 def search(queries: DataFrame, members: DataFrame, clusters: DataFrame, dims: int, k: int, nprobe: int, repair: bool = True, exclude_self: bool = True, config: ScoringConfig = ScoringConfig()) -> DataFrame:
     """(qid, ref_id, fraud, d, rk): the k nearest in fixed point.
 
-    ``queries`` has float (qid, qv), ``members`` fixed (ref_id, q, fraud, cluster_id).
+    ``queries`` has float (qid, qv), ``members`` fixed (ref_id, q, fraud, cluster_id). The first
+    pass runs at once, block by block; its candidates are written to the shared folder.
     """
     fixed = queries.select("qid", quantize(F.col("qv")).alias("qv"))
-    order = probes(centroid_distances(fixed, clusters, dims), nprobe)
-    first = knn.ranked(scan(order.where(F.col("probe") <= nprobe), members, dims, exclude_self), k)
+    known = fetch_clusters(clusters, dims)
+    parts = [_search(part, members, known, dims, k, nprobe, repair, exclude_self, config) for part in knn.query_blocks(fixed, dims, config.block_bytes)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _search(queries: DataFrame, members: DataFrame, known: Clusters, dims: int, k: int, nprobe: int, repair: bool, exclude_self: bool, config: ScoringConfig) -> DataFrame:
+    block = probed(queries, known, dims, nprobe)
+    used = np.unique(block[2])
+    some = members
+    if len(used) < len(known.ids):
+        some = members.where(F.col("cluster_id").isin([int(known.ids[i]) for i in used]))
+    first = knn.ranked(scan_clusters(some, known, block, None, dims, k, exclude_self), k)
     if not repair:
         return first
-    first = first.persist()  # k rows a query, used three times below
-    state = first.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("d")).alias("worst"), F.sum("fraud").alias("frauds"), F.count("*").alias("found"))
-    skip = F.lit(False)
+    first = stored(first)
+    state = first.groupBy("qid").agg(F.max("d").alias("worst"), F.sum("fraud").alias("frauds"), F.count("*").alias("found"))
+    got = state.toArrow()  # a row for each query of the block
+    qid, worst, frauds, found = (got.column(i).to_numpy() for i in range(4))
+    skip = np.zeros(len(qid), bool)
     if config.unanimity_skip:
-        skip = skip | ((F.col("found") == k) & F.col("frauds").isin(0, k))
+        skip |= (found == k) & np.isin(frauds, (0, k))
     if config.deterministic_skip:
-        skip = skip | ((F.col("found") == k) & ((F.col("frauds") <= 1) | (F.col("frauds") >= k - 1)))
-    state = state.withColumn("skip", skip)
-    open_ = survivors(order, state.select("qid", "worst", "skip"), nprobe, dims).where(~F.coalesce("skip", F.lit(False)))
-    second = scan(open_, members, dims, exclude_self)
+        skip |= (found == k) & ((frauds <= 1) | (frauds >= k - 1))
+    bounds = np.full(len(block[0]), np.nan)  # too few candidates: no bound
+    order = np.argsort(block[0])
+    bounds[order[np.searchsorted(block[0], qid, sorter=order)]] = np.where(skip, -1.0, np.where(found == k, worst, np.nan))
+    second = scan_clusters(members, known, block, bounds, dims, k, exclude_self)
     return knn.ranked(first.drop("rk").unionByName(second), k)
 
 

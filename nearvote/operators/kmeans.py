@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearvote.operators import knn_kernel
+from nearvote.sources.scratch import stored
 
 
 def _numbered(vectors: DataFrame) -> DataFrame:
@@ -70,6 +71,7 @@ def fit(vectors: DataFrame, k: int, dims: int, iterations: int = 20) -> tuple[Da
     so lineage does not grow.
     """
     spark = vectors.sparkSession
+    vectors = stored(vectors)  # read in every round
     schema = "cluster_id int, centroid array<double>"
     centroids = spark.createDataFrame(seeds(vectors, k).select("cluster_id", "centroid").collect(), schema)
     for _ in range(iterations):

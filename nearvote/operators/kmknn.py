@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearvote.config import ScoringConfig
 from nearvote.operators import ivf, knn
+from nearvote.sources.scratch import stored
 
 
 def score(queries: DataFrame, members: DataFrame, clusters: DataFrame, dims: int, config: ScoringConfig = ScoringConfig(), exclude_self: bool = True) -> DataFrame:
@@ -17,7 +18,7 @@ def score(queries: DataFrame, members: DataFrame, clusters: DataFrame, dims: int
     """
     k = config.neighbours
     quick = ivf.search(queries, members, clusters, dims, k, config.nprobe, repair=False, exclude_self=exclude_self)
-    counted = quick.groupBy("qid").agg(F.sum("fraud").cast("int").alias("fraud_count"))
+    counted = stored(quick.groupBy("qid").agg(F.sum("fraud").cast("int").alias("fraud_count")))
     sure = counted.where(~F.col("fraud_count").between(2, 4)).withColumn("path", F.lit("pass1"))
     unsure = queries.join(counted.where(F.col("fraud_count").between(2, 4)).select("qid"), "qid", "left_semi")
     full = ivf.search(unsure, members, clusters, dims, k, config.nprobe_full, repair=True, exclude_self=exclude_self)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from nearvote.config import ScoringConfig
 from nearvote.functions import scores
 from nearvote.functions.vector import quantize, squared_distance
+from nearvote.sources.scratch import stored
 
 
 def query_blocks(queries: DataFrame, dims: int, block_bytes: int) -> list[DataFrame]:
@@ -88,7 +89,7 @@ def decide(candidates: DataFrame, queries: DataFrame, references: DataFrame, dim
     """(qid, fraud_count, path, ...) from fixed-point candidates: the exact rerank runs only where
     it can matter; elsewhere the first k in fixed-point order are counted."""
     k = config.neighbours
-    candidates = candidates.persist()  # a few rows a query; counted, split and reranked
+    candidates = stored(candidates)  # a few rows a query; counted, split and reranked
     seen = candidates.groupBy("qid").agg(F.sum("fraud").cast("int").alias("frauds"), F.count("*").cast("int").alias("found"), F.sum(F.when(F.col("rk") <= k, F.col("fraud")).otherwise(0)).cast("int").alias("first"))
     sure = F.lit(True) if not config.rerank else skip_rerank(F.col("frauds"), F.col("found"), k)
     split = seen.withColumn("sure", sure)

@@ -1,16 +1,35 @@
-"""A fresh folder for intermediate tables, shared by driver and executors."""
+"""Fresh folders and tables for intermediate results, shared by driver and executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Under ``spark.checkpoint.dir``; where that is unset (tests), a local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder under ``spark.checkpoint.dir``, removed when the application's file systems close.
+
+    Where that is unset and all runs in one process (tests), a local one; a cluster without
+    the setting is an error, since its machines don't share their local folders.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="nearvote-")
-    return f"{root.rstrip('/')}/nearvote-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/nearvote-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table of its own and read back, so that it is computed once."""
+    path = f"{scratch_dir(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
