@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,25 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from nearvote.sources.scratch import scratch_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, removed when the application's file systems close.
 
-    Where that is unset and all runs in one process (tests), a local one; a cluster without
-    the setting is an error, since its machines don't share their local folders.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = "file://" + tempfile.mkdtemp(prefix="nearvote-")
-    path = f"{root.rstrip('/')}/nearvote-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(target)
-    fs.deleteOnExit(target)
-    return path
+#: A fresh folder under ``spark.checkpoint.dir``; without that setting a local one in tests, an error on a cluster.
+shared_dir = scratch_dir
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
