@@ -15,6 +15,7 @@ from nearvote.operators import evaluate, features, generate, index, ivf, kmeans,
 from nearvote.plans import views
 from nearvote.plans.views import CLUSTERS, DIMS
 from nearvote.sources.readers import table
+from nearvote.sources.scratch import scratch_dir, stored
 from nearvote.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,13 +180,11 @@ def partial_distances(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def accuracy_report(spark: SparkSession, sf: str) -> DataFrame:
     """Drawn query vectors scored by the exact kernel and by repaired inverted-file search."""
-    known = _event_vectors(spark, sf)
+    known = stored(_event_vectors(spark, sf))
     drawn = generate.query_vectors(spark, 10_000, seed=42)
     exact = knn.vote(knn_kernel.nearest(drawn, known, 5, 14, exclude_self=False))
-    centroids = views.fetched(kmeans.seeds(known, CLUSTERS).select("cluster_id", "centroid"))
-    assigned = kmeans.assign(known, centroids, 14)
-    clusters = views.fetched(index.cluster_stats(assigned, centroids, 14))
-    found = ivf.score(drawn, known, views.members(assigned), clusters, 14, ScoringConfig(nprobe=4), exclude_self=False)
+    members, clusters = _event_index(known)
+    found = ivf.score(drawn, known, members, clusters, 14, ScoringConfig(nprobe=4), exclude_self=False)
     return evaluate.agreement(exact, found)
 
 
@@ -314,16 +313,27 @@ def unanimity_skip_counts(spark: SparkSession, sf: str) -> DataFrame:
     return state.agg(F.count("*").alias("n"), F.count_if(full & F.col("frauds").isin(0, 6)).alias("unanimous"), F.count_if(full & ((F.col("frauds") <= 1) | (F.col("frauds") >= 5))).alias("deterministic"))
 
 
+def _event_index(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, clusters) of event vectors after one assignment to the seeds."""
+    centroids = views.fetched(kmeans.seeds(known, CLUSTERS).select("cluster_id", "centroid"))
+    assigned = kmeans.assign(known, centroids, 14)
+    return views.members(assigned), views.fetched(index.cluster_stats(assigned, centroids, 14))
+
+
 @query
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Coverage and accuracy of the profile shortcut by threshold; nothing is searched: the
-    verdict where the profile misses is a stand-in by id, as in the SQL twin; the expected one
-    is the event's label."""
-    v = _event_vectors(spark, sf)
-    known = index.profile_table(v.where("ref_id % 50 <> 0"))
-    tested = v.where("ref_id % 50 = 0").withColumn("pkey", profile_key(quantize(F.col("vec")))).join(known, "pkey", "left")
-    rows = tested.select("mask", "cnt", (F.col("ref_id") % 4 != 0).alias("approved"), (F.col("fraud") == 0).alias("expected"))
-    return evaluate.threshold_sweep(rows)
+    """Coverage and accuracy of the profile shortcut by threshold, for every 50th event against
+    all others: where the profile misses, repaired search in fixed point decides. The expected
+    verdict is the event's label."""
+    v = stored(_event_vectors(spark, sf))
+    known = v.where("ref_id % 50 <> 0")
+    tested = v.where("ref_id % 50 = 0")
+    members, clusters = _event_index(known)
+    queries = tested.select(F.col("ref_id").alias("qid"), F.col("vec").alias("qv"))
+    verdicts = knn.vote(ivf.search(queries, members, clusters, 14, 5, nprobe=4, exclude_self=False))
+    looked = tested.withColumn("pkey", profile_key(quantize(F.col("vec")))).join(index.profile_table(known), "pkey", "left")
+    rows = looked.join(verdicts.select(F.col("qid").alias("ref_id"), "approved"), "ref_id")
+    return evaluate.threshold_sweep(rows.select("mask", "cnt", "approved", (F.col("fraud") == 0).alias("expected")))
 
 
 #: Edge cases of request documents: (case, document).
@@ -405,22 +415,18 @@ def response_json(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def path_counters(spark: SparkSession, sf: str) -> DataFrame:
     """How the verdicts of profile, skip and rerank paths split over every 50th event."""
-    v = _event_vectors(spark, sf)
+    v = stored(_event_vectors(spark, sf))
     known = v.where("ref_id % 50 <> 0")
-    centroids = views.fetched(kmeans.seeds(known, CLUSTERS).select("cluster_id", "centroid"))
-    assigned = kmeans.assign(known, centroids, 14)
-    clusters = views.fetched(index.cluster_stats(assigned, centroids, 14))
+    members, clusters = _event_index(known)
     tested = v.where("ref_id % 50 = 0").select(F.col("ref_id").alias("qid"), F.col("vec").alias("qv"))
     config = replace(ScoringConfig(), profile=True, profile_min_count=MIN_COUNT, nprobe=4)
-    done = ivf.score(tested, known, views.members(assigned), clusters, 14, config, index.profile_table(known))
+    done = ivf.score(tested, known, members, clusters, 14, config, index.profile_table(known))
     return evaluate.path_counts(done)
 
 
 @query
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     """The golden and edge-case requests scored as a stream against event references."""
-    from nearvote.sources.scratch import scratch_dir
-
     path = scratch_dir(spark)
     refs = _event_vectors(spark, sf)
     _payloads(spark).select(F.monotonically_increasing_id().alias("qid"), "value").write.parquet(f"{path}/in")

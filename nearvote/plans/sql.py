@@ -243,7 +243,10 @@ FROM probes JOIN boxes USING (cluster_id) JOIN rad USING (cluster_id) LEFT JOIN
     "threshold_sweep": with_(
         *PROFILE,
         table("tab", "ref_id % 50 <> 0"),
-        "tested AS (SELECT mask, cnt, ref_id % 4 <> 0 AS approved, fraud = 0 AS expected FROM keyed LEFT JOIN tab USING (pkey) WHERE ref_id % 50 = 0)",
+        f"vec AS (SELECT event_id AS ref_id, fraud, {', '.join(f'{q(i)} AS q{i}' for i in range(14))} FROM ft)",
+        f"near AS (SELECT a.ref_id, b.fraud, row_number() OVER (PARTITION BY a.ref_id ORDER BY {' + '.join(f'(a.q{i} - b.q{i}) * (a.q{i} - b.q{i})' for i in range(14))}, b.ref_id) AS rk FROM vec a, vec b WHERE a.ref_id % 50 = 0 AND b.ref_id % 50 <> 0)",
+        "voted AS (SELECT ref_id, sum(fraud) < 3 AS approved FROM near WHERE rk <= 5 GROUP BY ref_id)",
+        "tested AS (SELECT mask, cnt, approved, fraud = 0 AS expected FROM keyed JOIN voted USING (ref_id) LEFT JOIN tab USING (pkey) WHERE ref_id % 50 = 0)",
         f"swept AS (SELECT min_count, coalesce(cnt >= min_count AND mask IN (1, 2), FALSE) AS fast, CASE WHEN coalesce(cnt >= min_count AND mask IN (1, 2), FALSE) THEN mask = 1 ELSE approved END AS final, expected FROM tested, (VALUES {', '.join(f'({t})' for t in THRESHOLDS)}) v(min_count))",
     )
     + "SELECT min_count, count(*) AS n, count(*) FILTER (WHERE fast) AS covered, count(*) FILTER (WHERE final = expected) AS correct, count(*) FILTER (WHERE expected AND NOT final) AS false_positives, count(*) FILTER (WHERE NOT expected AND final) AS false_negatives FROM swept GROUP BY min_count",
