@@ -3,8 +3,8 @@
     python -m nearvote preprocess references.json.gz index [--k 4096] [--iterations 20] [--format ivf] [--nprobe 5]
     python -m nearvote accuracy index exact_index [--count 10000] [--seed 195842629]
     python -m nearvote payloads out [--count 200]
-    python -m nearvote timing index payloads [--count 5000]
-    python -m nearvote sweep index test-set.json
+    python -m nearvote timing index payloads [--count 5000] [--mcc-risk FILE] [--normalization FILE]
+    python -m nearvote sweep index test-set.json [--mcc-risk FILE] [--normalization FILE]
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearvote.config import DIMS
+from nearvote.config import DIMS, Normalization
 from nearvote.functions.vector import profile_key, quantize
 from nearvote.operators import evaluate, generate
 from nearvote.operators.features import featurize, parse_requests
@@ -39,11 +39,18 @@ def accuracy(spark: SparkSession, index: str, exact: str, count: int, seed: int)
     return evaluate.agreement(open_index(spark, exact).score(queries), open_index(spark, index).score(queries))
 
 
-def timing(spark: SparkSession, index: str, payloads: str, count: int) -> dict[str, float]:
+def _constants(spark: SparkSession, mcc_risk: str | None, normalization: str | None) -> tuple[Normalization, dict[str, float] | None]:
+    """Constants and category risks of the files given, else the built-in ones."""
+    norm = readers.read_normalization(spark, normalization) if normalization else Normalization()
+    return norm, readers.read_mcc_risk(spark, mcc_risk) if mcc_risk else None
+
+
+def timing(spark: SparkSession, index: str, payloads: str, count: int, mcc_risk: str | None = None, normalization: str | None = None) -> dict[str, float]:
     """Seconds to parse and to score the payloads, each as a whole."""
     raw = readers.read_payloads(spark, payloads, count).withColumn("qid", F.monotonically_increasing_id())
+    constants = _constants(spark, mcc_risk, normalization)
     began = time.perf_counter()
-    ready = featurize(parse_requests(raw)).where("vec is not null").select("qid", F.col("vec").cast("array<double>").alias("qv")).persist()
+    ready = featurize(parse_requests(raw), *constants).where("vec is not null").select("qid", F.col("vec").cast("array<double>").alias("qv")).persist()
     n = ready.count()
     parsed = time.perf_counter()
     open_index(spark, index).score(ready).write.format("noop").mode("overwrite").save()
@@ -51,13 +58,13 @@ def timing(spark: SparkSession, index: str, payloads: str, count: int) -> dict[s
     return {"rows": n, "parse_s": parsed - began, "score_s": scored - parsed, "rows_per_s": n / (scored - began)}
 
 
-def sweep(spark: SparkSession, index: str, tests: str) -> DataFrame:
+def sweep(spark: SparkSession, index: str, tests: str, mcc_risk: str | None = None, normalization: str | None = None) -> DataFrame:
     """Coverage and accuracy of the profile shortcut over a labelled test set."""
     opened = open_index(spark, index)
     if opened.profile is None:
         raise ValueError(f"{index} has no profile table")
     entries = readers.read_test_set(spark, tests)
-    ready = featurize(parse_requests(entries)).where("vec is not null").select("qid", "expected_approved", F.col("vec").cast("array<double>").alias("qv")).persist()
+    ready = featurize(parse_requests(entries), *_constants(spark, mcc_risk, normalization)).where("vec is not null").select("qid", "expected_approved", F.col("vec").cast("array<double>").alias("qv")).persist()
     verdicts = opened.score(ready.select("qid", "qv")).select("qid", "approved")
     keyed = ready.withColumn("pkey", profile_key(quantize(F.col("qv")))).join(opened.profile, "pkey", "left").join(verdicts, "qid")
     return evaluate.threshold_sweep(keyed.select("mask", "cnt", "approved", F.col("expected_approved").alias("expected"))).orderBy("min_count")
@@ -88,6 +95,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     p = commands.add_parser("sweep")
     p.add_argument("index")
     p.add_argument("tests")
+    for name in ("timing", "sweep"):
+        commands.choices[name].add_argument("--mcc-risk")
+        commands.choices[name].add_argument("--normalization")
     given = vars(parser.parse_args(args))
     command = given.pop("command")
     spark = spark or SparkSession.builder.appName("nearvote").config("spark.sql.session.timeZone", "UTC").getOrCreate()

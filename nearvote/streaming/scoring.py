@@ -17,35 +17,36 @@ from nearvote.functions import scores
 from nearvote.operators.features import featurize, parse_requests
 
 
-def score_requests(raw: DataFrame, detector: Callable[[DataFrame], DataFrame], norm: Normalization = Normalization(), config: ScoringConfig = ScoringConfig()) -> DataFrame:
+def score_requests(raw: DataFrame, detector: Callable[[DataFrame], DataFrame], norm: Normalization = Normalization(), config: ScoringConfig = ScoringConfig(), risks: dict[str, float] | None = None) -> DataFrame:
     """(qid, parse_ok, path, fraud_count, approved, response) of every (qid, value) row.
 
     A request that cannot be parsed is approved with score 0; none is dropped.
-    ``detector`` maps (qid, qv) to (qid, fraud_count, path, ...).
+    ``detector`` maps (qid, qv) to (qid, fraud_count, path, ...). ``norm`` and ``risks``:
+    constants and category risks as ``readers`` load them.
     """
-    ready = featurize(parse_requests(raw, "value", config.max_body), norm).select("qid", "parse_ok", F.col("vec").cast("array<double>").alias("qv"))
+    ready = featurize(parse_requests(raw, "value", config.max_body), norm, risks).select("qid", "parse_ok", F.col("vec").cast("array<double>").alias("qv"))
     found = detector(ready.where("qv is not null").select("qid", "qv")).select("qid", "fraud_count", "path")
     joined = ready.select("qid", "parse_ok").join(found, "qid", "left")
     count = F.coalesce("fraud_count", F.lit(0))
     return joined.select("qid", "parse_ok", F.coalesce("path", F.lit("fallback")).alias("path"), count.alias("fraud_count"), scores.approved(count).alias("approved"), scores.response(count).alias("response"))
 
 
-def start(requests: DataFrame, detector: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
+def start(requests: DataFrame, detector: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, norm: Normalization = Normalization(), config: ScoringConfig = ScoringConfig(), risks: dict[str, float] | None = None) -> StreamingQuery:
     """Score the streaming (qid, value) rows; ``sink`` gets each scored micro-batch and its number."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        sink(score_requests(rows, detector), number)
+        sink(score_requests(rows, detector, norm, config, risks), number)
 
     writer = requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def run_once(spark: SparkSession, requests: DataFrame, detector: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> DataFrame:
+def run_once(spark: SparkSession, requests: DataFrame, detector: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, norm: Normalization = Normalization(), config: ScoringConfig = ScoringConfig(), risks: dict[str, float] | None = None) -> DataFrame:
     """Score all that is there now, as a stream, into Parquet; returns what is in it."""
 
     def sink(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = start(requests, detector, sink, checkpoint, once=True)
+    query = start(requests, detector, sink, checkpoint, True, norm, config, risks)
     query.awaitTermination()
     return spark.read.parquet(out)

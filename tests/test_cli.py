@@ -2,7 +2,10 @@ import gzip
 import json
 import random
 
-from nearvote.__main__ import accuracy, main, sweep, timing
+from pyspark.sql import functions as F
+
+from nearvote.__main__ import _constants, accuracy, main, sweep, timing
+from nearvote.streaming.scoring import score_requests
 
 
 def test_commands(spark, tmp_path):
@@ -21,3 +24,20 @@ def test_commands(spark, tmp_path):
     (tmp_path / "tests.json").write_text(json.dumps({"entries": entries}))
     rows = sweep(spark, f"{at}/ivf", f"{at}/tests.json").collect()
     assert [r["min_count"] for r in rows][:3] == [1, 2, 3] and all(r["n"] == 10 for r in rows)
+    # Loaded constants reach the features: other risks, other rounding of amounts.
+    (tmp_path / "mcc.json").write_text(json.dumps({"5411": 0.9}))
+    names = ("max_amount", "max_installments", "amount_vs_avg_ratio", "max_minutes", "max_km", "max_tx_count_24h", "max_merchant_avg_amount")
+    (tmp_path / "norm.json").write_text(json.dumps({n: 5.0 for n in names}))
+    given = ["--mcc-risk", f"{at}/mcc.json", "--normalization", f"{at}/norm.json"]
+    assert main(["sweep", f"{at}/ivf", f"{at}/tests.json", *given], spark) == 0
+    norm, risks = _constants(spark, f"{at}/mcc.json", f"{at}/norm.json")
+    assert norm.max_amount == 5.0 and risks == {"5411": 0.9} and _constants(spark, None, None)[1] is None
+    raw = spark.createDataFrame([(1, json.dumps({"transaction": {"amount": 2.5}, "merchant": {"mcc": "5411"}}))], "qid long, value string")
+    seen = []
+
+    def detector(rows):
+        seen.extend(list(r["qv"]) for r in rows.collect())
+        return rows.select("qid", F.lit(0).alias("fraud_count"), F.lit("x").alias("path"))
+
+    assert score_requests(raw, detector, norm, risks=risks).first()["path"] == "x"
+    assert seen[0][0] == 0.5 and any(abs(x - 0.9) < 1e-6 for x in seen[0])
