@@ -20,6 +20,7 @@ from nearvote.config import DIMS, Normalization
 from nearvote.functions.vector import profile_key, quantize
 from nearvote.operators import evaluate, generate
 from nearvote.operators.features import featurize, parse_requests
+from nearvote.operators.ivf import SearchStats
 from nearvote.sources import readers
 from nearvote.sources.index_store import open_index, write_index
 
@@ -46,16 +47,18 @@ def _constants(spark: SparkSession, mcc_risk: str | None, normalization: str | N
 
 
 def timing(spark: SparkSession, index: str, payloads: str, count: int, mcc_risk: str | None = None, normalization: str | None = None) -> dict[str, float]:
-    """Seconds to parse and to score the payloads, each as a whole."""
+    """Seconds to parse and to score the payloads; for an inverted file also those of the search's
+    stages and its (query, cluster) pairs probed, repaired and pruned."""
     raw = readers.read_payloads(spark, payloads, count).withColumn("qid", F.monotonically_increasing_id())
     constants = _constants(spark, mcc_risk, normalization)
     began = time.perf_counter()
     ready = featurize(parse_requests(raw), *constants).where("vec is not null").select("qid", F.col("vec").cast("array<double>").alias("qv")).persist()
     n = ready.count()
     parsed = time.perf_counter()
-    open_index(spark, index).score(ready).write.format("noop").mode("overwrite").save()
+    stats = SearchStats()
+    open_index(spark, index).score(ready, stats=stats).write.format("noop").mode("overwrite").save()
     scored = time.perf_counter()
-    return {"rows": n, "parse_s": parsed - began, "score_s": scored - parsed, "rows_per_s": n / (scored - began)}
+    return {"rows": n, "parse_s": parsed - began, "score_s": scored - parsed, "rows_per_s": n / (scored - began)} | {f"{k}_s": v for k, v in stats.seconds.items()} | {"probed": stats.probed, "repaired": stats.repaired, "pruned": stats.pruned}
 
 
 def sweep(spark: SparkSession, index: str, tests: str, mcc_risk: str | None = None, normalization: str | None = None) -> DataFrame:

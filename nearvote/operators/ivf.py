@@ -13,12 +13,14 @@ Where the members are a table in cluster order, row groups that no query wants a
 
 from __future__ import annotations
 
+import contextlib
+import time
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,31 +141,73 @@ def scan_clusters(members: DataFrame, known: Clusters, block: tuple[np.ndarray,
     return members.select("ref_id", "fraud", "cluster_id", "q").mapInArrow(scan, knn_kernel.NEAREST)
 
 
-def search(queries: DataFrame, members: DataFrame, clusters: DataFrame, dims: int, k: int, nprobe: int, repair: bool = True, exclude_self: bool = True, config: ScoringConfig = ScoringConfig()) -> DataFrame:
+@dataclass
+class SearchStats:
+    """What a search did: seconds by stage, and (query, non-empty cluster) pairs.
+
+    ``probed`` pairs are scanned by the first pass; of the others the second scans the
+    ``repaired`` ones and the bounds rule out the ``pruned`` ones. Blocks of queries add up.
+    """
+
+    seconds: dict[str, float] = field(default_factory=dict)
+    probed: int = 0
+    repaired: int = 0
+    pruned: int = 0
+
+
+@contextlib.contextmanager
+def _timed(stats: SearchStats | None, stage: str) -> Iterator[None]:
+    began = time.perf_counter()
+    yield
+    if stats is not None:
+        stats.seconds[stage] = stats.seconds.get(stage, 0.0) + time.perf_counter() - began
+
+
+def repaired_pairs(spark: SparkSession, known: Clusters, block: tuple[np.ndarray, np.ndarray, np.ndarray], worst: np.ndarray) -> int:
+    """How many unprobed (query, cluster) pairs the second pass scans, counted cluster by cluster."""
+    shared = spark.sparkContext.broadcast((known, block, worst))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, (_, q, places), worst = shared.value
+        for batch in batches:
+            n = [int((~(places == place).any(axis=1) & known.may_hold(place, q, worst)).sum()) for place in batch.column(0).to_pylist()]
+            yield pa.record_batch([pa.array(n, pa.int64())], names=["n"])
+
+    return spark.range(len(known.ids)).mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def search(queries: DataFrame, members: DataFrame, clusters: DataFrame, dims: int, k: int, nprobe: int, repair: bool = True, exclude_self: bool = True, config: ScoringConfig = ScoringConfig(), stats: SearchStats | None = None) -> DataFrame:
     """(qid, ref_id, fraud, d, rk): the k nearest in fixed point.
 
     ``queries`` has float (qid, qv), ``members`` fixed (ref_id, q, fraud, cluster_id). The first
-    pass runs at once, block by block; its candidates are written to the shared folder.
+    pass runs at once, block by block; its candidates are written to the shared folder. With ``stats`` both passes run at once, to be
+    timed and counted.
     """
     fixed = queries.select("qid", quantize(F.col("qv")).alias("qv"))
     known = fetch_clusters(clusters, dims)
-    parts = [_search(part, members, known, dims, k, nprobe, repair, exclude_self, config) for part in knn.query_blocks(fixed, dims, config.block_bytes)]
+    parts = [_search(part, members, known, dims, k, nprobe, repair, exclude_self, config, stats) for part in knn.query_blocks(fixed, dims, config.block_bytes)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _search(queries: DataFrame, members: DataFrame, known: Clusters, dims: int, k: int, nprobe: int, repair: bool, exclude_self: bool, config: ScoringConfig) -> DataFrame:
-    block = probed(queries, known, dims, nprobe)
+def _search(queries: DataFrame, members: DataFrame, known: Clusters, dims: int, k: int, nprobe: int, repair: bool, exclude_self: bool, config: ScoringConfig, stats: SearchStats | None) -> DataFrame:
+    with _timed(stats, "centroid"):
+        block = probed(queries, known, dims, nprobe)
     used = np.unique(block[2])
     some = members
     if len(used) < len(known.ids):
         some = members.where(F.col("cluster_id").isin([int(known.ids[i]) for i in used]))
     first = knn.ranked(scan_clusters(some, known, block, None, dims, k, exclude_self), k)
+    if not repair and stats is None:
+        return first
+    with _timed(stats, "scan"):
+        first = stored(first)
+    if stats is not None:
+        stats.probed += block[2].size
     if not repair:
         return first
-    first = stored(first)
     state = first.groupBy("qid").agg(F.max("d").alias("worst"), F.sum("fraud").alias("frauds"), F.count("*").alias("found"))
     got = state.toArrow()  # a row for each query of the block
     qid, worst, frauds, found = (got.column(i).to_numpy() for i in range(4))
@@ -176,10 +220,17 @@ def _search(queries: DataFrame, members: DataFrame, known: Clusters, dims: int,
     order = np.argsort(block[0])
     bounds[order[np.searchsorted(block[0], qid, sorter=order)]] = np.where(skip, -1.0, np.where(found == k, worst, np.nan))
     second = scan_clusters(members, known, block, bounds, dims, k, exclude_self)
-    return knn.ranked(first.drop("rk").unionByName(second), k)
+    both = knn.ranked(first.drop("rk").unionByName(second), k)
+    if stats is not None:
+        with _timed(stats, "repair"):
+            both = stored(both)
+        again = repaired_pairs(members.sparkSession, known, block, bounds)
+        stats.repaired += again
+        stats.pruned += len(block[0]) * len(known.ids) - block[2].size - again
+    return both
 
 
-def score(queries: DataFrame, references: DataFrame, members: DataFrame, clusters: DataFrame, dims: int, config: ScoringConfig = ScoringConfig(), profile: DataFrame | None = None, exclude_self: bool = True) -> DataFrame:
+def score(queries: DataFrame, references: DataFrame, members: DataFrame, clusters: DataFrame, dims: int, config: ScoringConfig = ScoringConfig(), profile: DataFrame | None = None, exclude_self: bool = True, stats: SearchStats | None = None) -> DataFrame:
     """(qid, fraud_count, path, approved, fraud_score): profile shortcut, search, rerank."""
     rest = queries
     fast = None
@@ -187,6 +238,9 @@ def score(queries: DataFrame, references: DataFrame, members: DataFrame, cluster
         looked = profile_verdicts(queries.withColumn("vec", F.col("qv")), profile, config.profile_min_count)
         fast = knn.verdict(looked.where("profile_count is not null").select("qid", F.col("profile_count").alias("fraud_count"), F.lit("profile").alias("path")))
         rest = looked.where("profile_count is null").select("qid", "qv")
-    found = search(rest, members, clusters, dims, config.candidates, config.nprobe, config.repair, exclude_self, config)
-    done = knn.decide(found, rest, references, dims, config)
+    found = search(rest, members, clusters, dims, config.candidates, config.nprobe, config.repair, exclude_self, config, stats)
+    with _timed(stats, "rerank"):
+        done = knn.decide(found, rest, references, dims, config)
+        if stats is not None:
+            done = stored(done)
     return done if fast is None else fast.unionByName(done)

@@ -228,6 +228,16 @@ def ivf_score(spark: SparkSession, sf: str) -> DataFrame:
     return ivf.score(views.queries(refs), refs, views.members(assigned), clusters, DIMS, ScoringConfig(nprobe=NPROBE))
 
 
+@query
+def search_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """(query, cluster) pairs that a repaired search probes, scans again and prunes."""
+    refs = views.references(spark, sf)
+    _, assigned, clusters = views.one_step(refs)
+    stats = ivf.SearchStats()
+    ivf.search(views.queries(refs), views.members(assigned), clusters, DIMS, 6, NPROBE, stats=stats)
+    return spark.createDataFrame([(stats.probed, stats.repaired, stats.pruned)], "probed long, repaired long, pruned long")
+
+
 @query
 def ivf_unrepaired(spark: SparkSession, sf: str) -> DataFrame:
     """The probed clusters only: what is found without repair."""

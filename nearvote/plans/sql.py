@@ -197,6 +197,15 @@ req AS (SELECT i, round(a, 2) AS amount, {_list(generate.INSTALLMENTS)}[i % 4 +
 
 _PASS1 = (scanned("p1", f"probe <= {NPROBE}"), top("t1", "p1", 5), voted("v1", "t1"), pairs("fp", "fix", "q"), top("t2", "fp", 5), voted("v2", "t2"))
 _FIRST6 = (scanned("p1", f"probe <= {NPROBE}"), top("f6", "p1", 6))
+_SURVIVORS = (
+    *STEP,
+    *CLUSTERS,
+    *PROBES,
+    *_FIRST6,
+    "worst AS (SELECT qid, CASE WHEN count(*) >= 6 THEN max(d) END AS worst FROM f6 GROUP BY qid)",
+    f"""left_over AS (SELECT qid, count(*) AS unprobed, count(*) FILTER (WHERE worst IS NULL OR (dc <= (radius + ceil(sqrt(worst))) * (radius + ceil(sqrt(worst))) AND {BOUND} <= worst)) AS survivors
+FROM probes JOIN boxes USING (cluster_id) JOIN rad USING (cluster_id) LEFT JOIN worst USING (qid) WHERE probe > {NPROBE} GROUP BY qid)""",
+)
 
 SQL: dict[str, str] = {
     "exact_knn_vote": with_(*EXACT) + verdict("ev"),
@@ -223,9 +232,8 @@ count(*) FILTER (WHERE a.fraud_count <> b.fraud_count) AS count_mismatches, roun
     "partial_distances": with_(EMB, FIX) + "SELECT a.ref_id AS qid, b.ref_id, CAST(list_sum(list_transform(range(1, 9), lambda i: (a.q[i] - b.q[i]) * (a.q[i] - b.q[i]))) AS BIGINT) AS head, CAST(list_sum(list_transform(range(57, 65), lambda i: (a.q[i] - b.q[i]) * (a.q[i] - b.q[i]))) AS BIGINT) AS tail FROM fix a JOIN fix b ON a.ref_id <> b.ref_id WHERE a.ref_id % 100 = 0",
     "probe_clusters": with_(*STEP, *CLUSTERS, *PROBES) + f"SELECT qid, cluster_id, probe FROM probes WHERE probe <= {NPROBE}",
     "unprobed_anti": with_(*STEP, *CLUSTERS, *PROBES) + f"SELECT qid, cluster_id FROM probes WHERE probe > {NPROBE}",
-    "triangle_prune": with_(*STEP, *CLUSTERS, *PROBES, *_FIRST6, "worst AS (SELECT qid, CASE WHEN count(*) >= 6 THEN max(d) END AS worst FROM f6 GROUP BY qid)")
-    + f"""SELECT qid, count(*) AS unprobed, count(*) FILTER (WHERE worst IS NULL OR (dc <= (radius + ceil(sqrt(worst))) * (radius + ceil(sqrt(worst))) AND {BOUND} <= worst)) AS survivors
-FROM probes JOIN boxes USING (cluster_id) JOIN rad USING (cluster_id) LEFT JOIN worst USING (qid) WHERE probe > {NPROBE} GROUP BY qid""",
+    "triangle_prune": with_(*_SURVIVORS) + "SELECT * FROM left_over",
+    "search_counters": with_(*_SURVIVORS) + f"SELECT {NPROBE} * count(*) AS probed, CAST(sum(survivors) AS BIGINT) AS repaired, CAST(sum(unprobed - survivors) AS BIGINT) AS pruned FROM left_over",
     "ivf_search": with_(*SIX) + "SELECT qid, rk, ref_id, CAST(d AS BIGINT) AS d FROM six",
     "ivf_score": with_(*SIX, *RERANKED, *DECIDED) + verdict("decided", "path"),
     "ivf_unrepaired": with_(*STEP, *CLUSTERS, *PROBES, *_FIRST6) + "SELECT qid, rk, ref_id, CAST(d AS BIGINT) AS d FROM f6",

@@ -39,8 +39,9 @@ class Index:
     clusters: DataFrame | None = None
     profile: DataFrame | None = None
 
-    def score(self, queries: DataFrame, config: ScoringConfig | None = None, exclude_self: bool = False) -> DataFrame:
-        """(qid, fraud_count, path, approved, fraud_score) by the index's own method."""
+    def score(self, queries: DataFrame, config: ScoringConfig | None = None, exclude_self: bool = False, stats: ivf.SearchStats | None = None) -> DataFrame:
+        """(qid, fraud_count, path, approved, fraud_score) by the index's own method; an
+        inverted file fills ``stats``."""
         config = config or ScoringConfig(nprobe=self.meta.nprobe)
         references = self.vectors.select("ref_id", "vec", "fraud")
         if self.meta.format == "exact":
@@ -49,7 +50,7 @@ class Index:
         members = self.vectors.select("ref_id", "fraud", "cluster_id", quantize(F.col("vec")).alias("q"))
         if self.meta.format == "kmknn":
             return kmknn.score(queries, members, self.clusters, self.meta.dims, config, exclude_self)
-        return ivf.score(queries, references, members, self.clusters, self.meta.dims, config, self.profile, exclude_self)
+        return ivf.score(queries, references, members, self.clusters, self.meta.dims, config, self.profile, exclude_self, stats)
 
     def warm(self) -> int:
         """Keep the vectors in memory; returns their number."""

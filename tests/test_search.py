@@ -184,6 +184,26 @@ def test_threshold_sweep(spark):
     assert (got[50]["covered"], got[50]["correct"], got[50]["false_positives"], got[50]["false_negatives"]) == (0, 1, 2, 1)
 
 
+def test_stages_and_pairs_are_counted(spark, world):
+    _, _, refs, queries = world
+    centroids, assigned = kmeans.fit(refs, 7, DIMS, iterations=2)
+    clusters = index.cluster_stats(assigned, centroids, DIMS).where("cnt > 0")
+    members = assigned.select("ref_id", "fraud", "cluster_id", quantize(F.col("vec")).alias("q"))
+    for config in (ScoringConfig(nprobe=2), ScoringConfig(nprobe=2, block_bytes=500)):
+        stats = ivf.SearchStats()
+        counted = ivf.score(queries, refs, members, clusters, DIMS, config, stats=stats)
+        plain = ivf.score(queries, refs, members, clusters, DIMS, config)
+        assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, plain.collect()))
+        assert set(stats.seconds) == {"centroid", "scan", "repair", "rerank"}
+        assert stats.probed == 40 and stats.probed + stats.repaired + stats.pruned == 20 * clusters.count()
+    # What the expressions leave after the first pass is what the kernel scans again.
+    fixed_queries = queries.select("qid", quantize(F.col("qv")).alias("qv"))
+    order = ivf.probes(ivf.centroid_distances(fixed_queries, clusters, DIMS), 2)
+    first = knn.ranked(ivf.scan(order.where("probe <= 2"), members, DIMS, True), 6)
+    worst = first.groupBy("qid").agg(F.when(F.count("*") >= 6, F.max("d")).alias("worst"))
+    assert ivf.survivors(order, worst, 2, DIMS).count() == stats.repaired
+
+
 @pytest.mark.parametrize("kind", ["exact", "ivf", "kmknn"])
 def test_index_round_trip(spark, world, tmp_path, kind):
     _, _, refs, queries = world
