@@ -258,6 +258,20 @@ count(*) FILTER (WHERE a.fraud_count <> b.fraud_count) AS count_mismatches, roun
         f"swept AS (SELECT min_count, coalesce(cnt >= min_count AND mask IN (1, 2), FALSE) AS fast, CASE WHEN coalesce(cnt >= min_count AND mask IN (1, 2), FALSE) THEN mask = 1 ELSE approved END AS final, expected FROM tested, (VALUES {', '.join(f'({t})' for t in THRESHOLDS)}) v(min_count))",
     )
     + "SELECT min_count, count(*) AS n, count(*) FILTER (WHERE fast) AS covered, count(*) FILTER (WHERE final = expected) AS correct, count(*) FILTER (WHERE expected AND NOT final) AS false_positives, count(*) FILTER (WHERE NOT expected AND final) AS false_negatives FROM swept GROUP BY min_count",
+    "path_counters": with_(
+        *PROFILE,
+        table("tab", "ref_id % 50 <> 0"),
+        f"vec AS (SELECT event_id AS ref_id, fraud, {FEATURE_NAMES}, {', '.join(f'{q(i)} AS q{i}' for i in range(14))} FROM ft)",
+        f"shortcut AS (SELECT ref_id, CASE WHEN cnt >= {MIN_COUNT} AND mask = 1 THEN 0 WHEN cnt >= {MIN_COUNT} AND mask = 2 THEN 5 END AS fraud_count FROM keyed LEFT JOIN tab USING (pkey) WHERE ref_id % 50 = 0)",
+        f"near AS (SELECT a.ref_id AS qid, b.ref_id, b.fraud, {' + '.join(f'(a.q{i} - b.q{i}) * (a.q{i} - b.q{i})' for i in range(14))} AS d, {' + '.join(f'(a.f{i} - b.f{i}) * (a.f{i} - b.f{i})' for i in range(14))} AS e FROM vec a JOIN shortcut s ON s.ref_id = a.ref_id AND s.fraud_count IS NULL, vec b WHERE b.ref_id % 50 <> 0)",
+        top("six", "near", 6),
+        "rd AS (SELECT qid, ref_id, fraud, e AS d FROM six)",
+        top("rr", "rd", 5),
+        voted("rv", "rr"),
+        *DECIDED,
+        "every AS (SELECT fraud_count, path FROM decided UNION ALL SELECT fraud_count, 'profile' FROM shortcut WHERE fraud_count IS NOT NULL)",
+    )
+    + "SELECT path, count(*) AS n, count(*) FILTER (WHERE fraud_count >= 3) AS denied FROM every GROUP BY path",
     "features_golden": with_(_requests([_GOLDEN])) + f"SELECT \"case\", {', '.join(features('NOT has_last'))} FROM req",
     "payload_edge_cases": with_(_requests(_CASES))
     + f"SELECT \"case\", parse_ok, {', '.join(features('NOT has_last'))} FROM req UNION ALL SELECT c, FALSE, {', '.join('NULL' for _ in range(14))} FROM (VALUES {', '.join(f'({c!r})' for c in _FAILED)}) v(c)",
