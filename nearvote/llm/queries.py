@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nearvote.llm.decontamination import contaminated
+from nearvote.llm.exact_topk import exact_top_k
+from nearvote.llm.hard_negatives import hard_negatives
 from nearvote.llm.language import identify_languages
 from nearvote.llm.licenses import scan_licenses
 from nearvote.llm.ngram_join import ngram_jaccard_join
 from nearvote.llm.packing import pack
 from nearvote.llm.ppm import score_texts
+from nearvote.llm.ranked_search import rank_documents
 from nearvote.llm.secrets import secret_digest
 from nearvote.llm.sharding import assign_shards
 from nearvote.llm.sql import SQL
@@ -76,6 +80,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item by a bit-sliced impact index."""
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest inner products of every 50th vector by term-at-a-time accumulation."""
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector and its positives by inverted lists with radii."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scans": op2_secret_scans,
@@ -87,4 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_hard_negatives": op13_hard_negatives,
 }

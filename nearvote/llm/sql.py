@@ -80,4 +80,29 @@ named AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER B
 SELECT r.doc_id, r.digest, known.license, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, coalesce(names, '') AS line_licenses
 FROM (SELECT doc_id, sha256({_canonical('body')}) AS digest FROM rows) r LEFT JOIN known USING (digest) LEFT JOIN named ON named.doc_id = r.doc_id"""
 
-SQL = {"op1_ngram_jaccard_join": OP1, "op3_packing": OP3, "op5_sharding": OP5, "op6_license_scans": OP6}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), '{}', '{}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(_UPPER, _LOWER)
+
+OP11 = f"""WITH t AS (SELECT doc_id, len({_TERMS}) AS n, {_TERMS} AS ts FROM documents),
+size AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM t WHERE n > 0),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(ts) AS term FROM t) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, size GROUP BY term, docs),
+impact AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // total)))) AS impact FROM tf JOIN w USING (term), size),
+scores AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impact USING (term) GROUP BY item_id, doc_id HAVING sum(impact) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scores QUALIFY rank <= 10"""
+
+_WHOLE = """SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS q, {} FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+_DOT = "CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT)"
+
+OP12 = f"""WITH v AS ({_WHOLE.format("1 AS one")}),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {_DOT} AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM pairs QUALIFY rank <= 5"""
+
+OP13 = f"""WITH v AS ({_WHOLE.format("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label")} AND label IS NOT NULL),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, {_DOT} AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
+positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INT) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
+SQL = {"op1_ngram_jaccard_join": OP1, "op3_packing": OP3, "op5_sharding": OP5, "op6_license_scans": OP6, "op11_ranked_search": OP11, "op12_exact_topk": OP12, "op13_hard_negatives": OP13}

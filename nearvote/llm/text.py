@@ -79,11 +79,14 @@ def groups(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
 
 
 class Words:
-    """Words of a few whole documents: byte spans, owning row and 64-bit hash."""
+    """Words of a few whole documents: byte spans, owning row and 64-bit hash.
+
+    ``inside`` tells the bytes (after lower-casing) that words are made of.
+    """
 
     __slots__ = ("data", "starts", "ends", "first", "hashes")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~SPACE):
         self.data = data = LOWER[data]
         n = len(data)
         if n == 0:
@@ -91,7 +94,7 @@ class Words:
             self.hashes = np.zeros(0, _U)
             self.first = np.zeros(len(offsets), np.int64)
             return
-        solid = ~SPACE[data]
+        solid = inside[data]
         cut = np.zeros(n + 1, dtype=bool)
         cut[offsets] = True
         begin = solid.copy()
@@ -143,11 +146,11 @@ def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
             yield runs[:0]
 
 
-def iterate(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, Words]]:
+def iterate(column: pa.Array, limit: int = CHUNK, inside: np.ndarray = ~SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) of consecutive groups of whole documents."""
     data, offsets = buffers(column)
     for a, b in groups(offsets, limit):
-        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], inside)
 
 
 _CORE = np.ones(256, dtype=bool)
