@@ -59,6 +59,9 @@ class ScoringConfig:
     profile_min_count: int = 30
     unanimity_skip: bool = False
     deterministic_skip: bool = False
-    #: Bytes of query vectors that are broadcast at a time; more are searched block by block.
+    #: Bytes of query vectors that are broadcast at a time; inverted-file search routes more of them
+    #: by shuffles, exact search goes block by block.
     block_bytes: int = 32 << 20
+    #: Leading dimensions that the routed search measures before it decides whether to go on.
+    early_exit_dims: int = 8
     max_body: int = 4096

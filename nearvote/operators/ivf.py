@@ -5,10 +5,12 @@ second: a cluster that the triangle inequality or its bounding box puts farther
 can hold no neighbour. With repair the result equals brute force in fixed point for any
 clustering.
 
-Members never move. Queries are broadcast in blocks of a checked size with the clusters
-they probe; a pass is a map over the members' Arrow batches that measures, cluster by
-cluster, only the queries that want it, and shuffles k rows a query and batch at most.
-Where the members are a table in cluster order, row groups that no query wants are not read.
+Queries that fit a block of a checked size are broadcast with the clusters they probe, and
+members never move: a pass is a map over their Arrow batches that measures, cluster by cluster,
+only the queries that want it, and shuffles k rows a query and batch at most. Where the
+members are a table in cluster order, row groups that no query wants are not read. More
+queries than that are routed to the clusters by shuffles (``routed``), and are repaired in
+rounds with a bound that tightens; none of them comes to the driver.
 """
 
 from __future__ import annotations
@@ -21,47 +23,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearvote.config import ScoringConfig
-from nearvote.functions.vector import box_bound, quantize, squared_distance
-from nearvote.operators import knn, knn_kernel
+from nearvote.functions.vector import quantize
+from nearvote.operators import knn, knn_kernel, routed
 from nearvote.operators.index import profile_verdicts
 from nearvote.sources.scratch import stored
 
 
-def centroid_distances(queries: DataFrame, clusters: DataFrame, dims: int) -> DataFrame:
-    """(qid, qv, cluster_id, dc, ...) for every query and non-empty cluster."""
-    return queries.crossJoin(F.broadcast(clusters)).withColumn("dc", squared_distance(F.col("qv"), F.col("centroid"), dims))
-
-
-def probes(distances: DataFrame, nprobe: int) -> DataFrame:
-    """The distances with ``probe``, a cluster's rank for its query; the probed have nprobe at most."""
-    return distances.withColumn("probe", F.row_number().over(W.partitionBy("qid").orderBy("dc", "cluster_id")))
-
-
-def scan(pairs: DataFrame, members: DataFrame, dims: int, exclude_self: bool) -> DataFrame:
-    """Distances of the queries to all members of the clusters they are paired with."""
-    joined = pairs.select("qid", "qv", "cluster_id").join(members, "cluster_id")
-    if exclude_self:
-        joined = joined.where("qid <> ref_id")
-    return joined.select("qid", "ref_id", "fraud", squared_distance(F.col("qv"), F.col("q"), dims).alias("d"))
-
-
-def survivors(ranked: DataFrame, worst: DataFrame, nprobe: int, dims: int) -> DataFrame:
-    """Unprobed (query, cluster) pairs that may hold something nearer than the worst so far.
-
-    Adds ``lb``, the box bound. A query with too few candidates has no worst distance.
-    """
-    unprobed = ranked.where(F.col("probe") > nprobe).join(worst, "qid", "left")
-    reach = F.col("radius") + F.ceil(F.sqrt(F.col("worst")))
-    near = F.col("worst").isNull() | (F.col("dc") <= reach * reach)
-    bounded = unprobed.where(near).withColumn("lb", box_bound(F.col("qv"), F.col("low"), F.col("high")))
-    return bounded.where(F.col("worst").isNull() | (F.col("lb") <= F.col("worst")))
-
-
 @dataclass(frozen=True)
 class Clusters:
     """What is known of the non-empty clusters, by place; ids ascend."""
@@ -88,6 +59,76 @@ class Clusters:
         return left
 
 
+@dataclass(frozen=True)
+class Nearest:
+    """Squared distances in fixed point as scores below 0, for the routed search.
+
+    The coarse bound is the triangle inequality's, the fine one also the box's. A distance is
+    measured over ``head`` dimensions first, and finished where these leave it in reach.
+    """
+
+    known: Clusters
+    head: int
+
+    @property
+    def ids(self) -> np.ndarray:
+        return self.known.ids
+
+    def lower(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, clusters): centroid distances, and what the triangle inequality and the box
+        say that a member's distance is at least; whole numbers."""
+        far = self.known.far(q)
+        gap = np.ceil(np.sqrt(far)) - self.known.radius
+        triangle = np.where(gap >= 1, (gap - 1) ** 2 + 1, 0)
+        box = np.zeros_like(far)
+        for i in range(q.shape[1]):
+            out = np.maximum(np.maximum(self.known.low[:, i] - q[:, i, None], q[:, i, None] - self.known.high[:, i]), 0)
+            box += out * out
+        return far, triangle, box
+
+    def bounds(self, q: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, None]:
+        far, triangle, box = self.lower(q)
+        upper = -np.maximum(triangle, box)
+        order = upper.copy()
+        np.put_along_axis(order, np.argsort(far, axis=1, kind="stable")[:, :first], np.inf, axis=1)
+        return order, -triangle, upper, None
+
+    def scores(self, q: np.ndarray, v: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, int]:
+        def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return (a * a).sum(axis=1)[:, None] - 2 * (a @ b.T) + (b * b).sum(axis=1)[None, :]
+
+        h = self.head
+        d = apart(q[:, :h], v[:, :h])
+        live = d <= -least.astype(np.float64)[:, None]
+        row, col = np.nonzero(live)
+        if h >= q.shape[1] or 4 * len(row) > d.size:  # a second product is cheaper than many single rows
+            return -(d + apart(q[:, h:], v[:, h:])).astype(np.int64), 0
+        score = np.full(d.shape, routed.LEAST)
+        for a in range(0, len(row), 1 << 16):
+            r, c = row[a : a + (1 << 16)], col[a : a + (1 << 16)]
+            step = q[r, h:] - v[c, h:]
+            score[r, c] = -(d[r, c] + (step * step).sum(axis=1)).astype(np.int64)
+        return score, d.size - len(row)
+
+
+def bound_table(queries: DataFrame, clusters: DataFrame, dims: int) -> DataFrame:
+    """(qid, cluster_id, dc, triangle, box, probe) of every fixed (qid, qv) and cluster: what the routed
+    search prunes by, as a report. ``probe`` is a cluster's rank by its centroid's distance."""
+    shared = queries.sparkSession.sparkContext.broadcast(Nearest(fetch_clusters(clusters, dims), dims))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = shared.value.ids
+            far, triangle, box = shared.value.lower(knn_kernel.matrix(batch.column(1), dims))
+            rank = np.empty(far.shape, np.int32)
+            np.put_along_axis(rank, np.argsort(far, axis=1, kind="stable"), np.arange(1, len(ids) + 1, dtype=np.int32)[None, :], axis=1)
+            at = pa.array(np.repeat(np.arange(len(far)), len(ids)))
+            numbers = [pa.array(x.ravel().astype(np.int64)) for x in (far, triangle, box)]
+            yield pa.record_batch([batch.column(0).take(at), pa.array(np.tile(ids, len(far)), pa.int32()), *numbers, pa.array(rank.ravel())], names=["qid", "cluster_id", "dc", "triangle", "box", "probe"])
+
+    return queries.select("qid", F.col("qv").cast("array<double>")).mapInArrow(bound, "qid long, cluster_id int, dc long, triangle long, box long, probe int")
+
+
 def fetch_clusters(clusters: DataFrame, dims: int) -> Clusters:
     """The clusters on the driver: a few numbers for each dimension and cluster."""
     table = clusters.select("cluster_id", "centroid", "low", "high", "radius").toArrow().sort_by("cluster_id").combine_chunks()
@@ -119,26 +160,51 @@ def scan_clusters(members: DataFrame, known: Clusters, block: tuple[np.ndarray,
     given ``worst`` distances, of the unprobed clusters that may hold something nearer.
 
     A ``worst`` below 0 leaves its query out."""
-    shared = members.sparkSession.sparkContext.broadcast((known, block, worst))
+    # Who probes a place, found once for all tasks: the probe lists inverted.
+    order = np.argsort(block[2], axis=None, kind="stable")
+    cuts = np.searchsorted(block[2].ravel()[order], np.arange(len(known.ids) + 1))
+    probers = order // max(1, block[2].shape[1]), cuts
+    shared = members.sparkSession.sparkContext.broadcast((known, block[:2], probers, worst))
+    packed = "ids" in members.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (qid, q, places), worst = shared.value
+        known, (qid, q), (probers, cuts), worst = shared.value
         wanting: dict[int, np.ndarray] = {}
         for batch in batches:
-            rid, fraud, cluster = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-            r = knn_kernel.matrix(batch.column(3), dims)
-            for c in np.unique(cluster).tolist():
+            for c, rid, fraud, r in (_listed if packed else _by_cluster)(batch, dims):
                 place = int(np.searchsorted(known.ids, c))
                 if c not in wanting:
-                    probing = (places == place).any(axis=1)
-                    wanting[c] = np.flatnonzero(probing if worst is None else ~probing & known.may_hold(place, q, worst))
-                own, rows = wanting[c], np.flatnonzero(cluster == c)
+                    probing = probers[cuts[place] : cuts[place + 1]]
+                    if worst is None:
+                        wanting[c] = np.sort(probing)
+                    else:
+                        left = known.may_hold(place, q, worst)
+                        left[probing] = False
+                        wanting[c] = np.flatnonzero(left)
+                own = wanting[c]
                 if not own.size:
                     continue
-                at, to, d = knn_kernel.nearest_block(qid[own], q[own], rid[rows], r[rows], k, exclude_self)
-                yield pa.record_batch([pa.array(qid[own][at]), pa.array(rid[rows][to]), pa.array(fraud[rows][to], pa.int32()), pa.array(d)], names=knn_kernel.NEAREST.names)
+                at, to, d = knn_kernel.nearest_block(qid[own], q[own], rid, r, k, exclude_self)
+                yield pa.record_batch([pa.array(qid[own][at]), pa.array(rid[to]), pa.array(fraud[to], pa.int32()), pa.array(d)], names=knn_kernel.NEAREST.names)
+
+    wanted = ("cluster_id", "ids", "marks", "q") if packed else ("ref_id", "fraud", "cluster_id", "q")
+    return members.select(*wanted).mapInArrow(scan, knn_kernel.NEAREST)
+
+
+def _by_cluster(batch: pa.RecordBatch, dims: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(cluster, ids, frauds, vectors) of a batch of member rows."""
+    rid, fraud, cluster = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+    r = knn_kernel.matrix(batch.column(3), dims)
+    for c in np.unique(cluster).tolist():
+        rows = np.flatnonzero(cluster == c)
+        yield c, rid[rows], fraud[rows], r[rows]
+
 
-    return members.select("ref_id", "fraud", "cluster_id", "q").mapInArrow(scan, knn_kernel.NEAREST)
+def _listed(batch: pa.RecordBatch, dims: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(cluster, ids, frauds, vectors) of a batch of packed lists."""
+    for i, c in enumerate(batch.column(0).to_pylist()):
+        rid, fraud = (batch.column(j)[i].values.to_numpy(zero_copy_only=False) for j in (1, 2))
+        yield c, rid, fraud, batch.column(3)[i].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
 @dataclass
@@ -146,7 +212,7 @@ class SearchStats:
     """What a search did: seconds by stage, and (query, non-empty cluster) pairs.
 
     ``probed`` pairs are scanned by the first pass; of the others the second scans the
-    ``repaired`` ones and the bounds rule out the ``pruned`` ones. Blocks of queries add up.
+    ``repaired`` ones and the bounds rule out the ``pruned`` ones.
     """
 
     seconds: dict[str, float] = field(default_factory=dict)
@@ -179,16 +245,60 @@ def repaired_pairs(spark: SparkSession, known: Clusters, block: tuple[np.ndarray
 def search(queries: DataFrame, members: DataFrame, clusters: DataFrame, dims: int, k: int, nprobe: int, repair: bool = True, exclude_self: bool = True, config: ScoringConfig = ScoringConfig(), stats: SearchStats | None = None) -> DataFrame:
     """(qid, ref_id, fraud, d, rk): the k nearest in fixed point.
 
-    ``queries`` has float (qid, qv), ``members`` fixed (ref_id, q, fraud, cluster_id). The first
-    pass runs at once, block by block; its candidates are written to the shared folder. With ``stats`` both passes run at once, to be
-    timed and counted.
+    ``queries`` has float (qid, qv); ``members`` fixed (ref_id, q, fraud, cluster_id), or the packed
+    lists of ``routed.inverted_lists`` with frauds as marks. The first pass runs at once; its
+    candidates are written to the shared folder. With ``stats`` both passes run at once, to be
+    timed and counted. More queries than ``block_bytes`` are routed.
     """
     fixed = queries.select("qid", quantize(F.col("qv")).alias("qv"))
-    known = fetch_clusters(clusters, dims)
-    parts = [_search(part, members, known, dims, k, nprobe, repair, exclude_self, config, stats) for part in knn.query_blocks(fixed, dims, config.block_bytes)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    if fixed.count() * (dims + 2) * 8 > config.block_bytes:
+        return search_routed(queries, members, clusters, dims, k, nprobe, repair, exclude_self, config, stats)
+    return _search(fixed, members, fetch_clusters(clusters, dims), dims, k, nprobe, repair, exclude_self, config, stats)
+
+
+def packed_lists(members: DataFrame) -> DataFrame:
+    """Packed lists of member rows, written to the shared folder; lists stay as they are."""
+    if "ids" in members.columns:
+        return members
+    return stored(routed.inverted_lists(members.select("ref_id", F.col("fraud").alias("mark"), "cluster_id", "q")))
+
+
+def search_routed(queries: DataFrame, members: DataFrame, clusters: DataFrame, dims: int, k: int, nprobe: int, repair: bool = True, exclude_self: bool = True, config: ScoringConfig = ScoringConfig(), stats: SearchStats | None = None, seen: routed.RoutedStats | None = None) -> DataFrame:
+    """As ``search``, for queries of any number: they meet the clusters by shuffles.
+
+    The first round visits ``nprobe`` clusters, the next ones, twice as many each, those that the
+    bounds leave, nearest bound first. ``seen`` is filled with the counters of the rounds.
+    """
+    lists = packed_lists(members)
+    known = fetch_clusters(clusters.where("cnt > 0") if "cnt" in clusters.columns else clusters, dims)
+    ready = queries.select("qid", quantize(F.col("qv")).alias("q"), F.lit(0).alias("mark"), F.array(F.lit(routed.LEAST)).alias("lows"), F.array(F.lit(routed.MOST)).alias("highs"))
+    plan = routed.RoutedConfig(first=nprobe, growth=2)
+    metric = Nearest(known, min(config.early_exit_dims, dims))
+
+    def run(some: DataFrame, rounds: int | None, into: routed.RoutedStats | None) -> DataFrame:
+        found = routed.search(some, lists, metric, dims, k, exclude_self=exclude_self, config=plan, stats=into, rounds=rounds)
+        return found.select("qid", "ref_id", F.col("mark").alias("fraud"), (-F.col("score")).cast("double").alias("d"), "rk")
+
+    seen = routed.RoutedStats() if seen is None and stats is not None else seen
+    if repair and (config.unanimity_skip or config.deterministic_skip):
+        first = stored(run(ready, 1, None))
+        frauds, full = F.sum("fraud"), F.count("*") == k
+        sure = F.lit(False)
+        if config.unanimity_skip:
+            sure |= full & frauds.isin(0, k)
+        if config.deterministic_skip:
+            sure |= full & ((frauds <= 1) | (frauds >= k - 1))
+        done = stored(first.groupBy("qid").agg(sure.alias("sure")).where("sure").select("qid"))
+        again = run(ready.join(done, "qid", "left_anti"), None, seen)
+        out = first.join(done, "qid", "left_semi").unionByName(again)
+    else:
+        out = run(ready, None if repair else 1, seen)
+    if stats is not None:
+        stats.seconds["scan"] = stats.seconds.get("scan", 0.0) + sum(seen.seconds[:1])
+        stats.seconds["repair"] = stats.seconds.get("repair", 0.0) + sum(seen.seconds[1:])
+        stats.probed += sum(seen.pairs[:1])
+        stats.repaired += sum(seen.pairs[1:])
+        stats.pruned += seen.coarse + seen.fine
     return out
 
 

@@ -14,6 +14,7 @@ Scores are whole numbers and higher ones are better; equal scores go to the lowe
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -62,11 +63,13 @@ class RoutedConfig:
 
 @dataclass
 class RoutedStats:
-    """What a search did. ``pairs`` of (query, cluster) were scanned, a figure for each round;
-    the others were pruned: by the ``coarse`` bound alone, or by the ``fine`` one. Of the
-    ``measured`` (query, member) pairs some were ``abandoned`` after the leading dimensions."""
+    """What a search did, observed in the passes that do it. ``pairs`` of (query, cluster) were
+    scanned, a figure for each round; the others were pruned: by the ``coarse`` bound alone, or by
+    the ``fine`` one. Of the ``measured`` (query, member) pairs some were ``abandoned`` after
+    the leading dimensions. ``seconds`` are those of the rounds."""
 
     pairs: list[int] = field(default_factory=list)
+    seconds: list[float] = field(default_factory=list)
     coarse: int = 0
     fine: int = 0
     measured: int = 0
@@ -75,10 +78,10 @@ class RoutedStats:
 
 def inverted_lists(members: DataFrame, config: RoutedConfig = RoutedConfig()) -> DataFrame:
     """(cluster_id, part, ids, marks, q): the members (ref_id, mark, cluster_id, q) packed in rows of
-    about ``block_rows``; the q of a row follow one another."""
+    about ``block_rows``; the q of a row follow one another, nearest first where members have ``d``."""
     parts = members.groupBy("cluster_id").agg(F.ceil(F.count("*") / config.block_rows).cast("int").alias("parts"))  # a row a cluster
     dealt = members.join(F.broadcast(parts), "cluster_id").withColumn("part", F.pmod(F.xxhash64("ref_id"), F.col("parts")).cast("int"))
-    packed = dealt.groupBy("cluster_id", "part").agg(F.collect_list(F.struct("ref_id", "mark", "q")).alias("m"))
+    packed = dealt.groupBy("cluster_id", "part").agg(F.array_sort(F.collect_list(F.struct(*(c for c in ("d", "ref_id", "mark", "q") if c in members.columns)))).alias("m"))
     return packed.select("cluster_id", "part", F.col("m.ref_id").alias("ids"), F.col("m.mark").alias("marks"), F.flatten("m.q").alias("q"))
 
 
@@ -138,8 +141,9 @@ class _Plan:
     done: int
     step: int
 
-    def wanted(self, batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, tuple[int, int, int]]]:
-        """(rows, wanted pairs, floors, (coarsely pruned, finely pruned, wanted later)) of slices of a batch."""
+    def wanted(self, batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, list[int]]]:
+        """(rows, wanted pairs, floors, other pairs) of slices of a batch. Of this round's other pairs,
+        how many the coarse and the fine bound prune; the same of later rounds; later wanted ones."""
         q = matrix(batch.column("q"), self.dims)
         lows, highs = _windows(batch, self.slots, "lows", "highs")
         floors = np.maximum(lows, _kth(batch.column("best"), self.slots, self.k))
@@ -156,13 +160,14 @@ class _Plan:
                 keep |= inside & (upper >= floor)
             turn = np.empty(order.shape, np.int64)
             np.put_along_axis(turn, np.argsort(np.where(eligible, -order, np.inf), axis=1, kind="stable"), np.arange(order.shape[1])[None, :], axis=1)
-            open_ = turn >= self.done
-            now = keep & open_ & (turn < self.done + self.step)
-            yield rows, now, floors[rows], (int((~near & open_).sum()), int((near & ~keep & open_).sum()), int((keep & (turn >= self.done + self.step)).sum()))
+            later = turn >= self.done + self.step
+            open_ = (turn >= self.done) & ~later
+            other = [int((x & y).sum()) for y in (open_, later) for x in (~near, near & ~keep)]
+            yield rows, keep & open_, floors[rows], [*other, int((keep & later).sum())]
 
 
-def search(queries: DataFrame, lists: DataFrame, metric: Metric, dims: int, k: int, slots: int = 1, same_mark: bool | None = None, exclude_self: bool = True, config: RoutedConfig = RoutedConfig(), stats: RoutedStats | None = None) -> DataFrame:
-    """(qid, slot, ref_id, score, mark, rk): the k best of each query and slot.
+def search(queries: DataFrame, lists: DataFrame, metric: Metric, dims: int, k: int, slots: int = 1, same_mark: bool | None = None, exclude_self: bool = True, config: RoutedConfig = RoutedConfig(), stats: RoutedStats | None = None, rounds: int | None = None) -> DataFrame:
+    """(qid, slot, ref_id, score, mark, rk): the k best of each query and slot, of ``rounds`` at most.
 
     ``queries`` has (qid, q, mark) and, for each slot, a window of scores: ``lows`` and ``highs``,
     arrays of longs. With ``same_mark`` only members of the query's mark count, with False
@@ -172,25 +177,29 @@ def search(queries: DataFrame, lists: DataFrame, metric: Metric, dims: int, k: i
     parts = {r[0]: r[1] for r in lists.groupBy("cluster_id").agg(F.max("part") + 1).collect()}  # a row a cluster
     cells = {c: math.ceil(n / config.cell_blocks) for c, n in parts.items()}
     state = stored(queries.select("qid", "q", "mark", "lows", "highs", F.array().cast(BEST).alias("best")))
-    done, step = 0, config.first
-    while done < len(metric.ids):
+    done, step, turn = 0, config.first, 0
+    while done < len(metric.ids) and turn != rounds:
+        began, turn = time.perf_counter(), turn + 1
         shared = spark.sparkContext.broadcast(_Plan(metric, slots, k, dims, config.first, done, step))
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             metric = shared.value.metric
-            pairs, pruned = np.zeros(len(metric.ids), np.int64), np.zeros(3, np.int64)
+            pairs, others = np.zeros(len(metric.ids), np.int64), np.zeros(5, np.int64)
             for batch in batches:
                 for _, now, _, other in shared.value.wanted(batch):
                     pairs += now.sum(axis=0)
-                    pruned += other
+                    others += other
             at = np.flatnonzero(pairs)
-            yield pa.record_batch([pa.array([*metric.ids[at].tolist(), -1, -2, -3], pa.int32()), pa.array([*pairs[at].tolist(), *pruned.tolist()], pa.int64())], names=["cluster_id", "n"])
+            yield pa.record_batch([pa.array([*metric.ids[at].tolist(), *range(-5, 0)], pa.int32()), pa.array([*pairs[at].tolist(), *others.tolist()], pa.int64())], names=["cluster_id", "n"])
 
         counted = {r[0]: r[1] for r in state.mapInArrow(count, "cluster_id int, n long").groupBy("cluster_id").agg(F.sum("n")).collect()}
-        coarse, fine, later = (counted.pop(i, 0) for i in (-1, -2, -3))
+        coarse, fine, coarse_later, fine_later, later = (counted.pop(i, 0) for i in range(-5, 0))
+        counted = {c: n for c, n in counted.items() if c in cells}
+        last = not counted and not later
         if stats is not None:
             stats.pairs.append(sum(counted.values()))
-            stats.coarse, stats.fine = coarse, fine
+            stats.coarse += coarse + (coarse_later if last else 0)
+            stats.fine += fine + (fine_later if last else 0)
         if counted:
             chunks = {c: math.ceil(n / config.cell_queries) for c, n in counted.items()}
             seen = Observation() if stats is not None else None
@@ -198,8 +207,10 @@ def search(queries: DataFrame, lists: DataFrame, metric: Metric, dims: int, k: i
             if seen is not None:
                 stats.measured += seen.get["measured"] or 0
                 stats.abandoned += seen.get["abandoned"] or 0
-        shared.unpersist()
-        if not counted and not later:
+        if stats is not None:
+            stats.seconds.append(time.perf_counter() - began)
+        shared.destroy()
+        if last:
             break
         done, step = done + step, step * config.growth
     best = state.select("qid", F.explode("best").alias("b")).select("qid", "b.*")

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from nearvote.config import ScoringConfig
 from nearvote.functions import scores
-from nearvote.functions.vector import box_bound, partial_distance, profile_key, quantize, text_of
-from nearvote.operators import evaluate, features, generate, index, ivf, kmeans, kmknn, knn, knn_kernel
+from nearvote.functions.vector import partial_distance, profile_key, quantize, text_of
+from nearvote.operators import evaluate, features, generate, index, ivf, kmeans, kmknn, knn, knn_kernel, routed
 from nearvote.plans import views
 from nearvote.plans.views import CLUSTERS, DIMS
+from nearvote.sources.index_store import open_index, write_index
 from nearvote.sources.readers import table
 from nearvote.sources.scratch import scratch_dir, stored
 from nearvote.streaming import scoring
@@ -128,6 +129,15 @@ def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.join(centroids, "cluster_id").select("cluster_id", "cnt", "start", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
 
 
+@query
+def kmeans_two_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes and centroids after two Lloyd rounds."""
+    centroids, assigned = kmeans.fit(views.references(spark, sf), CLUSTERS, DIMS, iterations=2)
+    sizes = kmeans.offsets(assigned, CLUSTERS).select("cluster_id", "cnt")
+    flat = centroids.select("cluster_id", F.posexplode("centroid").alias("dim", "mean"))
+    return flat.join(sizes, "cluster_id").select("cluster_id", "cnt", "dim", _round("mean", 6))
+
+
 @query
 def cluster_bbox(spark: SparkSession, sf: str) -> DataFrame:
     _, _, clusters = views.one_step(views.references(spark, sf))
@@ -155,16 +165,13 @@ def cluster_slots(spark: SparkSession, sf: str) -> DataFrame:
 def _pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     refs = views.references(spark, sf)
     _, assigned, clusters = views.one_step(refs)
-    distances = ivf.centroid_distances(views.fixed_queries(refs), clusters, DIMS)
-    return refs, assigned, clusters, ivf.probes(distances, NPROBE)
+    return refs, assigned, clusters, ivf.bound_table(views.fixed_queries(refs), clusters, DIMS)
 
 
 @query
 def bbox_lower_bound(spark: SparkSession, sf: str) -> DataFrame:
     """Every query's bound for every cluster."""
-    _, _, _, order = _pairs(spark, sf)
-    bound = box_bound(F.col("qv"), F.col("low"), F.col("high"))
-    return order.select("qid", "cluster_id", bound.cast("long").alias("lb"), F.col("dc").cast("long").alias("dc"))
+    return _pairs(spark, sf)[3].select("qid", "cluster_id", F.col("box").alias("lb"), "dc")
 
 
 @query
@@ -204,13 +211,11 @@ def unprobed_anti(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def triangle_prune(spark: SparkSession, sf: str) -> DataFrame:
     """Per query: unprobed clusters, and those left by the triangle and the box bound."""
-    refs, assigned, _, order = _pairs(spark, sf)
-    probed = order.where(F.col("probe") <= NPROBE)
-    first = knn.ranked(ivf.scan(probed, views.members(assigned), DIMS, True), 6)
+    refs, assigned, clusters, order = _pairs(spark, sf)
+    first = ivf.search(views.queries(refs), views.members(assigned), clusters, DIMS, 6, NPROBE, repair=False)
     worst = first.groupBy("qid").agg(F.when(F.count("*") >= 6, F.max("d")).alias("worst"))
-    left = ivf.survivors(order, worst, NPROBE, DIMS).groupBy("qid").agg(F.count("*").alias("survivors"))
-    every = order.where(F.col("probe") > NPROBE).groupBy("qid").agg(F.count("*").alias("unprobed"))
-    return every.join(left, "qid", "left").select("qid", "unprobed", F.coalesce("survivors", F.lit(0)).alias("survivors"))
+    left = F.col("worst").isNull() | (F.greatest("triangle", "box") <= F.col("worst"))
+    return order.where(F.col("probe") > NPROBE).join(worst, "qid", "left").groupBy("qid").agg(F.count("*").alias("unprobed"), F.count_if(left).alias("survivors"))
 
 
 @query
@@ -238,6 +243,37 @@ def search_counters(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(stats.probed, stats.repaired, stats.pruned)], "probed long, repaired long, pruned long")
 
 
+@query
+def ivf_routed(spark: SparkSession, sf: str) -> DataFrame:
+    """The search with queries shuffled to the clusters, as it runs for more of them than a broadcast holds."""
+    refs = views.references(spark, sf)
+    _, assigned, clusters = views.one_step(refs)
+    found = ivf.search_routed(views.queries(refs), views.members(assigned), clusters, DIMS, 6, NPROBE)
+    return found.select("qid", "rk", "ref_id", F.col("d").cast("long").alias("d"))
+
+
+@query
+def index_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of an index in fixed point, written, opened with its companion of exact vectors, and
+    searched by routed queries; only the rerank reads floats."""
+    refs = views.references(spark, sf)
+    path = scratch_dir(spark)
+    write_index(refs, path, "ivf", DIMS, k=CLUSTERS, iterations=1, nprobe=NPROBE, files=4, exact=f"{path}-exact")
+    opened = open_index(spark, path, f"{path}-exact")
+    return opened.score(views.queries(refs), replace(ScoringConfig(nprobe=NPROBE), block_bytes=0), exclude_self=True)
+
+
+@query
+def repair_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """What the rounds of a routed search scan and prune, observed while it runs."""
+    refs = views.references(spark, sf)
+    _, assigned, clusters = views.one_step(refs)
+    seen = routed.RoutedStats()
+    ivf.search_routed(views.queries(refs), views.members(assigned), clusters, DIMS, 6, NPROBE, seen=seen)
+    row = (seen.pairs[0], sum(seen.pairs[1:]), seen.coarse, seen.fine, seen.measured)
+    return spark.createDataFrame([row], "probed long, repaired long, by_triangle long, by_box long, measured long")
+
+
 @query
 def ivf_unrepaired(spark: SparkSession, sf: str) -> DataFrame:
     """The probed clusters only: what is found without repair."""

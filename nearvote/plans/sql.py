@@ -56,6 +56,18 @@ STEP = (
     f"ad AS (SELECT e.ref_id, e.vec, e.fraud, s.cluster_id, {dist('e.vec', 's.centroid')} AS d FROM emb e, seed s)",
     "asg AS (SELECT * FROM ad QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY d, cluster_id) = 1)",
 )
+
+
+def lloyd(n: int, members: str) -> tuple[str, ...]:
+    """Centroids ``cen{n}`` of the assignment ``members`` and the assignment ``asg{n}`` to them."""
+    return (
+        f"mean{n} AS (SELECT cluster_id, i, avg(vec[i]) AS x FROM {members}, range(1, 65) r(i) GROUP BY cluster_id, i)",
+        f"cen{n} AS (SELECT CAST(c AS INT) AS cluster_id, coalesce(list(x ORDER BY i) FILTER (WHERE x IS NOT NULL), list_transform(range(64), lambda i: 0::DOUBLE)) AS centroid FROM range({K}) r(c) LEFT JOIN mean{n} ON cluster_id = c GROUP BY c)",
+        f"ad{n} AS (SELECT e.ref_id, e.vec, s.cluster_id, {dist('e.vec', 's.centroid')} AS d FROM emb e, cen{n} s)",
+        f"asg{n} AS (SELECT * FROM ad{n} QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY d, cluster_id) = 1)",
+    )
+
+
 CLUSTERS = (
     FIX,
     f"cen AS (SELECT cluster_id, {fixed('centroid')} AS c FROM seed)",
@@ -207,6 +219,33 @@ _SURVIVORS = (
 FROM probes JOIN boxes USING (cluster_id) JOIN rad USING (cluster_id) LEFT JOIN worst USING (qid) WHERE probe > {NPROBE} GROUP BY qid)""",
 )
 
+_LOWER = "greatest(triangle, box)"
+
+
+def _later_rounds() -> list[str]:
+    """Each later round visits twice as many clusters, under the worst distance of the rounds before."""
+    parts, kept = [], ["SELECT cnt, 1 AS round, TRUE AS kept, FALSE AS far FROM turns WHERE turn < 2"]
+    done, step, best, worst = NPROBE, 2 * NPROBE, "f6", "worst"
+    for n in (2, 3, 4):
+        parts += [
+            f"r{n} AS (SELECT turns.*, worst, coalesce({_LOWER} <= worst, TRUE) AS kept FROM turns LEFT JOIN {worst} USING (qid) WHERE turn BETWEEN {done} AND {done + step - 1})",
+            f"c{n} AS (SELECT qid, ref_id, fraud, d FROM {best} UNION ALL SELECT s.qid, m.ref_id, m.fraud, {dist('s.qv', 'm.q')} AS d FROM r{n} s JOIN mem m USING (cluster_id) WHERE kept AND s.qid <> m.ref_id)",
+            top(f"b{n}", f"c{n}", 6),
+            f"w{n} AS (SELECT qid, CASE WHEN count(*) >= 6 THEN max(d) END AS worst FROM b{n} GROUP BY qid)",
+        ]
+        kept.append(f"SELECT cnt, {n}, kept, triangle > worst FROM r{n}")
+        done, step, best, worst = done + step, 2 * step, f"b{n}", f"w{n}"
+    return [*parts, f"every AS ({' UNION ALL '.join(kept)})"]
+
+
+_ROUNDS = (
+    *_SURVIVORS[:-1],
+    f"""gaps AS (SELECT qid, qv, cluster_id, probe, cnt, ceil(sqrt(dc)) - radius AS gap, {BOUND} AS box FROM probes JOIN boxes USING (cluster_id) JOIN rad USING (cluster_id)),
+lower AS (SELECT *, CASE WHEN gap >= 1 THEN (gap - 1) * (gap - 1) + 1 ELSE 0 END AS triangle FROM gaps),
+turns AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY probe > {NPROBE}, CASE WHEN probe > {NPROBE} THEN {_LOWER} ELSE 0 END, cluster_id) - 1 AS turn FROM lower)""",
+    *_later_rounds(),
+)
+
 SQL: dict[str, str] = {
     "exact_knn_vote": with_(*EXACT) + verdict("ev"),
     "exact_knn_neighbors": with_(*EXACT) + "SELECT qid, rk, ref_id, fraud, round(d, 9) AS d FROM en",
@@ -224,6 +263,8 @@ count(*) FILTER (WHERE a.fraud_count <> b.fraud_count) AS count_mismatches, roun
     "kmeans_assign_once": with_(*STEP) + "SELECT ref_id, cluster_id, round(d, 9) AS d FROM asg",
     "kmeans_recompute_once": with_(*STEP) + f"SELECT CAST(c AS INT) AS cluster_id, count(ref_id) AS cnt, CAST(i - 1 AS INT) AS dim, round(coalesce(avg(vec[i]), 0), 9) AS mean FROM range({K}) r(c) LEFT JOIN asg ON asg.cluster_id = c, range(1, 65) s(i) GROUP BY c, i",
     "kmeans_seeded_argmin": with_(*STEP) + "SELECT cluster_id, count(*) AS cnt, round(sum(d), 6) AS inertia FROM asg GROUP BY cluster_id",
+    "kmeans_two_rounds": with_(*STEP, *lloyd(1, "asg"), *lloyd(2, "asg1"))
+    + "SELECT cluster_id, cnt, CAST(i - 1 AS INT) AS dim, round(centroid[i], 6) AS mean FROM cen2 JOIN (SELECT c.cluster_id, count(ref_id) AS cnt FROM cen2 c LEFT JOIN asg2 USING (cluster_id) GROUP BY 1) USING (cluster_id), range(1, 65) r(i)",
     "cluster_bbox": with_(*STEP, *CLUSTERS) + "SELECT cluster_id, CAST(dim AS INT) AS dim, CAST(low AS INT) AS low, CAST(high AS INT) AS high FROM box",
     "cluster_radius": with_(*STEP, *CLUSTERS) + "SELECT cluster_id, cnt, radius FROM rad",
     "cluster_offsets": with_(*STEP) + f"SELECT cluster_id, cnt, CAST(coalesce(sum(cnt) OVER (ORDER BY cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT CAST(c AS INT) AS cluster_id, count(ref_id) AS cnt FROM range({K}) r(c) LEFT JOIN asg ON asg.cluster_id = c GROUP BY c)",
@@ -235,6 +276,10 @@ count(*) FILTER (WHERE a.fraud_count <> b.fraud_count) AS count_mismatches, roun
     "triangle_prune": with_(*_SURVIVORS) + "SELECT * FROM left_over",
     "search_counters": with_(*_SURVIVORS) + f"SELECT {NPROBE} * count(*) AS probed, CAST(sum(survivors) AS BIGINT) AS repaired, CAST(sum(unprobed - survivors) AS BIGINT) AS pruned FROM left_over",
     "ivf_search": with_(*SIX) + "SELECT qid, rk, ref_id, CAST(d AS BIGINT) AS d FROM six",
+    "ivf_routed": with_(*SIX) + "SELECT qid, rk, ref_id, CAST(d AS BIGINT) AS d FROM six",
+    "index_score": with_(*SIX, *RERANKED, *DECIDED) + verdict("decided", "path"),
+    "repair_rounds": with_(*_ROUNDS)
+    + "SELECT count(*) FILTER (WHERE round = 1) AS probed, count(*) FILTER (WHERE round > 1 AND kept) AS repaired, count(*) FILTER (WHERE NOT kept AND far) AS by_triangle, count(*) FILTER (WHERE NOT kept AND NOT far) AS by_box, CAST(sum(cnt) FILTER (WHERE kept) AS BIGINT) AS measured FROM every",
     "ivf_score": with_(*SIX, *RERANKED, *DECIDED) + verdict("decided", "path"),
     "ivf_unrepaired": with_(*STEP, *CLUSTERS, *PROBES, *_FIRST6) + "SELECT qid, rk, ref_id, CAST(d AS BIGINT) AS d FROM f6",
     "ivf_repair_equals_brute": with_(*SIX) + "SELECT CAST(p AS INT) AS nprobe, count(*) AS n, CAST(0 AS BIGINT) AS different FROM six, (VALUES (1), (2), (8)) v(p) GROUP BY p",

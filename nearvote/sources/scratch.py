@@ -33,3 +33,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)

@@ -1,11 +1,14 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nearvote.config import ScoringConfig
 from nearvote.functions.vector import PROFILE_LAYOUT, box_bound, bucket, profile_key, quantize, squared_distance
-from nearvote.operators import evaluate, index, ivf, kmeans, kmknn, knn, knn_kernel
+from nearvote.operators import evaluate, index, ivf, kmeans, kmknn, knn, knn_kernel, routed
 from nearvote.sources.index_store import open_index, write_index
+from nearvote.sources.scratch import stored
 
 DIMS = 14
 
@@ -189,19 +192,113 @@ def test_stages_and_pairs_are_counted(spark, world):
     centroids, assigned = kmeans.fit(refs, 7, DIMS, iterations=2)
     clusters = index.cluster_stats(assigned, centroids, DIMS).where("cnt > 0")
     members = assigned.select("ref_id", "fraud", "cluster_id", quantize(F.col("vec")).alias("q"))
-    for config in (ScoringConfig(nprobe=2), ScoringConfig(nprobe=2, block_bytes=500)):
+    repaired = []
+    for config, stages in ((ScoringConfig(nprobe=2), {"centroid", "scan", "repair", "rerank"}), (ScoringConfig(nprobe=2, block_bytes=500), {"scan", "repair", "rerank"})):
         stats = ivf.SearchStats()
         counted = ivf.score(queries, refs, members, clusters, DIMS, config, stats=stats)
         plain = ivf.score(queries, refs, members, clusters, DIMS, config)
         assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, plain.collect()))
-        assert set(stats.seconds) == {"centroid", "scan", "repair", "rerank"}
+        assert set(stats.seconds) == stages
         assert stats.probed == 40 and stats.probed + stats.repaired + stats.pruned == 20 * clusters.count()
-    # What the expressions leave after the first pass is what the kernel scans again.
+        repaired.append(stats.repaired)
+    # The bounds leave after the first pass what the broadcast search scans again; rounds scan less.
     fixed_queries = queries.select("qid", quantize(F.col("qv")).alias("qv"))
-    order = ivf.probes(ivf.centroid_distances(fixed_queries, clusters, DIMS), 2)
-    first = knn.ranked(ivf.scan(order.where("probe <= 2"), members, DIMS, True), 6)
+    first = ivf.search(queries, members, clusters, DIMS, 6, 2, repair=False)
     worst = first.groupBy("qid").agg(F.when(F.count("*") >= 6, F.max("d")).alias("worst"))
-    assert ivf.survivors(order, worst, 2, DIMS).count() == stats.repaired
+    left = ivf.bound_table(fixed_queries, clusters, DIMS).where("probe > 2").join(worst, "qid").where("worst is null or greatest(triangle, box) <= worst")
+    assert left.count() == repaired[0] >= repaired[1]
+
+
+def test_lower_bounds_hold(spark, world):
+    """The triangle's and the box's bound never exceed a member's distance, and equal the expressions."""
+    vecs, _, refs, queries = world
+    centroids, assigned = kmeans.fit(refs, 5, DIMS, iterations=2)
+    clusters = index.cluster_stats(assigned, centroids, DIMS)
+    fixed_queries = queries.select("qid", quantize(F.col("qv")).alias("qv"))
+    bounds = ivf.bound_table(fixed_queries, clusters, DIMS)
+    pairs = bounds.join(fixed_queries, "qid").join(assigned.select("cluster_id", quantize(F.col("vec")).alias("q")), "cluster_id")
+    d = squared_distance(F.col("qv"), F.col("q"), DIMS)
+    assert pairs.where((F.col("triangle") > d) | (F.col("box") > d)).isEmpty()
+    twins = bounds.join(fixed_queries, "qid").join(clusters, "cluster_id")
+    wrong = (F.col("box") != box_bound(F.col("qv"), F.col("low"), F.col("high"))) | (F.col("dc") != squared_distance(F.col("qv"), F.col("centroid"), DIMS))
+    assert twins.where(wrong).isEmpty()
+
+
+@pytest.mark.parametrize("exclude_self", [True, False])
+def test_routed_search_equals_brute_force(spark, exclude_self):
+    """Copies in one hot cluster, cells of every kind, with and without early exits."""
+    rng = np.random.default_rng(8)
+    vecs = np.round(rng.random((600, DIMS)) * np.repeat(rng.random((6, DIMS)), 100, axis=0), 4)
+    vecs[200:400] = vecs[200]
+    refs = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(vecs)], "ref_id long, vec array<double>, fraud int")
+    queries = refs.where("ref_id % 6 = 0").select(F.col("ref_id").alias("qid"), F.col("vec").alias("qv"))
+    centroids, assigned = kmeans.fit(refs, 20, DIMS, iterations=2)
+    clusters = index.cluster_stats(assigned, centroids, DIMS)
+    members = assigned.select("ref_id", "fraud", "cluster_id", quantize(F.col("vec")).alias("q"))
+    small = stored(routed.inverted_lists(members.withColumnRenamed("fraud", "mark"), routed.RoutedConfig(block_rows=16)))
+    want = sorted(map(tuple, ivf.search(queries, members, clusters, DIMS, 6, 3, exclude_self=exclude_self).select("qid", "rk", "ref_id", "fraud", "d").collect()))
+    once = ivf.SearchStats()
+    ivf.search(queries, members, clusters, DIMS, 6, 3, exclude_self=exclude_self, stats=once)
+    for lists, exit_dims in ((members, 14), (small, 4)):
+        stats = routed.RoutedStats()
+        got = ivf.search_routed(queries, lists, clusters, DIMS, 6, 3, exclude_self=exclude_self, config=ScoringConfig(early_exit_dims=exit_dims), seen=stats)
+        assert sorted(map(tuple, got.select("qid", "rk", "ref_id", "fraud", "d").collect())) == want
+        assert stats.pairs[0] == 300 and sum(stats.pairs) + stats.coarse + stats.fine == 100 * clusters.where("cnt > 0").count()
+        assert sum(stats.pairs[1:]) < once.repaired  # the bound tightens
+        assert stats.measured >= stats.abandoned and (stats.abandoned > 0) == (exit_dims == 4)
+    first = sorted(map(tuple, ivf.search(queries, members, clusters, DIMS, 6, 3, repair=False).select("qid", "rk", "ref_id").collect()))
+    assert sorted(map(tuple, ivf.search_routed(queries, small, clusters, DIMS, 6, 3, repair=False).select("qid", "rk", "ref_id").collect())) == first
+    skipping = ScoringConfig(nprobe=3, unanimity_skip=True, deterministic_skip=True)
+    votes = [sorted(map(tuple, ivf.score(queries, refs, small, clusters, DIMS, replace(skipping, block_bytes=b)).select("qid", "approved").collect())) for b in (0, 1 << 20)]
+    assert votes[0] == votes[1]
+
+
+def test_routed_cells_split_queries_and_members(spark):
+    """A few lists of one cluster and many queries: cells of 8 queries and 2 list rows."""
+    rows = [(i, [i % 37, i % 11], 0, i % 3) for i in range(400)]
+    members = spark.createDataFrame([(i, m, c, q) for i, q, c, m in rows], "ref_id long, mark int, cluster_id int, q array<int>")
+    plan = routed.RoutedConfig(first=1, block_rows=32, cell_blocks=2, cell_queries=8)
+    queries = spark.createDataFrame([(i, [i - 20, 5], 0, [routed.LEAST, 0], [routed.MOST, 60]) for i in range(50)], "qid long, q array<int>, mark int, lows array<long>, highs array<long>")
+    metric = routed.InnerProduct(np.array([0]), np.array([[18.0, 5.0]]), np.array([40.0]))
+    got = routed.search(queries, routed.inverted_lists(members, plan), metric, 2, 3, slots=2, config=plan)
+    want = []
+    for i in range(50):
+        scores = sorted((-((i - 20) * q[0] + 5 * q[1]), r) for r, q, _, _ in rows if r != i)
+        for slot, some in enumerate((scores, [x for x in scores if 0 <= -x[0] <= 60])):
+            want += [(i, slot, n + 1, r, -s) for n, (s, r) in enumerate(some[:3])]
+    assert sorted(map(tuple, got.select("qid", "slot", "rk", "ref_id", "score").collect())) == want
+
+
+def test_fit_goes_on_where_it_was_stopped(spark, world, tmp_path, monkeypatch):
+    _, _, refs, _ = world
+    whole, _ = kmeans.fit(refs, 5, DIMS, iterations=4)
+    state, rounds = f"file://{tmp_path}/state", []
+    plain = kmeans.recompute
+
+    def counted(*args):
+        if len(rounds) == 2:
+            rounds.append("stopped")
+            raise KeyboardInterrupt
+        rounds.append("round")
+        return plain(*args)
+
+    monkeypatch.setattr(kmeans, "recompute", counted)
+    with pytest.raises(KeyboardInterrupt):
+        kmeans.fit(refs, 5, DIMS, iterations=4, state=state)
+    again, _ = kmeans.fit(refs, 5, DIMS, iterations=4, state=state)
+    assert rounds == ["round", "round", "stopped", "round", "round"]
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_nearest_centroid_of_ties_and_copies():
+    rng = np.random.default_rng(3)
+    table = np.round(rng.random((40, 5)), 1)
+    table[20:] = table[:20]  # every centroid twice: the first one wins
+    x = np.concatenate([np.round(rng.random((600, 5)), 1), table[:3]])
+    places, d = kmeans.nearest_one(x, table)
+    far = ((x[:, None, :] - table[None]) ** 2).sum(axis=2)
+    assert (places < 20).all() and np.allclose(d, far.min(axis=1))
+    assert np.allclose(far[np.arange(len(x)), places], far.min(axis=1))
 
 
 @pytest.mark.parametrize("kind", ["exact", "ivf", "kmknn"])
@@ -215,5 +312,25 @@ def test_index_round_trip(spark, world, tmp_path, kind):
     exact = knn.vote(knn.nearest(queries, refs, 5, DIMS))
     assert evaluate.agreement(exact, scored).first()["n"] == 20
     assert evaluate.agreement(exact, scored).first()["agree"] == 20
+    routed_too = opened.score(queries, ScoringConfig(nprobe=4, block_bytes=0))
+    assert evaluate.agreement(scored, routed_too).first()["agree"] == 20
+    opened.release()
     with pytest.raises(ValueError):
         write_index(refs, path, "tree", DIMS)
+
+
+def test_companion_of_exact_vectors(spark, world, tmp_path):
+    _, _, refs, queries = world
+    path, exact = f"file://{tmp_path}/index", f"file://{tmp_path}/floats"
+    write_index(refs, path, "ivf", DIMS, k=4, iterations=1, nprobe=2, files=2, exact=exact)
+    opened = open_index(spark, path, exact)
+    assert opened.lists.schema["q"].dataType.simpleString() == "array<smallint>"
+    found = ivf.search(queries, opened.lists, opened.clusters, DIMS, 6, 2)
+    assert "floats" not in found._jdf.queryExecution().toString() and "double" not in opened.lists.schema.simpleString()
+    want = knn.nearest(queries, refs, 5, DIMS)
+    assert evaluate.agreement(knn.vote(want), opened.score(queries)).first()["agree"] == 20
+    refs.limit(199).write.parquet(f"file://{tmp_path}/short")
+    refs.withColumn("vec", F.slice("vec", 1, 13)).write.parquet(f"file://{tmp_path}/narrow")
+    for wrong in ("short", "narrow"):
+        with pytest.raises(ValueError, match="vectors of 14 dimensions"):
+            open_index(spark, path, f"file://{tmp_path}/{wrong}")
