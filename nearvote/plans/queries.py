@@ -260,7 +260,7 @@ def index_score(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark)
     write_index(refs, path, "ivf", DIMS, k=CLUSTERS, iterations=1, nprobe=NPROBE, files=4, exact=f"{path}-exact")
     opened = open_index(spark, path, f"{path}-exact")
-    return opened.score(views.queries(refs), replace(ScoringConfig(nprobe=NPROBE), block_bytes=0), exclude_self=True)
+    return opened.score(views.queries(refs), replace(ScoringConfig(nprobe=NPROBE), block_bytes=1), exclude_self=True)
 
 
 @query

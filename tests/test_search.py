@@ -312,7 +312,7 @@ def test_index_round_trip(spark, world, tmp_path, kind):
     exact = knn.vote(knn.nearest(queries, refs, 5, DIMS))
     assert evaluate.agreement(exact, scored).first()["n"] == 20
     assert evaluate.agreement(exact, scored).first()["agree"] == 20
-    routed_too = opened.score(queries, ScoringConfig(nprobe=4, block_bytes=0))
+    routed_too = opened.score(queries, ScoringConfig(nprobe=4, block_bytes=200))
     assert evaluate.agreement(scored, routed_too).first()["agree"] == 20
     opened.release()
     with pytest.raises(ValueError):
