@@ -74,24 +74,24 @@ class Nearest:
     def ids(self) -> np.ndarray:
         return self.known.ids
 
-    def lower(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(queries, clusters): centroid distances, and what the triangle inequality and the box
-        say that a member's distance is at least; whole numbers."""
-        far = self.known.far(q)
+    def triangle(self, far: np.ndarray) -> np.ndarray:
+        """What the triangle inequality says that a member's distance is at least; a whole number."""
         gap = np.ceil(np.sqrt(far)) - self.known.radius
-        triangle = np.where(gap >= 1, (gap - 1) ** 2 + 1, 0)
-        box = np.zeros_like(far)
-        for i in range(q.shape[1]):
-            out = np.maximum(np.maximum(self.known.low[:, i] - q[:, i, None], q[:, i, None] - self.known.high[:, i]), 0)
-            box += out * out
-        return far, triangle, box
-
-    def bounds(self, q: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, None]:
-        far, triangle, box = self.lower(q)
-        upper = -np.maximum(triangle, box)
-        order = upper.copy()
-        np.put_along_axis(order, np.argsort(far, axis=1, kind="stable")[:, :first], np.inf, axis=1)
-        return order, -triangle, upper, None
+        return np.where(gap >= 1, (gap - 1) ** 2 + 1, 0)
+
+    def box(self, q: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """What the box of its cluster says of each row; a whole number."""
+        out = np.maximum(np.maximum(self.known.low[place] - q, q - self.known.high[place]), 0)
+        return (out * out).sum(axis=1)
+
+    def bounds(self, q: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, None]:
+        far = self.known.far(q)
+        order = self.known.radius - np.ceil(np.sqrt(far))
+        order[routed.leading(far, first)] = np.inf
+        return order, -self.triangle(far), None
+
+    def refine(self, q: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return -np.concatenate([self.box(q[row[a : a + (1 << 16)]], place[a : a + (1 << 16)]) for a in range(0, len(row), 1 << 16)] or [np.zeros(0)])
 
     def scores(self, q: np.ndarray, v: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, int]:
         def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,13 +113,16 @@ class Nearest:
 
 def bound_table(queries: DataFrame, clusters: DataFrame, dims: int) -> DataFrame:
     """(qid, cluster_id, dc, triangle, box, probe) of every fixed (qid, qv) and cluster: what the routed
-    search prunes by, as a report. ``probe`` is a cluster's rank by its centroid's distance."""
+    search prunes by, in a report of all pairs. ``probe`` is a cluster's rank by its centroid's distance."""
     shared = queries.sparkSession.sparkContext.broadcast(Nearest(fetch_clusters(clusters, dims), dims))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = shared.value.ids
-            far, triangle, box = shared.value.lower(knn_kernel.matrix(batch.column(1), dims))
+            q = knn_kernel.matrix(batch.column(1), dims)
+            far = shared.value.known.far(q)
+            triangle = shared.value.triangle(far)
+            box = np.stack([shared.value.box(q, np.full(len(q), i)) for i in range(len(ids))], axis=1)
             rank = np.empty(far.shape, np.int32)
             np.put_along_axis(rank, np.argsort(far, axis=1, kind="stable"), np.arange(1, len(ids) + 1, dtype=np.int32)[None, :], axis=1)
             at = pa.array(np.repeat(np.arange(len(far)), len(ids)))

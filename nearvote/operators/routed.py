@@ -37,10 +37,14 @@ class Metric(Protocol):
 
     ids: np.ndarray
 
-    def bounds(self, q: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """(order, coarse upper, upper, lower) for each query and cluster. The visits go by descending
-        ``order``; the coarse bound is the cheaper of two (the same where there is one);
-        ``lower`` is None where windows have no upper end."""
+    def bounds(self, q: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(order, upper, lower) for each query and cluster: visits go by descending ``order``, in which
+        the upper bounds must not rise but for the ``first`` visits; ``lower`` is None where windows
+        have no upper end."""
+        ...
+
+    def refine(self, q: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray | None:
+        """A tighter and dearer upper bound of some pairs; None where there is none."""
         ...
 
     def scores(self, q: np.ndarray, v: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, int]:
@@ -52,13 +56,14 @@ class Metric(Protocol):
 class RoutedConfig:
     """``first`` clusters are visited in the first round, ``growth`` times as many in each next one.
     A list row holds about ``block_rows`` members, a cell ``cell_blocks`` of these and
-    ``cell_queries`` queries."""
+    ``cell_queries`` queries. A task finds about ``task_bounds`` bounds."""
 
     first: int = 4
     growth: int = 4
     block_rows: int = 2048
     cell_blocks: int = 8
     cell_queries: int = 4096
+    task_bounds: int = 1 << 22
 
 
 @dataclass
@@ -141,29 +146,54 @@ class _Plan:
     done: int
     step: int
 
-    def wanted(self, batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, list[int]]]:
-        """(rows, wanted pairs, floors, other pairs) of slices of a batch. Of this round's other pairs,
-        how many the coarse and the fine bound prune; the same of later rounds; later wanted ones."""
+    def wanted(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The batch with, for each query, ``floors``, the wanted ``places`` of clusters, and other pairs:
+        those of this round that the coarse and the fine bound prune, those of later rounds that
+        the coarse bound prunes now, and those that it leaves."""
         q = matrix(batch.column("q"), self.dims)
         lows, highs = _windows(batch, self.slots, "lows", "highs")
         floors = np.maximum(lows, _kth(batch.column("best"), self.slots, self.k))
         size = max(1, (1 << 20) // max(1, len(self.metric.ids)))
+        sizes, places, others = [], [], []
         for a in range(0, len(q), size):
             rows = slice(a, min(a + size, len(q)))
-            order, coarse, upper, lower = self.metric.bounds(q[rows], self.first)
-            eligible, near, keep = (np.zeros(upper.shape, bool) for _ in range(3))
+            order, upper, lower = self.metric.bounds(q[rows], self.first)
+            eligible, near = np.zeros(upper.shape, bool), np.zeros(upper.shape, bool)
             for s in range(self.slots):
                 low, high, floor = lows[rows, s, None], highs[rows, s, None], floors[rows, s, None]
                 inside = (low <= high) & (np.True_ if lower is None else lower <= high)
                 eligible |= inside & (upper >= low)
-                near |= inside & (coarse >= floor)
-                keep |= inside & (upper >= floor)
-            turn = np.empty(order.shape, np.int64)
-            np.put_along_axis(turn, np.argsort(np.where(eligible, -order, np.inf), axis=1, kind="stable"), np.arange(order.shape[1])[None, :], axis=1)
-            later = turn >= self.done + self.step
-            open_ = (turn >= self.done) & ~later
-            other = [int((x & y).sum()) for y in (open_, later) for x in (~near, near & ~keep)]
-            yield rows, keep & open_, floors[rows], [*other, int((keep & later).sum())]
+                near |= inside & (upper >= floor)
+            order = np.where(eligible, -order, np.inf)
+            later = ~leading(order, self.done + self.step)
+            open_ = ~leading(order, self.done) & ~later
+            now = near & open_
+            row, place = np.nonzero(now)
+            fine = self.metric.refine(q[rows], row, place)
+            if fine is not None:
+                keep = (fine[:, None] >= floors[rows][row]).any(axis=1)
+                row, place = row[keep], place[keep]
+            sizes.append(np.bincount(row, minlength=rows.stop - rows.start))
+            places.append(place)
+            others.append(np.stack([(open_ & ~near).sum(axis=1), now.sum(axis=1) - sizes[-1], (later & ~near).sum(axis=1), (later & near).sum(axis=1)], axis=1))
+        ends = pa.array(np.concatenate([[0], *(sizes or [[]])]).cumsum().astype(np.int32))
+        want = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places or [np.zeros(0)]).astype(np.int32)))
+        other = np.concatenate(others or [np.zeros((0, 4))]).astype(np.int64)
+        told = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * 4, pa.int32()), pa.array(other.ravel()))
+        windows = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * self.slots, pa.int32()), pa.array(floors.ravel()))
+        return pa.record_batch([*(batch.column(c) for c in STATE), windows, want, told], names=[*STATE, "floors", "places", "others"])
+
+
+STATE = ("qid", "q", "mark", "lows", "highs", "best")
+
+
+def leading(order: np.ndarray, n: int) -> np.ndarray:
+    """Whether an entry is among its row's ``n`` least, the first of equal ones."""
+    if n <= 0 or n >= order.shape[1]:
+        return np.full(order.shape, n > 0)
+    last = np.partition(order, n - 1, axis=1)[:, n - 1, None]
+    below, equal = order < last, order == last
+    return below | (equal & (np.cumsum(equal, axis=1) <= n - below.sum(axis=1, keepdims=True)))
 
 
 def search(queries: DataFrame, lists: DataFrame, metric: Metric, dims: int, k: int, slots: int = 1, same_mark: bool | None = None, exclude_self: bool = True, config: RoutedConfig = RoutedConfig(), stats: RoutedStats | None = None, rounds: int | None = None) -> DataFrame:
@@ -176,34 +206,41 @@ def search(queries: DataFrame, lists: DataFrame, metric: Metric, dims: int, k: i
     spark = queries.sparkSession
     parts = {r[0]: r[1] for r in lists.groupBy("cluster_id").agg(F.max("part") + 1).collect()}  # a row a cluster
     cells = {c: math.ceil(n / config.cell_blocks) for c, n in parts.items()}
-    state = stored(queries.select("qid", "q", "mark", "lows", "highs", F.array().cast(BEST).alias("best")))
+    state = queries.select("qid", "q", "mark", "lows", "highs", F.array().cast(BEST).alias("best"))
+    kind = state.schema["q"].dataType.simpleString()
+    # Bounds cost queries * clusters, whatever their bytes: tasks are cut by that.
+    tasks = max(1, math.ceil(queries.count() * len(metric.ids) / config.task_bounds))
     done, step, turn = 0, config.first, 0
     while done < len(metric.ids) and turn != rounds:
         began, turn = time.perf_counter(), turn + 1
         shared = spark.sparkContext.broadcast(_Plan(metric, slots, k, dims, config.first, done, step))
 
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            metric = shared.value.metric
-            pairs, others = np.zeros(len(metric.ids), np.int64), np.zeros(5, np.int64)
+        def want(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            yield from map(shared.value.wanted, batches)
+
+        def count(batches: Iterator[pa.RecordBatch], n=len(metric.ids)) -> Iterator[pa.RecordBatch]:
+            pairs, others = np.zeros(n, np.int64), np.zeros(4, np.int64)
             for batch in batches:
-                for _, now, _, other in shared.value.wanted(batch):
-                    pairs += now.sum(axis=0)
-                    others += other
+                places, other = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+                pairs += np.bincount(places, minlength=n)
+                others += other.reshape(-1, 4).sum(axis=0)
             at = np.flatnonzero(pairs)
-            yield pa.record_batch([pa.array([*metric.ids[at].tolist(), *range(-5, 0)], pa.int32()), pa.array([*pairs[at].tolist(), *others.tolist()], pa.int64())], names=["cluster_id", "n"])
-
-        counted = {r[0]: r[1] for r in state.mapInArrow(count, "cluster_id int, n long").groupBy("cluster_id").agg(F.sum("n")).collect()}
-        coarse, fine, coarse_later, fine_later, later = (counted.pop(i, 0) for i in range(-5, 0))
-        counted = {c: n for c, n in counted.items() if c in cells}
-        last = not counted and not later
+            yield pa.record_batch([pa.array([*at.tolist(), *range(-4, 0)], pa.int32()), pa.array([*pairs[at].tolist(), *others.tolist()], pa.int64())], names=["place", "n"])
+
+        dealt = state.repartition(tasks, "qid") if tasks > 1 else state
+        state = stored(dealt.select(*STATE).mapInArrow(want, f"qid long, q {kind}, mark int, lows array<bigint>, highs array<bigint>, best {BEST}, floors array<bigint>, places array<int>, others array<bigint>"))
+        counted = {r[0]: r[1] for r in state.select("places", "others").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n")).collect()}
+        coarse, fine, coarse_later, near_later = (counted.pop(i, 0) for i in range(-4, 0))
+        counted = {metric.ids.item(i): n for i, n in counted.items() if metric.ids.item(i) in cells}
+        last = not counted and not near_later
         if stats is not None:
             stats.pairs.append(sum(counted.values()))
             stats.coarse += coarse + (coarse_later if last else 0)
-            stats.fine += fine + (fine_later if last else 0)
+            stats.fine += fine
         if counted:
             chunks = {c: math.ceil(n / config.cell_queries) for c, n in counted.items()}
             seen = Observation() if stats is not None else None
-            state = _visit(state, lists, shared, cells, chunks, k, slots, same_mark, exclude_self, config, seen)
+            state = stored(_visit(state, lists, shared, cells, chunks, k, slots, same_mark, exclude_self, config, seen))
             if seen is not None:
                 stats.measured += seen.get["measured"] or 0
                 stats.abandoned += seen.get["abandoned"] or 0
@@ -228,21 +265,19 @@ def _visit(state: DataFrame, lists: DataFrame, shared, cells: dict[int, int], ch
         n_cells = np.array([cells.get(c, 0) for c in ids.tolist()])
         n_chunks = np.array([chunks.get(c, 1) for c in ids.tolist()])
         for batch in batches:
-            highs = _windows(batch, slots, "highs")[0]
             qid = batch.column("qid").to_numpy(zero_copy_only=False)
             spread = (qid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            for rows, now, floors, _ in shared.value.wanted(batch):
-                row, place = np.nonzero(now)
-                copies = n_cells[place]
-                row, place = np.repeat(row, copies), np.repeat(place, copies)
-                cell = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
-                for a in range(0, len(row), config.cell_queries):  # small batches: each row carries a vector
-                    r, p, c = row[a : a + config.cell_queries], place[a : a + config.cell_queries], cell[a : a + config.cell_queries]
-                    at = pa.array(r + rows.start)
-                    ends = pa.array(np.arange(len(r) + 1) * slots, pa.int32())
-                    windows = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (floors[r], highs[r + rows.start])]
-                    chunk = (spread[r + rows.start] % n_chunks[p].astype(np.uint64)).astype(np.int32)
-                    yield pa.record_batch([pa.array(ids[p], pa.int32()), pa.array(c, pa.int32()), pa.array(chunk), batch.column("qid").take(at), batch.column("q").take(at), batch.column("mark").take(at), *windows], names=["cluster_id", "cell", "chunk", "qid", "q", "mark", "floors", "highs"])
+            wants = batch.column("places")
+            place = wants.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(qid)), wants.value_lengths().to_numpy(zero_copy_only=False))
+            copies = n_cells[place]
+            row, place = np.repeat(row, copies), np.repeat(place, copies)
+            cell = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+            for a in range(0, len(row), config.cell_queries):  # small batches: each row carries a vector
+                r, p, c = row[a : a + config.cell_queries], place[a : a + config.cell_queries], cell[a : a + config.cell_queries]
+                chunk = (spread[r] % n_chunks[p].astype(np.uint64)).astype(np.int32)
+                at = pa.array(r)
+                yield pa.record_batch([pa.array(ids[p], pa.int32()), pa.array(c, pa.int32()), pa.array(chunk), *(batch.column(x).take(at) for x in ("qid", "q", "mark", "floors", "highs"))], names=["cluster_id", "cell", "chunk", "qid", "q", "mark", "floors", "highs"])
 
     def scan(pairs: pa.Table, blocks: pa.Table) -> pa.Table:
         metric = shared.value.metric
@@ -267,7 +302,7 @@ def _visit(state: DataFrame, lists: DataFrame, shared, cells: dict[int, int], ch
         columns = [np.concatenate(x) for x in zip(*found, ([0], [-1], [len(q) * len(v)], [abandoned], [0]))]
         return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))], names=["qid", "slot", "ref_id", "score", "mark"])
 
-    pairs = state.mapInArrow(route, f"cluster_id int, cell int, chunk int, qid long, q {kind}, mark int, floors array<bigint>, highs array<bigint>")
+    pairs = state.where(F.size("places") > 0).select("qid", "q", "mark", "highs", "floors", "places").mapInArrow(route, f"cluster_id int, cell int, chunk int, qid long, q {kind}, mark int, floors array<bigint>, highs array<bigint>")
     copies = spark.createDataFrame(sorted(chunks.items()), "cluster_id int, chunks int")  # a row a cluster
     some = lists if len(chunks) == len(cells) else lists.where(F.col("cluster_id").isin(sorted(chunks)))
     blocks = some.join(F.broadcast(copies), "cluster_id").select("cluster_id", F.floor(F.col("part") / config.cell_blocks).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "ids", "marks", "q")
@@ -280,7 +315,7 @@ def _visit(state: DataFrame, lists: DataFrame, shared, cells: dict[int, int], ch
     order = W.partitionBy("qid", "slot").orderBy(F.desc("score"), "ref_id")
     kept = found.where("slot >= 0").unionByName(before).withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
     best = kept.groupBy("qid").agg(F.collect_list(F.struct("slot", "score", "ref_id", "mark")).alias("found"))  # slots * k rows
-    return stored(state.drop("best").join(best, "qid", "left").withColumn("best", F.coalesce("found", F.array().cast(BEST))).drop("found"))
+    return state.select("qid", "q", "mark", "lows", "highs").join(best, "qid", "left").withColumn("best", F.coalesce("found", F.array().cast(BEST))).drop("found")
 
 
 def _top(score: np.ndarray, rid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -308,11 +343,14 @@ class InnerProduct:
     centroids: np.ndarray
     radius: np.ndarray
 
-    def bounds(self, q: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def bounds(self, q: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         middle = product(q, self.centroids).astype(np.float64)
         reach = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))[:, None] * self.radius[None, :]
         reach = reach * (1 + 1e-9) + np.abs(middle) * 1e-12 + 1e-6
-        return middle + reach, middle + reach, middle + reach, middle - reach
+        return middle + reach, middle + reach, middle - reach
+
+    def refine(self, q: np.ndarray, row: np.ndarray, place: np.ndarray) -> None:
+        return None
 
     def scores(self, q: np.ndarray, v: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, int]:
         return product(q, v), 0

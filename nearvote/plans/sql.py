@@ -242,7 +242,7 @@ _ROUNDS = (
     *_SURVIVORS[:-1],
     f"""gaps AS (SELECT qid, qv, cluster_id, probe, cnt, ceil(sqrt(dc)) - radius AS gap, {BOUND} AS box FROM probes JOIN boxes USING (cluster_id) JOIN rad USING (cluster_id)),
 lower AS (SELECT *, CASE WHEN gap >= 1 THEN (gap - 1) * (gap - 1) + 1 ELSE 0 END AS triangle FROM gaps),
-turns AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY probe > {NPROBE}, CASE WHEN probe > {NPROBE} THEN {_LOWER} ELSE 0 END, cluster_id) - 1 AS turn FROM lower)""",
+turns AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY probe > {NPROBE}, CASE WHEN probe > {NPROBE} THEN gap ELSE 0 END, cluster_id) - 1 AS turn FROM lower)""",
     *_later_rounds(),
 )
 

@@ -236,19 +236,19 @@ def test_routed_search_equals_brute_force(spark, exclude_self):
     clusters = index.cluster_stats(assigned, centroids, DIMS)
     members = assigned.select("ref_id", "fraud", "cluster_id", quantize(F.col("vec")).alias("q"))
     small = stored(routed.inverted_lists(members.withColumnRenamed("fraud", "mark"), routed.RoutedConfig(block_rows=16)))
-    want = sorted(map(tuple, ivf.search(queries, members, clusters, DIMS, 6, 3, exclude_self=exclude_self).select("qid", "rk", "ref_id", "fraud", "d").collect()))
+    want = sorted(map(tuple, ivf.search(queries, members, clusters, DIMS, 6, 1, exclude_self=exclude_self).select("qid", "rk", "ref_id", "fraud", "d").collect()))
     once = ivf.SearchStats()
-    ivf.search(queries, members, clusters, DIMS, 6, 3, exclude_self=exclude_self, stats=once)
+    ivf.search(queries, members, clusters, DIMS, 6, 1, exclude_self=exclude_self, stats=once)
     for lists, exit_dims in ((members, 14), (small, 4)):
         stats = routed.RoutedStats()
-        got = ivf.search_routed(queries, lists, clusters, DIMS, 6, 3, exclude_self=exclude_self, config=ScoringConfig(early_exit_dims=exit_dims), seen=stats)
+        got = ivf.search_routed(queries, lists, clusters, DIMS, 6, 1, exclude_self=exclude_self, config=ScoringConfig(early_exit_dims=exit_dims), seen=stats)
         assert sorted(map(tuple, got.select("qid", "rk", "ref_id", "fraud", "d").collect())) == want
-        assert stats.pairs[0] == 300 and sum(stats.pairs) + stats.coarse + stats.fine == 100 * clusters.where("cnt > 0").count()
+        assert stats.pairs[0] == 100 and sum(stats.pairs) + stats.coarse + stats.fine == 100 * clusters.where("cnt > 0").count()
         assert sum(stats.pairs[1:]) < once.repaired  # the bound tightens
         assert stats.measured >= stats.abandoned and (stats.abandoned > 0) == (exit_dims == 4)
-    first = sorted(map(tuple, ivf.search(queries, members, clusters, DIMS, 6, 3, repair=False).select("qid", "rk", "ref_id").collect()))
-    assert sorted(map(tuple, ivf.search_routed(queries, small, clusters, DIMS, 6, 3, repair=False).select("qid", "rk", "ref_id").collect())) == first
-    skipping = ScoringConfig(nprobe=3, unanimity_skip=True, deterministic_skip=True)
+    first = sorted(map(tuple, ivf.search(queries, members, clusters, DIMS, 6, 1, repair=False).select("qid", "rk", "ref_id").collect()))
+    assert sorted(map(tuple, ivf.search_routed(queries, small, clusters, DIMS, 6, 1, repair=False).select("qid", "rk", "ref_id").collect())) == first
+    skipping = ScoringConfig(nprobe=1, unanimity_skip=True, deterministic_skip=True)
     votes = [sorted(map(tuple, ivf.score(queries, refs, small, clusters, DIMS, replace(skipping, block_bytes=b)).select("qid", "approved").collect())) for b in (0, 1 << 20)]
     assert votes[0] == votes[1]
 
