@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -34,8 +34,9 @@ class ToxicityConfig:
     """``max_rows``: bound of the labelled sample a model is fitted on (least hashes of their ids).
 
     ``min_z``: least deviations between a term's shares in both kinds of rows. ``pair_z``: least
-    deviations between a pair's toxic rows and those explained; pairs are formed of the
-    ``pair_terms`` most frequent terms of ``pair_rows`` rows or more, but of nine tenths at most.
+    deviations between a pair's toxic rows and those that its two terms explain when apart; pairs
+    are formed of all terms of ``pair_rows`` rows or more, but of nine tenths at most, that meet in
+    as many rows.
     """
 
     buckets: int = 1 << 20
@@ -44,7 +45,6 @@ class ToxicityConfig:
     max_rows: int = 20_000
     min_z: float = 4.0
     pair_z: float = 8.0
-    pair_terms: int = 2048
     pair_rows: int = 10
     epochs: int = 30
     batch: int = 16
@@ -87,11 +87,18 @@ def sample(docs: DataFrame, labels: DataFrame, config: ToxicityConfig, id_col: s
         marks = marks.where(common.fold("id", fold) != 0)
     marks = marks.orderBy(F.xxhash64("id"), "id").limit(config.max_rows)
     rows = common.documents(docs, id_col, text_col)
-    # Ids may repeat: as many of them, in that order, as have max_rows rows together.
+    # Ids may repeat: as many of them, in that order, as have max_rows rows together; of the
+    # first one beyond, any rows that are left to take.
     copies = rows.join(F.broadcast(marks), "id").groupBy("id", "toxic").agg(F.count("*").alias("copies"))
     upto = F.sum("copies").over(W.orderBy(F.xxhash64("id"), "id"))  # max_rows rows at most
-    chosen = copies.withColumn("upto", upto).where(F.col("upto") <= config.max_rows).select("id", "toxic")
-    return rows.join(F.broadcast(chosen), "id")
+    counted = [(r["id"], r["toxic"], r["copies"], r["upto"]) for r in copies.withColumn("upto", upto).where(F.col("upto") - F.col("copies") < config.max_rows).collect()]
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame([(i, y) for i, y, _, upto in counted if upto <= config.max_rows], "id long, toxic int")
+    out = rows.join(F.broadcast(chosen), "id")
+    for i, y, n, upto in counted:
+        if upto > config.max_rows:
+            out = out.unionByName(rows.where(F.col("id") == i).limit(config.max_rows - (upto - n)).select("id", "text", F.lit(y).alias("toxic")))
+    return out.select("id", "text", "toxic")
 
 
 def train(rows: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> Model:
@@ -113,11 +120,13 @@ def train(rows: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> Model:
 
     got = rows.select("id", "toxic", "text").mapInArrow(scan, schema).toArrow().sort_by([("id", "ascending"), ("terms", "ascending")])
     labels = np.array(got.column("toxic").to_pylist(), np.float64).clip(0, 1)
-    return fit([np.frombuffer(x.as_py(), "<i4") for x in got.column("terms")], labels, config)
+    return fit([np.frombuffer(x.as_py(), "<i4") for x in got.column("terms")], labels, config, rows.sparkSession)
 
 
-def fit(lists: list[np.ndarray], labels: np.ndarray, config: ToxicityConfig) -> Model:
-    """Screen the buckets, then AdaGrad on the logistic loss, a few rows at a time."""
+def fit(lists: list[np.ndarray], labels: np.ndarray, config: ToxicityConfig, spark: SparkSession | None = None) -> Model:
+    """Screen the buckets, then AdaGrad on the logistic loss, a few rows at a time.
+
+    Pairs are screened by ``spark``'s tasks if it is given."""
     slots = np.full(config.buckets, -1, np.int32)
     positive, n = labels.sum(), len(labels)
     share = positive / n if n else 0.0
@@ -133,7 +142,7 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, config: ToxicityConfig) ->
     deviation = np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / positive + 1 / (n - positive)), 1e-12))
     alone = np.flatnonzero((p - q) / deviation >= config.min_z)
     explained = linear(lists, labels, alone, config)
-    return descend(lists, labels, np.union1d(alone, paired(lists, labels, explained, with_term, config)), config)
+    return descend(lists, labels, np.union1d(alone, paired(lists, labels, explained, with_term, config, spark)), config)
 
 
 def linear(lists: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, config: ToxicityConfig, steps: int = 200) -> np.ndarray:
@@ -153,25 +162,80 @@ def linear(lists: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, config
     return p
 
 
-def paired(lists: list[np.ndarray], labels: np.ndarray, explained: np.ndarray, with_term: np.ndarray, config: ToxicityConfig) -> np.ndarray:
-    """Buckets of the pairs whose rows are toxic more or less often than ``explained``."""
+@dataclass(frozen=True)
+class Meetings:
+    """The sample's rows as lists of frequent terms, those terms as lists of rows, each row's
+    residual and variance under single terms, and their sums by term."""
+
+    first: np.ndarray
+    terms: np.ndarray
+    first_row: np.ndarray
+    rows: np.ndarray
+    residual: np.ndarray
+    variance: np.ndarray
+    sums: np.ndarray
+    spreads: np.ndarray
+
+    def partners(self, term: int, config: ToxicityConfig) -> np.ndarray:
+        """The terms that ``term`` forms a telling pair with.
+
+        What the rows of a pair have over the explained is compared with what each of its terms
+        has in its rows without the other: only what neither explains counts.
+        """
+        m = len(self.first_row) - 1
+        own = self.rows[self.first_row[term] : self.first_row[term + 1]]
+        n, over, spread = (np.zeros(m) for _ in range(3))
+        for a in range(0, len(own), 1024):
+            part = own[a : a + 1024]
+            size = self.first[part + 1] - self.first[part]
+            at = np.arange(size.sum()) + np.repeat(self.first[part] - (np.cumsum(size) - size), size)
+            met = self.terms[at]
+            n += np.bincount(met, minlength=m)
+            over += np.bincount(met, np.repeat(self.residual[part], size), m)
+            spread += np.bincount(met, np.repeat(self.variance[part], size), m)
+        some = np.flatnonzero(n >= config.pair_rows)
+        some = some[some != term]
+        n, over, spread = n[some], over[some], spread[some]
+        net, doubt = over.copy(), 1 + spread
+        rows = np.diff(self.first_row)
+        for x in (term, some):
+            total, sums, variances = rows[x], self.sums[x], self.spreads[x]
+            apart = total - n
+            scale = np.where(apart > 0, n / np.maximum(apart, 1), 0)
+            net -= scale * (sums - over)
+            doubt += scale * scale * np.maximum(variances - spread, 0)
+        return some[np.abs(net) >= config.pair_z * np.sqrt(doubt)]
+
+
+def paired(lists: list[np.ndarray], labels: np.ndarray, explained: np.ndarray, with_term: np.ndarray, config: ToxicityConfig, spark: SparkSession | None = None) -> np.ndarray:
+    """Buckets of the pairs whose rows are toxic more or less often than their terms explain."""
     n = len(labels)
     some = np.flatnonzero((with_term >= config.pair_rows) & (with_term <= 0.9 * n))
-    some = np.sort(some[np.argsort(-with_term[some], kind="stable")[: config.pair_terms]])
-    m = len(some)
-    over, spread = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
     at = np.full(config.buckets, -1, np.int32)
-    at[some] = np.arange(m)
-    for a in range(0, n, 2048):
-        part = np.zeros((min(2048, n - a), m), np.float32)
-        for i, x in enumerate(lists[a : a + 2048]):
-            part[i, at[x][at[x] >= 0]] = 1
-        own = explained[a : a + 2048, None]
-        over += part.T @ (part * (labels[a : a + 2048, None] - own).astype(np.float32))
-        spread += part.T @ (part * (own * (1 - own)).astype(np.float32))
-    sure = np.abs(over) >= config.pair_z * np.sqrt(spread + 1)
-    np.fill_diagonal(sure, False)
-    return some[sure.any(axis=0)]
+    at[some] = np.arange(len(some))
+    short = [s[s >= 0] for s in (at[x] for x in lists)]
+    size = np.array([len(s) for s in short])
+    terms = np.concatenate([np.zeros(0, np.int32), *short])
+    order = np.argsort(terms, kind="stable")
+    residual, variance = labels - explained, explained * (1 - explained)
+    by_term = (np.bincount(terms, np.repeat(x, size), len(some)) for x in (residual, variance))
+    meetings = Meetings(np.concatenate([[0], np.cumsum(size)]), terms, np.searchsorted(terms[order], np.arange(len(some) + 1)), np.repeat(np.arange(n), size)[order], residual, variance, *by_term)
+    if spark is None or not len(some):
+        told = [np.append(found, t) for t in range(len(some)) if len(found := meetings.partners(t, config))]
+        return some[np.unique(np.concatenate([np.zeros(0, np.int64), *told]).astype(np.int64))]
+    shared = spark.sparkContext.broadcast(meetings)  # of the bounded sample
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                found = shared.value.partners(t, config)
+                if len(found):
+                    yield pa.record_batch([pa.array(np.append(found, t), pa.int64())], names=["term"])
+
+    tasks = max(1, min(len(some), 4 * spark.sparkContext.defaultParallelism))
+    found = spark.range(0, len(some), 1, tasks).repartition(tasks).mapInArrow(search, "term long").distinct().toArrow()
+    shared.unpersist()
+    return some[np.sort(found.column("term").to_numpy())]
 
 
 def descend(lists: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, config: ToxicityConfig) -> Model:

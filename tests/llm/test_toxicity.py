@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 import pyarrow as pa
 
 from nearvote.llm import toxicity as tox
@@ -58,7 +59,8 @@ def test_pairs_are_learnt():
         assert (p >= 0.5) == bool(y), (w, p)
 
 
-def test_pairs_are_learnt_among_many_other_terms():
+@pytest.mark.parametrize("background", [600, 1500, 2200, 5000])
+def test_pairs_are_learnt_among_many_other_terms(spark, background):
     """A group's name and an insult, each as frequent in clean rows as in toxic ones, and a
     harmless word beside a toxic one."""
     config = tox.ToxicityConfig()
@@ -69,7 +71,7 @@ def test_pairs_are_learnt_among_many_other_terms():
         out = []
         for _ in range(n):
             w, y = rng.choice(cases)
-            text = w + ["w" + str(int(600 * rng.random() ** 2)) for _ in range(rng.randrange(5, 60))]
+            text = w + ["w" + str(int(background * rng.random() ** 2)) for _ in range(rng.randrange(5, 60))]
             rng.shuffle(text)
             out.append((" ".join(text), y))
         return out
@@ -82,6 +84,28 @@ def test_pairs_are_learnt_among_many_other_terms():
     right = sum((tox.probabilities(model, 1, np.zeros(len(x), np.int64), x)[0] >= 0.5) == bool(y) for x, (_, y) in zip(lists(fresh), fresh))
     assert right >= 0.97 * len(fresh)
     assert (model.slots >= 0).sum() <= 20
+    chance = {t: tox.probabilities(model, 1, np.zeros(len(x), np.int64), x)[0] for t, x in zip(("group awful", "scum"), lists([("group awful", 1), ("scum", 1)]))}
+    assert min(chance.values()) >= 0.9
+    if background == 1500:  # the same screen by Spark's tasks
+        labels, xs = np.array([y for _, y in seen], float), lists(seen)
+        assert (tox.fit(xs, labels, config, spark).slots >= 0).sum() == (model.slots >= 0).sum()
+
+
+def test_pairs_count_only_what_their_terms_do_not_explain():
+    """A term that is toxic a little more often than weights explain makes no pair by itself."""
+    config = tox.ToxicityConfig(min_z=1e9)  # no weights of single terms
+    rng = random.Random(4)
+    rows, labels = [], []
+    for _ in range(4000):
+        group = rng.random() < 0.3
+        rows.append(np.unique([*([1] if group else []), *(rng.randrange(2, 200) for _ in range(20))]).astype(np.int32))
+        labels.append(float(rng.random() < (0.7 if group else 0.2)))
+    labels = np.array(labels)
+    with_term = np.bincount(np.concatenate(rows), minlength=config.buckets)
+    base = np.full(len(labels), labels.mean())
+    assert len(tox.paired(rows, labels, base, with_term, config)) == 0
+    both = np.array([1 in r and 7 in r for r in rows])
+    assert set(tox.paired(rows, np.where(both, 1.0 - labels, labels), base, with_term, config).tolist()) <= {1, 7}
 
 
 def test_score_equals_the_plain_formula():
@@ -120,4 +144,10 @@ def test_sample_is_bounded(spark, docs):
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     config = tox.ToxicityConfig(max_rows=50)
     assert tox.sample(docs(rows), marks, config, "doc_id", "text", "toxic", 5).count() == 50
-    assert tox.sample(docs(rows * 3), marks, config, "doc_id", "text", "toxic", 5).count() == 48
+    assert tox.sample(docs(rows * 3), marks, config, "doc_id", "text", "toxic", 5).count() == 50
+    # One id with more rows than the sample may have takes what is left, and no more.
+    first = tox.sample(docs(rows), marks, tox.ToxicityConfig(max_rows=1), "doc_id", "text", "toxic", 5).first()
+    hot = docs(rows + [(first["id"], f"copy {i}") for i in range(80)])
+    assert tox.sample(hot, marks, config, "doc_id", "text", "toxic", 5).count() == 50
+    model = tox.train(tox.sample(hot, marks, tox.ToxicityConfig(max_rows=90), "doc_id", "text", "toxic", 5), config)
+    assert np.isfinite(model.bias)
