@@ -402,11 +402,29 @@ PAGE_TYPE = T.StructType(
 )
 
 
+#: Most bytes of pixels for each byte of a file: above what deflate (1,032) and LZW (1,366) can make of it.
+MAX_RATIO = 2048
+
+
+def _page_rows(key: int | None, data: bytes) -> Iterator[tuple]:
+    total = 0
+    try:
+        for p in read_pages(data):
+            total += len(p.pixels)
+            if total > MAX_RATIO * len(data):
+                raise TiffError("pages share their data: more pixels than the file can hold")
+            yield (key, p.index, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels, None)
+    except TiffError as e:
+        yield (key, *[None] * 9, str(e))
+
+
 def tiff_pages(media: DataFrame, id_col: str, data_col: str) -> DataFrame:
-    """One row per page of every TIFF in ``data_col``.
+    """One row per page of every TIFF in ``data_col``, a page in memory at a time.
 
     A null or unreadable file gives one row that has only its id and ``error``; pages
-    that come before a fault are kept. An empty table gives none.
+    that come before a fault are kept. So are those before a file has more than ``MAX_RATIO``
+    times its size in pixels, which no scheme reaches unless pages share their data. An
+    empty table gives none.
     """
     names = [f.name for f in PAGE_TYPE]
 
@@ -414,13 +432,8 @@ def tiff_pages(media: DataFrame, id_col: str, data_col: str) -> DataFrame:
         kinds = pa.schema([("id", pa.int64()), *((n, pa.int32()) for n in names[1:8]), ("tiled", pa.bool_()), ("pixels", pa.binary()), ("error", pa.string())])
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = []
-                try:
-                    for p in read_pages(data.as_py() or b""):
-                        rows.append((key, p.index, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels, None))
-                except TiffError as e:
-                    rows.append((key, *[None] * 9, str(e)))
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds.types)], schema=kinds) if rows else pa.RecordBatch.from_pylist([], schema=kinds)
+                for row in _page_rows(key, data.as_py() or b""):
+                    yield pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds.types)], schema=kinds)
 
     return media.select(media[id_col].cast("long").alias("id"), media[data_col].cast("binary").alias("data")).mapInArrow(scan, PAGE_TYPE)
 

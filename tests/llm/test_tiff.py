@@ -189,3 +189,37 @@ def test_texts_come_back_whole(docs, odd_texts):
         assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
     assert got[10]["feature"] == got[11]["feature"] != got[12]["feature"]
     assert media_digest(docs([])).count() == 0
+
+
+def test_pages_that_share_a_strip_are_bounded(spark):
+    """Many directories over one strip: pages come one by one until they exceed what a file can hold."""
+    body = zlib.compress(bytes(4096 * 4096), 9)
+    out = bytearray(struct.pack("<2sHI", b"II", 42, 8))
+    strip = 8 + 40 * (2 + 9 * 12 + 4)
+    for i in range(40):
+        entries = [(256, 4, 4096), (257, 4, 4096), (258, 3, 8), (259, 3, DEFLATE), (262, 3, 1), (273, 4, strip), (277, 3, 1), (278, 4, 4096), (279, 4, len(body))]
+        out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in entries)
+        out += struct.pack("<I", len(out) + 4 if i < 39 else 0)
+    bomb = bytes(out) + body
+    media = spark.createDataFrame([(1, bytearray(bomb)), (2, bytearray(store_text(b"after")))], "key long, data binary")
+    pages = tiff_pages(media, "key", "data").select("id", "page", "error").collect()
+    own = [r for r in pages if r["id"] == 1]
+    assert 1 <= sum(r["error"] is None for r in own) <= 2048 * len(bomb) // 4096**2
+    assert [r["error"] for r in own if r["error"]] == ["pages share their data: more pixels than the file can hold"]
+    assert [r["error"] for r in pages if r["id"] == 2] == [None]
+
+
+def test_feature_names_shape_scheme_and_pixels(spark, docs):
+    texts = [(1, "abc" * 1000), (2, ""), (3, None), (4, "é" * 150_000)]
+    got = {r["doc_id"]: r["feature"] for r in media_digest(docs(texts)).collect()}
+    for key, text in texts:
+        raw = (text or "").encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        parts = got[key].split(";")
+        assert len(parts) == -(-len(payload) // (64 * 4096))
+        for i, part in enumerate(parts):
+            pixels = payload[i * 64 * 4096 : (i + 1) * 64 * 4096]
+            shape, scheme, total, bars = part.split(":")
+            assert shape == f"64x{len(pixels) // 64}" and int(total) == sum(pixels)
+            assert scheme.split("/")[0] in {str(x) for x in (ADOBE_DEFLATE, PACKBITS, LZW)} and scheme[-1] in "ts"
+            assert bars == ",".join(str(sum(x >> 4 == n for x in pixels)) for n in range(16))
