@@ -17,7 +17,7 @@ from nearvote.plans.views import CLUSTERS, DIMS
 from nearvote.sources.index_store import open_index, write_index
 from nearvote.sources.readers import table
 from nearvote.sources.scratch import scratch_dir, stored
-from nearvote.streaming import scoring
+from nearvote.streaming import append, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -484,3 +484,19 @@ def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.run_once(spark, incoming, detector, f"{path}/out", f"{path}/checkpoint").drop("batch")
 
 
+@query
+def features_from_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """The events' features by way of request documents: written as JSON and parsed again."""
+    return _shown(features.parse_requests(views.event_payloads(spark, sf)), "event_id", "parse_ok")
+
+
+@query
+def stream_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Every 50th event's request as a stream in append mode, against all other events."""
+    path = scratch_dir(spark)
+    known = _event_vectors(spark, sf).where("ref_id % 50 <> 0")
+    views.event_payloads(spark, sf).where("event_id % 50 = 0").select(F.col("event_id").alias("qid"), "value").write.parquet(f"{path}/in")
+    incoming = spark.readStream.schema("qid long, value string").parquet(f"{path}/in")
+    for running in append.start(incoming, known, f"{path}/out", f"{path}/rejects", f"{path}/checkpoint", once=True):
+        running.awaitTermination()
+    return spark.read.schema("qid long, parse_ok boolean, path string, fraud_count int, approved boolean, response string").parquet(f"{path}/out")

@@ -320,6 +320,15 @@ count(*) FILTER (WHERE a.fraud_count <> b.fraud_count) AS count_mismatches, roun
     "features_golden": with_(_requests([_GOLDEN])) + f"SELECT \"case\", {', '.join(features('NOT has_last'))} FROM req",
     "payload_edge_cases": with_(_requests(_CASES))
     + f"SELECT \"case\", parse_ok, {', '.join(features('NOT has_last'))} FROM req UNION ALL SELECT c, FALSE, {', '.join('NULL' for _ in range(14))} FROM (VALUES {', '.join(f'({c!r})' for c in _FAILED)}) v(c)",
+    "features_from_payloads": with_(EVENTS, EVENT_FEATURES) + f"SELECT event_id, TRUE AS parse_ok, {FEATURE_NAMES} FROM ft",
+    "stream_append": with_(
+        EVENTS,
+        EVENT_FEATURES,
+        f"near AS (SELECT a.event_id AS qid, b.event_id AS ref_id, b.fraud, {' + '.join(f'(a.f{i} - b.f{i}) * (a.f{i} - b.f{i})' for i in range(14))} AS d FROM ft a, ft b WHERE a.event_id % 50 = 0 AND b.event_id % 50 <> 0)",
+        top("five", "near", 5),
+        voted("v", "five"),
+    )
+    + """SELECT qid, TRUE AS parse_ok, 'exact' AS path, fraud_count, fraud_count < 3 AS approved, '{"approved":' || (fraud_count < 3) || ',"fraud_score":' || round(fraud_count * 0.2::DOUBLE, 1) || '}' AS response FROM v""",
     "json_props_extract": "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, CAST(json_extract(props, '$.missing') AS INT) AS missing FROM events",
     "merchant_semi_join": with_(EVENTS) + "SELECT event_id, merchant_id FROM req WHERE list_contains(known_merchants, merchant_id)",
     "mcc_left_join": with_(EVENTS) + f"SELECT event_id, CAST({RISK_OF} AS DOUBLE) AS risk FROM req",

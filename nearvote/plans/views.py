@@ -84,6 +84,24 @@ def event_requests(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", (F.col("event_id") % 7 == 0).cast("int").alias("fraud"), request.alias("request"))
 
 
+def event_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """(event_id, value): the events' requests as JSON documents."""
+    r = event_requests(spark, sf).select("event_id", "request.*")
+
+    def stamp(c: str) -> Column:
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    body = F.struct(
+        F.concat(F.lit("tx-"), F.col("event_id")).alias("id"),
+        F.struct("amount", "installments", stamp("requested_at").alias("requested_at")).alias("transaction"),
+        F.struct("avg_amount", "tx_count_24h", "known_merchants").alias("customer"),
+        F.struct(F.col("merchant_id").alias("id"), "mcc", F.col("merchant_avg").alias("avg_amount")).alias("merchant"),
+        F.struct("is_online", "card_present", "km_from_home").alias("terminal"),
+        F.when(F.col("has_last"), F.struct(stamp("last_at").alias("timestamp"), F.col("last_km").alias("km_from_current"))).alias("last_transaction"),
+    )
+    return r.select("event_id", F.to_json(body).alias("value"))
+
+
 def order_requests(spark: SparkSession, sf: str) -> DataFrame:
     """(o_orderkey, request): orders with their customer's history and their first supplier."""
     orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")

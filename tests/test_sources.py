@@ -4,9 +4,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from nearvote.config import ScoringConfig
 from nearvote.operators import generate, knn
+from nearvote.operators.features import featurize, parse_requests
+from nearvote.operators.index import profile_table
 from nearvote.sources import readers
-from nearvote.streaming import scoring
+from nearvote.sources.scratch import stored
+from nearvote.streaming import append, scoring
 
 
 def test_references_from_gzip(spark, tmp_path):
@@ -57,3 +61,35 @@ def test_stream_scores_every_request(spark, tmp_path):
     assert json.loads(got[99]["response"]) == {"approved": True, "fraud_score": 0.0}
     whole = scoring.score_requests(grid, detector)
     assert {r["qid"]: r["fraud_count"] for r in whole.collect()} == {k: r["fraud_count"] for k, r in got.items() if k != 99}
+
+
+def test_append_stream_equals_the_batch(spark, tmp_path):
+    """Scored rows and rejects of a stream in append mode, with and without the profile shortcut."""
+    grid = generate.payload_grid(spark, 60).select(F.col("i").alias("qid"), "value")
+    odd = spark.createDataFrame([(97, None), (98, "{broken"), (99, '{"id":"' + "x" * 5000 + '"}')], "qid long, value string")
+    rows = grid.union(odd)
+    rows.write.parquet(f"file://{tmp_path}/in")
+    refs = spark.createDataFrame([(i, [(i * j % 11) / 10.0 for j in range(14)], i % 2) for i in range(50)], "ref_id long, vec array<double>, fraud int")
+
+    def detector(some):
+        return knn.vote(knn.nearest(some, refs, 5, 14, exclude_self=False)).withColumn("path", F.lit("exact"))
+
+    keyed = featurize(parse_requests(grid)).select(F.col("qid").alias("ref_id"), F.col("vec").cast("array<double>").alias("vec"), F.lit(1).alias("fraud"))
+    profile = profile_table(stored(keyed).where("ref_id < 7"))
+    want = {r["qid"]: tuple(r) for r in scoring.score_requests(rows, detector).collect()}
+    for name, config in (("plain", ScoringConfig()), ("profile", ScoringConfig(profile=True, profile_min_count=1))):
+        incoming = spark.readStream.schema("qid long, value string").parquet(f"file://{tmp_path}/in")
+        out, rejects = f"file://{tmp_path}/{name}/out", f"file://{tmp_path}/{name}/rejects"
+        running = append.start(incoming, refs, out, rejects, f"file://{tmp_path}/{name}/checkpoint", once=True, config=config, profile=profile)
+        for r in running:
+            r.awaitTermination()
+        assert [tuple(r) for r in spark.read.parquet(rejects).collect()] == [(99, 5009)]
+        got = {r["qid"]: tuple(r) for r in spark.read.parquet(out).collect()}
+        assert set(got) == set(want) - {99}
+        fast = {q for q, r in got.items() if r[2] == "profile"}
+        assert bool(fast) == (name == "profile") and all(got[q][3] == 5 for q in fast)
+        assert all(got[q] == want[q] for q in got if q not in fast)
+    batch = append.score_append(rows, refs)
+    assert {r["qid"]: tuple(r) for r in batch.collect()} == want
+    with pytest.raises(ValueError, match="micro-batches"):
+        append.score_append(rows, refs, config=ScoringConfig(block_bytes=100))
