@@ -129,6 +129,10 @@ class MultiIndex:
         return False
 
 
+#: (shingle, item) pairs of a document that are looked at together.
+EXPANDED = 1 << 20
+
+
 class Index:
     """Items of one block of the benchmark, ready to search documents."""
 
@@ -146,6 +150,8 @@ class Index:
         self.vocabulary = every
         self.weights = self.weight(every)
         self.prints = []
+        #: Of each item, its shingles' places in the vocabulary and how often it has them.
+        self.own: list[tuple[np.ndarray, np.ndarray]] = []
         flat, times = [every[:0]], [np.zeros(0, np.int64)]
         for s in ordered:
             u, c = np.unique(s, return_counts=True)
@@ -153,6 +159,7 @@ class Index:
             flat.append(u)
             times.append(c)
             self.bags.append((u, bag))
+            self.own.append((np.searchsorted(every, u), c))
             self.totals.append(float(bag.sum()))
             self.prints.append(simhash(u, bag))
         self.index = MultiIndex(self.prints, config.radius + 1)
@@ -185,24 +192,21 @@ class Index:
         ``found``: places in ``hashes`` and in the vocabulary of the hits.
         """
         places, shingles = (np.concatenate(x) for x in zip(*found))
-        count = self.end[shingles] - self.begin[shingles]
-        at = np.repeat(self.begin[shingles] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        item, times, place, shingle = self.owner[at], self.times[at], np.repeat(places, count), np.repeat(shingles, count)
-        order = np.lexsort((place, shingle, item))
-        item, times, place, shingle = item[order], times[order], place[order], shingle[order]
-        weight = self.weights[shingle]
-        items, first = np.unique(item, return_index=True)
-        reached = np.add.reduceat(weight, first)
+        order = np.lexsort((places, shingles))
+        places, shingles = places[order], shingles[order]
         heavy: dict[int, np.ndarray] = {}
         config = self.config
-        for i, a, b, most in zip(items.tolist(), first.tolist(), [*first[1:].tolist(), len(item)], reached.tolist()):
-            # Similarity is at most the share of the item's weight that is shared.
-            if most < (config.threshold - SLACK) * self.totals[i]:
-                continue
+        for i in self.reachable(shingles).tolist():
+            own, times = self.own[i]
+            first, last = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
+            count = last - first
+            at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            place, shingle, times = places[at], shingles[at], np.repeat(times, count)
+            weight = self.weights[shingle]
             size = min(config.k, self.lengths[i])
             if size not in heavy:
                 heavy[size] = np.concatenate(([0.0], np.cumsum(self.weight(text.chain(hashes, size)))))
-            near = self.window_similarities(i, place[a:b], shingle[a:b], times[a:b], weight[a:b], len(hashes), heavy[size])
+            near = self.window_similarities(i, place, shingle, times, weight, len(hashes), heavy[size])
             starts = np.flatnonzero(near >= config.threshold - SLACK)
             length = min(len(hashes), self.lengths[i])
             # The most similar first, of equals the earliest.
@@ -218,6 +222,27 @@ class Index:
                     yield self.ids[i], similarity, start, length, apart
                     break
 
+    def reachable(self, shingles: np.ndarray) -> np.ndarray:
+        """The items whose weight in common with a document of these hits, sorted, reaches the threshold.
+
+        A shingle counts as often as both have it, whatever its places: a template that many items
+        share costs a row for each of them and no more, and rows are added up a slice at a time.
+        Similarity is at most the share of the item's weight that is shared.
+        """
+        own, copies = np.unique(shingles, return_counts=True)
+        count = self.end[own] - self.begin[own]
+        upto = np.cumsum(count)
+        shared = np.zeros(len(self.ids))
+        a = 0
+        while a < len(own):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] - count[a] + EXPANDED, "right")))
+            c = count[a:b]
+            at = np.repeat(self.begin[own[a:b]] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            both = np.minimum(self.times[at], np.repeat(copies[a:b], c)) * np.repeat(self.weights[own[a:b]], c)
+            shared += np.bincount(self.owner[at], both, len(shared))
+            a = b
+        return np.flatnonzero(shared >= (self.config.threshold - SLACK) * np.array(self.totals))
+
     def window_similarities(self, i: int, place: np.ndarray, shingle: np.ndarray, times: np.ndarray, weight: np.ndarray, n: int, heavy: np.ndarray) -> np.ndarray:
         """Similarity to item ``i``, but for rounding, of its windows at every start in ``n`` words.
 
@@ -257,8 +282,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationC
     """
     rows = common.documents(docs, id_col, text_col).where("text is not null")
     out = None
-    for shared in _indexes(benchmark, config, item_col, item_text_col):
+    for last, shared in _indexes(benchmark, config, item_col, item_text_col):
         found = _search(rows, shared)
+        if not (last and out is None):  # one block's index at a time: its matches are written
+            found = common.store(found, f"{common.shared_dir(docs.sparkSession)}/matches")
+            shared.unpersist()
         out = found if out is None else out.union(found)
     return out
 
@@ -271,8 +299,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, config: Decontamination
     """
     spark = docs.sparkSession
     at, schema, path = docs.columns.index(text_col), docs.schema, None
-    shared_by_block = _indexes(benchmark, config, item_col, item_text_col)
-    for number, shared in enumerate(shared_by_block, 1):
+    for number, (last, shared) in enumerate(_indexes(benchmark, config, item_col, item_text_col), 1):
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -282,25 +309,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, config: Decontamination
                 yield batch if clean.all() else batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, schema)
-        if number < len(shared_by_block):
+        if not last:
             path = path or common.shared_dir(spark)
             docs = common.store(docs, f"{path}/left{number}")
+            shared.unpersist()
     return docs
 
 
-def _indexes(benchmark: DataFrame, config: DecontaminationConfig, item_col: str, item_text_col: str) -> list:
-    """The broadcast index of every block of items, of about ``block_bytes`` of text."""
+def _indexes(benchmark: DataFrame, config: DecontaminationConfig, item_col: str, item_text_col: str) -> Iterator[tuple]:
+    """(whether it is the last, the broadcast index) of every block of items, of about ``block_bytes``
+    of text, each built when it is asked for."""
     spark = benchmark.sparkSession
     items = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text_col].alias("body")).where("body is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     parts = max(1, -(-int(total) // config.block_bytes))
     known = frequencies(items, config)
-    out = []
     for part in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "body"), F.lit(parts)) == part)
         got = sorted((r["item"] if r["item"] is not None else -1, r["body"]) for r in own.collect())  # about block_bytes
-        out.append(spark.sparkContext.broadcast(Index([i for i, _ in got], [b for _, b in got], config, known)))
-    return out
+        yield part == parts - 1, spark.sparkContext.broadcast(Index([i for i, _ in got], [b for _, b in got], config, known))
 
 
 def matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, float, int, int, int]]:

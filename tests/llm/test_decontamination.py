@@ -2,8 +2,9 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from nearvote.llm.decontamination import BITS, DecontaminationConfig, Frequencies, Index, MultiIndex, blocks, contaminated, simhash
+from nearvote.llm.decontamination import BITS, SKETCH_CELLS, SKETCH_ROWS, DecontaminationConfig, Frequencies, Index, MultiIndex, blocks, contaminated, matches, simhash
 from tests.llm.conftest import words
 
 
@@ -164,3 +165,21 @@ def test_empty_tables_and_repeats(spark, docs):
     got = contaminated(docs([(5, "x a b c d e f g"), (5, "x a b c d e f g"), (None, "a b c d e f g")]), bench).collect()
     assert {r["doc_id"] for r in got} == {5, None} and all(r["similarity"] == 1 for r in got)
     assert Index([], [], DecontaminationConfig(), Frequencies(0, np.zeros((2, 1 << 20), np.uint32))).sizes == []
+
+
+def test_a_template_that_all_items_share_stays_small():
+    """8,000 items with one opening and a long text of that opening: memory follows hits, not pairs."""
+    import tracemalloc
+
+    opening = "answer the following question now"
+    items = [f"{opening} " + " ".join(f"q{i}w{j}" for j in range(12)) for i in range(8000)]
+    texts = [" ".join([opening] * 2000), f"x {items[77]} y", f"{opening} something else"]
+    config = DecontaminationConfig()
+    index = Index(list(range(8000)), items, config, Frequencies(8000, np.zeros((SKETCH_ROWS, SKETCH_CELLS), np.uint32)))
+    column = pa.array(texts)
+    tracemalloc.start()
+    found = [(row, item) for row, item, *_ in matches(index, column)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(1, 77)]
+    assert peak < 100 << 20
