@@ -39,19 +39,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row, that of the least id, of each group linked by a Jaccard similarity of 0.8 or
     more of five-word shingles.
 
-    Rows without words all stay. Where ids are null or repeat, rows are told apart by a number
-    in the order of their ids (nulls last), so of equal rows one stays here too.
+    Rows without words all stay. Where ids are null or repeat, rows are told apart by a number of
+    their own; a null id comes after all others, and of rows with one id the first stored
+    stays, so of equal rows one stays here too.
     """
     key = "doc_id"
-    if not docs.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
-        number = common.fresh(docs.columns, "number")
-        ordered = docs.orderBy(F.col(key).asc_nulls_last()).withColumn(number, F.monotonically_increasing_id())
-        numbered, key = common.store(ordered, f"{common.shared_dir(spark)}/numbered"), number
-    else:
-        numbered = docs
-    groups = ngram_jaccard_join(numbered, k=5, percent=80, id_col=key)
-    kept = groups.where("component_id = doc_id").select(F.col("doc_id").alias(key))
-    return numbered.join(kept, key, "left_semi").select(*docs.columns)
+    if docs.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
+        kept = ngram_jaccard_join(docs, k=5, percent=80, id_col=key).where("component_id = doc_id").select(F.col("doc_id").alias(key))
+        return docs.join(kept, key, "left_semi").select(*docs.columns)
+    number = common.fresh(docs.columns, "number")
+    # Stored, so that the numbers last; no sort brings null ids together.
+    numbered = common.store(docs.withColumn(number, F.monotonically_increasing_id()), f"{common.shared_dir(spark)}/numbered")
+    groups = ngram_jaccard_join(numbered, k=5, percent=80, id_col=number)
+    ids = numbered.select(F.col(number).alias("at"), F.col(key).alias("id"))
+    owner = groups.join(ids, groups["doc_id"] == ids["at"]).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("kept"))
+    kept = owner.select(F.col("kept.at").alias(number))
+    return numbered.join(kept, number, "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -93,8 +96,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = common.shared_dir(spark)
+    path, before = common.shared_dir(spark), None
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = common.store(stage(spark, docs, sf_dir), f"{path}/{name}")
+        if before:  # nothing reads a stage's table once the next one is written
+            common.remove(spark, before)
+        before = f"{path}/{name}"
     return docs
