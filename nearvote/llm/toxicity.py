@@ -120,7 +120,9 @@ def train(rows: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> Model:
 
     got = rows.select("id", "toxic", "text").mapInArrow(scan, schema).toArrow().sort_by([("id", "ascending"), ("terms", "ascending")])
     labels = np.array(got.column("toxic").to_pylist(), np.float64).clip(0, 1)
-    return fit([np.frombuffer(x.as_py(), "<i4") for x in got.column("terms")], labels, config, rows.sparkSession)
+    lists = [np.frombuffer(x.as_py(), "<i4") for x in got.column("terms")]
+    del got
+    return fit(lists, labels, config, rows.sparkSession)
 
 
 def fit(lists: list[np.ndarray], labels: np.ndarray, config: ToxicityConfig, spark: SparkSession | None = None) -> Model:
@@ -162,19 +164,23 @@ def linear(lists: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, config
     return p
 
 
-@dataclass(frozen=True)
 class Meetings:
-    """The sample's rows as lists of frequent terms, those terms as lists of rows, each row's
-    residual and variance under single terms, and their sums by term."""
-
-    first: np.ndarray
-    terms: np.ndarray
-    first_row: np.ndarray
-    rows: np.ndarray
-    residual: np.ndarray
-    variance: np.ndarray
-    sums: np.ndarray
-    spreads: np.ndarray
+    """The sample's rows as lists of frequent terms, and each row's residual and variance under
+    single terms. What follows from these is found where pairs are counted, not shipped."""
+
+    def __init__(self, first: np.ndarray, terms: np.ndarray, count: int, residual: np.ndarray, variance: np.ndarray):
+        self.first, self.terms, self.count, self.residual, self.variance = first, terms, count, residual, variance
+        self.rows: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("first", "terms", "count", "residual", "variance")} | {"rows": None}
+
+    def invert(self) -> None:
+        """The terms as lists of rows, and the sums of residuals and variances by term."""
+        size = np.diff(self.first)
+        self.rows = np.repeat(np.arange(len(size), dtype=np.int32), size)[np.argsort(self.terms, kind="stable")]
+        self.first_row = np.concatenate([[0], np.cumsum(np.bincount(self.terms, minlength=self.count))])
+        self.sums, self.spreads = (np.bincount(self.terms, np.repeat(x, size), self.count) for x in (self.residual, self.variance))
 
     def partners(self, term: int, config: ToxicityConfig) -> np.ndarray:
         """The terms that ``term`` forms a telling pair with.
@@ -182,7 +188,9 @@ class Meetings:
         What the rows of a pair have over the explained is compared with what each of its terms
         has in its rows without the other: only what neither explains counts.
         """
-        m = len(self.first_row) - 1
+        if self.rows is None:
+            self.invert()
+        m = self.count
         own = self.rows[self.first_row[term] : self.first_row[term + 1]]
         n, over, spread = (np.zeros(m) for _ in range(3))
         for a in range(0, len(own), 1024):
@@ -214,12 +222,10 @@ def paired(lists: list[np.ndarray], labels: np.ndarray, explained: np.ndarray, w
     at = np.full(config.buckets, -1, np.int32)
     at[some] = np.arange(len(some))
     short = [s[s >= 0] for s in (at[x] for x in lists)]
-    size = np.array([len(s) for s in short])
+    first = np.concatenate([[0], np.cumsum([len(s) for s in short])])
     terms = np.concatenate([np.zeros(0, np.int32), *short])
-    order = np.argsort(terms, kind="stable")
-    residual, variance = labels - explained, explained * (1 - explained)
-    by_term = (np.bincount(terms, np.repeat(x, size), len(some)) for x in (residual, variance))
-    meetings = Meetings(np.concatenate([[0], np.cumsum(size)]), terms, np.searchsorted(terms[order], np.arange(len(some) + 1)), np.repeat(np.arange(n), size)[order], residual, variance, *by_term)
+    del short
+    meetings = Meetings(first, terms, len(some), labels - explained, explained * (1 - explained))
     if spark is None or not len(some):
         told = [np.append(found, t) for t in range(len(some)) if len(found := meetings.partners(t, config))]
         return some[np.unique(np.concatenate([np.zeros(0, np.int64), *told]).astype(np.int64))]
@@ -234,7 +240,7 @@ def paired(lists: list[np.ndarray], labels: np.ndarray, explained: np.ndarray, w
 
     tasks = max(1, min(len(some), 4 * spark.sparkContext.defaultParallelism))
     found = spark.range(0, len(some), 1, tasks).repartition(tasks).mapInArrow(search, "term long").distinct().toArrow()
-    shared.unpersist()
+    shared.destroy()
     return some[np.sort(found.column("term").to_numpy())]
 
 
