@@ -165,33 +165,32 @@ def linear(lists: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, config
 
 
 class Meetings:
-    """The sample's rows as lists of frequent terms, and each row's residual and variance under
-    single terms. What follows from these is found where pairs are counted, not shipped."""
+    """The sample's rows as lists of frequent terms, each row's residual and variance under single
+    terms, and their sums by term. A term's rows are found where its pairs are counted."""
 
     def __init__(self, first: np.ndarray, terms: np.ndarray, count: int, residual: np.ndarray, variance: np.ndarray):
-        self.first, self.terms, self.count, self.residual, self.variance = first, terms, count, residual, variance
-        self.rows: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("first", "terms", "count", "residual", "variance")} | {"rows": None}
-
-    def invert(self) -> None:
-        """The terms as lists of rows, and the sums of residuals and variances by term."""
-        size = np.diff(self.first)
-        self.rows = np.repeat(np.arange(len(size), dtype=np.int32), size)[np.argsort(self.terms, kind="stable")]
-        self.first_row = np.concatenate([[0], np.cumsum(np.bincount(self.terms, minlength=self.count))])
-        self.sums, self.spreads = (np.bincount(self.terms, np.repeat(x, size), self.count) for x in (self.residual, self.variance))
-
-    def partners(self, term: int, config: ToxicityConfig) -> np.ndarray:
-        """The terms that ``term`` forms a telling pair with.
+        self.first, self.terms, self.residual, self.variance = first, terms, residual, variance
+        self.rows, self.sums, self.spreads = np.zeros(count, np.int64), np.zeros(count), np.zeros(count)
+        for a in range(0, len(first) - 1, 1024):
+            size = np.diff(first[a : a + 1025])
+            own = terms[first[a] : first[a] + size.sum()]
+            self.rows += np.bincount(own, minlength=count)
+            self.sums += np.bincount(own, np.repeat(residual[a : a + 1024], size), count)
+            self.spreads += np.bincount(own, np.repeat(variance[a : a + 1024], size), count)
+
+    def holders(self, low: int, high: int) -> list[np.ndarray]:
+        """The rows of each of the terms ``low`` to ``high`` - 1."""
+        at = np.flatnonzero((self.terms >= low) & (self.terms < high))
+        at = at[np.argsort(self.terms[at], kind="stable")]
+        return np.split(np.searchsorted(self.first, at, "right") - 1, np.cumsum(self.rows[low:high])[:-1])
+
+    def partners(self, term: int, own: np.ndarray, config: ToxicityConfig) -> np.ndarray:
+        """The terms that ``term`` forms a telling pair with; ``own`` are its rows.
 
         What the rows of a pair have over the explained is compared with what each of its terms
         has in its rows without the other: only what neither explains counts.
         """
-        if self.rows is None:
-            self.invert()
-        m = self.count
-        own = self.rows[self.first_row[term] : self.first_row[term + 1]]
+        m = len(self.rows)
         n, over, spread = (np.zeros(m) for _ in range(3))
         for a in range(0, len(own), 1024):
             part = own[a : a + 1024]
@@ -205,9 +204,8 @@ class Meetings:
         some = some[some != term]
         n, over, spread = n[some], over[some], spread[some]
         net, doubt = over.copy(), 1 + spread
-        rows = np.diff(self.first_row)
         for x in (term, some):
-            total, sums, variances = rows[x], self.sums[x], self.spreads[x]
+            total, sums, variances = self.rows[x], self.sums[x], self.spreads[x]
             apart = total - n
             scale = np.where(apart > 0, n / np.maximum(apart, 1), 0)
             net -= scale * (sums - over)
@@ -219,6 +217,8 @@ def paired(lists: list[np.ndarray], labels: np.ndarray, explained: np.ndarray, w
     """Buckets of the pairs whose rows are toxic more or less often than their terms explain."""
     n = len(labels)
     some = np.flatnonzero((with_term >= config.pair_rows) & (with_term <= 0.9 * n))
+    if not len(some):
+        return some
     at = np.full(config.buckets, -1, np.int32)
     at[some] = np.arange(len(some))
     short = [s[s >= 0] for s in (at[x] for x in lists)]
@@ -226,20 +226,23 @@ def paired(lists: list[np.ndarray], labels: np.ndarray, explained: np.ndarray, w
     terms = np.concatenate([np.zeros(0, np.int32), *short])
     del short
     meetings = Meetings(first, terms, len(some), labels - explained, explained * (1 - explained))
-    if spark is None or not len(some):
-        told = [np.append(found, t) for t in range(len(some)) if len(found := meetings.partners(t, config))]
+    if spark is None:
+        told = [np.append(found, t) for t, own in enumerate(meetings.holders(0, len(some))) if len(found := meetings.partners(t, own, config))]
         return some[np.unique(np.concatenate([np.zeros(0, np.int64), *told]).astype(np.int64))]
     shared = spark.sparkContext.broadcast(meetings)  # of the bounded sample
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                found = shared.value.partners(t, config)
+            if not batch.num_rows:
+                continue
+            low = batch.column(0)[0].as_py()  # a task's terms follow one another
+            for t, own in enumerate(shared.value.holders(low, low + batch.num_rows), low):
+                found = shared.value.partners(t, own, config)
                 if len(found):
                     yield pa.record_batch([pa.array(np.append(found, t), pa.int64())], names=["term"])
 
     tasks = max(1, min(len(some), 4 * spark.sparkContext.defaultParallelism))
-    found = spark.range(0, len(some), 1, tasks).repartition(tasks).mapInArrow(search, "term long").distinct().toArrow()
+    found = spark.range(0, len(some), 1, tasks).mapInArrow(search, "term long").distinct().toArrow()
     shared.destroy()
     return some[np.sort(found.column("term").to_numpy())]
 
