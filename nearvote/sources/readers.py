@@ -13,10 +13,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """(vec, fraud) of a JSON array of {vector, label}, gzipped or not. One file is one task:
-    write the result as Parquet before it is used again."""
-    rows = spark.read.schema(LABELLED_JSON).option("multiLine", True).json(path)
+def read_references(spark: SparkSession, path: str, flat: bool = True) -> DataFrame:
+    """(vec, fraud) of a JSON array of {vector, label}, gzipped or not.
+
+    Objects without nested ones are read as records that end with a brace: they stream out of the
+    decompressor, so no task holds the document, and a file that is not compressed is split over
+    tasks. A record that can't be read that way is an error, never dropped: ``flat=False`` reads
+    nested objects and braces within strings, each file whole in one task.
+    """
+    if flat:
+        records = spark.read.option("lineSep", "}").text(path).where(F.contains("value", F.lit("{")))
+        document = F.concat(F.regexp_replace("value", r"^[^{]*", ""), F.lit("}"))
+        rows = records.select(F.from_json(document, LABELLED_JSON, {"mode": "FAILFAST"}).alias("row")).select("row.*")
+    else:
+        rows = spark.read.schema(LABELLED_JSON).option("multiLine", True).json(path)
     return rows.select(F.col("vector").cast("array<double>").alias("vec"), F.coalesce((F.col("label") == "fraud").cast("int"), F.lit(0)).alias("fraud"))
 
 

@@ -21,6 +21,7 @@ from nearvote.functions import scores
 from nearvote.operators import knn_kernel
 from nearvote.operators.features import featurize, parse_requests
 from nearvote.operators.index import profile_verdicts
+from nearvote.streaming.warmup import warm_up
 
 
 def split_oversized(requests: DataFrame, max_body: int) -> tuple[DataFrame, DataFrame]:
@@ -30,47 +31,73 @@ def split_oversized(requests: DataFrame, max_body: int) -> tuple[DataFrame, Data
     return requests.where(octets <= max_body), requests.where(octets > max_body).select("qid", octets.alias("octets"))
 
 
-def score_append(requests: DataFrame, references: DataFrame, norm: Normalization = Normalization(), config: ScoringConfig = ScoringConfig(), risks: dict[str, float] | None = None, profile: DataFrame | None = None) -> DataFrame:
-    """(qid, parse_ok, path, fraud_count, approved, response) of each (qid, value) row, streaming or not.
+class AppendScorer:
+    """Scores rows in maps over references that are broadcast once.
 
-    The same rows as ``scoring.score_requests`` with exact search. ``profile``: a table of
-    ``index.profile_table``; a pure key seen ``profile_min_count`` times decides by itself.
+    ``profile``: a table of ``index.profile_table``; with ``config.profile`` a pure key seen
+    ``profile_min_count`` times decides by itself.
     """
-    n = references.count()
-    if n * (DIMS + 2) * 8 > config.block_bytes:
-        raise ValueError(f"{n} references exceed block_bytes; score them by micro-batches")
-    shared = references.sparkSession.sparkContext.broadcast(knn_kernel.held(references, "ref_id", "vec", DIMS, "fraud"))
-    k = config.neighbours
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid, r, fraud = shared.value
-        for batch in batches:
-            open_ = batch.column("qv").is_valid().to_numpy(zero_copy_only=False) & batch.column("known").is_null().to_numpy(zero_copy_only=False)
-            rows = np.flatnonzero(open_)
-            q = knn_kernel.matrix(batch.column("qv").take(pa.array(rows)), DIMS)
-            at, to, _ = knn_kernel.nearest_block(np.full(len(rows), -1), q, rid, r, k, False)
-            count = batch.column("known").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
-            count[rows] = np.bincount(at, fraud[to], len(rows)).astype(np.int32)
-            path = np.where(open_, "exact", np.where(batch.column("known").is_valid().to_numpy(zero_copy_only=False), "profile", "fallback"))
-            yield pa.record_batch([batch.column("qid"), batch.column("parse_ok"), pa.array(path.tolist(), pa.string()), pa.array(count)], names=["qid", "parse_ok", "path", "fraud_count"])
-
-    ready = featurize(parse_requests(requests, "value", config.max_body), norm, risks).select("qid", "parse_ok", F.col("vec").cast("array<double>").alias("vec"))
-    known = F.lit(None).cast("int")
-    if profile is not None and config.profile:
-        # A barrier: the key reads the vector many times, and each would parse the request again.
-        ready = ready.mapInArrow(lambda batches: batches, ready.schema)
-        ready, known = profile_verdicts(ready, profile, config.profile_min_count), F.col("profile_count")
-    found = ready.select("qid", "parse_ok", F.col("vec").alias("qv"), known.alias("known")).mapInArrow(scan, "qid long, parse_ok boolean, path string, fraud_count int")
-    count = F.col("fraud_count")
-    return found.withColumn("approved", scores.approved(count)).withColumn("response", scores.response(count))
-
-
-def start(requests: DataFrame, references: DataFrame, out: str, rejects: str, checkpoint: str, once: bool = False, norm: Normalization = Normalization(), config: ScoringConfig = ScoringConfig(), risks: dict[str, float] | None = None, profile: DataFrame | None = None) -> tuple[StreamingQuery, StreamingQuery]:
+
+    def __init__(self, references: DataFrame, norm: Normalization = Normalization(), config: ScoringConfig = ScoringConfig(), risks: dict[str, float] | None = None, profile: DataFrame | None = None):
+        n = references.count()
+        if n * (DIMS + 2) * 8 > config.block_bytes:
+            raise ValueError(f"{n} references exceed block_bytes; score them by micro-batches")
+        self.norm, self.config, self.risks = norm, config, risks
+        self.profile = profile if config.profile else None
+        self.shared = references.sparkSession.sparkContext.broadcast(knn_kernel.held(references, "ref_id", "vec", DIMS, "fraud"))
+
+    def score(self, requests: DataFrame) -> DataFrame:
+        """(qid, parse_ok, path, fraud_count, approved, response) of each (qid, value) row, streaming
+        or not: the same rows as ``scoring.score_requests`` with exact search."""
+        ready = featurize(parse_requests(requests, "value", self.config.max_body), self.norm, self.risks).select("qid", "parse_ok", F.col("vec").cast("array<double>").alias("vec"))
+        if self.profile is not None:
+            # A barrier: the key reads the vector many times, and each would parse the request again.
+            ready = ready.mapInArrow(lambda batches: batches, ready.schema)
+        found = self._found(ready)
+        count = F.col("fraud_count")
+        return found.withColumn("approved", scores.approved(count)).withColumn("response", scores.response(count))
+
+    def detect(self, vectors: DataFrame) -> DataFrame:
+        """(qid, fraud_count, path) of each (qid, qv) row, a detector of ``scoring``."""
+        ready = vectors.select("qid", F.lit(True).alias("parse_ok"), F.col("qv").alias("vec"))
+        return self._found(ready).select("qid", "fraud_count", "path")
+
+    def _found(self, ready: DataFrame) -> DataFrame:
+        shared, k = self.shared, self.config.neighbours
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rid, r, fraud = shared.value
+            for batch in batches:
+                open_ = batch.column("qv").is_valid().to_numpy(zero_copy_only=False) & batch.column("known").is_null().to_numpy(zero_copy_only=False)
+                rows = np.flatnonzero(open_)
+                q = knn_kernel.matrix(batch.column("qv").take(pa.array(rows)), DIMS)
+                at, to, _ = knn_kernel.nearest_block(np.full(len(rows), -1), q, rid, r, k, False)
+                count = batch.column("known").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
+                count[rows] = np.bincount(at, fraud[to], len(rows)).astype(np.int32)
+                path = np.where(open_, "exact", np.where(batch.column("known").is_valid().to_numpy(zero_copy_only=False), "profile", "fallback"))
+                yield pa.record_batch([batch.column("qid"), batch.column("parse_ok"), pa.array(path.tolist(), pa.string()), pa.array(count)], names=["qid", "parse_ok", "path", "fraud_count"])
+
+        known = F.lit(None).cast("int")
+        if self.profile is not None:
+            ready, known = profile_verdicts(ready, self.profile, self.config.profile_min_count), F.col("profile_count")
+        return ready.select("qid", "parse_ok", F.col("vec").alias("qv"), known.alias("known")).mapInArrow(scan, "qid long, parse_ok boolean, path string, fraud_count int")
+
+
+def score_append(requests: DataFrame, references: DataFrame, norm: Normalization = Normalization(), config: ScoringConfig = ScoringConfig(), risks: dict[str, float] | None = None, profile: DataFrame | None = None) -> DataFrame:
+    """``AppendScorer.score`` of ``requests`` by a scorer of their own."""
+    return AppendScorer(references, norm, config, risks, profile).score(requests)
+
+
+def start(requests: DataFrame, references: DataFrame, out: str, rejects: str, checkpoint: str, once: bool = False, norm: Normalization = Normalization(), config: ScoringConfig = ScoringConfig(), risks: dict[str, float] | None = None, profile: DataFrame | None = None, warm: int = 0) -> tuple[StreamingQuery, StreamingQuery]:
     """Append scored rows to ``out`` and oversized bodies' (qid, octets) to ``rejects``, both Parquet;
-    each output is a query with a checkpoint of its own."""
+    each output is a query with a checkpoint of its own. With ``warm`` above 0 the session scores
+    that many drawn vectors a slot first, over the stream's own broadcast."""
     accepted, rejected = split_oversized(requests, config.max_body)
+    scorer = AppendScorer(references, norm, config, risks, profile)
+    if warm:
+        warm_up(references.sparkSession, scorer.detect, per_slot=warm)
     started = []
-    for rows, path, name in ((score_append(accepted, references, norm, config, risks, profile), out, "scored"), (rejected, rejects, "rejected")):
+    for rows, path, name in ((scorer.score(accepted), out, "scored"), (rejected, rejects, "rejected")):
         writer = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", f"{checkpoint}/{name}")
         started.append((writer.trigger(availableNow=True) if once else writer).start())
     return started[0], started[1]

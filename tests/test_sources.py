@@ -11,6 +11,7 @@ from nearvote.operators.index import profile_table
 from nearvote.sources import readers
 from nearvote.sources.scratch import stored
 from nearvote.streaming import append, scoring
+from nearvote.streaming.warmup import warm_up
 
 
 def test_references_from_gzip(spark, tmp_path):
@@ -80,7 +81,7 @@ def test_append_stream_equals_the_batch(spark, tmp_path):
     for name, config in (("plain", ScoringConfig()), ("profile", ScoringConfig(profile=True, profile_min_count=1))):
         incoming = spark.readStream.schema("qid long, value string").parquet(f"file://{tmp_path}/in")
         out, rejects = f"file://{tmp_path}/{name}/out", f"file://{tmp_path}/{name}/rejects"
-        running = append.start(incoming, refs, out, rejects, f"file://{tmp_path}/{name}/checkpoint", once=True, config=config, profile=profile)
+        running = append.start(incoming, refs, out, rejects, f"file://{tmp_path}/{name}/checkpoint", once=True, config=config, profile=profile, warm=2)
         for r in running:
             r.awaitTermination()
         assert [tuple(r) for r in spark.read.parquet(rejects).collect()] == [(99, 5009)]
@@ -93,3 +94,47 @@ def test_append_stream_equals_the_batch(spark, tmp_path):
     assert {r["qid"]: tuple(r) for r in batch.collect()} == want
     with pytest.raises(ValueError, match="micro-batches"):
         append.score_append(rows, refs, config=ScoringConfig(block_bytes=100))
+
+
+def test_streamed_references_equal_the_whole_document(spark, tmp_path):
+    """Spaced, broken over lines, in any order of keys, without a key, null, empty; gzipped or split."""
+    rows = [{"vector": [(i * j % 97) / 97 for j in range(14)], "label": ("fraud", "legit", None)[i % 3]} for i in range(5000)]
+    rows += [{"label": "fraud", "vector": [1] * 14}, {"label": "fraud"}, {"vector": []}, {}]
+    whole = json.dumps(rows, indent=1)
+    (tmp_path / "refs.json").write_text(whole)
+    with gzip.open(tmp_path / "refs.json.gz", "wt") as f:
+        f.write(json.dumps(rows))
+    (tmp_path / "none.json").write_text("[\n]")
+    want = sorted(map(str, readers.read_references(spark, f"file://{tmp_path}/refs.json", flat=False).collect()))
+    assert len(want) == len(rows)
+    for name in ("refs.json", "refs.json.gz"):
+        assert sorted(map(str, readers.read_references(spark, f"file://{tmp_path}/{name}").collect())) == want
+    assert readers.read_references(spark, f"file://{tmp_path}/none.json").count() == 0
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 << 10))
+        split = readers.read_references(spark, f"file://{tmp_path}/refs.json")
+        assert split.rdd.getNumPartitions() > 3 and sorted(map(str, split.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    (tmp_path / "nested.json").write_text('[{"vector": [0.5], "more": {"a": 1}, "label": "fraud"}]')
+    assert [tuple(r) for r in readers.read_references(spark, f"file://{tmp_path}/nested.json", flat=False).collect()] == [([0.5], 1)]
+    with pytest.raises(Exception, match="MALFORMED"):
+        readers.read_references(spark, f"file://{tmp_path}/nested.json").collect()
+
+
+def test_warm_up_scores_lines_skips_malformed_ones_and_fills(spark):
+    refs = spark.createDataFrame([(i, [i / 10.0] * 14, i % 2) for i in range(10)], "ref_id long, vec array<double>, fraud int")
+    scorer = append.AppendScorer(refs)
+    seen = []
+
+    def detector(vectors):
+        seen.append(vectors.rdd.getNumPartitions())
+        return scorer.detect(vectors)
+
+    lines = generate.payload_grid(spark, 20).select("value").union(spark.createDataFrame([("{broken",), (None,)], "value string"))
+    done = warm_up(spark, detector, lines, per_slot=10, slots=3)
+    assert (done.scored, done.skipped, done.drawn, seen) == (20, 2, 10, [3, 3])
+    assert warm_up(spark, detector, lines, per_slot=5, slots=2).drawn == 0
+    assert warm_up(spark, detector, per_slot=4).drawn == 4 * spark.sparkContext.defaultParallelism
+    assert warm_up(spark, detector, lines.limit(0), per_slot=1, slots=1).scored == 0
