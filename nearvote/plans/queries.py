@@ -18,6 +18,7 @@ from nearvote.sources.index_store import open_index, write_index
 from nearvote.sources.readers import table
 from nearvote.sources.scratch import scratch_dir, stored
 from nearvote.streaming import append, scoring
+from nearvote.streaming.warmup import warm_up
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -382,37 +383,20 @@ def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.threshold_sweep(rows.select("mask", "cnt", "approved", (F.col("fraud") == 0).alias("expected")))
 
 
-#: Edge cases of request documents: (case, document).
-PAYLOADS = (
-    ("golden", '{"id":"tx-1","transaction":{"amount":250.00,"installments":1,"requested_at":"2026-04-15T13:42:11Z"},"customer":{"avg_amount":180.00,"tx_count_24h":3,"known_merchants":["m-001","m-002"]},"merchant":{"id":"m-001","mcc":"5411","avg_amount":200.00},"terminal":{"is_online":true,"card_present":true,"km_from_home":2.5},"last_transaction":{"timestamp":"2026-04-15T11:10:00Z","km_from_current":1.8}}'),
-    ("numeric_mcc", '{"transaction":{"amount":250.00,"installments":1,"requested_at":"2026-04-15T13:42:11Z"},"customer":{"avg_amount":180.00,"tx_count_24h":3,"known_merchants":["m-001"]},"merchant":{"id":"m-009","mcc":5411,"avg_amount":200.00},"terminal":{"is_online":true,"card_present":false,"km_from_home":2.5},"last_transaction":null}'),
-    ("spaced_mcc", '{"transaction":{"amount":99999,"installments":24,"requested_at":"2026-04-18T23:00:00+03:00"},"customer":{"avg_amount":0,"tx_count_24h":90,"known_merchants":[]},"merchant":{"id":"m-009","mcc":" +7995 ","avg_amount":1},"terminal":{"is_online":false,"card_present":false,"km_from_home":20000}}'),
-    ("text_amount", '{"transaction":{"amount":"250","installments":1,"requested_at":"2026-04-15T13:42:11Z"},"customer":{"avg_amount":180.00,"tx_count_24h":3},"merchant":{"id":"m-001","mcc":"123456","avg_amount":"x"},"terminal":{"is_online":"yes"}}'),
-    ("fractional_count", '{"transaction":{"amount":10,"installments":1.5,"requested_at":"2026-04-15T13:42:11Z"},"customer":{"avg_amount":5,"tx_count_24h":3},"merchant":{"id":"m"},"terminal":{}}'),
-    ("backwards", '{"transaction":{"amount":10,"installments":1,"requested_at":"2026-04-15T13:42:11Z"},"customer":{"avg_amount":5,"tx_count_24h":3},"merchant":{"id":"m"},"terminal":{},"last_transaction":{"timestamp":"2026-04-16T13:42:11Z","km_from_current":5}}'),
-    ("short_stamp", '{"transaction":{"amount":10,"installments":1,"requested_at":"2026-04-15"},"customer":{"avg_amount":5,"tx_count_24h":3},"merchant":{"id":"m"},"terminal":{}}'),
-    ("one_stamp", '{"transaction":{"amount":10,"installments":1,"requested_at":"2026-04-15"},"customer":{"avg_amount":5,"tx_count_24h":3},"merchant":{"id":"m"},"terminal":{},"last_transaction":{"timestamp":"2026-04-16T13:42:11Z","km_from_current":5}}'),
-    ("broken", '{"transaction":'),
-    ("empty_object", "{}"),
-)
-
-
-def _payloads(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(PAYLOADS), "case string, value string")
-
-
 def _shown(parsed: DataFrame, *keys: str) -> DataFrame:
     return features.featurize(parsed).select(*keys, *(F.get("vec", F.lit(i)).cast("double").alias(f"f{i}") for i in range(14)))
 
 
 @query
 def features_golden(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(features.parse_requests(_payloads(spark).where("case = 'golden'")), "case")
+    """A request of fixed shape for every order, with the order's price and number in it."""
+    return _shown(features.parse_requests(views.order_payloads(spark, sf)), "o_orderkey", "parse_ok")
 
 
 @query
 def payload_edge_cases(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(features.parse_requests(_payloads(spark)), "case", "parse_ok")
+    """The events' request documents, each damaged in one of ten ways or left as it is."""
+    return _shown(features.parse_requests(views.odd_payloads(spark, sf)), "event_id", "case", "parse_ok")
 
 
 @query
@@ -442,8 +426,10 @@ def mcc_left_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def payload_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid's documents dealt to the orders: every order gets the one of its key."""
     grid = generate.payload_grid(spark, 500)
-    return _shown(features.parse_requests(grid), "i", "parse_ok")
+    dealt = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 500).alias("i"))
+    return _shown(features.parse_requests(dealt.join(F.broadcast(grid), "i")), "o_orderkey", "i", "parse_ok")
 
 
 @query
@@ -472,10 +458,11 @@ def path_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
-    """The golden and edge-case requests scored as a stream against event references."""
+    """Every 50th event's request, some of them damaged, as a stream of micro-batches against all
+    other events."""
     path = scratch_dir(spark)
-    refs = _event_vectors(spark, sf)
-    _payloads(spark).select(F.monotonically_increasing_id().alias("qid"), "value").write.parquet(f"{path}/in")
+    refs = _event_vectors(spark, sf).where("ref_id % 50 <> 0")
+    views.odd_payloads(spark, sf).where("event_id % 50 = 0").select(F.col("event_id").alias("qid"), "value").write.parquet(f"{path}/in")
     incoming = spark.readStream.schema("qid long, value string").parquet(f"{path}/in")
 
     def detector(rows: DataFrame) -> DataFrame:
@@ -500,3 +487,12 @@ def stream_append(spark: SparkSession, sf: str) -> DataFrame:
     for running in append.start(incoming, known, f"{path}/out", f"{path}/rejects", f"{path}/checkpoint", once=True):
         running.awaitTermination()
     return spark.read.schema("qid long, parse_ok boolean, path string, fraud_count int, approved boolean, response string").parquet(f"{path}/out")
+
+
+@query
+def warm_up_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a warm-up over the events' damaged documents scores, skips and draws; the other way round
+    from serving, every 50th event is a reference."""
+    scorer = append.AppendScorer(_event_vectors(spark, sf).where("ref_id % 50 = 0"))
+    done = warm_up(spark, scorer.detect, views.odd_payloads(spark, sf), per_slot=5000, slots=4)
+    return spark.createDataFrame([(done.scored, done.skipped, done.drawn)], "scored long, skipped long, drawn long")

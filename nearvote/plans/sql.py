@@ -5,6 +5,7 @@ from __future__ import annotations
 from nearvote.config import MCC_RISK
 from nearvote.operators import generate
 from nearvote.operators.evaluate import THRESHOLDS
+from nearvote.plans import views
 
 K, NPROBE, MIN_COUNT = 16, 2, 3
 
@@ -178,32 +179,25 @@ req AS (SELECT o.o_orderkey, o_totalprice AS amount, installments, o_orderdate A
   FROM orders o JOIN per_order USING (o_orderkey) JOIN cust ON cust.o_custkey = o.o_custkey JOIN customer ON c_custkey = o.o_custkey)"""
 
 
-def _requests(rows: list[tuple]) -> str:
-    """A CTE of parsed requests from literals: every column of a request."""
-    return "req(\"case\", parse_ok, amount, installments, requested_at, avg_amount, tx_count_24h, known_merchants, merchant_id, mcc, merchant_avg, is_online, card_present, km_from_home, has_last, last_at, last_km) AS (VALUES " + ", ".join("(" + ", ".join(r) + ")" for r in rows) + ")"
-
-
+#: Requests of the events' changed documents: ``req`` is what is read of them, with ``ok``.
+_ODD = """odd AS (SELECT * REPLACE (
+  CASE c WHEN 3 THEN 0 ELSE amount END AS amount, CASE c WHEN 5 THEN NULL ELSE requested_at END AS requested_at, CASE c WHEN 7 THEN 0 ELSE avg_amount END AS avg_amount,
+  CASE c WHEN 0 THEN NULL WHEN 2 THEN '12' || mcc ELSE mcc END AS mcc, is_online AND c NOT IN (6, 8) AS is_online, card_present AND c <> 6 AS card_present,
+  CASE c WHEN 6 THEN 0 ELSE km_from_home END AS km_from_home), last_at IS NOT NULL AS has_last, c NOT IN (4, 9) AND NOT (c = 5 AND last_at IS NOT NULL) AS ok FROM (SELECT *, event_id % 11 AS c FROM req))"""
+_ODD_FEATURES = f"oft AS (SELECT event_id, fraud, c, ok, {', '.join(features('NOT has_last'))} FROM odd)"
+_ODD_NAME = "CASE c " + " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _, _) in enumerate(views.ODD)) + " ELSE 'plain' END"
+_GOLDEN = """req AS (SELECT o_orderkey, o_totalprice AS amount, o_orderkey % 24 AS installments, date_trunc('day', o_orderdate) + INTERVAL '21:07:45' AS requested_at, 64000.5::DOUBLE AS avg_amount, 4 AS tx_count_24h,
+  ['m-7', 'm-9'] AS known_merchants, 'm-9' AS merchant_id, '5944' AS mcc, 812.25::DOUBLE AS merchant_avg, FALSE AS is_online, TRUE AS card_present, 37.5::DOUBLE AS km_from_home,
+  date_trunc('day', o_orderdate) + INTERVAL '19:52:30' AS last_at, 12.75::DOUBLE AS last_km FROM orders)"""
 _AT, _LAST = "TIMESTAMP '2026-04-15 13:42:11'", "TIMESTAMP '2026-04-15 11:10:00'"
-_NONE = "CAST(NULL AS TIMESTAMP)"
-_GOLDEN = ("'golden'", "TRUE", "250.0::DOUBLE", "1", _AT, "180.0::DOUBLE", "3", "['m-001', 'm-002']", "'m-001'", "'5411'", "200.0::DOUBLE", "TRUE", "TRUE", "2.5::DOUBLE", "TRUE", _LAST, "1.8::DOUBLE")
-_CASES = [
-    _GOLDEN,
-    ("'numeric_mcc'", "TRUE", "250.0", "1", _AT, "180.0", "3", "['m-001']", "'m-009'", "NULL", "200.0", "TRUE", "FALSE", "2.5", "FALSE", _NONE, "0.0"),
-    ("'spaced_mcc'", "TRUE", "99999.0", "24", "TIMESTAMP '2026-04-18 23:00:00'", "0.0", "90", "[]", "'m-009'", "'7995'", "1.0", "FALSE", "FALSE", "20000.0", "FALSE", _NONE, "0.0"),
-    ("'text_amount'", "TRUE", "0.0", "1", _AT, "180.0", "3", "[]", "'m-001'", "'123456'", "0.0", "FALSE", "FALSE", "0.0", "FALSE", _NONE, "0.0"),
-    ("'backwards'", "TRUE", "10.0", "1", _AT, "5.0", "3", "[]", "'m'", "NULL", "0.0", "FALSE", "FALSE", "0.0", "TRUE", "TIMESTAMP '2026-04-16 13:42:11'", "5.0"),
-    ("'short_stamp'", "TRUE", "10.0", "1", _NONE, "5.0", "3", "[]", "'m'", "NULL", "0.0", "FALSE", "FALSE", "0.0", "FALSE", _NONE, "0.0"),
-    ("'empty_object'", "TRUE", "0.0", "0", _NONE, "0.0", "0", "[]", "''", "NULL", "0.0", "FALSE", "FALSE", "0.0", "FALSE", _NONE, "0.0"),
-]
-_FAILED = ("fractional_count", "one_stamp", "broken")
 
 
 def _list(values: tuple) -> str:
     return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) for v in values) + "]"
 
 
-_GRID = f"""grid AS (SELECT i, {_list(generate.AMOUNTS)}[i // 50 + 1] AS a, {_list(generate.KMS)}[i % 5 + 1] AS km, {_list(generate.CATEGORIES)}[i // 5 % 10 + 1] AS mcc FROM range(500) r(i)),
-req AS (SELECT i, round(a, 2) AS amount, {_list(generate.INSTALLMENTS)}[i % 4 + 1] AS installments, {_AT} AS requested_at, round(a / 1.5, 2) AS avg_amount, {_list(generate.COUNTS)}[i % 5 + 1] AS tx_count_24h,
+_GRID = f"""grid AS (SELECT o_orderkey, i, {_list(generate.AMOUNTS)}[i // 50 + 1] AS a, {_list(generate.KMS)}[i % 5 + 1] AS km, {_list(generate.CATEGORIES)}[i // 5 % 10 + 1] AS mcc FROM (SELECT o_orderkey, o_orderkey % 500 AS i FROM orders)),
+req AS (SELECT o_orderkey, i, round(a, 2) AS amount, {_list(generate.INSTALLMENTS)}[i % 4 + 1] AS installments, {_AT} AS requested_at, round(a / 1.5, 2) AS avg_amount, {_list(generate.COUNTS)}[i % 5 + 1] AS tx_count_24h,
   [{', '.join(_list(names) for names in generate.KNOWN)}][i % 4 + 1] AS known_merchants, '{generate.MERCHANT}' AS merchant_id, mcc, round(a * 0.9, 2) AS merchant_avg,
   {_list(tuple(a for a, _ in generate.FLAGS))}[i % 4 + 1] AS is_online, {_list(tuple(b for _, b in generate.FLAGS))}[i % 4 + 1] AS card_present, km AS km_from_home, {_LAST} AS last_at, round(km / 2, 2) AS last_km FROM grid)"""
 
@@ -317,9 +311,20 @@ count(*) FILTER (WHERE a.fraud_count <> b.fraud_count) AS count_mismatches, roun
         "every AS (SELECT fraud_count, path FROM decided UNION ALL SELECT fraud_count, 'profile' FROM shortcut WHERE fraud_count IS NOT NULL)",
     )
     + "SELECT path, count(*) AS n, count(*) FILTER (WHERE fraud_count >= 3) AS denied FROM every GROUP BY path",
-    "features_golden": with_(_requests([_GOLDEN])) + f"SELECT \"case\", {', '.join(features('NOT has_last'))} FROM req",
-    "payload_edge_cases": with_(_requests(_CASES))
-    + f"SELECT \"case\", parse_ok, {', '.join(features('NOT has_last'))} FROM req UNION ALL SELECT c, FALSE, {', '.join('NULL' for _ in range(14))} FROM (VALUES {', '.join(f'({c!r})' for c in _FAILED)}) v(c)",
+    "features_golden": with_(_GOLDEN) + f"SELECT o_orderkey, TRUE AS parse_ok, {', '.join(features())} FROM req",
+    "payload_edge_cases": with_(EVENTS, _ODD, _ODD_FEATURES) + f"SELECT event_id, {_ODD_NAME} AS \"case\", ok AS parse_ok, {', '.join(f'CASE WHEN ok THEN f{i} END AS f{i}' for i in range(14))} FROM oft",
+    "warm_up_counts": with_(EVENTS, _ODD) + "SELECT count(*) FILTER (WHERE ok) AS scored, count(*) FILTER (WHERE NOT ok) AS skipped, greatest(0, 20000 - count(*) FILTER (WHERE ok)) AS drawn FROM odd",
+    "stream_score": with_(
+        EVENTS,
+        EVENT_FEATURES,
+        _ODD,
+        _ODD_FEATURES,
+        f"near AS (SELECT a.event_id AS qid, b.event_id AS ref_id, b.fraud, {' + '.join(f'(a.f{i} - b.f{i}) * (a.f{i} - b.f{i})' for i in range(14))} AS d FROM oft a, ft b WHERE a.ok AND a.event_id % 50 = 0 AND b.event_id % 50 <> 0)",
+        top("five", "near", 5),
+        voted("v", "five"),
+        "s AS (SELECT event_id AS qid, ok AS parse_ok, coalesce(v.fraud_count, 0) AS fraud_count FROM oft LEFT JOIN v ON v.qid = event_id WHERE event_id % 50 = 0)",
+    )
+    + """SELECT qid, parse_ok, CASE WHEN parse_ok THEN 'exact' ELSE 'fallback' END AS path, CAST(fraud_count AS INT) AS fraud_count, fraud_count < 3 AS approved, '{"approved":' || (fraud_count < 3) || ',"fraud_score":' || round(fraud_count * 0.2::DOUBLE, 1) || '}' AS response FROM s""",
     "features_from_payloads": with_(EVENTS, EVENT_FEATURES) + f"SELECT event_id, TRUE AS parse_ok, {FEATURE_NAMES} FROM ft",
     "stream_append": with_(
         EVENTS,
@@ -332,7 +337,7 @@ count(*) FILTER (WHERE a.fraud_count <> b.fraud_count) AS count_mismatches, roun
     "json_props_extract": "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, CAST(json_extract(props, '$.missing') AS INT) AS missing FROM events",
     "merchant_semi_join": with_(EVENTS) + "SELECT event_id, merchant_id FROM req WHERE list_contains(known_merchants, merchant_id)",
     "mcc_left_join": with_(EVENTS) + f"SELECT event_id, CAST({RISK_OF} AS DOUBLE) AS risk FROM req",
-    "payload_grid": with_(_GRID) + f"SELECT i, TRUE AS parse_ok, {', '.join(features())} FROM req",
+    "payload_grid": with_(_GRID) + f"SELECT o_orderkey, i, TRUE AS parse_ok, {', '.join(features())} FROM req",
     "latency_percentiles": "SELECT n, round(mean, 6) AS mean, " + ", ".join(f"s[CAST(floor(n * {p}) AS INT) + 1] AS p{int(round(p * 100))}" for p in (0.5, 0.9, 0.95, 0.99)) + ", mx AS max FROM (SELECT count(value) AS n, avg(value) AS mean, list_sort(list(value) FILTER (WHERE value IS NOT NULL)) AS s, max(value) AS mx FROM events)",
     "response_json": with_(*EXACT) + """SELECT qid, '{"approved":' || (fraud_count < 3) || ',"fraud_score":' || round(fraud_count * 0.2::DOUBLE, 1) || '}' AS response FROM ev""",
 }

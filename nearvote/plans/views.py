@@ -102,6 +102,50 @@ def event_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("event_id", F.to_json(body).alias("value"))
 
 
+#: How ``odd_payloads`` changes the document of each event: by event_id % 11, other ones stay.
+#: (case, pattern, replacement); a null pattern cuts the document in half.
+ODD = (
+    ("numeric_category", r'"mcc":"([0-9]+)"', '"mcc":$1'),
+    ("spaced_category", r'"mcc":"([0-9]+)"', '"mcc":" +$1 "'),
+    ("long_category", r'"mcc":"([0-9]+)"', '"mcc":"12$1"'),
+    ("text_amount", r'^(.*?"amount":)([^,]*)', '$1"$2"'),
+    ("fractional_count", r'"installments":([0-9]+)', '"installments":$1.5'),
+    ("short_stamp", r'"requested_at":"([0-9-]{10})[^"]*"', '"requested_at":"$1"'),
+    ("no_terminal", r',"terminal":\{[^}]*\}', ""),
+    ("zero_average", r'"avg_amount":[^,]*,"tx', '"avg_amount":0,"tx'),
+    ("text_flag", r'"is_online":(true|false)', '"is_online":"$1"'),
+    ("cut", None, None),
+)
+
+
+def odd_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """(event_id, case, value): ``event_payloads``, most of them changed as ``ODD`` tells."""
+    case, value = F.lit("plain"), F.col("value")
+    for i, (name, pattern, new) in enumerate(ODD):
+        own = F.col("event_id") % 11 == i
+        case = F.when(own, F.lit(name)).otherwise(case)
+        half = F.left("value", (F.length("value") / 2).cast("int"))
+        value = F.when(own, half if pattern is None else F.regexp_replace("value", pattern, new)).otherwise(value)
+    return event_payloads(spark, sf).select("event_id", case.alias("case"), value.alias("value"))
+
+
+def order_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """(o_orderkey, value): a document of fixed shape per order, with its price as the amount, its key
+    modulo 24 as installments and its date, at a fixed time, as the moment."""
+    parts = (
+        F.lit('{"id":"o","transaction":{"amount":'),
+        F.col("o_totalprice"),
+        F.lit(',"installments":'),
+        F.col("o_orderkey") % 24,
+        F.lit(',"requested_at":"'),
+        F.date_format("o_orderdate", "yyyy-MM-dd"),
+        F.lit('T21:07:45Z"},"customer":{"avg_amount":64000.5,"tx_count_24h":4,"known_merchants":["m-7","m-9"]},"merchant":{"id":"m-9","mcc":"5944","avg_amount":812.25},"terminal":{"is_online":false,"card_present":true,"km_from_home":37.5},"last_transaction":{"timestamp":"'),
+        F.date_format("o_orderdate", "yyyy-MM-dd"),
+        F.lit('T19:52:30Z","km_from_current":12.75}}'),
+    )
+    return table(spark, sf, "orders").select("o_orderkey", F.concat(*parts).alias("value"))
+
+
 def order_requests(spark: SparkSession, sf: str) -> DataFrame:
     """(o_orderkey, request): orders with their customer's history and their first supplier."""
     orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")

@@ -9,23 +9,38 @@ from nearvote.config import Normalization
 from nearvote.functions import scores
 from nearvote.operators import generate
 from nearvote.operators.features import featurize, parse_requests, risk
-from nearvote.plans.queries import PAYLOADS
 
+# A request and its vector.
+GOLDEN_REQUEST = '{"id":"tx-1","transaction":{"amount":250.00,"installments":1,"requested_at":"2026-04-15T13:42:11Z"},"customer":{"avg_amount":180.00,"tx_count_24h":3,"known_merchants":["m-001","m-002"]},"merchant":{"id":"m-001","mcc":"5411","avg_amount":200.00},"terminal":{"is_online":true,"card_present":true,"km_from_home":2.5},"last_transaction":{"timestamp":"2026-04-15T11:10:00Z","km_from_current":1.8}}'
 GOLDEN = [0.025, 0.0833, 0.1389, 0.5652, 0.3333, 0.1057, 0.0018, 0.0025, 0.15, 1, 1, 0, 0.15, 0.02]
 
 
+#: Edge cases of request documents: (case, document).
+CASES = (
+    ("numeric_mcc", '{"transaction":{"amount":31.75,"installments":2,"requested_at":"2025-02-05T08:09:10Z"},"customer":{"avg_amount":44.10,"tx_count_24h":6,"known_merchants":["shop-a"]},"merchant":{"id":"shop-b","mcc":5411,"avg_amount":71.20},"terminal":{"is_online":true,"card_present":false,"km_from_home":9.25},"last_transaction":null}'),
+    ("spaced_mcc", '{"transaction":{"amount":70707,"installments":36,"requested_at":"2025-02-08T23:00:00+03:00"},"customer":{"avg_amount":0,"tx_count_24h":77,"known_merchants":[]},"merchant":{"id":"shop-b","mcc":" +7995 ","avg_amount":1},"terminal":{"is_online":false,"card_present":false,"km_from_home":12345}}'),
+    ("text_amount", '{"transaction":{"amount":"31","installments":2,"requested_at":"2025-02-05T08:09:10Z"},"customer":{"avg_amount":44.10,"tx_count_24h":6},"merchant":{"id":"shop-a","mcc":"123456","avg_amount":"x"},"terminal":{"is_online":"yes"}}'),
+    ("fractional_count", '{"transaction":{"amount":8,"installments":2.5,"requested_at":"2025-02-05T08:09:10Z"},"customer":{"avg_amount":4,"tx_count_24h":6},"merchant":{"id":"s"},"terminal":{}}'),
+    ("backwards", '{"transaction":{"amount":8,"installments":2,"requested_at":"2025-02-05T08:09:10Z"},"customer":{"avg_amount":4,"tx_count_24h":6},"merchant":{"id":"s"},"terminal":{},"last_transaction":{"timestamp":"2025-02-07T08:09:10Z","km_from_current":7}}'),
+    ("short_stamp", '{"transaction":{"amount":8,"installments":2,"requested_at":"2025-02-08"},"customer":{"avg_amount":4,"tx_count_24h":6},"merchant":{"id":"s"},"terminal":{}}'),
+    ("one_stamp", '{"transaction":{"amount":8,"installments":2,"requested_at":"2025-02-08"},"customer":{"avg_amount":4,"tx_count_24h":6},"merchant":{"id":"s"},"terminal":{},"last_transaction":{"timestamp":"2025-02-07T08:09:10Z","km_from_current":7}}'),
+    ("broken", '{"transaction":'),
+    ("empty_object", "{}"),
+)
+
+
 def vectors(spark, payloads):
     raw = spark.createDataFrame(list(payloads), "case string, value string")
     return {r["case"]: r for r in featurize(parse_requests(raw)).collect()}
 
 
 def test_golden_vector(spark):
-    got = vectors(spark, PAYLOADS[:1])["golden"]["vec"]
+    got = vectors(spark, [("golden", GOLDEN_REQUEST)])["golden"]["vec"]
     assert got == pytest.approx(GOLDEN, abs=1e-6)
 
 
 def test_edge_cases(spark):
-    got = vectors(spark, PAYLOADS)
+    got = vectors(spark, CASES)
     assert {k for k, r in got.items() if not r["parse_ok"]} == {"fractional_count", "one_stamp", "broken"}
     assert all(got[k]["vec"] is None for k in ("fractional_count", "one_stamp", "broken"))
     v = {k: r["vec"] for k, r in got.items() if r["vec"]}
