@@ -459,9 +459,9 @@ def path_counters(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     """Every 50th event's request, some of them damaged, as a stream of micro-batches against all
-    other events."""
+    events."""
     path = scratch_dir(spark)
-    refs = _event_vectors(spark, sf).where("ref_id % 50 <> 0")
+    refs = _event_vectors(spark, sf)
     views.odd_payloads(spark, sf).where("event_id % 50 = 0").select(F.col("event_id").alias("qid"), "value").write.parquet(f"{path}/in")
     incoming = spark.readStream.schema("qid long, value string").parquet(f"{path}/in")
 

@@ -319,7 +319,7 @@ count(*) FILTER (WHERE a.fraud_count <> b.fraud_count) AS count_mismatches, roun
         EVENT_FEATURES,
         _ODD,
         _ODD_FEATURES,
-        f"near AS (SELECT a.event_id AS qid, b.event_id AS ref_id, b.fraud, {' + '.join(f'(a.f{i} - b.f{i}) * (a.f{i} - b.f{i})' for i in range(14))} AS d FROM oft a, ft b WHERE a.ok AND a.event_id % 50 = 0 AND b.event_id % 50 <> 0)",
+        f"near AS (SELECT a.event_id AS qid, b.event_id AS ref_id, b.fraud, {' + '.join(f'(a.f{i} - b.f{i}) * (a.f{i} - b.f{i})' for i in range(14))} AS d FROM oft a, ft b WHERE a.ok AND a.event_id % 50 = 0)",
         top("five", "near", 5),
         voted("v", "five"),
         "s AS (SELECT event_id AS qid, ok AS parse_ok, coalesce(v.fraud_count, 0) AS fraud_count FROM oft LEFT JOIN v ON v.qid = event_id WHERE event_id % 50 = 0)",
