@@ -74,7 +74,7 @@ class Model:
     allowed: np.ndarray
 
 
-def word_features(words: text.Words, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_features(words: text.Words | Piece, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of the trigram that ends at each byte of a word, the word of that byte, script of each word).
 
     A trigram does not look beyond its word's start: a space stands for what is before.
@@ -86,8 +86,8 @@ def word_features(words: text.Words, buckets: int) -> tuple[np.ndarray, np.ndarr
     place = np.arange(len(word)) - first[word]
     at = starts[word] + place
     a = data[at].astype(np.uint32)
-    b = np.where(place > 0, data[at - 1], 32).astype(np.uint32)
-    c = np.where(place > 1, data[at - 2], 32).astype(np.uint32)
+    b = np.where(place > 0, data[np.maximum(at - 1, 0)], 32).astype(np.uint32)
+    c = np.where(place > 1, data[np.maximum(at - 2, 0)], 32).astype(np.uint32)
     # Punctuation tells nothing about a language.
     bucket = ((a * np.uint32(0x9E3779B1) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D))) >> np.uint32(7)) % np.uint32(buckets)
     following = np.append(data[1:], 0)[at] if len(data) else a
@@ -152,7 +152,7 @@ def train(rows: DataFrame, config: LanguageConfig = LanguageConfig()) -> Model:
     return Model(languages, scores.astype(np.float32), allowed)
 
 
-def emissions(model: Model, words: text.Words, config: LanguageConfig) -> tuple[np.ndarray, np.ndarray]:
+def emissions(model: Model, words: text.Words | Piece, config: LanguageConfig) -> tuple[np.ndarray, np.ndarray]:
     """(words, languages) scores relative to the best candidate, and which words have letters."""
     bucket, word, scripts = word_features(words, config.buckets)
     n, k = len(words.starts), len(model.languages)
@@ -166,6 +166,16 @@ def emissions(model: Model, words: text.Words, config: LanguageConfig) -> tuple[
     return out, scripts > 0
 
 
+def _step(now: np.ndarray, switch: float, same: np.ndarray, back: np.ndarray | None = None) -> None:
+    """One word on: values relative to the best label, none more than ``switch`` below it, so that
+    they stay exact in long texts. ``back`` gets where each label comes from."""
+    top = now.argmax(axis=1)[:, None]
+    now -= np.take_along_axis(now, top, axis=1)
+    if back is not None:
+        back[...] = np.where(now >= -np.float32(switch), same, top.astype(np.int16))
+    np.maximum(now, -np.float32(switch), out=now)
+
+
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     """Best label of every word; rows of ``scores`` are words, ``first`` where documents begin.
 
@@ -188,11 +198,9 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
         now = best[:m]
         at = starts[:m] + t
         if t:
-            top = now.argmax(axis=1)
-            bound = now[np.arange(m), top][:, None] - np.float32(switch)
-            stay = now >= bound
-            back[at] = np.where(stay, same, top.astype(np.int16)[:, None])
-            np.maximum(now, bound, out=now)
+            came = np.empty((m, k), np.int16)
+            _step(now, switch, same, came)
+            back[at] = came
         now += scores[at]
     label = best.argmax(axis=1).astype(np.int16)
     for t in range(longest - 1, -1, -1):
@@ -204,8 +212,57 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     return labels
 
 
-#: Bytes of text whose documents are labelled together, and bytes times languages.
-TOGETHER, CELLS = 4 << 20, 64 << 20
+@dataclass(frozen=True)
+class Piece:
+    """Consecutive words of a text and the bytes that they stand in."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+def _piece(words: text.Words, a: int, b: int) -> Piece:
+    low = words.starts[a]
+    return Piece(words.data[low : words.ends[b - 1] + 1], words.starts[a:b] - low, words.ends[a:b] - low)
+
+
+def label_long(model: Model, words: text.Words, config: LanguageConfig, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``emissions`` and ``viterbi`` make of one text, (labels, which words have letters), with
+    ``size`` words in memory at a time.
+
+    A first pass keeps the values before each block of words; a second one runs the blocks
+    again, the last first, and follows their back pointers.
+    """
+    n, k = len(words.starts), len(model.languages)
+    labels, lettered = np.zeros(n, np.int16), np.zeros(n, bool)
+    same, cuts, kept = np.arange(k, dtype=np.int16), range(0, n, size), []
+    best = np.zeros((1, k), np.float32)
+
+    def run(a: int, b: int, back: np.ndarray | None) -> None:
+        scores, lettered[a:b] = emissions(model, _piece(words, a, b), config)
+        for t in range(b - a):
+            if a + t:
+                _step(best, config.switch, same, None if back is None else back[t : t + 1])
+            best[0] += scores[t]
+
+    for a in cuts:
+        kept.append(best.copy())
+        run(a, min(a + size, n), None)
+    label = int(best.argmax())
+    for a, best in zip(reversed(cuts), reversed(kept)):
+        b = min(a + size, n)
+        back = np.empty((b - a, k), np.int16)
+        run(a, b, back)
+        for t in range(b - a - 1, -1, -1):
+            labels[a + t] = label
+            if a + t:
+                label = int(back[t, label])
+    return labels, lettered
+
+
+#: Bytes of text whose documents are labelled together, and bytes times languages. Of a longer text
+#: the words are labelled in blocks of LONG words times languages.
+TOGETHER, CELLS, LONG = 4 << 20, 64 << 20, 8 << 20
 
 
 def _has_letter(value: str) -> bool:
@@ -225,14 +282,36 @@ def label_languages(docs: DataFrame, model: Model, config: LanguageConfig = Lang
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
     arrow = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32())])))])
 
+    def named(column: pa.Array, a: int, first: np.ndarray, labels: np.ndarray, lettered: np.ndarray) -> Iterator[tuple[str, float, list]]:
+        """Language, share and spans of the rows from ``a`` on, whose words begin at ``first``."""
+        names, k = shared.value.languages, len(shared.value.languages)
+        for row, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist()), a):
+            own = labels[x:y]
+            votes = np.bincount(own[lettered[x:y]], minlength=k)
+            # Letters of scripts that no table knows are looked for one by one.
+            if not votes.sum() and not _has_letter(column[row].as_py() or ""):
+                yield "und", 0.0, []
+                continue
+            if not votes.sum():
+                votes = np.bincount(own, minlength=k)
+            best = int(votes.argmax())
+            cut = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [y - x]))
+            spans = [{"lang": names[own[i]], "first_word": i, "end_word": j} for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            yield names[best], float(votes[best] / votes.sum()), spans
+
     def label(column: pa.Array) -> Iterator[tuple[str, float, list]]:
         model = shared.value
-        names, k = model.languages, len(model.languages)
+        k = len(model.languages)
         data, offsets = text.buffers(column)
         if not k:
             yield from (("und", 0.0, []) for _ in range(len(column)))
             return
-        for a, b in text.groups(offsets, min(TOGETHER, CELLS // k)):
+        limit = min(TOGETHER, CELLS // k)
+        for a, b in text.groups(offsets, limit):
+            if offsets[b] - offsets[a] > limit:  # a single text
+                words = text.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield from named(column, a, words.first, *label_long(model, words, config, max(1, LONG // k)))
+                continue
             parts, letters, firsts = [], [], [0]
             for c, d in text.groups(offsets[a : b + 1]):
                 words = text.Words(data[offsets[a + c] : offsets[a + d]], offsets[a + c : a + d + 1] - offsets[a + c])
@@ -241,20 +320,7 @@ def label_languages(docs: DataFrame, model: Model, config: LanguageConfig = Lang
                 letters.append(lettered)
                 firsts.extend((firsts[-1] + words.first[1:]).tolist())
             first, lettered = np.array(firsts), np.concatenate(letters)
-            labels = viterbi(np.concatenate(parts), first, config.switch)
-            for row, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist()), a):
-                own = labels[x:y]
-                votes = np.bincount(own[lettered[x:y]], minlength=k)
-                # Letters of scripts that no table knows are looked for one by one.
-                if not votes.sum() and not _has_letter(column[row].as_py() or ""):
-                    yield "und", 0.0, []
-                    continue
-                if not votes.sum():
-                    votes = np.bincount(own, minlength=k)
-                best = int(votes.argmax())
-                cut = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [y - x]))
-                spans = [{"lang": names[own[i]], "first_word": i, "end_word": j} for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                yield names[best], float(votes[best] / votes.sum()), spans
+            yield from named(column, a, first, viterbi(np.concatenate(parts), first, config.switch), lettered)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,9 +3,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from nearvote.llm import language
+from nearvote.llm import language, text
 from nearvote.llm.language import LanguageConfig, identify_languages, label_languages, train, viterbi
 
 PARTS = {"en": ["the", "ing", "th", "and", "er", "wh"], "fr": ["eau", "eux", "ment", "ou", "é", "que"], "ru": ["при", "вет", "ста", "ние", "ого"], "el": ["και", "τος", "ων", "μα"]}
@@ -63,6 +64,36 @@ def test_viterbi_equals_brute_force():
             assert abs(value(labels[a:b].tolist(), a) - best) < 1e-4
 
 
+def test_blocks_of_a_long_text_give_the_same(docs, monkeypatch):
+    rng = random.Random(6)
+    model = train(docs(corpus()).select("text", "lang"))
+    long = " ".join(prose(rng, rng.choice(list(PARTS)), rng.randrange(1, 60)) for _ in range(200)) + " 12 !? x"
+    texts = [long, "a", "", "12 34", "é"]
+    column = pa.array(texts)
+    for (row, _, words), t in zip(text.iterate(column, 1), texts):
+        scores, lettered = language.emissions(model, words, LanguageConfig())
+        want = viterbi(scores, words.first, LanguageConfig().switch)
+        for size in (1, 7, 1000, 1 << 20):
+            labels, letters = language.label_long(model, words, LanguageConfig(), size)
+            assert (labels == want).all() and (letters == lettered).all(), (size, t[:20])
+    # Through the operator: a bound that only the long text is beyond.
+    rows = docs([(i, t) for i, t in enumerate(texts)] + [(9, None)])
+    want = sorted(map(str, label_languages(rows, model).collect()))
+    monkeypatch.setattr(language, "TOGETHER", 1000)
+    monkeypatch.setattr(language, "LONG", 4 * 100)
+    assert sorted(map(str, label_languages(rows, model).collect())) == want
+
+
+def test_values_stay_exact_in_a_long_text():
+    # A switch pays off by a hair after a million words of poor scores.
+    n = 1_000_000
+    scores = np.full((n, 2), -9.75, np.float32)
+    scores[:, 1] -= 0.01
+    scores[-1] = (-1.6, 0)
+    (a, b), switch = viterbi(scores, np.array([0, n]), 1.5)[-2:], 1.5
+    assert switch < 1.6 and (a, b) == (0, 1)
+
+
 def test_scripts_narrow_the_candidates(docs):
     model = train(docs(corpus()).select("text", "lang"))
     cyrillic = 1 + [n for n, _, _ in language.SCRIPTS].index("cyrillic")
