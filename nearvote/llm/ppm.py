@@ -12,7 +12,8 @@ Counts are gathered over all training texts. A node is a packed byte string with
 count, and shorter contexts are sums of longer ones, so only the deepest level is counted.
 All nodes count. A trie of up to ``max_nodes`` is broadcast; of a larger one only the exact
 prices of its most frequent nodes are, and the other grams of the texts meet the nodes
-in a shuffle by the two bytes before the priced one, which leaves every longer context whole.
+in a shuffle by the two bytes before the priced one, which leaves every longer context whole;
+pairs of bytes with more than ``max_cell`` nodes are dealt by a third byte.
 Likewise the ``max_words`` most frequent words are broadcast and others joined by a shuffle, so
 no key that many texts have is shuffled.
 """
@@ -39,11 +40,12 @@ _MULTIPLIER = _U(0x9E3779B97F4A7C15)
 class LmConfig:
     """``order``: longest context in bytes (7 at most). ``max_nodes`` bounds the deepest level
     of a broadcast trie, ``max_words`` a broadcast word table; what is beyond them is joined
-    by a shuffle."""
+    by a shuffle. ``max_cell``: nodes after one pair of bytes that a task may hold together."""
 
     order: int = 4
     max_nodes: int = 1 << 21
     max_words: int = 1 << 22
+    max_cell: int = 1 << 20
     slot_bits: int = 22
 
 
@@ -67,10 +69,11 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
 class Trie:
     """Nodes by level, with what is needed to price a byte; level k has contexts of k bytes.
 
-    ``low``: (keys, values) of the first levels, where ``nodes`` are only those of some contexts.
+    ``low``: (keys, values) of the first levels, where ``nodes`` are only those of some contexts;
+    ``split``: those of the next level for contexts whose nodes are not all here.
     """
 
-    def __init__(self, nodes: np.ndarray, counts: np.ndarray, config: LmConfig, low: list[tuple[np.ndarray, np.ndarray]] | None = None):
+    def __init__(self, nodes: np.ndarray, counts: np.ndarray, config: LmConfig, low: list[tuple[np.ndarray, np.ndarray]] | None = None, split: tuple[np.ndarray, np.ndarray] | None = None):
         self.config = config
         order = config.order
         self.keys, self.values, self.contexts, self.totals, self.kinds = [], [], [], [], []
@@ -80,6 +83,8 @@ class Trie:
                 keys, values = low[k]
             else:
                 keys, values = _summed(nodes, counts, k)
+            if split is not None and k == len(low or ()):
+                keys, values = _completed(keys, values, *split)
             contexts, at, kinds = np.unique(keys >> _U(8), return_index=True, return_counts=True)
             totals = np.add.reduceat(values, at) if len(at) else np.zeros(0)
             self.keys.append(keys)
@@ -188,6 +193,14 @@ def _summed(nodes: np.ndarray, counts: np.ndarray, level: int) -> tuple[np.ndarr
     return keys, np.bincount(inverse, counts, len(keys)) if len(keys) else np.zeros(0)
 
 
+def _completed(keys: np.ndarray, values: np.ndarray, whole: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a level with those of the contexts in ``whole`` in place of their own."""
+    own = ~np.isin(keys >> _U(8), whole >> _U(8))
+    keys, values = np.concatenate([keys[own], whole]), np.concatenate([values[own], sums])
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Place of each key in the sorted table, or -1."""
     if not len(table):
@@ -387,13 +400,22 @@ def _spread(rows: DataFrame, nodes: DataFrame, size: int, words: DataFrame, tabl
 
 
 def _priced(grams: DataFrame, nodes: DataFrame, size: int, config: LmConfig) -> DataFrame:
-    """(row, score) of (row, key, n) grams. A task has all nodes of its contexts of two bytes
-    and, broadcast, the nodes of the levels below."""
+    """(row, score) of (row, key, n) grams. A task has all nodes of its contexts of two bytes, or of
+    three where these have more than ``max_cell``, and, broadcast, the nodes of the levels below."""
     spark = grams.sparkSession
     whole = min(2, config.order)
     lowest = nodes.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * whole) - 1)).alias("key")).agg(F.sum("n").alias("n"))
     keys, counts = _arrays(lowest)  # 65,536 nodes at most
-    shared = spark.sparkContext.broadcast([_summed(keys, counts, k) for k in range(whole)])
+    cell = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * whole) - 1))
+    hot: list[int] = []
+    split = None
+    if config.order > whole:
+        # size / max_cell pairs of bytes at most, with 256 sums each.
+        hot = [r["cell"] for r in nodes.groupBy(cell.alias("cell")).count().where(F.col("count") > config.max_cell).collect()]
+    if hot:
+        next_level = F.col("key").bitwiseAND(F.lit((1 << 8 * (whole + 1)) - 1))
+        split = _arrays(nodes.where(cell.isin(hot)).groupBy(next_level.alias("key")).agg(F.sum("n").alias("n")))
+    shared = spark.sparkContext.broadcast(([_summed(keys, counts, k) for k in range(whole)], split))
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("score", T.DoubleType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,16 +429,17 @@ def _priced(grams: DataFrame, nodes: DataFrame, size: int, config: LmConfig) ->
             if at == len(row):
                 continue
             if trie is None:
-                trie = Trie(*_tally(*own), config, shared.value)
+                trie = Trie(*_tally(*own), config, *shared.value)
             key, inverse = np.unique(key[at:].view(_U), return_inverse=True)
             rows, place = np.unique(row[at:], return_inverse=True)
             score = np.bincount(place, n[at:] * trie.walk(key)[inverse], len(rows))
             yield pa.record_batch([pa.array(rows), pa.array(score)], names=schema.names)
 
     both = nodes.select(F.lit(-1).cast("long").alias("row"), "key", "n").union(grams)
-    cell = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * whole) - 1))
+    longer = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * (whole + 1)) - 1))
+    third = F.when(cell.isin(hot), longer).otherwise(-1) if hot else F.lit(-1)
     number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // HELD))
-    return both.repartition(number, cell).sortWithinPartitions("row").mapInArrow(scan, schema).groupBy("row").agg(F.sum("score").alias("score"))
+    return both.repartition(number, cell, third).sortWithinPartitions("row").mapInArrow(scan, schema).groupBy("row").agg(F.sum("score").alias("score"))
 
 
 def _finished(scored: DataFrame, folds: int, held: int, total: int) -> DataFrame:

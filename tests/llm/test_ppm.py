@@ -97,6 +97,21 @@ def test_more_nodes_than_the_bound_give_the_same(docs):
         check(train, {r["doc_id"] if r["doc_id"] is not None else "": r for r in got}, order)
 
 
+def test_hot_pairs_of_bytes_are_dealt_by_a_third(docs):
+    # A third of all nodes stand after one pair of bytes, at the end of many longer contexts.
+    rng = random.Random(9)
+    rows = corpus(30, 4) + [(100 + i, " ".join(rng.choice("abcdefghij") * rng.randrange(1, 3) + "e " + rng.choice("klmnop") for _ in range(30))) for i in range(30)]
+    for order, max_cell in ((4, 5), (4, 0), (3, 20), (2, 0)):
+        got = score_texts(docs(rows), LmConfig(order=order, max_nodes=20, max_cell=max_cell)).collect()
+        assert len(got) == len(rows)
+        check(rows, {r["doc_id"]: r for r in got}, order)
+    # The level below the split one is complete in every task, whatever nodes it holds.
+    coded = np.unique(rng.choices(range(1 << 16), k=300) + [0]).astype(np.uint64)
+    part, sums = coded[::2], np.ones(len(coded))
+    keys, values = ppm._completed(part, np.ones(len(part)), coded, sums)
+    assert (keys == coded).all() and (values == sums).all()
+
+
 def test_probabilities_sum_to_one():
     texts = [t for _, t in corpus(30)]
     data, offsets = text.buffers(pa.array(texts))
