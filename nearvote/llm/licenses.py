@@ -124,6 +124,10 @@ DIGESTS = (
 KNOWN = tuple((name, body) for name, text, titles in WHOLE for body in (text, *(f"{title}\n\n{text}" for title in titles))) + NOTICES
 
 
+#: Most known texts and digests (about 200 bytes each) that are broadcast.
+MAX_BROADCAST = 1 << 16
+
+
 @dataclass(frozen=True)
 class LicenseConfig:
     """Known texts, known digests of whole texts, and the notices that are looked for line by line."""
@@ -144,14 +148,29 @@ CLAIM = _MARGIN + r"(?:(?:[Cc]opyright|COPYRIGHT|\([cC]\)|©)[ \t:]*(?:\([cC]\)|
 RESERVED = _MARGIN + r"all rights reserved\.?[ \t]*"
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a text; null and texts without letters or digits become ''."""
+def _plain(text: Column) -> Column:
+    """A text without claims, in common spellings; its line breaks are kept."""
     form = F.regexp_replace(F.coalesce(text, F.lit("")), TERMS, "copyright$1")
     form = F.lower(F.regexp_replace(form, CLAIM, "$1"))
     form = F.regexp_replace(form, RESERVED, "$1")
     for pattern, common_form in SPELLINGS:
         form = F.regexp_replace(form, pattern, common_form)
-    return F.trim(F.regexp_replace(form, r"[^\p{L}\p{N}]+", " "))
+    return form
+
+
+def canonical_lines(text: Column) -> Column:
+    """Canonical form of every line; '' for lines without letters or digits. No rule looks beyond a line."""
+    return F.transform(F.split(_plain(text), "\n", -1), lambda line: F.trim(F.regexp_replace(line, r"[^\p{L}\p{N}]+", " ")))
+
+
+def joined(lines: Column) -> Column:
+    """Canonical form of a text from those of its lines."""
+    return F.array_join(F.filter(lines, lambda line: line != ""), " ")
+
+
+def canonical(text: Column) -> Column:
+    """Canonical form of a text; null and texts without letters or digits become ''."""
+    return joined(canonical_lines(text))
 
 
 def digest(text: Column) -> Column:
@@ -182,14 +201,17 @@ def scan_licenses(docs: DataFrame, config: LicenseConfig = LicenseConfig(), id_c
     """
     known = known_digests(docs.sparkSession, config)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("body"))
-    lines = F.filter(F.transform(F.split(F.coalesce("body", F.lit("")), "\n", -1), canonical), lambda x: F.length(x) >= config.shortest)
-    digested = rows.select("doc_id", digest(F.col("body")).alias("digest"), F.transform(lines, lambda x: F.sha2(x.cast("binary"), 256)).alias("lines"))
-    # The catalogue is the configured list, however many documents there are.
-    joined = digested.join(F.broadcast(known), "digest", "left")
+    forms = rows.select("doc_id", canonical_lines(F.col("body")).alias("forms"))
+    lines = F.filter("forms", lambda x: F.length(x) >= config.shortest)
+    digested = forms.select("doc_id", F.sha2(joined(F.col("forms")).cast("binary"), 256).alias("digest"), F.transform(lines, lambda x: F.sha2(x.cast("binary"), 256)).alias("lines"))
+    # A catalogue of any size may be configured; a larger one is joined by a shuffle, for which
+    # digests of texts that many rows share are the engine's skew join's.
+    small = len(config.known) + len(config.digests) <= MAX_BROADCAST
+    matched = digested.join(F.broadcast(known) if small else known.hint("shuffle_hash"), "digest", "left")
     # Notices are lines of longer documents: their digests are constants of the plan.
     names = F.create_map(*(x for name, body in config.notices for x in (digest(F.lit(body)), F.lit(name))))
     hits = F.filter(F.transform("lines", lambda d: names[d]), lambda x: x.isNotNull())
-    return joined.select(
+    return matched.select(
         "doc_id",
         "digest",
         "license",
