@@ -158,9 +158,18 @@ def _plain(text: Column) -> Column:
     return form
 
 
+def _words(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+
+
+def canonical(text: Column) -> Column:
+    """Canonical form of a text; null and texts without letters or digits become ''."""
+    return _words(_plain(text))
+
+
 def canonical_lines(text: Column) -> Column:
     """Canonical form of every line; '' for lines without letters or digits. No rule looks beyond a line."""
-    return F.transform(F.split(_plain(text), "\n", -1), lambda line: F.trim(F.regexp_replace(line, r"[^\p{L}\p{N}]+", " ")))
+    return F.transform(F.split(_plain(text), "\n", -1), _words)
 
 
 def joined(lines: Column) -> Column:
@@ -168,11 +177,6 @@ def joined(lines: Column) -> Column:
     return F.array_join(F.filter(lines, lambda line: line != ""), " ")
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a text; null and texts without letters or digits become ''."""
-    return joined(canonical_lines(text))
-
-
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
