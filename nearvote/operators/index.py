@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearvote.functions.vector import profile_key, quantize, squared_distance
+from nearvote.sources.scratch import stored
 
 
 def cluster_stats(assigned: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
@@ -51,11 +52,23 @@ def profile_census(table: DataFrame, bits: int = 22) -> DataFrame:
     )
 
 
+#: Most profile keys that are broadcast; with hash table about 64 bytes each.
+BROADCAST_KEYS = 1 << 20
+
+
+def with_profile(queries: DataFrame, table: DataFrame) -> DataFrame:
+    """``queries`` (with float ``vec``) with ``pkey`` and the columns that ``table`` has for it.
+
+    Many queries share a key, so keys are broadcast after a check of their number, and
+    joined by a shuffle beyond ``BROADCAST_KEYS``.
+    """
+    known = stored(table)
+    small = known.count() <= BROADCAST_KEYS
+    return queries.withColumn("pkey", profile_key(quantize(F.col("vec")))).join(F.broadcast(known) if small else known.hint("shuffle_hash"), "pkey", "left")
+
+
 def profile_verdicts(queries: DataFrame, table: DataFrame, min_count: int = 30) -> DataFrame:
     """``queries`` (with float ``vec``) with ``pkey`` and ``profile_count``: 0 or 5 where a pure key
-    was seen often enough, else null."""
-    keyed = queries.withColumn("pkey", profile_key(quantize(F.col("vec"))))
-    joined = keyed.join(table, "pkey", "left")
-    sure = F.col("cnt") >= min_count
-    count = F.when(sure & (F.col("mask") == 1), F.lit(0)).when(sure & (F.col("mask") == 2), F.lit(5))
-    return joined.withColumn("profile_count", count).drop("mask", "cnt")
+    was seen often enough, else null. Only such keys are joined."""
+    sure = table.where((F.col("cnt") >= min_count) & F.col("mask").isin(1, 2))
+    return with_profile(queries, sure.select("pkey", F.when(F.col("mask") == 2, F.lit(5)).otherwise(F.lit(0)).alias("profile_count")))

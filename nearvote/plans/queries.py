@@ -378,7 +378,7 @@ def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     members, clusters = _event_index(known)
     queries = tested.select(F.col("ref_id").alias("qid"), F.col("vec").alias("qv"))
     verdicts = knn.vote(ivf.search(queries, members, clusters, 14, 5, nprobe=4, exclude_self=False))
-    looked = tested.withColumn("pkey", profile_key(quantize(F.col("vec")))).join(index.profile_table(known), "pkey", "left")
+    looked = index.with_profile(tested, index.profile_table(known))
     rows = looked.join(verdicts.select(F.col("qid").alias("ref_id"), "approved"), "ref_id")
     return evaluate.threshold_sweep(rows.select("mask", "cnt", "approved", (F.col("fraud") == 0).alias("expected")))
 

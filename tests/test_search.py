@@ -147,6 +147,26 @@ def test_profile_table_and_verdicts(spark, world):
             assert r["profile_count"] == 5 * r["fraud"]
 
 
+def test_profile_keys_are_broadcast_up_to_a_bound(spark, world, monkeypatch):
+    _, _, refs, _ = world
+    table = index.profile_table(refs.where("ref_id % 3 <> 0"))
+    empty = spark.createDataFrame([(900, None)], "ref_id long, vec array<double>")
+    tested = refs.select("ref_id", F.col("vec").cast("array<double>").alias("vec")).unionByName(empty)
+    got = {}
+    for bound in (index.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(index, "BROADCAST_KEYS", bound)
+        looked = index.profile_verdicts(tested, table, 1)
+        assert ("BroadcastHashJoin" in looked._jdf.queryExecution().executedPlan().toString()) == (bound > 0)
+        got[bound] = sorted(looked.select("ref_id", "pkey", "profile_count").collect(), key=str)
+    first, second = got.values()
+    assert first == second and len(first) == 201
+    masks = {r["pkey"]: (r["mask"], r["cnt"]) for r in table.collect()}
+    for r in first:
+        mask, cnt = masks.get(r["pkey"], (0, 0))
+        assert r["profile_count"] == {1: 0, 2: 5}.get(mask)
+    assert index.profile_verdicts(tested, table.where("false"), 1).where("profile_count is not null").count() == 0
+
+
 def test_kmknn_and_ivf_agree_with_exact_where_all_is_probed(spark, world):
     _, _, refs, queries = world
     centroids, assigned = kmeans.fit(refs, 4, DIMS, iterations=2)
