@@ -354,3 +354,40 @@ def test_companion_of_exact_vectors(spark, world, tmp_path):
     for wrong in ("short", "narrow"):
         with pytest.raises(ValueError, match="vectors of 14 dimensions"):
             open_index(spark, path, f"file://{tmp_path}/{wrong}")
+
+
+def test_exact_search_makes_no_row_per_pair(spark, world):
+    """Pairs are measured within tasks: a join of all pairs was sorted on disk."""
+    _, _, refs, queries = world
+    for size in (1 << 20, 500):  # references broadcast, queries in blocks
+        plan = knn.nearest(queries, refs, 3, DIMS, ScoringConfig(block_bytes=size))._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_kernel_over_slices_and_batches_equals_brute_force(monkeypatch):
+    monkeypatch.setattr(knn_kernel, "COLUMNS", 16)
+    monkeypatch.setattr(knn_kernel, "ROWS", 8)
+    rng = np.random.default_rng(3)
+    r = rng.integers(0, 3, (300, 4)).astype(float)  # many equal distances
+    r[7] = np.nan
+    rid, fraud, q = rng.permutation(300), rng.integers(0, 2, 300).astype(np.int32), r[20:50]
+    qid = rid[20:50]
+    best = knn_kernel.Best(qid, q, 6, True)
+    for a in range(0, 300, 70):
+        best.add(rid[a : a + 70], fraud[a : a + 70], r[a : a + 70])
+    at, to, d = knn_kernel.nearest_block(qid, q, rid, r, 6, True)
+    assert (best.rid == rid[to]).all() and (best.d == d).all() and (best.row == at).all() and (best.fraud == fraud[to]).all()
+    for i in range(30):
+        far = ((r - q[i]) ** 2).sum(axis=1)
+        far[(rid == qid[i]) | np.isnan(far)] = np.inf
+        assert rid[to][at == i].tolist() == rid[np.lexsort((rid, far))[:6]].tolist()
+        within = knn_kernel.nearest_block(qid[i : i + 1], q[i : i + 1], rid, r, 6, True, np.array([1.0]))
+        assert within[1].tolist() == [x for x, y in zip(to[at == i], d[at == i]) if y <= 1]
+
+
+def test_null_vectors_take_no_part_in_exact_search(spark):
+    refs = spark.createDataFrame([(0, [0.0, 0.0], 0), (1, None, 1), (2, [1.0, 0.0], 0), (3, [3.0, 0.0], 1)], "ref_id long, vec array<double>, fraud int")
+    queries = refs.select(F.col("ref_id").alias("qid"), F.col("vec").alias("qv"))
+    for size in (1 << 20, 20):
+        got = knn.nearest(queries, refs, 2, 2, ScoringConfig(block_bytes=size)).collect()
+        assert sorted((r["qid"], r["rk"], r["ref_id"]) for r in got) == [(0, 1, 2), (0, 2, 3), (2, 1, 0), (2, 2, 3), (3, 1, 2), (3, 2, 0)]
