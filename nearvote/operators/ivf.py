@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from nearvote.config import ScoringConfig
 from nearvote.functions.vector import quantize
-from nearvote.operators import knn, knn_kernel, routed
+from nearvote.operators import cells, knn, knn_kernel, routed
 from nearvote.operators.index import profile_verdicts
 from nearvote.sources.scratch import stored
 
@@ -245,15 +245,18 @@ def repaired_pairs(spark: SparkSession, known: Clusters, block: tuple[np.ndarray
     return spark.range(len(known.ids)).mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def search(queries: DataFrame, members: DataFrame, clusters: DataFrame, dims: int, k: int, nprobe: int, repair: bool = True, exclude_self: bool = True, config: ScoringConfig = ScoringConfig(), stats: SearchStats | None = None) -> DataFrame:
+def search(queries: DataFrame, members: DataFrame | cells.Cells, clusters: DataFrame | None, dims: int, k: int, nprobe: int, repair: bool = True, exclude_self: bool = True, config: ScoringConfig = ScoringConfig(), stats: SearchStats | None = None) -> DataFrame:
     """(qid, ref_id, fraud, d, rk): the k nearest in fixed point.
 
     ``queries`` has float (qid, qv); ``members`` fixed (ref_id, q, fraud, cluster_id), or the packed
     lists of ``routed.inverted_lists`` with frauds as marks. The first pass runs at once; its
     candidates are written to the shared folder. With ``stats`` both passes run at once, to be
-    timed and counted. More queries than ``block_bytes`` are routed.
+    timed and counted. More queries than ``block_bytes`` are routed. Members may also be the cells of
+    fixed references, which are searched in two passes of their own.
     """
     fixed = queries.select("qid", quantize(F.col("qv")).alias("qv"))
+    if isinstance(members, cells.Cells):
+        return cells.nearest(fixed, members, k, exclude_self)
     if fixed.count() * (dims + 2) * 8 > config.block_bytes:
         return search_routed(queries, members, clusters, dims, k, nprobe, repair, exclude_self, config, stats)
     return _search(fixed, members, fetch_clusters(clusters, dims), dims, k, nprobe, repair, exclude_self, config, stats)
@@ -343,7 +346,7 @@ def _search(queries: DataFrame, members: DataFrame, known: Clusters, dims: int,
     return both
 
 
-def score(queries: DataFrame, references: DataFrame, members: DataFrame, clusters: DataFrame, dims: int, config: ScoringConfig = ScoringConfig(), profile: DataFrame | None = None, exclude_self: bool = True, stats: SearchStats | None = None) -> DataFrame:
+def score(queries: DataFrame, references: DataFrame, members: DataFrame | cells.Cells, clusters: DataFrame | None, dims: int, config: ScoringConfig = ScoringConfig(), profile: DataFrame | None = None, exclude_self: bool = True, stats: SearchStats | None = None) -> DataFrame:
     """(qid, fraud_count, path, approved, fraud_score): profile shortcut, search, rerank."""
     rest = queries
     fast = None
