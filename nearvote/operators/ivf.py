@@ -33,6 +33,10 @@ from nearvote.operators.index import profile_verdicts
 from nearvote.sources.scratch import stored
 
 
+#: Rows of vectors that are bounded or refined at a time.
+BOUND_ROWS = 1 << 12
+
+
 @dataclass(frozen=True)
 class Clusters:
     """What is known of the non-empty clusters, by place; ids ascend."""
@@ -48,7 +52,12 @@ class Clusters:
         return (q * q).sum(axis=1)[:, None] - 2 * (q @ self.centroids.T) + (self.centroids * self.centroids).sum(axis=1)[None, :]
 
     def may_hold(self, place: int, q: np.ndarray, worst: np.ndarray) -> np.ndarray:
-        """Whether the cluster may hold something not farther than ``worst`` (NaN: anything)."""
+        """Whether the cluster may hold something not farther than ``worst`` (NaN: anything); a few queries
+        at a time, so that a worker's memory does not grow with them."""
+        pieces = range(0, len(q), BOUND_ROWS)
+        return np.concatenate([self._may_hold(place, q[a : a + BOUND_ROWS], worst[a : a + BOUND_ROWS]) for a in pieces] or [np.zeros(0, bool)])
+
+    def _may_hold(self, place: int, q: np.ndarray, worst: np.ndarray) -> np.ndarray:
         open_ = np.isnan(worst)
         reach = self.radius[place] + np.ceil(np.sqrt(np.maximum(np.where(open_, 0.0, worst), 0.0)))
         step = q - self.centroids[place]
@@ -91,7 +100,7 @@ class Nearest:
         return order, -self.triangle(far), None
 
     def refine(self, q: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
-        return -np.concatenate([self.box(q[row[a : a + (1 << 16)]], place[a : a + (1 << 16)]) for a in range(0, len(row), 1 << 16)] or [np.zeros(0)])
+        return -np.concatenate([self.box(q[row[a : a + BOUND_ROWS]], place[a : a + BOUND_ROWS]) for a in range(0, len(row), BOUND_ROWS)] or [np.zeros(0)])
 
     def scores(self, q: np.ndarray, v: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, int]:
         def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,8 +113,8 @@ class Nearest:
         if h >= q.shape[1] or 4 * len(row) > d.size:  # a second product is cheaper than many single rows
             return -(d + apart(q[:, h:], v[:, h:])).astype(np.int64), 0
         score = np.full(d.shape, routed.LEAST)
-        for a in range(0, len(row), 1 << 16):
-            r, c = row[a : a + (1 << 16)], col[a : a + (1 << 16)]
+        for a in range(0, len(row), BOUND_ROWS):
+            r, c = row[a : a + BOUND_ROWS], col[a : a + BOUND_ROWS]
             step = q[r, h:] - v[c, h:]
             score[r, c] = -(d[r, c] + (step * step).sum(axis=1)).astype(np.int64)
         return score, d.size - len(row)
