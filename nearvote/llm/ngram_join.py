@@ -17,8 +17,9 @@ Distributed form:
    list of one member, nine of ten postings, ends there. A token that the sketch calls
    frequent is spread over as many cells as its frequency asks for.
 4. ``star round``: in each list each member is paired with the list's least member and, in a
-   longer list, with those at its quarters, its pivots (with several cells: the cell's; their
-   least members with the least of all).
+   longer list, with the one in the middle and the two where the list's token comes first, its pivots
+   (with several cells: the cell's; their least members with the least of all). The last two have
+   the fewest rarer shingles, so they link where two members edited much do not.
 5. ``rest round``: lists whose members all lie in one component are done. In the others
    the members outside the largest component are searched against all members; so a
    large group of near copies costs its size and not its square.
@@ -57,7 +58,8 @@ FILTER_BITS = 1 << 25
 CHUNK = 64
 #: Postings of a cell, about.
 CELL = 1 << 18
-#: Pivots of a list of at least twice as many members; a shorter one has one.
+#: Pivots of a list of at least twice as many members, half of them by id and half by position; a
+#: shorter list has one.
 PIVOTS = 4
 #: Bits of a rank below the frequency class.
 RANK_BITS = 56
@@ -266,6 +268,8 @@ def inverted(entries: DataFrame, config: JoinConfig) -> DataFrame:
         token, ids, n, pos = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in kinds)
         order = np.lexsort((ids, token))
         token, ids, n, pos = token[order], ids[order], n[order], pos[order]
+        # Each list by position: its first members have the fewest rarer shingles, so they are nearest to the others.
+        central = np.lexsort((ids, pos, token))
         start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         size = np.diff(np.append(start, len(token)))
         # A frequent token has members in other cells.
@@ -274,12 +278,12 @@ def inverted(entries: DataFrame, config: JoinConfig) -> DataFrame:
         token, own, m, at = token[keep], ids[keep], n[keep].astype(np.int64), pos[keep]
         step = np.repeat(np.where(size >= 2 * PIVOTS, size, 0), size)[keep]
         found, useless = [], []
-        for quarter in range(PIVOTS):
-            place = top + step * quarter // PIVOTS
+        for pivot in range(PIVOTS):
+            place = top + step * 2 * pivot // PIVOTS if 2 * pivot < PIVOTS else central[top + np.where(step > 0, pivot - PIVOTS // 2, 0)]
             other, k = ids[place], n[place].astype(np.int64)
             overlap = np.minimum(m - at, k - pos[place])
             found.append(other)
-            useless.append((own == other) | (100 * np.minimum(m, k) < percent * np.maximum(m, k)) | (100 * overlap < percent * (m + k - overlap)) | ((quarter > 0) & (step == 0)))
+            useless.append((own == other) | (100 * np.minimum(m, k) < percent * np.maximum(m, k)) | (100 * overlap < percent * (m + k - overlap)) | ((pivot > 0) & (step == 0)))
         pivots = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * PIVOTS, pa.int32()), pa.array(np.stack(found, axis=1).ravel(), mask=np.stack(useless, axis=1).ravel()))
         return pa.table({"token": token, "id": own, "n": pa.array(m, pa.int32()), "pos": pa.array(at, pa.int32()), "head": np.flatnonzero(keep) == top, "pivots": pivots})
 
@@ -352,7 +356,7 @@ def verify(docs: DataFrame, pairs: DataFrame, config: JoinConfig, path: str) ->
     if not count:
         return spark.createDataFrame([], schema)
     fan = pairs.groupBy("u").agg(F.count("*").alias("fan"))
-    chunked = pairs.join(fan, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("fan") / CHUNK)).alias("chunk"))
+    chunked = common.store(pairs.join(fan, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("fan") / CHUNK)).alias("chunk")), f"{path}/chunks")  # read four times
     rows = chunked.select("u", "chunk", F.col("v").alias("id")).union(chunked.select("u", "chunk", F.col("u").alias("id")).distinct())
     sets = _needed_sets(docs, rows.select("id").distinct(), config, min(FILTER_BITS, max(1 << 16, 1 << (64 * count).bit_length())))
     percent = config.percent

@@ -79,6 +79,24 @@ def test_large_group_of_near_copies_is_one_component(docs, cell, monkeypatch):
     assert sorted(map(tuple, got)) == brute(rows, 4, 85)
 
 
+def test_pairs_of_a_group_edited_unevenly_grow_with_its_members(docs, monkeypatch):
+    """Most of its members link with those only that were edited least."""
+    rng = random.Random(6)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(150)] = f"e{i}-{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows = list({t: (i, t) for i, t in rows}.values())
+    counts, inner = [], ngram_join.linking
+    monkeypatch.setattr(ngram_join, "linking", lambda docs, pairs, *more: counts.append(pairs.distinct().count()) or inner(docs, pairs, *more))
+    got = ngram_jaccard_join(docs(rows)).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 4, 85)
+    assert sum(counts) <= 20 * len(rows), counts
+
+
 def test_empty_table_nulls_and_repeats(docs):
     assert ngram_jaccard_join(docs([])).count() == 0
     rows = [(7, "a b c d e f"), (7, "g h i j k l"), (3, "g h i j k l"), (None, "a b c d e f"), (None, "only here in this row"), (9, None)]
