@@ -168,8 +168,8 @@ def probed(queries: DataFrame, known: Clusters, dims: int, nprobe: int) -> tuple
 
 
 def scan_clusters(members: DataFrame, known: Clusters, block: tuple[np.ndarray, np.ndarray, np.ndarray], worst: np.ndarray | None, dims: int, k: int, exclude_self: bool) -> DataFrame:
-    """(qid, ref_id, fraud, d): of each member batch the k nearest of the probed clusters, or,
-    given ``worst`` distances, of the unprobed clusters that may hold something nearer.
+    """(qid, ref_id, fraud, d): of each task's members the k nearest of the probed clusters, or,
+    given ``worst`` distances, those of the unprobed clusters that are not farther.
 
     A ``worst`` below 0 leaves its query out."""
     # Who probes a place, found once for all tasks: the probe lists inverted.
@@ -182,7 +182,11 @@ def scan_clusters(members: DataFrame, known: Clusters, block: tuple[np.ndarray,
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (qid, q), (probers, cuts), worst = shared.value
         wanting: dict[int, np.ndarray] = {}
+        best = knn_kernel.Best(qid, q, k, exclude_self)
+        if worst is not None:
+            best.worst = np.where(np.isnan(worst), np.inf, worst)
         for batch in batches:
+            new, size = [], 0
             for c, rid, fraud, r in (_listed if packed else _by_cluster)(batch, dims):
                 place = int(np.searchsorted(known.ids, c))
                 if c not in wanting:
@@ -196,8 +200,15 @@ def scan_clusters(members: DataFrame, known: Clusters, block: tuple[np.ndarray,
                 own = wanting[c]
                 if not own.size:
                     continue
-                at, to, d = knn_kernel.nearest_block(qid[own], q[own], rid, r, k, exclude_self)
-                yield pa.record_batch([pa.array(qid[own][at]), pa.array(rid[to]), pa.array(fraud[to], pa.int32()), pa.array(d)], names=knn_kernel.NEAREST.names)
+                at, to, d = knn_kernel.nearest_block(qid[own], q[own], rid, r, k, exclude_self, best.worst[own])
+                new.append((own[at], rid[to], fraud[to], d))
+                size += len(at)
+                if size > max(k * len(q), 1 << 16):  # a batch of packed lists may hold many clusters
+                    best.merge(*map(np.concatenate, zip(*new)))
+                    new, size = [], 0
+            if size:
+                best.merge(*map(np.concatenate, zip(*new)))
+        yield from best.batches()
 
     wanted = ("cluster_id", "ids", "marks", "q") if packed else ("ref_id", "fraud", "cluster_id", "q")
     return members.select(*wanted).mapInArrow(scan, knn_kernel.NEAREST)
